@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents
+from . import corpora, documents
 
-MODULES = (documents,)
+MODULES = (documents, corpora)
 
 
 def queries():

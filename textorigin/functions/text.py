@@ -64,9 +64,13 @@ def packed_ratios(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def redundancy(c: Column, size: int = 4) -> Column:
     """Share of repeated character shingles: a JVM-side stand-in for compressibility."""
-    n = F.length(c) - (size - 1)
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
-    return F.when(n < 1, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(shingles)) / n.cast("double"))
+    def share(chars):
+        n = F.size(chars) - (size - 1)
+        at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        shingles = F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
+        return F.when(n < 1, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(shingles)) / n.cast("double"))
+
+    return A.let(F.filter(F.split(c, ""), lambda ch: ch != ""), share)
 
 
 def add_layers(df: DataFrame, text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", app: str = "textorigin", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,3 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, for results that several jobs read again."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df`` as a broadcast side if it has at most ``limit`` rows, else ``df`` itself.
+
+    The size is counted, not guessed: no more than ``limit + 1`` rows ever reach the driver, and a table
+    beyond the limit is left to a shuffled join with adaptive skew handling.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

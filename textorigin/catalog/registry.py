@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpora, documents
+from . import corpora, documents, evaluation
 
-MODULES = (documents, corpora)
+MODULES = (documents, corpora, evaluation)
 
 
 def queries():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,9 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage, for results that several jobs read again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back, for results that several jobs use.
+
+    A lost executor then costs a re-read, not a re-computation, and the plan knows the table's size.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/textorigin-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpora, documents, evaluation
+from . import corpora, documents, evaluation, sequences
 
-MODULES = (documents, corpora, evaluation)
+MODULES = (documents, corpora, evaluation, sequences)
 
 
 def queries():

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import bounded
+from ..session import bounded, cut_lineage
 from .ranking import GROUP_LIMIT, _group, prefix_sums
 
 INF = float("inf")
@@ -146,12 +146,12 @@ def detector_metrics(
     pred: DataFrame, cells: Sequence[str] = (), prob: str = "ai_probability", label: str = "label",
     prediction: str | None = None, threshold: float = 0.5, group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    return metrics_from_counts(score_counts(pred, cells, prob, label, prediction, threshold), cells, group_limit)
+    return metrics_from_counts(cut_lineage(score_counts(pred, cells, prob, label, prediction, threshold)), cells, group_limit)
 
 
 def roc_curve(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
     """(fpr, tpr, threshold) at every distinct score plus the origin; empty for one-class cells."""
-    ranked = _ranked(score_counts(pred, cells, **names), cells, group_limit).filter("P > 0 and N > 0")
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit).filter("P > 0 and N > 0")
     points = ranked.select(*cells, _share(F.col("fp"), F.col("N")).alias("fpr"), _share(F.col("tp"), F.col("P")).alias("tpr"), F.col("score").alias("threshold"))
     origin = ranked.select(*cells).distinct() if cells else ranked.limit(1).select()
     return points.unionByName(origin.select(*cells, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(INF).alias("threshold")))
@@ -159,7 +159,7 @@ def roc_curve(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GRO
 
 def pr_curve(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
     """(recall, precision, threshold) at every distinct score plus the end point (0, 1)."""
-    ranked = _ranked(score_counts(pred, cells, **names), cells, group_limit).filter("P > 0 and N > 0")
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit).filter("P > 0 and N > 0")
     points = ranked.select(
         *cells, _share(F.col("tp"), F.col("P")).alias("recall"), _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.col("score").alias("threshold"))
     end = ranked.select(*cells).distinct() if cells else ranked.limit(1).select()
@@ -168,7 +168,7 @@ def pr_curve(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROU
 
 def choose_thresholds(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
     """(rule, threshold): 0.5, best F1 (lowest on ties), best TPR within each FPR budget (highest on ties)."""
-    ranked = _ranked(score_counts(pred, cells, **names), cells, group_limit)
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit)
     p, r = _share(F.col("tp"), F.col("tp") + F.col("fp")), _share(F.col("tp"), F.col("P"))
     f1 = 2 * p * r / F.greatest(p + r, F.lit(1e-12))
     fpr = _share(F.col("fp"), F.col("N"))
@@ -182,7 +182,7 @@ def choose_thresholds(pred: DataFrame, cells: Sequence[str] = (), group_limit: i
 
 def threshold_for_fpr(pred: DataFrame, target: float, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
     """(threshold, tpr, fpr): the largest threshold with the highest TPR whose FPR stays within ``target``."""
-    ranked = _ranked(score_counts(pred, cells, **names), cells, group_limit)
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit)
     tpr, fpr = F.coalesce(_share(F.col("tp"), F.col("P")), F.lit(0.0)), F.coalesce(_share(F.col("fp"), F.col("N")), F.lit(0.0))
     best = F.max(F.when((fpr <= target + 1e-12) & (tpr > 0), F.struct(tpr.alias("tpr"), F.col("score"), fpr.alias("fpr"))))
     agg = ranked.groupBy(*cells).agg(best.alias("_b"))
@@ -191,7 +191,10 @@ def threshold_for_fpr(pred: DataFrame, target: float, cells: Sequence[str] = (),
 
 def apply_thresholds(pred: DataFrame, thresholds: DataFrame, cells: Sequence[str], prob: str = "ai_probability") -> DataFrame:
     """Predictions at the threshold of each row's cell (chosen on dev, applied to test)."""
-    joined = pred.join(bounded(thresholds), list(cells)) if cells else pred.crossJoin(bounded(thresholds))
+    if cells:
+        joined = pred.join(bounded(thresholds), list(cells))
+    else:
+        joined = pred.withColumn("threshold", F.lit(thresholds.first()["threshold"]))
     return joined.withColumn("prediction", (F.col(prob) >= F.col("threshold")).cast("int"))
 
 
@@ -242,7 +245,7 @@ def bootstrap_metrics(pred: DataFrame, cells: Sequence[str] = (), replicates: in
                       group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
     """AUROC, AUPRC and F1 of every bootstrap replicate."""
     drawn = bootstrap_weights(pred, replicates, key, seed)
-    counts = score_counts(drawn, [*cells, "replicate"], weight=F.col("weight"), **names)
+    counts = cut_lineage(score_counts(drawn, [*cells, "replicate"], weight=F.col("weight"), **names))
     running = prefix_sums(counts, [*cells, "replicate"], "score", {"tp": "pos", "fp": "neg"}, descending=True, group_limit=group_limit)
     sums = running.groupBy(*cells, "replicate").agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("hat_pos").alias("TP"), F.sum("hat_neg").alias("FP"),

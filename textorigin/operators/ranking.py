@@ -132,3 +132,19 @@ def medians(df: DataFrame, cols: Sequence[str], exact_cells: int = EXACT_CELLS)
     """Column medians on the driver: one number per column, 0 where a column has no value."""
     found = {r["feature"]: r["quantiles"] for r in quantiles(df, cols, [0.5], exact_cells=exact_cells).collect()}
     return {c: (found[c][0] if found.get(c) and found[c][0] is not None else 0.0) for c in cols}
+
+
+def lagged(df: DataFrame, groups: Sequence[str], order: str, col: str, out: str, group_limit: int = GROUP_LIMIT, buckets: int = 64) -> DataFrame:
+    """Previous value of ``col`` along a unique numeric ``order``, also for groups too long for one task.
+
+    A long group is cut into segments; the first row of a segment takes the last value of the segment before.
+    """
+    marked, split = _bucketed(df.withColumn("_g", _group(groups)), order, group_limit, buckets)
+    within = Window.partitionBy("_g", "_b").orderBy(order)
+    if not split:
+        return marked.withColumn(out, F.lag(col).over(within)).drop("_g", "_b")
+    ends = marked.groupBy("_g", "_b").agg(F.max_by(F.struct(F.col(col).alias("v")), order).alias("_end"))
+    before = ends.select("_g", "_b", F.lag("_end").over(Window.partitionBy("_g").orderBy("_b")).alias("_prev"))
+    at = F.row_number().over(within)
+    joined = marked.withColumns({"_at": at, "_lag": F.lag(col).over(within)}).join(before, ["_g", "_b"])
+    return joined.withColumn(out, F.when(F.col("_at") == 1, F.col("_prev.v")).otherwise(F.col("_lag"))).drop("_g", "_b", "_at", "_lag", "_prev")

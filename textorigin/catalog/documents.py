@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.columns import clean_text, rounded
+from ..functions.columns import clean_text, nudge, rounded
 from ..functions.fixed_values import DOMAIN_TERMS, PHRASE_REPLACEMENTS, DROPPED_ADVERBS, TEMPLATE_PHRASES, TRANSITION_PHRASES
 from ..operators.features import document_features
 from .tables import documents, spread, table
@@ -20,7 +20,7 @@ SENTENCES = lambda x: (
 )
 PARAGRAPHS = lambda x: rf"list_filter(list_transform(regexp_split_to_array({x}, '\n\s*\n|\n'), lambda p: {TRIM('p')}), lambda p: p <> '')"
 RATIO = lambda a, b: f"(case when {b} is null or abs({b}) < 1e-12 then 0.0::double else ({a})::double / (({b})::double + 1e-12::double) end)"
-R6 = lambda x: f"(round(({x})::double, 6) + 0.0::double)"
+R6 = lambda x, d=6: f"(round(({x})::double + {nudge(d)!r}::double, {d}) + 0.0::double)"
 COUNT = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
 
 DOCS = f"""docs as (select * from (select cast(doc_id as varchar) as id, {CLEAN('text')} as t from documents) where length(t) > 0)"""

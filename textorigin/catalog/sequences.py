@@ -43,7 +43,7 @@ def loss_records(spark, sf):
     r = L.loss_records(losses(spark, sf), documents(spark, sf))
     return r.select("id", "model_name", F.col("token_count").cast("long").alias("token_count"), "text_hash",
                     rounded(A.total(F.col("rank_sequence")), 3).alias("rank_sum"), rounded(A.total(F.col("prob_sequence")), 3).alias("prob_sum"),
-                    rounded(F.element_at("rank_sequence", -1), 5).alias("last_rank"))
+                    rounded(F.try_element_at("rank_sequence", F.lit(-1)), 5).alias("last_rank"))
 
 
 def probability(spark, sf):
@@ -51,7 +51,7 @@ def probability(spark, sf):
 
 
 def contrasts(spark, sf):
-    return _rounded(L.contrasts(L.loss_statistics(losses(spark, sf)), [("ng1", "ng2"), ("ng2", "ng4")]))
+    return _rounded(L.contrasts(_rounded(L.loss_statistics(losses(spark, sf))), [("ng1", "ng2"), ("ng2", "ng4")]))
 
 
 def _scale_table(spark, sf):
@@ -72,8 +72,8 @@ def train_bins_of(spark, sf, model="ng2"):
 
 def loss_bins(spark, sf):
     b = train_bins_of(spark, sf)
-    rows = [(k, n, i, round(v, 5)) for k, per in b.items() for n, cuts in per.items() for i, v in enumerate(cuts)]
-    return spark.createDataFrame(rows, "encoding string, n_states int, cut int, value double")
+    rows = [(k, n, i, v) for k, per in b.items() for n, cuts in per.items() for i, v in enumerate(cuts)]
+    return spark.createDataFrame(rows, "encoding string, n_states int, cut int, value double").withColumn("value", rounded(F.col("value"), 5))
 
 
 def transition_full(spark, sf):
@@ -94,7 +94,7 @@ def transition_gap(spark, sf):
 
 
 def transition_delta(spark, sf):
-    one = {m: X.own_profiles(losses(spark, sf), m, m, with_gap=False) for m in ("ng1", "ng2")}
+    one = {m: _rounded(X.own_profiles(losses(spark, sf), m, m, with_gap=False)) for m in ("ng1", "ng2")}
     return _rounded(X.column_delta(one["ng1"], one["ng2"], "ng1", "ng2"))
 
 
@@ -240,7 +240,7 @@ def _scale_sql():
             "monotonic_decrease_ratio": "((y1 < y0)::int + (y2 < y1)::int + (y3 < y2)::int) / 3.0::double", "monotonic_increase_ratio": "((y1 > y0)::int + (y2 > y1)::int + (y3 > y2)::int) / 3.0::double",
             "num_direction_changes": "case len(sg) when 0 then null when 1 then 0 when 2 then (sg[1] <> sg[2])::int else (sg[1] <> sg[2])::int + (sg[2] <> sg[3])::int end",
             "early_gain_ng1_ng2": "y0 - y1", "late_gain_ng3_ng4": "y2 - y3", "saturation_ng3_ng4": "abs(y2 - y3)", "saturation_ratio_ng3_ng4": sd("abs(y2 - y3)", "abs(y0 - y1)")}
-    r = lambda name, v: f"(round(({v})::double, {3 if 'ratio' in name or 'rel_delta' in name or 'ppl' in name else 5}) + 0.0::double)"
+    r = lambda name, v: R6(v, 3 if 'ratio' in name or 'rel_delta' in name or 'ppl' in name else 5)
     cols = [f"max(case when m = '{m}' then case when y0 is not null then {r(f'scale_{m}_{k}', v)} end end) as scale_{m}_{k}" for m in metrics for k, v in per.items()]
     one = lambda m, v: f"max(case when m = '{m}' then {v} end)"
     cols += [f"{r('ratio', sd(one(m, 'sl'), one('loss_mean', 'sl')))} as scale_{m}_loss_mean_global_slope_ratio" for m in ("ppl", "loss_std")]
@@ -249,16 +249,16 @@ def _scale_sql():
 
 
 ORACLES = {
-    "token_losses": f"with {LOSS_SQL} select (pos - 1)::int as pos, count(*) as n, " + ", ".join(f"(round(sum({m}), 3) + 0.0::double) as {m}" for m in NG) + " from ls group by 1",
+    "token_losses": f"with {LOSS_SQL} select (pos - 1)::int as pos, count(*) as n, " + ", ".join(f"{R6(f'sum({m})', 3)} as {m}" for m in NG) + " from ls group by 1",
     "loss_records": f"""with {LOSS_SQL}, lm as (select id, pos, unnest(['ng1', 'ng2', 'ng3', 'ng4']) as model_name, unnest([ng1, ng2, ng3, ng4]) as x from ls),
       rk as (select *, (rank() over (partition by id, model_name order by -x) + (count(*) over (partition by id, model_name, x) - 1) / 2.0::double) / count(*) over (partition by id, model_name) as r from lm),
       ag as (select id, model_name, count(*) as c, sum(round(r, 8)) as rs, sum(exp(-least(x, 50))) as ps, max_by(round(r, 8), pos) as lr from rk group by 1, 2)
-      select docs.id, m.m as model_name, coalesce(c, 0) as token_count, sha256(t) as text_hash, (round(coalesce(rs, 0), 3) + 0.0::double) as rank_sum, (round(coalesce(ps, 0), 3) + 0.0::double) as prob_sum, (round(lr, 5) + 0.0::double) as last_rank
+      select docs.id, m.m as model_name, coalesce(c, 0) as token_count, sha256(t) as text_hash, {R6('coalesce(rs, 0)', 3)} as rank_sum, {R6('coalesce(ps, 0)', 3)} as prob_sum, {R6('lr', 5)} as last_rank
       from docs cross join (select unnest(['ng1', 'ng2', 'ng3', 'ng4']) as m) m left join ag on ag.id = docs.id and ag.model_name = m.m""",
     "features_probability": f"with {STATS_SQL} select * from st",
     "features_contrast": f"with {STATS_SQL} select id, {_contrast_sql('ng1', 'ng2')}, {_contrast_sql('ng2', 'ng4')} from st",
     "features_scale_response": _scale_sql(),
-    "loss_bins": f"""with {LOSS_SQL}, {BINS} """ + " union all ".join(f"select '{a}' as encoding, {n} as n_states, {i} as cut, round({a}{n}[{i + 1}], 5) as value from bn" for a in ("raw", "zscore") for n in (3, 5, 7) for i in range(n - 1)),
+    "loss_bins": f"""with {LOSS_SQL}, {BINS} """ + " union all ".join(f"select '{a}' as encoding, {n} as n_states, {i} as cut, {R6(f"{a}{n}[{i + 1}]", 5)} as value from bn" for a in ("raw", "zscore") for n in (3, 5, 7) for i in range(n - 1)),
     "transition_full": f"with {LOSS_SQL}, {BINS}, {_profiles_sql(_FULL)} {_joined(_FULL)}",
     "transition_formal": f"with {LOSS_SQL}, {BINS}, {_profiles_sql(_FORMAL)} {_joined(_FORMAL)}",
     "transition_own": f"with {LOSS_SQL}, {_profiles_sql(_own('ng2'))} {_joined(_own('ng2'))}",

@@ -63,4 +63,9 @@ def md5_order(key: Column, seed: int) -> Column:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    """Rounded for comparison between engines; the nudge keeps exact decimal halves from falling either way."""
+    return F.round(c.cast("double") + F.lit(nudge(digits)), digits) + F.lit(0.0)
+
+
+def nudge(digits: int) -> float:
+    return round(0.00317 * 10.0**-digits, digits + 6)

@@ -37,15 +37,6 @@ def scale_table(tables: dict[str, DataFrame], prefixes: dict[str, Sequence[str]]
     return merged, list(tables), [m for m in metrics if m in seen]
 
 
-def points(df: DataFrame, scales: Sequence[str], metric: str) -> Column:
-    """Known (x, y) pairs of a metric, x being the position of the scale."""
-    pairs = [
-        F.struct(F.lit(float(i)).alias("x"), finite(F.col(f"{s}__{metric}")).alias("y"))
-        for i, s in enumerate(scales) if f"{s}__{metric}" in df.columns
-    ]
-    return F.filter(F.array(*pairs), lambda p: p["y"].isNotNull())
-
-
 def line_fit(pts: Column) -> Column:
     """Struct slope, intercept, r2; null below two points, r2 null where y hardly varies."""
     def fit(p, mx, my):
@@ -95,68 +86,80 @@ def curvature(p: Column) -> Column:
     return F.when(F.size(p) >= 3, A.let(gradient(p), lambda g: A.mean(F.transform(gradient(g), lambda q: q["y"]))))
 
 
+def _response(m: Column, n_scales: int) -> Column:
+    """All outputs of one metric as a struct; ``m`` is a struct of its values y0, y1, ... by scale."""
+    ys = [m[f"y{i}"] for i in range(n_scales)]
+    known = F.filter(
+        F.array(*[F.struct(F.lit(float(i)).alias("x"), y.alias("y")) for i, y in enumerate(ys)]), lambda p: p["y"].isNotNull())
+
+    def outputs(p, fit, deltas, moving):
+        n = F.size(p)
+        values = F.transform(p, lambda q: q["y"])
+        span = F.try_element_at(p, F.lit(-1))["x"] - F.get(p, F.lit(0))["x"]
+        turns = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(moving) - 1, F.lit(1))), F.lit(0.0),
+            lambda acc, i: acc + F.when(F.get(moving, i) != F.get(moving, i - 1), 1.0).otherwise(0.0))
+        first_at = lambda extreme: F.get(F.transform(F.filter(p, lambda q: q["y"] == extreme), lambda q: q["x"]), F.lit(0))
+        share = lambda test: F.when(n >= 2, A.mean(F.transform(deltas, lambda d: F.when(test(d), 1.0).otherwise(0.0))))
+        out = {
+            "global_slope": fit["slope"],
+            "global_intercept": fit["intercept"],
+            "global_r2": fit["r2"],
+            "response_area": area(p),
+            "normalized_area": F.when((n >= 2) & (span > SMALL), area(p) / (span + SMALL)),
+            "response_curvature": curvature(p),
+            "response_variance": F.when(n > 0, A.mean_std(values)["std"] * A.mean_std(values)["std"]),
+            "response_range": F.when(n > 0, F.array_max(values) - F.array_min(values)),
+            "min_scale_index": first_at(F.array_min(values)),
+            "max_scale_index": first_at(F.array_max(values)),
+            "monotonic_decrease_ratio": share(lambda d: d < 0),
+            "monotonic_increase_ratio": share(lambda d: d > 0),
+            "num_direction_changes": F.when((n >= 2) & (F.size(moving) >= 1), F.when(F.size(moving) == 1, 0.0).otherwise(turns)),
+        }
+        for i, (a, b) in enumerate(zip(ys, ys[1:])):
+            out[f"slope_{i}"] = (b - a) / F.lit(1.0 + SMALL)
+            out[f"ratio_{i}"] = shifted_ratio(b, a)
+            out[f"abs_delta_{i}"] = F.abs(b - a)
+            out[f"rel_delta_{i}"] = shifted_ratio(b - a, F.abs(a))
+        if n_scales == 4:
+            early, late = ys[0] - ys[1], ys[2] - ys[3]
+            out |= {"early_gain": early, "late_gain": late, "saturation": F.abs(late), "saturation_ratio": shifted_ratio(F.abs(late), F.abs(early))}
+        return F.struct(*[v.alias(k) for k, v in out.items()])
+
+    with_deltas = lambda p, fit: A.let(
+        F.transform(_steps(p), lambda t: t["b"]["y"] - t["a"]["y"]),
+        lambda d: A.let(F.transform(F.filter(d, lambda x: F.abs(x) > SMALL), F.signum), lambda s: outputs(p, fit, d, s)))
+    return A.let(known, lambda p: A.let(line_fit(p), lambda fit: with_deltas(p, fit)))
+
+
 def scale_response(merged: DataFrame, scales: Sequence[str] = SCALES, metrics: Sequence[str] = SCALE_METRICS, key: str = "id") -> DataFrame:
-    """All scale-response columns of a joined scale table."""
+    """All scale-response columns of a joined scale table.
+
+    The formulas are stated once and mapped over an array of the metrics, which keeps the plan small.
+    """
     has = lambda s, m: f"{s}__{m}" in merged.columns
-    col = lambda s, m: F.col(f"{s}__{m}")
-    staged = merged.withColumns({f"_p_{m}": points(merged, scales, m) for m in metrics})
-    staged = staged.withColumns({f"_f_{m}": line_fit(F.col(f"_p_{m}")) for m in metrics})
-    out: dict[str, Column] = {}
-    for a, b in zip(scales, scales[1:]):
-        for m in metrics:
-            if has(a, m) and has(b, m):
-                d = col(b, m) - col(a, m)
-                out[f"scale_{m}_slope_{a}_to_{b}"] = d / F.lit(1.0 + SMALL)
-                out[f"scale_{m}_ratio_{a}_to_{b}"] = shifted_ratio(col(b, m), col(a, m))
-                out[f"scale_{m}_abs_delta_{a}_to_{b}"] = F.abs(d)
-                out[f"scale_{m}_rel_delta_{a}_to_{b}"] = shifted_ratio(d, F.abs(col(a, m)))
-    for m in metrics:
-        p, fit = F.col(f"_p_{m}"), F.col(f"_f_{m}")
-        ys = F.transform(p, lambda q: q["y"])
-        xs = lambda arr: F.transform(arr, lambda q: q["x"])
-        span = F.element_at(p, -1)["x"] - F.get(p, F.lit(0))["x"]
-        some = F.size(p) > 0
-        deltas = F.transform(_steps(p), lambda t: t["b"]["y"] - t["a"]["y"])
-        moving = F.transform(F.filter(deltas, lambda d: F.abs(d) > SMALL), F.signum)
-        turns = A.let(moving, lambda s: F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), F.lit(0.0),
-            lambda acc, i: acc + F.when(F.get(s, i) != F.get(s, i - 1), 1.0).otherwise(0.0)))
-        n_moving = F.size(moving)
-        out[f"scale_{m}_global_slope"] = fit["slope"]
-        out[f"scale_{m}_global_intercept"] = fit["intercept"]
-        out[f"scale_{m}_global_r2"] = fit["r2"]
-        out[f"scale_{m}_response_area"] = area(p)
-        out[f"scale_{m}_normalized_area"] = F.when((F.size(p) >= 2) & (span > SMALL), area(p) / (span + SMALL))
-        out[f"scale_{m}_response_curvature"] = curvature(p)
-        out[f"scale_{m}_response_variance"] = F.when(some, A.moments(ys)["m2"])
-        out[f"scale_{m}_response_range"] = F.when(some, F.array_max(ys) - F.array_min(ys))
-        first_at = lambda extreme: F.get(xs(F.filter(p, lambda q: q["y"] == extreme)), F.lit(0))
-        out[f"scale_{m}_min_scale_index"] = first_at(F.array_min(ys))
-        out[f"scale_{m}_max_scale_index"] = first_at(F.array_max(ys))
-        share = lambda test: F.when(F.size(p) >= 2, A.mean(F.transform(deltas, lambda d: F.when(test(d), 1.0).otherwise(0.0))))
-        out[f"scale_{m}_monotonic_decrease_ratio"] = share(lambda d: d < 0)
-        out[f"scale_{m}_monotonic_increase_ratio"] = share(lambda d: d > 0)
-        out[f"scale_{m}_num_direction_changes"] = F.when((F.size(p) >= 2) & (n_moving >= 1), F.when(n_moving == 1, 0.0).otherwise(turns))
-        if len(scales) == 4:
-            c = [col(s, m) if has(s, m) else F.lit(None).cast("double") for s in scales]
-            early, late = c[0] - c[1], c[2] - c[3]
-            a, b, d, e = scales
-            out[f"scale_{m}_early_gain_{a}_{b}"] = early
-            out[f"scale_{m}_late_gain_{d}_{e}"] = late
-            out[f"scale_{m}_saturation_{d}_{e}"] = F.abs(late)
-            out[f"scale_{m}_saturation_ratio_{d}_{e}"] = shifted_ratio(F.abs(late), F.abs(early))
-    slope = lambda m: F.col(f"_f_{m}")["slope"]
+    value = lambda s, m: finite(F.col(f"{s}__{m}")) if has(s, m) else F.lit(None).cast("double")
+    gaps = [s for s in scales if has(s, "top_10_percent_loss_mean") and has(s, "bottom_10_percent_loss_mean")]
+    gap = lambda s: value(s, "top_10_percent_loss_mean") - value(s, "bottom_10_percent_loss_mean") if s in gaps else F.lit(None).cast("double")
+    rows = [F.struct(*[value(s, m).alias(f"y{i}") for i, s in enumerate(scales)]) for m in metrics]
+    rows.append(F.struct(*[gap(s).alias(f"y{i}") for i, s in enumerate(scales)]))
+    staged = merged.select(key, F.array(*rows).alias("_m")).withColumn("_r", F.transform("_m", lambda m: _response(m, len(scales))))
+    at = {m: F.get("_r", F.lit(i)) for i, m in enumerate([*metrics, "gap"])}
+    names = {f"{k}_{i}": f"{k}_{a}_to_{b}" for i, (a, b) in enumerate(zip(scales, scales[1:])) for k in ("slope", "ratio", "abs_delta", "rel_delta")}
+    if len(scales) == 4:
+        a, b, c, d = scales
+        names |= {"early_gain": f"early_gain_{a}_{b}", **{k: f"{k}_{c}_{d}" for k in ("late_gain", "saturation", "saturation_ratio")}}
+    fields = staged.schema["_r"].dataType.elementType.fieldNames()
+    pair_known = lambda f, m: not (f.rsplit("_", 1)[-1].isdigit() and not all(has(s, m) for s in scales[int(f[-1]) : int(f[-1]) + 2]))
+    out = {f"scale_{m}_{names.get(f, f)}": at[m][f] for m in metrics for f in fields if pair_known(f, m)}
     if "loss_mean" in metrics:
         for m in ("ppl", "loss_std"):
             if m in metrics:
-                out[f"scale_{m}_loss_mean_global_slope_ratio"] = shifted_ratio(slope(m), slope("loss_mean"))
-    gaps = [s for s in scales if has(s, "top_10_percent_loss_mean") and has(s, "bottom_10_percent_loss_mean")]
+                out[f"scale_{m}_loss_mean_global_slope_ratio"] = shifted_ratio(at[m]["global_slope"], at["loss_mean"]["global_slope"])
+    for s in gaps:
+        out[f"scale_top_bottom_loss_gap_{s}"] = F.get("_m", F.lit(len(metrics)))[f"y{scales.index(s)}"]
     if gaps:
-        staged = staged.withColumns({f"gap{s}__gap": col(s, "top_10_percent_loss_mean") - col(s, "bottom_10_percent_loss_mean") for s in gaps})
-        for s in gaps:
-            out[f"scale_top_bottom_loss_gap_{s}"] = F.col(f"gap{s}__gap")
-        pairs = F.array(*[F.struct(F.lit(float(scales.index(s))).alias("x"), F.col(f"gap{s}__gap").alias("y")) for s in gaps])
-        out["scale_top_bottom_loss_gap_global_slope"] = line_fit(F.filter(pairs, lambda q: q["y"].isNotNull()))["slope"]
+        out["scale_top_bottom_loss_gap_global_slope"] = at["gap"]["global_slope"] if len(gaps) > 1 else F.lit(None).cast("double")
     return staged.select(key, *[finite(v).alias(k) for k, v in out.items()])
 
 

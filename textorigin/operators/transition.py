@@ -101,45 +101,68 @@ def spectral_gap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out).where(~np.isnan(out), None)
 
 
-def profile_columns(counts: Column, n: int, prefix: str, gap: Column | None = None) -> dict[str, Column]:
-    """All profile columns from the struct of :func:`pair_counts`."""
-    pair = lambda i, j: F.get(counts["pairs"], F.lit(i * n + j)).cast("double")
+def _summary(counts: Column, n: int) -> Column:
+    """Struct of the pair frequencies and all summary values but the spectral gap."""
     cells = [(i, j) for i in range(n) for j in range(n)]
     steps = (counts["n"] - 1).cast("double")
-    per_step = lambda v: F.when(counts["n"] > 1, v / steps)
-    add = lambda test: sum((pair(i, j) for i, j in cells if test(i, j)), F.lit(0.0))
+    some, moved = counts["n"] > 0, counts["n"] > 1
+    pairs = counts["pairs"]
+    # weights by cell turn every rate into one pass over the n*n counts
+    weigh = lambda test: F.aggregate(
+        F.zip_with(pairs, F.array(*[F.lit(1.0 if test(i, j) else 0.0) for i, j in cells]), lambda c, w: c * w), F.lit(0.0), lambda a, x: a + x)
+    per_step = lambda v: F.when(moved, v / steps)
     is_first = lambda k: (counts["first"] == k).cast("double")
-    seen = [is_first(k) + add(lambda i, j, k=k: j == k) for k in range(n)]
-    runs = lambda k: is_first(k) + add(lambda i, j: j == k and i != k)
-    some = counts["n"] > 0
-    run_mean = lambda k: F.when(some, F.coalesce(F.try_divide(seen[k], runs(k)), F.lit(0.0)))
-    out = {f"{prefix}_trans_{i}_to_{j}": per_step(pair(i, j)) for i, j in cells}
-    summary = {
-        "transition_entropy": A.entropy(counts["pairs"]),
-        "self_transition_rate": per_step(add(lambda i, j: i == j)),
-        "upward_transition_rate": per_step(add(lambda i, j: j > i)),
-        "downward_transition_rate": per_step(add(lambda i, j: j < i)),
-        "large_jump_rate": per_step(add(lambda i, j: abs(i - j) >= 2)),
-        "high_loss_burst_density": F.when(some, seen[n - 1] / counts["n"]),
-        "low_loss_run_length_mean": run_mean(0),
-        "high_loss_run_length_mean": run_mean(n - 1),
-        "state_sequence_entropy": F.when(some, A.entropy(F.array(*seen))),
-        "transition_spectral_gap": F.when(some, gap) if gap is not None else F.lit(None).cast("double"),
-        "token_count": F.when(some, counts["n"].cast("double")),
-    }
-    out.update({f"{prefix}_{k}": summary[k] for k in SUMMARY if k != "transition_spectral_gap" or gap is not None})
-    return out
+    seen = lambda k: is_first(k) + weigh(lambda i, j: j == k)
+    run_mean = lambda k: F.when(some, F.coalesce(F.try_divide(seen(k), is_first(k) + weigh(lambda i, j: j == k and i != k)), F.lit(0.0)))
+    return F.struct(
+        F.transform(pairs, lambda c: F.when(moved, c / steps)).alias("freq"),
+        A.entropy(pairs).alias("transition_entropy"),
+        per_step(weigh(lambda i, j: i == j)).alias("self_transition_rate"),
+        per_step(weigh(lambda i, j: j > i)).alias("upward_transition_rate"),
+        per_step(weigh(lambda i, j: j < i)).alias("downward_transition_rate"),
+        per_step(weigh(lambda i, j: abs(i - j) >= 2)).alias("large_jump_rate"),
+        F.when(some, seen(n - 1) / counts["n"]).alias("high_loss_burst_density"),
+        run_mean(0).alias("low_loss_run_length_mean"),
+        run_mean(n - 1).alias("high_loss_run_length_mean"),
+        F.when(some, A.entropy(F.array(*[seen(k) for k in range(n)]))).alias("state_sequence_entropy"),
+        F.when(some, counts["n"].cast("double")).alias("token_count"),
+    )
+
+
+def _profile_select(df: DataFrame, encodings: dict[str, int], key: str, with_gap: bool) -> DataFrame:
+    """Profile columns from one ``_c_{prefix}`` struct (see :func:`pair_counts`) per encoding.
+
+    Encodings with the same number of states share one formula, mapped over an array of their counts.
+    """
+    by_size: dict[int, list[str]] = {}
+    for p, n in encodings.items():
+        by_size.setdefault(n, []).append(p)
+    staged = df.withColumns({
+        f"_s{n}": F.transform(F.array(*[F.col(f"_c_{p}") for p in ps]), _body(n))
+        for n, ps in by_size.items()
+    })
+    if with_gap:
+        staged = staged.withColumns({f"_g_{p}": spectral_gap(F.col(f"_c_{p}")["pairs"].cast("array<double>")) for p in encodings})
+    out = []
+    for p, n in encodings.items():
+        s = F.get(f"_s{n}", F.lit(by_size[n].index(p)))
+        out += [F.get(s["freq"], F.lit(i * n + j)).alias(f"{p}_trans_{i}_to_{j}") for i in range(n) for j in range(n)]
+        for k in SUMMARY:
+            if k != "transition_spectral_gap":
+                out.append(s[k].alias(f"{p}_{k}"))
+            elif with_gap:
+                out.append(F.when(F.col(f"_c_{p}")["n"] > 0, F.col(f"_g_{p}")).alias(f"{p}_{k}"))
+    return staged.select(key, *out)
+
+
+def _body(n: int):
+    return lambda c: _summary(c, n)
 
 
 def profiles(df: DataFrame, states: dict[str, tuple[Column, int]], key: str = "id", with_gap: bool = True) -> DataFrame:
     """Profile of several encodings ``{prefix: (state array, number of states)}`` per row; no shuffle."""
     staged = df.select(key, *[pair_counts(s, n).alias(f"_c_{p}") for p, (s, n) in states.items()])
-    if with_gap:
-        staged = staged.withColumns({f"_g_{p}": spectral_gap(F.col(f"_c_{p}")["pairs"]) for p in states})
-    out = {}
-    for p, (_, n) in states.items():
-        out.update(profile_columns(F.col(f"_c_{p}"), n, p, F.col(f"_g_{p}") if with_gap else None))
-    return staged.select(key, *[v.alias(k) for k, v in out.items()])
+    return _profile_select(staged, {p: n for p, (_, n) in states.items()}, key, with_gap)
 
 
 def _values(df: DataFrame, seq: str, key: str) -> DataFrame:
@@ -191,10 +214,8 @@ def long_profiles(df: DataFrame, entity: str, order: str, value: str, bins: dict
             F.max(F.when(F.col("_p").isNull(), F.col("_s"))).alias("first"),
             F.count(F.lit(1)).cast("int").alias("n"),
             F.array(*[cell(i, j) for i in range(n) for j in range(n)]).alias("pairs"))
-        counts = agg.select(entity, F.struct("first", "n", "pairs").alias("_c"))
-        if with_gap:
-            counts = counts.withColumn("_g", spectral_gap(F.col("_c")["pairs"].cast("array<double>")))
-        one = counts.select(entity, *[v.alias(k) for k, v in profile_columns(F.col("_c"), n, f"{prefix}_q{n}", F.col("_g") if with_gap else None).items()])
+        name = f"{prefix}_q{n}"
+        one = _profile_select(agg.select(entity, F.struct("first", "n", "pairs").alias(f"_c_{name}")), {name: n}, entity, with_gap)
         out = one if out is None else out.join(one, entity)
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.columns import clean_text, nudge, rounded
+from ..functions.columns import clean_text, nudge, rounded, rounded_table
 from ..functions.fixed_values import DOMAIN_TERMS, PHRASE_REPLACEMENTS, DROPPED_ADVERBS, TEMPLATE_PHRASES, TRANSITION_PHRASES
 from ..operators.features import document_features
 from .tables import documents, spread, table
@@ -119,8 +119,7 @@ from h group by id
 """
 
 
-def _rounded(df):
-    return df.select("id", *[rounded(F.col(c)).alias(c) for c in df.columns if c != "id"])
+_rounded = rounded_table
 
 
 def clean_documents(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import categories as K, text as X
-from ..functions.columns import ratio, rounded
+from ..functions.columns import ratio, rounded_table
 from ..operators import metrics as M
 from ..operators.features import document_features
 from .documents import DOCS, R6, RATIO, TOKENS
@@ -26,8 +26,7 @@ def predictions(spark, sf):
     return scored.join(labels(spark, sf).select("id", "label"), "id")
 
 
-def _r(df, skip):
-    return df.select(*[c if c in skip or t == "string" else rounded(F.col(c)).alias(c) for c, t in df.dtypes])
+_r = rounded_table
 
 
 CELL = ["test_name"]

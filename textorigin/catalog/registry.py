@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpora, documents, evaluation, sequences
+from . import corpora, documents, dynamics, evaluation, sequences
 
-MODULES = (documents, corpora, evaluation, sequences)
+MODULES = (documents, corpora, evaluation, sequences, dynamics)
 
 
 def queries():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.columns import rounded
+from ..functions.columns import rounded, rounded_table
 from ..operators import corpus as C, scale as S, surprise as L, transition as X
 from ..session import cut_lineage
 from .corpora import META_SQL, meta
@@ -29,8 +29,7 @@ def losses(spark, sf):
     return _CACHE[at]
 
 
-def _rounded(df, key="id"):
-    return df.select(key, *[rounded(F.col(c)).alias(c) for c in df.columns if c != key])
+_rounded = rounded_table
 
 
 def token_losses(spark, sf):
@@ -62,7 +61,7 @@ def _scale_table(spark, sf):
 def scale_response(spark, sf):
     merged, scales, metrics = _scale_table(spark, sf)
     out = S.scale_response(merged, scales, metrics)
-    return out.select("id", *[rounded(F.col(c), 3 if "ratio" in c or "rel_delta" in c or "ppl" in c else 5).alias(c) for c in out.columns if c != "id"])
+    return _rounded(out, digits=lambda c: 3 if "ratio" in c or "rel_delta" in c or "ppl" in c else 5)
 
 
 def train_bins_of(spark, sf, model="ng2"):
@@ -100,7 +99,7 @@ def transition_delta(spark, sf):
 
 def event_profiles(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "value")
-    return _rounded(X.long_profiles(e, "user_id", "event_id", "value", X.fit_bins(e, "value", (3, 5)), "value", with_gap=False), "user_id")
+    return _rounded(X.long_profiles(e, "user_id", "event_id", "value", X.fit_bins(e, ["value"], (3, 5))["value"], "value", with_gap=False), ["user_id"])
 
 
 QUERIES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .fixed_values import SMALL, TINY
 
@@ -69,3 +69,14 @@ def rounded(c: Column, digits: int = 6) -> Column:
 
 def nudge(digits: int) -> float:
     return round(0.00317 * 10.0**-digits, digits + 6)
+
+
+def rounded_table(df: DataFrame, keep=("id",), digits=6) -> DataFrame:
+    """All numeric columns but ``keep`` rounded; ``digits`` is a number or a function of the column name.
+
+    Wide tables are stated as SQL text: one expression per column instead of several calls into the JVM.
+    """
+    d = digits if callable(digits) else lambda _: digits
+    same = {c for c, t in df.dtypes if c in keep or t in ("string", "boolean")}
+    return df.selectExpr(*[
+        f"`{c}`" if c in same else f"round(cast(`{c}` as double) + {nudge(d(c))!r}D, {d(c)}) + 0D as `{c}`" for c in df.columns])

@@ -124,7 +124,7 @@ def _response(m: Column, n_scales: int) -> Column:
         if n_scales == 4:
             early, late = ys[0] - ys[1], ys[2] - ys[3]
             out |= {"early_gain": early, "late_gain": late, "saturation": F.abs(late), "saturation_ratio": shifted_ratio(F.abs(late), F.abs(early))}
-        return F.struct(*[v.alias(k) for k, v in out.items()])
+        return F.struct(*[finite(v).alias(k) for k, v in out.items()])
 
     with_deltas = lambda p, fit: A.let(
         F.transform(_steps(p), lambda t: t["b"]["y"] - t["a"]["y"]),
@@ -144,23 +144,23 @@ def scale_response(merged: DataFrame, scales: Sequence[str] = SCALES, metrics: S
     rows = [F.struct(*[value(s, m).alias(f"y{i}") for i, s in enumerate(scales)]) for m in metrics]
     rows.append(F.struct(*[gap(s).alias(f"y{i}") for i, s in enumerate(scales)]))
     staged = merged.select(key, F.array(*rows).alias("_m")).withColumn("_r", F.transform("_m", lambda m: _response(m, len(scales))))
-    at = {m: F.get("_r", F.lit(i)) for i, m in enumerate([*metrics, "gap"])}
+    at = {m: f"_r[{i}]" for i, m in enumerate([*metrics, "gap"])}
     names = {f"{k}_{i}": f"{k}_{a}_to_{b}" for i, (a, b) in enumerate(zip(scales, scales[1:])) for k in ("slope", "ratio", "abs_delta", "rel_delta")}
     if len(scales) == 4:
         a, b, c, d = scales
         names |= {"early_gain": f"early_gain_{a}_{b}", **{k: f"{k}_{c}_{d}" for k in ("late_gain", "saturation", "saturation_ratio")}}
     fields = staged.schema["_r"].dataType.elementType.fieldNames()
     pair_known = lambda f, m: not (f.rsplit("_", 1)[-1].isdigit() and not all(has(s, m) for s in scales[int(f[-1]) : int(f[-1]) + 2]))
-    out = {f"scale_{m}_{names.get(f, f)}": at[m][f] for m in metrics for f in fields if pair_known(f, m)}
+    out = {f"scale_{m}_{names.get(f, f)}": f"{at[m]}.{f}" for m in metrics for f in fields if pair_known(f, m)}
     if "loss_mean" in metrics:
         for m in ("ppl", "loss_std"):
             if m in metrics:
-                out[f"scale_{m}_loss_mean_global_slope_ratio"] = shifted_ratio(at[m]["global_slope"], at["loss_mean"]["global_slope"])
+                out[f"scale_{m}_loss_mean_global_slope_ratio"] = f"try_divide({at[m]}.global_slope, {at['loss_mean']}.global_slope + {SMALL!r}D)"
     for s in gaps:
-        out[f"scale_top_bottom_loss_gap_{s}"] = F.get("_m", F.lit(len(metrics)))[f"y{scales.index(s)}"]
+        out[f"scale_top_bottom_loss_gap_{s}"] = f"_m[{len(metrics)}].y{scales.index(s)}"
     if gaps:
-        out["scale_top_bottom_loss_gap_global_slope"] = at["gap"]["global_slope"] if len(gaps) > 1 else F.lit(None).cast("double")
-    return staged.select(key, *[finite(v).alias(k) for k, v in out.items()])
+        out["scale_top_bottom_loss_gap_global_slope"] = f"{at['gap']}.global_slope" if len(gaps) > 1 else "cast(null as double)"
+    return staged.selectExpr(key, *[f"{v} as {k}" for k, v in out.items()])
 
 
 def manifest(features: DataFrame, scales: Sequence[str], metrics: Sequence[str], key: str = "id") -> dict:

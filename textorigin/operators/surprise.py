@@ -14,6 +14,7 @@ from ..functions import arrays as A
 from ..functions.columns import ratio
 from ..functions.fixed_values import LOSS_STATISTICS
 from ..functions.text import cleaned, tokens
+from ..session import cut_lineage
 
 ORDERS = (1, 2, 3, 4)
 FLOOR = 0.01
@@ -27,16 +28,20 @@ def _words(corpus: DataFrame, key: str, text: str) -> DataFrame:
     return cleaned(corpus.select(key, text), text).select(key, F.transform(tokens(F.col(text)), F.lower).alias("_w"))
 
 
-def _grams(words: Column, first: int, orders: Sequence[int]) -> Column:
-    """(pos, order, prefix, word) for all positions from ``first`` on and all orders that fit."""
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: (i >= first) & (i < F.size(words)))
+def _grams(words: DataFrame, key: str, orders: Sequence[int]) -> DataFrame:
+    """(key, pos, order, prefix, word) for all positions and all orders that fit.
 
-    def gram(i: Column, n: int) -> Column:
-        prefix = F.concat_ws(" ", *[F.get(words, i - k) for k in range(n - 1, 0, -1)]) if n > 1 else F.lit("")
-        return F.struct(i.alias("pos"), F.lit(n).alias("order"), prefix.alias("prefix"), F.get(words, i).alias("word"))
-
-    each = F.transform(at, lambda i: F.filter(F.array(*[F.when(i >= n - 1, gram(i, n)) for n in orders]), lambda g: g.isNotNull()))
-    return F.explode(F.flatten(each))
+    Shifted copies of the word array are zipped before the explode, so no row carries the whole document.
+    """
+    depth = max(orders)
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("_w")).alias(f"w{k}") for k in range(depth)]
+    steps = words.select(key, *shifted).select(key, F.posexplode(F.arrays_zip(*[f"w{k}" for k in range(depth)])).alias("pos", "s"))
+    steps = steps.filter(F.col("s.w0").isNotNull()).select(key, "pos", "s.*")
+    gram = lambda n: F.struct(
+        F.lit(n).alias("order"), (F.concat_ws(" ", *[F.col(f"w{k}") for k in range(n - 1, 0, -1)]) if n > 1 else F.lit("")).alias("prefix"))
+    fits = F.array(*[F.when(F.col(f"w{n - 1}").isNotNull(), gram(n)) for n in orders])
+    rows = steps.select(key, "pos", F.col("w0").alias("word"), F.explode(fits).alias("g")).filter(F.col("g").isNotNull())
+    return rows.select(key, "pos", "g.order", "g.prefix", "word")
 
 
 class GramModel:
@@ -48,20 +53,20 @@ class GramModel:
     @classmethod
     def fit(cls, corpus: DataFrame, key: str = "id", text: str = "text", orders: Sequence[int] = ORDERS) -> "GramModel":
         """Conditional frequencies of all n-grams of the (training) corpus."""
-        grams = _words(corpus, key, text).select(_grams(F.col("_w"), 0, orders).alias("g"))
-        counts = grams.groupBy("g.prefix", "g.word").agg(F.count(F.lit(1)).alias("c"))
+        grams = _grams(_words(corpus, key, text), key, orders)
+        counts = cut_lineage(grams.groupBy("prefix", "word").agg(F.count(F.lit(1)).alias("c")))
         singles = counts.filter("prefix = ''").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         # every single word has the empty prefix: one total for all of them instead of a join on one key
         ones = counts.filter("prefix = ''").select("prefix", "word", (F.col("c") / F.lit(float(max(singles["n"], 1)))).alias("p"))
         longer = counts.filter("prefix <> ''")
         contexts = longer.groupBy("prefix").agg(F.sum("c").alias("n"))
         rest = longer.join(contexts, "prefix").select("prefix", "word", (F.col("c") / F.col("n")).alias("p"))
-        return cls(ones.unionByName(rest), int(singles["v"]), orders)
+        return cls(cut_lineage(ones.unionByName(rest)), int(singles["v"]), orders)
 
     def losses(self, corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
         """``key`` plus one array of losses per order; whole texts, first token excluded, empty below two tokens."""
         words = _words(corpus, key, text)
-        rows = words.select(key, _grams(F.col("_w"), 1, self.orders).alias("g")).select(key, "g.pos", "g.order", "g.prefix", "g.word")
+        rows = _grams(words, key, self.orders).filter("pos >= 1")
         # a frequent word is a hot key of this join, with a single row on the model side: adaptive execution splits it
         found = rows.join(self.table, ["prefix", "word"], "left").select(key, "pos", "order", F.coalesce("p", F.lit(0.0)).alias("p"))
         # partitioned by document once; both groupings below then need no further shuffle

@@ -33,20 +33,19 @@ def z_scores(a: Column) -> Column:
     return A.let(a, lambda v: A.let(A.mean_std(v), lambda s: F.transform(v, lambda x: F.round((x - s["mean"]) / std(s), 6) + F.lit(0.0))))
 
 
-def fit_bins(df: DataFrame, value: str, states: Sequence[int] = STATE_COUNTS) -> dict[int, list[float]]:
-    """Inner quantile cut points of all values of a (training) table, as a few driver-side numbers.
+def fit_bins(df: DataFrame, values: Sequence[str], states: Sequence[int] = STATE_COUNTS) -> dict[str, dict[int, list[float]]]:
+    """Inner quantile cut points per column over all rows of a (training) table, as a few driver-side numbers.
 
-    ``value`` is a number or an array column. A constant or empty input has no cut points.
+    A constant or empty column has no cut points.
     """
-    is_array = isinstance(df.schema[value].dataType, T.ArrayType)
-    flat = df.select(F.explode(finite_values(F.col(value))).alias("v")) if is_array else df.select(F.col(value).alias("v")).filter(
-        F.col("v").isNotNull() & ~F.isnan("v"))
     probs = sorted({i / n for n in states for i in range(1, n)} | {0.0, 1.0})
-    row = quantiles(flat, ["v"], probs).first()
-    found = dict(zip(probs, row["quantiles"])) if row and row["quantiles"] else {}
-    if not found or found[0.0] is None or found[0.0] == found[1.0]:
-        return {n: [] for n in states}
-    return {n: [found[i / n] for i in range(1, n)] for n in states}
+    found = {r["feature"]: dict(zip(probs, r["quantiles"])) for r in quantiles(df, values, probs).collect() if r["quantiles"]}
+
+    def cuts(name: str, n: int) -> list[float]:
+        q = found.get(name)
+        return [] if not q or q[0.0] is None or q[0.0] == q[1.0] else [q[i / n] for i in range(1, n)]
+
+    return {v: {n: cuts(v, n) for n in states} for v in values}
 
 
 def bin_state(x: Column, bins: Sequence[float]) -> Column:
@@ -145,14 +144,14 @@ def _profile_select(df: DataFrame, encodings: dict[str, int], key: str, with_gap
         staged = staged.withColumns({f"_g_{p}": spectral_gap(F.col(f"_c_{p}")["pairs"].cast("array<double>")) for p in encodings})
     out = []
     for p, n in encodings.items():
-        s = F.get(f"_s{n}", F.lit(by_size[n].index(p)))
-        out += [F.get(s["freq"], F.lit(i * n + j)).alias(f"{p}_trans_{i}_to_{j}") for i in range(n) for j in range(n)]
+        s = f"_s{n}[{by_size[n].index(p)}]"
+        out += [f"{s}.freq[{i * n + j}] as {p}_trans_{i}_to_{j}" for i in range(n) for j in range(n)]
         for k in SUMMARY:
             if k != "transition_spectral_gap":
-                out.append(s[k].alias(f"{p}_{k}"))
+                out.append(f"{s}.{k} as {p}_{k}")
             elif with_gap:
-                out.append(F.when(F.col(f"_c_{p}")["n"] > 0, F.col(f"_g_{p}")).alias(f"{p}_{k}"))
-    return staged.select(key, *out)
+                out.append(f"case when _c_{p}.n > 0 then _g_{p} end as {p}_{k}")
+    return staged.selectExpr(key, *out)
 
 
 def _body(n: int):
@@ -173,7 +172,8 @@ def _values(df: DataFrame, seq: str, key: str) -> DataFrame:
 def train_bins(train: DataFrame, seq: str, states: Sequence[int] = STATE_COUNTS) -> dict[str, dict[int, list[float]]]:
     """Cut points of raw and z-scored losses of the training documents."""
     both = train.select(finite_values(F.col(seq)).alias("raw")).withColumn("zscore", z_scores(F.col("raw")))
-    return {k: fit_bins(both, k, states) for k in ("raw", "zscore")}
+    flat = both.select(F.explode(F.arrays_zip("raw", "zscore")).alias("_x")).select("_x.raw", "_x.zscore")
+    return fit_bins(flat, ["raw", "zscore"], states)
 
 
 def full_profiles(df: DataFrame, seq: str, bins: dict[str, dict[int, list[float]]], model: str, key: str = "id",

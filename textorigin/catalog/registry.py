@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpora, documents, dynamics, evaluation, reporting, sequences
+from . import corpora, documents, dynamics, evaluation, modelling, reporting, sequences
 
-MODULES = (documents, corpora, evaluation, reporting, sequences, dynamics)
+MODULES = (documents, corpora, evaluation, reporting, sequences, dynamics, modelling)
 
 
 def queries():

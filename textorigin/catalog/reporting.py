@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded, rounded_table
+from ..functions import fixed_values as V
 from ..functions.categories import risk_level
 from ..operators import drift as D, features as E, metrics as M, reports as R
 from ..operators.ranking import quantiles
@@ -235,5 +236,5 @@ ORACLES = {
     "melted_metrics": f"with {MATRIX} select train_name, test_name, 'auroc' as metric, auroc as value from mt union all select train_name, test_name, 'f1', f1 from mt",
     "distribution_json": "select lang as source_dataset, '{' || string_agg('\"' || source || '\":' || c, ',' order by source) || '}' as domain_distribution from (select lang, source, count(*) as c from documents group by all) group by 1",
     "risk_level": f"with {PRED_SQL} select id, case when ai_probability < 0.35 then 'Low' when ai_probability < 0.7 then 'Medium' else 'High' end as risk_level from pred",
-    "evidence": f"with {FEAT} select id, case when burst_std_sentence_length < 3 and burst_sentence_count >= 2 then 'Sentence lengths vary little.' else 'No single strong reason; the score combines many features.' end as evidence from ft",
+    "evidence": f"with {FEAT} select id, case when burst_std_sentence_length < 3 and burst_sentence_count >= 2 then '{V.EVIDENCE_SENTENCES}' else '{V.EVIDENCE_NONE}' end as evidence from ft",
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import HashingTF, IDF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as X
+from ..functions import arrays as A, text as X
 from ..functions.columns import finite, to_number
 from ..functions.fixed_values import METADATA_COLUMNS, TextRules
 from .ranking import medians  # noqa: F401
@@ -201,3 +203,26 @@ def imputed(df: DataFrame, cols: Sequence[str], medians: dict[str, float]) -> Da
 def subset(features: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """The rows of a bigger feature table for the given ids, in left-join fashion."""
     return ids.select(key).join(features, key, "left")
+
+
+# ---------------------------------------------------------------- semantic stability
+
+
+def semantic_stability(corpus: DataFrame, key: str = "id", text: str = "text", rules: TextRules = TextRules(), size: int = 256) -> DataFrame:
+    """Mean and std of the TF-IDF cosine between a text and its rewritings (0 without rewritings).
+
+    Term weights are hashed to ``size`` dimensions; the inverse document frequencies are fitted on the corpus.
+    """
+    docs = X.cleaned(corpus.select(key, text), text).withColumn("_w", F.transform(X.tokens(F.col(text)), F.lower))
+    rows = docs.select(key, F.explode(F.concat(F.array(F.col(text)), X.rewritten(F.col(text), rules))).alias("v"), (F.col(text)).alias("_t"))
+    rows = rows.select(key, (F.col("v") == F.col("_t")).alias("own"), F.transform(X.tokens(F.col("v")), F.lower).alias("_w"))
+    hashing = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=size)
+    idf = IDF(inputCol="_tf", outputCol="_x").fit(hashing.transform(docs.select("_w")))
+    unit = Normalizer(inputCol="_x", outputCol="_u")
+    vectors = unit.transform(idf.transform(hashing.transform(rows))).select(key, "own", vector_to_array("_u").alias("u"))
+    # all rewritings of a text come from one row: at most six short vectors per group
+    packed = vectors.groupBy(key).agg(F.max(F.when(F.col("own"), F.col("u"))).alias("a"), F.collect_list(F.when(~F.col("own"), F.col("u"))).alias("vs"))
+    dot = lambda v: F.aggregate(F.zip_with("a", v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    stats = packed.withColumn("_s", A.mean_std(F.transform("vs", dot)))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    return stats.select(key, none(F.col("_s.mean")).alias("pert_semantic_similarity_mean"), none(F.col("_s.std")).alias("pert_semantic_similarity_std"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import fixed_values as V
 from ..functions.categories import error_type
 from .metrics import best_by
 from .ranking import quantiles
@@ -129,22 +130,22 @@ def evidence(df: DataFrame, columns: Sequence[str], deviations: Column | None =
     has = lambda c: c in columns
     notes = []
     if has("struct_template_phrase_ratio"):
-        notes.append(F.when(F.col("struct_template_phrase_ratio") > 0, F.lit("Template phrases are frequent.")))
+        notes.append(F.when(F.col("struct_template_phrase_ratio") > 0, F.lit(V.EVIDENCE_TEMPLATE)))
     if has("burst_std_sentence_length") and has("burst_sentence_count"):
-        notes.append(F.when((F.col("burst_std_sentence_length") < 3) & (F.col("burst_sentence_count") >= 2), F.lit("Sentence lengths vary little.")))
+        notes.append(F.when((F.col("burst_std_sentence_length") < 3) & (F.col("burst_sentence_count") >= 2), F.lit(V.EVIDENCE_SENTENCES)))
     stds = [c for c in columns if c.endswith("_loss_std")]
     if stds:
         flat = None
         for c in stds:
             hit = F.coalesce(F.col(c), F.lit(0.0)) < 1.5
             flat = hit if flat is None else flat | hit
-        notes.append(F.when(flat, F.lit("Token-level loss varies little.")))
+        notes.append(F.when(flat, F.lit(V.EVIDENCE_LOSS)))
     if has("burst_compression_ratio_zlib"):
-        notes.append(F.when(F.col("burst_compression_ratio_zlib") < 0.8, F.lit("The text compresses well.")))
+        notes.append(F.when(F.col("burst_compression_ratio_zlib") < 0.8, F.lit(V.EVIDENCE_COMPRESSION)))
     if any(c.endswith("_ppl_ratio") for c in columns):
-        notes.append(F.lit("Two models can be compared by their perplexity ratio."))
+        notes.append(F.lit(V.EVIDENCE_PAIR))
     every = F.array(*notes) if notes else F.array().cast("array<string>")
     if deviations is not None:
-        every = F.concat(every, F.transform(F.slice(deviations, 1, 3), lambda e: F.concat(e["feature"], F.lit("="), F.format_string("%.4g", e["value"]), F.lit(" stands out."))))
+        every = F.concat(every, F.transform(F.slice(deviations, 1, 3), lambda e: F.concat(e["feature"], F.lit("="), F.format_string("%.4g", e["value"]), F.lit(V.EVIDENCE_FEATURE))))
     some = F.slice(F.filter(every, lambda m: m.isNotNull()), 1, most)
-    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("No single strong reason; the score combines many features.")))
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit(V.EVIDENCE_NONE)))

@@ -44,28 +44,40 @@ def run(definitions: dict[str, tuple[DataFrame, DataFrame]], tests: DataFrame, c
         order: Sequence[str] = M.RANKING) -> tuple[DataFrame, DataFrame, dict[str, M.Detector]]:
     """Fit the best model per definition and score all test rows (``test_name`` tells the set) with it.
 
-    Returns (predictions, failures, detectors). A definition that cannot be trained is listed and skipped.
+    The dev scores of all definitions and candidates go into one table, so choosing the models is one grouped
+    metrics job. Returns (predictions, failures, detectors). A definition that cannot be trained is listed
+    and skipped.
     """
-    predictions, failures, detectors = None, [], {}
+    candidates = list(candidates or M.default_candidates())
+    fitted, failures, sizes, dev_scores = {}, [], {}, None
     for name, (train, dev) in definitions.items():
         try:
             ready = cut_lineage(train.select("id", "label", *cols))
             stats = C.dataset_stats(ready).first()
             if not stats["both_classes"]:
                 raise ValueError("training rows have one class only")
-            detector, _ = M.fit_select(ready, dev, cols, candidates, order)
+            med = M.column_medians(ready, list(cols))
+            fitted[name] = [M.fit(ready, cols, c, med) for c in candidates]
         except Exception as problem:  # one bad definition must not end the others
             failures.append((name, f"{type(problem).__name__}: {str(problem)[:500]}"))
             continue
-        detectors[name] = detector
+        sizes[name] = stats["rows"]
+        for i, d in enumerate(fitted[name]):
+            one = d.score(dev.select("label", *cols)).select(F.lit(name).alias("train_name"), F.lit(i).alias("candidate_index"), "label", "ai_probability", "prediction")
+            dev_scores = one if dev_scores is None else dev_scores.unionByName(one)
+    if not fitted:
+        raise ValueError(f"no train definition could be fitted: {failures}")
+    rows = {(r["train_name"], r["candidate_index"]): r for r in detector_metrics(dev_scores, ["train_name", "candidate_index"], prediction="prediction").collect()}
+    predictions, detectors = None, {}
+    for name, options in fitted.items():
+        known = [i for i in range(len(options)) if (name, i) in rows] or [0]
+        best = max(known, key=lambda i: M._rank(rows[name, i], order) if (name, i) in rows else ())
+        detector = detectors[name] = options[best]
         one = detector.score(tests).select(
-            F.lit(name).alias("train_name"), F.lit(detector.name).alias("best_model"), F.lit(stats["rows"]).alias("n_train"), F.lit(len(cols)).alias("n_features"),
+            F.lit(name).alias("train_name"), F.lit(detector.name).alias("best_model"), F.lit(sizes[name]).alias("n_train"), F.lit(len(cols)).alias("n_features"),
             "test_name", "id", "label", "ai_probability", "prediction")
         predictions = one if predictions is None else predictions.unionByName(one)
-    spark = tests.sparkSession
-    failed = spark.createDataFrame(failures, "train_name string, problem string")
-    if predictions is None:
-        raise ValueError(f"no train definition could be fitted: {failures}")
+    failed = tests.sparkSession.createDataFrame(failures, "train_name string, problem string")
     return cut_lineage(predictions), failed, detectors
 
 

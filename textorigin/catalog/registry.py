@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpora, documents, dynamics, evaluation, modelling, reporting, sequences
+from . import arrivals, corpora, documents, dynamics, evaluation, modelling, reporting, sequences
 
-MODULES = (documents, corpora, evaluation, reporting, sequences, dynamics, modelling)
+MODULES = (documents, corpora, evaluation, reporting, sequences, dynamics, arrivals, modelling)
 
 
 def queries():

@@ -149,7 +149,7 @@ def fit_select(train: DataFrame, dev: DataFrame, cols: Sequence[str], candidates
     chosen = fitted[best]
     chosen.metadata |= {"selection_metric": ">".join(order), "n_features": len(cols), "best_params": candidates[best].params}
     params = train.sparkSession.createDataFrame([(i, json.dumps(c.params, sort_keys=True)) for i, c in enumerate(candidates)], "candidate_index int, params_json string")
-    return chosen, table.join(F.broadcast(params), "candidate_index").orderBy(*[F.desc_nulls_last(k) for k in order])
+    return chosen, table.join(F.broadcast(params), "candidate_index").orderBy(*[F.desc_nulls_last(k) for k in order], "candidate_index")
 
 
 def importance_table(spark: SparkSession, detector: Detector) -> DataFrame:

@@ -38,7 +38,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     if fmt == "parquet":
         return reader.parquet(path)
     if fmt == "txt":
-        return reader.option("wholetext", True).text(path).withColumnRenamed("value", "text")
+        return reader.text(path, wholetext=True).withColumnRenamed("value", "text")
     raise ValueError(f"unsupported format {fmt!r}")
 
 
@@ -108,10 +108,10 @@ def read_records(spark: SparkSession, root: str, rules: CorpusRules) -> DataFram
                 lines = reader.text(root).select(path, "value")
                 one = lines.select("path", F.from_json("value", FIELDS).alias("fields"))
             elif fmt == "json":
-                whole = reader.option("wholetext", True).text(root).select(path, "value")
+                whole = reader.text(root, wholetext=True).select(path, "value")
                 one = whole.select("path", F.explode(json_list(F.col("value"))).alias("fields"))
             elif fmt == "txt":
-                one = reader.option("wholetext", True).text(root).select(path, F.create_map(F.lit("text"), F.col("value")).alias("fields"))
+                one = reader.text(root, wholetext=True).select(path, F.create_map(F.lit("text"), F.col("value")).alias("fields"))
             elif fmt == "parquet":
                 table = reader.parquet(root)
                 one = table.select(path, _field_map(table).alias("fields"))
@@ -224,5 +224,5 @@ def external_rows(records: DataFrame, name: str = "external_all_samples") -> Dat
 
 def read_external(spark: SparkSession, path: str, name: str = "external_all_samples") -> DataFrame:
     """An external JSON file: a list, or an object with a ``data`` list."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return external_rows(whole.select(F.posexplode(json_list(F.col("value"))).alias("position", "fields")), name)

@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import md5_order
-from ..session import bounded
+from ..session import bounded, cut_lineage
 
 GROUP_LIMIT = 2_000_000
-EXACT_CELLS = 20_000_000
+EXACT_CELLS = 2_000_000
 
 
 def _group(groups: Sequence[str]) -> Column:
@@ -95,7 +95,8 @@ def unpivot(df: DataFrame, keep: Sequence[str], cols: Sequence[str], name: str =
 
 def long_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Exact interpolated quantiles per group as array ``quantiles``, by counting ranks over sorted distinct values."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    # several passes follow: sort keys are written once, as counts of distinct values
+    counted = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
     running = prefix_sums(counted, groups, value, {"_upto": "_c"}, group_limit=group_limit)
     totals = counted.groupBy(*groups).agg(F.sum("_c").alias("_n")) if groups else counted.agg(F.sum("_c").alias("_n"))
     totals = bounded(totals.withColumn("_g", _group(groups)).select("_g", "_n"))

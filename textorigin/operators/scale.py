@@ -108,7 +108,7 @@ def _response(m: Column, n_scales: int) -> Column:
             "response_area": area(p),
             "normalized_area": F.when((n >= 2) & (span > SMALL), area(p) / (span + SMALL)),
             "response_curvature": curvature(p),
-            "response_variance": F.when(n > 0, A.mean_std(values)["std"] * A.mean_std(values)["std"]),
+            "response_variance": F.when(n > 0, A.let(A.mean_std(values)["std"], lambda s: s * s)),
             "response_range": F.when(n > 0, F.array_max(values) - F.array_min(values)),
             "min_scale_index": first_at(F.array_min(values)),
             "max_scale_index": first_at(F.array_max(values)),
@@ -124,7 +124,8 @@ def _response(m: Column, n_scales: int) -> Column:
         if n_scales == 4:
             early, late = ys[0] - ys[1], ys[2] - ys[3]
             out |= {"early_gain": early, "late_gain": late, "saturation": F.abs(late), "saturation_ratio": shifted_ratio(F.abs(late), F.abs(early))}
-        return F.struct(*[finite(v).alias(k) for k, v in out.items()])
+        # bound first: the finiteness test names its operand several times
+        return A.let(F.struct(*[v.alias(k) for k, v in out.items()]), lambda s: F.struct(*[finite(s[k]).alias(k) for k in out]))
 
     with_deltas = lambda p, fit: A.let(
         F.transform(_steps(p), lambda t: t["b"]["y"] - t["a"]["y"]),

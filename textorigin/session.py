@@ -27,18 +27,21 @@ def local_session(cores: str = "8", app: str = "textorigin", shuffle_partitions:
     return spark
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, laptop runs) a temporary folder is made, once per session.
+    Only where the setting is missing (tests, laptop runs) a temporary folder is made, once per application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="textorigin-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="textorigin-")
+    return _OWN_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

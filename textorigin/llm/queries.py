@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontamination, minhash, tokens
+from . import compression, decontamination, language_model, lines, minhash, mixing, sharding, tokens, toxicity, weak_supervision
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,12 +37,42 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark, sf_dir):
+    return sharding.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return weak_supervision.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_output(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return tokens.tokens(docs, tokenizer_path(), splits(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op7_token_output)}
+def op8_source_mixing(spark, sf_dir):
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return lines.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_language_model(spark, sf_dir):
+    return language_model.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_sharding, op5_quality_rules, op6_toxicity, op7_token_output,
+        op8_source_mixing, op9_substring_dedup, op10_language_model,
+    )
+}
 
 #: words of a text as an array, lower-cased for A-Z only
 WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{1}')"
@@ -64,5 +94,17 @@ named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+u AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE text IS NOT NULL),
+n AS (SELECT *, {WORDS.format("line", ANY_WORD)} AS w, CAST(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k) AS BIGINT) - length(line) - 1 AS b FROM u),
+m AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY len(w) >= 5, array_to_string(w, ' ') ORDER BY doc_id NULLS LAST, r, k) > 1 AS gone FROM n),
+t AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed,
+             CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+             coalesce(string_agg(b || '-' || (b + length(line)), ',' ORDER BY k) FILTER (gone), '') AS removed
+      FROM m GROUP BY r)
+SELECT doc_id, t.text, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed
+FROM d LEFT JOIN t USING (r)
 """,
 }

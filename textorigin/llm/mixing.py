@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .ranks import bits_for, running
@@ -159,15 +159,23 @@ def _step(quota: int, seed: int) -> int:
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` once for every copy, with ``shard`` and ``position`` (``mix_shard``, ``mix_order``), sorted within tasks."""
-    seed = options.get("seed", SEED)
+    """The mix itself: every row of ``docs`` once for each of its copies, with ``mix_shard`` and ``mix_order`` (the order within the shard).
+
+    Rows with the same id, text and source are paired with their plans by number, as these are alike.
+    """
     plan = mix(docs, doc_id=doc_id, text=text, source=source, **options)
-    # rows that are alike in id and text have one plan for each; any of them may get any
-    alike = plan.filter("copies > 0").select("h", F.col("doc_id").alias("_id"), F.explode("places").alias("p")).groupBy("h", "_id").agg(F.collect_list("p").alias("all"))
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col(doc_id).cast("long"), F.col(text).cast("string")))
-    once = keyed.dropDuplicates(["_h", doc_id])
-    joined = once.join(alike, (F.col("_h") == F.col("h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode("all").alias("_p")).select(*docs.columns, F.col("_p.shard").alias("mix_shard"), F.col("_p.order").alias("mix_order"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    id_ = F.col(of[doc_id]).cast("long")
+    keyed = docs.toDF(*names).withColumns({
+        "_h": F.xxhash64(F.lit(options.get("seed", SEED)), id_, F.col(of[text]).cast("string")),
+        "_s": F.xxhash64(id_.isNull(), id_, F.col(of[source]).isNull(), F.col(of[source]).cast("string")),
+    })
+    numbered = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "_s").orderBy(F.xxhash64(*names))))
+    plan = plan.withColumns({"_h": F.col("h"), "_s": F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source")})
+    plan = plan.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "_s").orderBy(F.lit(0)))).filter("copies > 0").select("_h", "_s", "_k", "places")
+    rows = numbered.join(plan, ["_h", "_s", "_k"]).select(*names, F.explode("places").alias("p"))
+    return rows.select(*names, "p.shard", "p.order").toDF(*docs.columns, "mix_shard", "mix_order")
 
 
 def op8(docs: DataFrame) -> DataFrame:

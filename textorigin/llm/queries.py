@@ -20,9 +20,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def splits(df: DataFrame) -> int:
-    """Files or tasks for a table: as many as its scan has, and no fewer than the session's parallelism."""
-    return max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+def splits(spark: SparkSession) -> int:
+    """Number of output files: that of the session's shuffle partitions, which is set to fit the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -50,8 +50,7 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_token_output(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return tokens.tokens(docs, tokenizer_path(), splits(docs))
+    return tokens.tokens(table(spark, sf_dir, "documents"), tokenizer_path(), splits(spark))
 
 
 def op8_source_mixing(spark, sf_dir):

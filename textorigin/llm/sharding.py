@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .ranks import bits_for, running
 
-ROUNDS = 10
+ROUNDS = 12
 GROUP = ["g", "size", "text_crc32"]
 
 
@@ -31,12 +31,13 @@ def _grants(wanted: list[list[int]], free: list[int]) -> list[list[int]]:
     return grant
 
 
-def _target(shards: int, open_: list[bool]) -> Column:
+def _target(shards: int, open_: list[bool], turn: int) -> Column:
     """For the cell of a group in shard ``s``: the open shard with most of the group if that is ahead of ``s``, else ``s``.
 
-    Shards with equally many are ranked by a hash of group and shard, so no pair of shards exchanges places for ever.
+    Shards with equally many are ranked by a hash of group, shard and turn: all of the group want the same shard, and if they
+    find no room there, another one in a later turn.
     """
-    tie = [F.pmod(F.xxhash64("g", F.lit(t)), F.lit(1 << 20)) for t in range(shards)]
+    tie = [F.pmod(F.xxhash64("g", F.lit(t), F.lit(turn)), F.lit(1 << 20)) for t in range(shards)]
     standing = [F.struct(F.col("n")[t].alias("n"), tie[t].alias("h"), F.lit(t).alias("t")) for t in range(shards)]
     candidates = [x for x, is_open in zip(standing, open_) if is_open]
     best = F.greatest(*candidates) if len(candidates) > 1 else candidates[0]
@@ -90,21 +91,29 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, doc_id: str =
     dealt = F.array(*[F.when(F.col("m") > first(s), F.floor((F.col("m") - 1 - first(s)) / shards) + 1).otherwise(0).cast("long") for s in range(shards)])
     state = cut_lineage(linked.select(*GROUP, "m", dealt.alias("n")))
 
-    for _ in range(rounds):
-        cells = state.select(*GROUP, "n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).filter(F.col("n")[F.col("s")] > 0)
+    idle = 0
+    for turn in range(rounds):
+        cells = state.select(*GROUP, "m", "n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).filter(F.col("n")[F.col("s")] > 0)
         loads = {r["s"]: r["x"] for r in cells.groupBy("s").agg(F.sum(F.col("n")[F.col("s")]).alias("x")).collect()}
         free = [quota[s] - loads.get(s, 0) for s in range(shards)]
-        open_ = [x > 0 for x in free] if any(x > 0 for x in free) else [True] * shards
-        asked = cut_lineage(cells.withColumn("t", _target(shards, open_)).filter("s != t").select(*GROUP, "s", "t", F.col("n")[F.col("s")].alias("k"), F.col("n")[F.col("t")].alias("pull")))
+        # every other round looks at shards with free places only: what cannot be exchanged goes where there is room
+        open_ = [turn % 2 == 0 or x > 0 for x in free] if any(x > 0 for x in free) else [True] * shards
+        asked = cut_lineage(cells.withColumn("t", _target(shards, open_, turn)).filter("s != t").select(*GROUP, "m", "s", "t", F.col("n")[F.col("s")].alias("k")))
         wanted = [[0] * shards for _ in range(shards)]
         for r in asked.groupBy("s", "t").agg(F.sum("k").alias("k")).collect():
             wanted[r["s"]][r["t"]] = r["k"]
         grant = _grants(wanted, free)
         if not any(map(any, grant)):
-            break
+            idle += 1
+            if idle == 2:
+                break
+            continue
+        idle = 0
         allowed = F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in grant])[F.col("s")][F.col("t")]
-        # larger groups in the target come first: the order is that of their hash below the size class
-        ranked = running(asked.withColumn("o", F.xxhash64("g", "size")), ["s", "t"], "o", "k", "before", bits, GROUP)
+        # larger groups come first (by powers of two, in the upper five bits), then by hash
+        large = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("m").cast("double"))))
+        order = F.shiftleft(large.cast("long"), 59).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", "size"), 5))
+        ranked = running(asked.withColumn("o", order), ["s", "t"], "o", "k", "before", bits + 5, GROUP)
         moves = ranked.withColumn("k", F.greatest(F.lit(0), F.least(F.col("k"), allowed - F.col("before")))).filter("k > 0")
         change = moves.groupBy(*GROUP).agg(F.collect_list(F.struct("s", "t", "k")).alias("moves"))
         state = cut_lineage(state.join(change, GROUP, "left").select(*GROUP, "m", F.array(*[_after(s) for s in range(shards)]).alias("n")))

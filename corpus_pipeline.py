@@ -2,47 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from textorigin.llm import compression, decontamination, minhash, tokens
+from textorigin.llm import compression, decontamination, minhash, mixing, tokens
 from textorigin.llm.queries import splits, table, tokenizer_path
 from textorigin.session import cut_lineage
 
 
-def _same_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.select(*docs.columns)
+def _own(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names of its own, so that no column can clash with what an operator adds; and the names."""
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*names.values()).toDF(*names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
-    model = compression.fit(docs, table(spark, sf_dir, "labels"), train=~compression.held_out("doc_id"))
-    return _same_columns(docs, compression.score(docs, model).filter("predicted = 1"))
+    model = compression.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), train=~compression.held_out("doc_id"))
+    own, names = _own(docs)
+    return _back(compression.score(own, model, text=names["text"]).filter("predicted = 1"), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): that with the smallest id."""
     drop = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    own, names = _own(docs)
+    return _back(own.join(drop, own[names["doc_id"]].cast("long") == drop["doc_id"], "left_anti"), names)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return _same_columns(docs, found.filter("n_hit = 0"))
+    own, names = _own(docs)
+    found = decontamination.decontaminate(own, table(spark, sf_dir, "benchmark"), text=names["text"], keep=list(names.values()))
+    return _back(found.filter("n_hit = 0"), names)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    own, names = _own(docs)
+    return _back(mixing.mixed_documents(own, names["doc_id"], names["text"], names["source"]), names)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and what reading them back gives per document."""
-    return tokens.tokens(docs, tokenizer_path(), splits(docs))
+    return tokens.tokens(docs.select("doc_id", "text"), tokenizer_path(), splits(spark))
 
 
-STAGES = [("quality classifier", quality), ("minhash near-dedup", near_duplicates), ("benchmark decontamination", decontaminated), ("token output", token_files)]
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("source mixing", mixed),
+    ("token output", token_files),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs

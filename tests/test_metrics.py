@@ -28,18 +28,17 @@ def data():
     return y.tolist(), np.clip(np.round(0.5 * y + rng.normal(0.25, 0.3, 240), 2), 0, 1).tolist()
 
 
-@pytest.mark.parametrize("limit", [M.GROUP_LIMIT, 10])
 def test_metrics_against_definitions(spark, data, limit):
     y, p = data
     df = spark.createDataFrame([("a", int(a), float(b)) for a, b in zip(y, p)] + [("one", 1, 0.3), ("one", 1, 0.9)], "cell string, label int, ai_probability double")
-    got = {r["cell"]: r for r in M.detector_metrics(df, ["cell"], group_limit=limit).collect()}
+    got = {r["cell"]: r for r in M.detector_metrics(df, ["cell"]).collect()}
     want = brute(y, p)
     for k in ("auroc", "auprc", "brier_score", "tpr_at_fpr_5pct", "fpr_at_tpr_90pct"):
         assert math.isclose(got["a"][k], want[k], abs_tol=1e-12), k
     assert got["one"]["auroc"] is None and got["one"]["auprc"] is None and got["one"]["tpr_at_fpr_1pct"] is None and got["one"]["recall"] == 0.5
     flipped = M.detector_metrics(df.filter("cell = 'a'").withColumn("ai_probability", 1 - F.col("ai_probability"))).first()
     assert math.isclose(flipped["auroc"], 1 - want["auroc"], abs_tol=1e-9)
-    curve = sorted((r["fpr"], r["tpr"]) for r in M.roc_curve(df, ["cell"], group_limit=limit).filter("cell = 'a'").collect())
+    curve = sorted((r["fpr"], r["tpr"]) for r in M.roc_curve(df, ["cell"]).filter("cell = 'a'").collect())
     assert np.allclose(curve, sorted([(0.0, 0.0)] + [(a, b) for a, b, _ in want["points"]]))
     assert M.roc_curve(df, ["cell"]).filter("cell = 'one'").isEmpty() and M.pr_curve(df, ["cell"]).filter("cell = 'one'").isEmpty()
 
@@ -75,12 +74,11 @@ def test_fusion_picks_the_better_score(spark, data):
     assert M.choose_alpha(M.fusion_table(df, "good", "noise")).first()["alpha"] > 0.5
 
 
-@pytest.mark.parametrize("limit", [M.GROUP_LIMIT, 20])
-def test_shift_and_ks(spark, limit):
+def test_shift_and_ks(spark):
     rng = np.random.default_rng(5)
     a, b = np.round(rng.normal(0, 1, 150), 1), np.round(rng.normal(0.7, 2, 90), 1)
     to = lambda v, name: spark.createDataFrame([(name, float(x), 1.0) for x in v], "test_name string, f double, c double")
-    r = {x["feature"]: x for x in D.feature_shift(to(a, "t"), to(b, "s"), ["f", "c"], group_limit=limit).collect()}
+    r = {x["feature"]: x for x in D.feature_shift(to(a, "t"), to(b, "s"), ["f", "c"]).collect()}
     grid = np.union1d(a, b)
     ks = max(abs((a <= g).mean() - (b <= g).mean()) for g in grid)
     assert math.isclose(r["f"]["ks_statistic"], ks, abs_tol=1e-12)

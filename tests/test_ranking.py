@@ -19,7 +19,7 @@ def test_split_groups_give_the_same_running_sums(spark):
     df = spark.range(600).select((F.col("id") % 3 == 0).alias("g"), (F.col("id") * 37 % 601).cast("double").alias("v"), F.col("id").alias("w"))
     for descending in (False, True):
         plain = prefix_sums(df, ["g"], "v", {"s": "w"}, descending).collect()
-        split = prefix_sums(df, ["g"], "v", {"s": "w"}, descending, group_limit=50, buckets=7).collect()
+        split = prefix_sums(df, ["g"], "v", {"s": "w"}, descending, buckets=7).collect()
         key = lambda r: (r["g"], r["v"], r["w"], r["s"])
         assert sorted(map(key, plain)) == sorted(map(key, split))
 
@@ -27,7 +27,7 @@ def test_split_groups_give_the_same_running_sums(spark):
 def test_split_lag(spark):
     df = spark.range(300).select(F.lit("a").alias("g"), "id", (F.col("id") * 7 % 11).alias("v"))
     plain = {r["id"]: r["p"] for r in lagged(df, ["g"], "id", "v", "p").collect()}
-    split = {r["id"]: r["p"] for r in lagged(df, ["g"], "id", "v", "p", group_limit=20, buckets=5).collect()}
+    split = {r["id"]: r["p"] for r in lagged(df, ["g"], "id", "v", "p", buckets=5).collect()}
     assert plain == split and plain[0] is None and plain[1] == 0
 
 
@@ -36,7 +36,7 @@ def test_quantiles_agree_on_both_paths(spark):
     data = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(np.round(rng.normal(size=401), 1))]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0]
-    for got in (quantiles(df, ["v"], probs, ["g"]), quantiles(df, ["v"], probs, ["g"], exact_cells=0), long_quantiles(df, ["g"], "v", probs, group_limit=10)):
+    for got in (quantiles(df, ["v"], probs, ["g"]), long_quantiles(df, ["g"], "v", probs, buckets=3)):
         for r in got.collect():
             assert np.allclose(r["quantiles"], np.quantile([v for g, v in data if g == r["g"]], probs))
 

@@ -204,8 +204,10 @@ ORACLES = {
     "balanced_sample": f"""with {META_SQL}, r as (select *, {RANK_SQL('source_dataset, label')} as r, {SIZE_SQL('source_dataset, label')} as n from meta where {_NOT_MISSING})
        select id, source_dataset, label from r where r <= (select min(n) from r)""",
     "share_sample": f"with {META_SQL}, r as (select id, {RANK_SQL('domain')} as r, {SIZE_SQL('domain')} as n from meta) select id from r where r <= greatest(1, floor(n * 0.25::double + 0.5))",
-    "row_cap": f"""with {META_SQL}, r as (select id, label, {RANK_SQL('label')} as r, {SIZE_SQL('label')} as n, count(*) over () as t from meta where {_NOT_MISSING})
-       select id, label from r where r <= greatest(1, round_even(n * 100.0::double / t, 0)) order by label, r limit 100""",
+    "row_cap": f"""with {META_SQL}, r as (select id, label, {RANK_SQL('label')} as r, {SIZE_SQL('label')} as n, count(*) over () as t from meta where {_NOT_MISSING}),
+      q as (select label, greatest(1, n * 100 // t) as q, (n * 100) % t as rest from r group by all),
+      p as (select label, q + case when row_number() over (order by rest desc, label) <= 100 - sum(q) over () then 1 else 0 end as q from q)
+      select r.id, r.label from r join p using (label) where r.r <= p.q""",
     "value_counts": f"with {META_SQL} " + " union all ".join(f"select '{f}' as field, cast({f} as varchar) as value, count(*) as count from meta group by 2" for f in FIELDS),
     "group_sizes": f"with {RESPLIT_CTE} select sp as split, label, domain, generator, count(*) as n from rs group by all",
     "leaking_ids": f"""with {RESPLIT_CTE}, {SPLIT2_CTE} select id, count(distinct s) as n_splits from (select id, sp as s from rs union all select id, split from s2) group by 1 having count(distinct s) > 1""",

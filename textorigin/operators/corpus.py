@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import categories
 from ..functions.columns import clean_text, strip_space
 from ..functions.fixed_values import CAP_GROUP, DOCUMENT_COLUMNS, SUMMARY_FIELDS
-from ..session import bounded
+from ..session import cut_lineage
 from .ranking import hash_rank
 
 SPLITS = ("train", "dev", "test")
@@ -34,20 +34,21 @@ def document_table(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """First row per key by a unique ``order`` column.
+    """One row per key, that with the smallest ``order``; of rows with the same order, which are copies, one.
 
-    The minimum is combined map-side, so a key with very many copies costs one row per task; the join back
-    is on the unique order, never on the key.
+    The minimum is combined map-side, so a key with very many copies costs one row per task.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
-    return df.join(firsts, order, "left_semi").select(*df.columns)
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    firsts = df.groupBy(*keys).agg(F.min_by(F.struct(order, *rest), order).alias("_first"))
+    names = {**{k: F.col(k) for k in keys}, **{c: F.col("_first")[c].alias(c) for c in (order, *rest)}}
+    return firsts.select(*[names[c] for c in df.columns])
 
 
 def removal_reasons(df: DataFrame, order: str = "order", min_words: int = 50, max_words: int = 1000) -> DataFrame:
     """(order, reason) for every row: empty, too_short, too_long, invalid_label, duplicate, or null for kept rows.
 
-    Tests are applied in that order and duplicates are looked for among the rows that passed the others.
-    The text leaves this function as a hash only.
+    Tests are applied in that order and duplicates are looked for among the rows that passed the others. Of rows with the same
+    order, as ids made from contents may be, one counts as the first. The text leaves this function as a hash only.
     """
     text = strip_space(F.col("text").cast("string"))
     words = F.regexp_count(text, F.lit(r"(?U)\S+"))
@@ -57,16 +58,17 @@ def removal_reasons(df: DataFrame, order: str = "order", min_words: int = 50, ma
         .when(words > max_words, "too_long")
         .when(F.col("label").isNull() | ~F.col("label").isin(0, 1), "invalid_label")
     )
-    rows = df.select(order, first_fault.alias("_fault"), F.unhex(F.sha2(text, 256)).alias("_key"))
-    firsts = rows.filter(F.col("_fault").isNull()).groupBy("_key").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
+    # the number of a row is fixed by writing it
+    rows = cut_lineage(df.select(order, first_fault.alias("_fault"), F.unhex(F.sha2(text, 256)).alias("_key"), F.monotonically_increasing_id().alias("_row")))
+    firsts = rows.filter(F.col("_fault").isNull()).groupBy("_key").agg(F.min(F.struct(order, "_row")).alias("_m")).select(F.col("_m._row").alias("_row"), F.lit(True).alias("_first"))
     reason = F.coalesce(F.col("_fault"), F.when(F.col("_first").isNull(), F.lit("duplicate")))
-    return rows.drop("_key").join(firsts, order, "left").select(order, reason.alias("reason"))
+    return rows.drop("_key").join(firsts, "_row", "left").select(order, reason.alias("reason"))
 
 
 def clean_corpus(df: DataFrame, order: str = "order", min_words: int = 50, max_words: int = 1000) -> DataFrame:
-    """Rows without a removal reason, text stripped."""
+    """Rows without a removal reason, text stripped; of equal rows with the same order one stays."""
     kept = removal_reasons(df, order, min_words, max_words).filter(F.col("reason").isNull()).select(order)
-    return df.join(kept, order, "left_semi").select(*df.columns).withColumn("text", strip_space(F.col("text")))
+    return df.join(kept, order, "left_semi").select(*df.columns).dropDuplicates([order]).withColumn("text", strip_space(F.col("text")))
 
 
 def removal_counters(reasons: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def resplit(df: DataFrame, key: str = "id", source: str = "source_dataset", labe
     """Train/dev/test per source and label; a source that already has all three splits keeps them."""
     has = [F.bool_or(F.lower(F.col("split")) == s) for s in SPLITS]
     complete = df.groupBy(source).agg((has[0] & has[1] & has[2]).alias("_complete")).filter("_complete").select(source, F.lit(True).alias("_keep"))
-    ranked = hash_rank(df, [source, label], key, seed).join(bounded(complete), source, "left")
+    ranked = hash_rank(df, [source, label], key, seed).join(complete, source, "left")
     train, dev = _quota(shares[0]), _quota(shares[0] + shares[1])
     fresh = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= dev, "dev").otherwise("test")
     return ranked.withColumn("split", F.when(F.col("_keep"), F.lower("split")).otherwise(fresh)).drop("rank", "group_rows", "_keep")
@@ -187,13 +189,25 @@ def share_sample(df: DataFrame, share: float, groups: Sequence[str], key: str =
 
 
 def row_cap(df: DataFrame, max_rows: int, key: str = "id", label: str = "label", seed: int = 42) -> DataFrame:
-    """Development runs: about ``max_rows`` rows in label proportion; all rows if there are no more than that."""
-    n = df.count()
+    """Development runs: exactly ``max_rows`` rows in label proportion; all rows if there are no more than that.
+
+    Each label gets the whole part of its share, but one row at least, and the largest remainders get one more (the smaller label
+    first where they are equal).
+    """
+    sizes = [(r[label], r["count"]) for r in df.groupBy(label).count().collect()]
+    n = sum(c for _, c in sizes)
     if n <= max_rows:
         return df
-    quota = F.greatest(F.lit(1), F.rint(F.col("group_rows") * F.lit(float(max_rows)) / F.lit(float(n))))
-    chosen = hash_rank(df, [label], key, seed).filter(F.col("rank") <= quota)
-    return chosen.orderBy(F.asc_nulls_last(label), "rank").limit(max_rows).drop("rank", "group_rows")
+    quota = {v: max(1, c * max_rows // n) for v, c in sizes}
+    while sum(quota.values()) > max_rows:
+        quota[max(quota, key=quota.get)] -= 1
+    by_rest = sorted(sizes, key=lambda x: (-(x[1] * max_rows % n), x[0] is None, x[0]))
+    for v, _ in by_rest[: max_rows - sum(quota.values())]:
+        quota[v] += 1
+    allowed = F.lit(0)
+    for v, k in quota.items():
+        allowed = F.when(F.col(label).eqNullSafe(F.lit(v)), F.lit(k)).otherwise(allowed)
+    return hash_rank(df, [label], key, seed).filter(F.col("rank") <= allowed).drop("rank", "group_rows")
 
 
 def per_label_sample(df: DataFrame, total: int, key: str = "id", label: str = "label", seed: int = 42) -> DataFrame:

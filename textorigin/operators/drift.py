@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import bounded, cut_lineage
+from ..session import cut_lineage
 from .features import imputed
-from .ranking import GROUP_LIMIT, medians, prefix_sums, quantiles
+from .ranking import medians, prefix_sums, quantiles
 
 
 def _long(df: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -16,7 +16,7 @@ def _long(df: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(cols)}, {pairs}) as (feature, value)")
 
 
-def feature_shift(train: DataFrame, tests: DataFrame, cols: Sequence[str], test_name: str = "test_name", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def feature_shift(train: DataFrame, tests: DataFrame, cols: Sequence[str], test_name: str = "test_name") -> DataFrame:
     """Mean, variance, standardised mean difference and two-sample KS per (test set, feature).
 
     Missing values take the training medians. KS needs sorted values: equal ones are counted first, all test
@@ -33,10 +33,9 @@ def feature_shift(train: DataFrame, tests: DataFrame, cols: Sequence[str], test_
     v, c = F.col("value"), F.col
     sums = counted.groupBy("feature").agg(*[total(i) for i in sets], *[(F.sum(v * c(col(i))) / F.sum(col(i))).alias(f"m{i + 1}") for i in sets])
     # a few rows per feature: how many values, and the means to centre the squares on
-    sums = bounded(sums)
     squares = counted.join(sums.select("feature", *[f"m{i + 1}" for i in sets]), "feature").groupBy("feature").agg(
         *[F.sum(F.col(col(i)) * (v - F.col(f"m{i + 1}")) * (v - F.col(f"m{i + 1}"))).alias(f"q{i + 1}") for i in sets])
-    running = prefix_sums(counted, ["feature"], "value", {f"r{i + 1}": col(i) for i in sets}, group_limit=group_limit)
+    running = prefix_sums(counted, ["feature"], "value", {f"r{i + 1}": col(i) for i in sets})
     share = lambda i: F.col(f"r{i + 1}") / F.col(f"n{i + 1}")
     ks = running.join(sums, "feature").groupBy("feature").agg(*[F.max(F.abs(share(-1) - share(i))).alias(f"k{i + 1}") for i in range(len(names))])
     wide = sums.join(squares, "feature").join(ks, "feature")
@@ -78,7 +77,7 @@ def drop_extreme_domains(df: DataFrame, cols: Sequence[str], domain: str = "doma
     found = quantiles(scores.filter("score is not null"), ["score"], [0.9]).first()
     if found is None or found["quantiles"] is None:
         return df
-    kept = df.join(bounded(scores.filter(F.col("score") <= found["quantiles"][0]).select(domain)), domain, "left_semi").select(*df.columns)
+    kept = df.join(scores.filter(F.col("score") <= found["quantiles"][0]).select(domain), domain, "left_semi").select(*df.columns)
     return kept if kept.limit(keep_at_least).count() >= keep_at_least else df
 
 

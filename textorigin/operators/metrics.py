@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import bounded, cut_lineage
-from .ranking import GROUP_LIMIT, _group, prefix_sums
+from ..session import cut_lineage
+from .ranking import _group, prefix_sums
 
 INF = float("inf")
 LOG_FLOOR = 2.220446049250313e-16
@@ -45,11 +45,11 @@ def score_counts(
     )
 
 
-def _ranked(counts: DataFrame, cells: Sequence[str], group_limit: int) -> DataFrame:
+def _ranked(counts: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Counts at or above each score, with the cell totals ``P`` and ``N``."""
-    running = prefix_sums(counts, cells, "score", {"tp": "pos", "fp": "neg"}, descending=True, group_limit=group_limit)
+    running = prefix_sums(counts, cells, "score", {"tp": "pos", "fp": "neg"}, descending=True)
     totals = counts.groupBy(_group(cells).alias("_g")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return running.withColumn("_g", _group(cells)).join(bounded(totals), "_g").drop("_g")
+    return running.withColumn("_g", _group(cells)).join(totals, "_g").drop("_g")
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -84,12 +84,12 @@ def calibration_bins(counts: DataFrame, cells: Sequence[str], bins: int = 10) ->
     )
 
 
-def metrics_from_counts(counts: DataFrame, cells: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def metrics_from_counts(counts: DataFrame, cells: Sequence[str]) -> DataFrame:
     """One row of 25 metrics per cell; ranking metrics are null where only one class occurs."""
     n_row = F.col("pos") + F.col("neg")
     s = F.col("score")
     clipped = F.greatest(F.lit(LOG_FLOOR), F.least(F.lit(1.0 - LOG_FLOOR), s))
-    ranked = _ranked(counts, cells, group_limit).withColumns({"_tpr": _share(F.col("tp"), F.col("P")), "_fpr": _share(F.col("fp"), F.col("N"))})
+    ranked = _ranked(counts, cells).withColumns({"_tpr": _share(F.col("tp"), F.col("P")), "_fpr": _share(F.col("fp"), F.col("N"))})
     tpr_at = lambda t: F.coalesce(F.max(F.when(F.col("_fpr") <= t + 1e-12, F.col("_tpr"))), F.lit(0.0))
     fpr_at = lambda t: F.min(F.when(F.col("_tpr") >= t - 1e-12, F.col("_fpr")))
     sums = ranked.groupBy(_group(cells).alias("_g"), *cells).agg(
@@ -144,31 +144,31 @@ def metrics_from_counts(counts: DataFrame, cells: Sequence[str], group_limit: in
 
 def detector_metrics(
     pred: DataFrame, cells: Sequence[str] = (), prob: str = "ai_probability", label: str = "label",
-    prediction: str | None = None, threshold: float = 0.5, group_limit: int = GROUP_LIMIT,
+    prediction: str | None = None, threshold: float = 0.5,
 ) -> DataFrame:
-    return metrics_from_counts(cut_lineage(score_counts(pred, cells, prob, label, prediction, threshold)), cells, group_limit)
+    return metrics_from_counts(cut_lineage(score_counts(pred, cells, prob, label, prediction, threshold)), cells)
 
 
-def roc_curve(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
+def roc_curve(pred: DataFrame, cells: Sequence[str] = (), **names) -> DataFrame:
     """(fpr, tpr, threshold) at every distinct score plus the origin; empty for one-class cells."""
-    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit).filter("P > 0 and N > 0")
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells).filter("P > 0 and N > 0")
     points = ranked.select(*cells, _share(F.col("fp"), F.col("N")).alias("fpr"), _share(F.col("tp"), F.col("P")).alias("tpr"), F.col("score").alias("threshold"))
     origin = ranked.select(*cells).distinct() if cells else ranked.limit(1).select()
     return points.unionByName(origin.select(*cells, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(INF).alias("threshold")))
 
 
-def pr_curve(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
+def pr_curve(pred: DataFrame, cells: Sequence[str] = (), **names) -> DataFrame:
     """(recall, precision, threshold) at every distinct score plus the end point (0, 1)."""
-    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit).filter("P > 0 and N > 0")
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells).filter("P > 0 and N > 0")
     points = ranked.select(
         *cells, _share(F.col("tp"), F.col("P")).alias("recall"), _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.col("score").alias("threshold"))
     end = ranked.select(*cells).distinct() if cells else ranked.limit(1).select()
     return points.unionByName(end.select(*cells, F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold")))
 
 
-def choose_thresholds(pred: DataFrame, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
+def choose_thresholds(pred: DataFrame, cells: Sequence[str] = (), **names) -> DataFrame:
     """(rule, threshold): 0.5, best F1 (lowest on ties), best TPR within each FPR budget (highest on ties)."""
-    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit)
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells)
     p, r = _share(F.col("tp"), F.col("tp") + F.col("fp")), _share(F.col("tp"), F.col("P"))
     f1 = 2 * p * r / F.greatest(p + r, F.lit(1e-12))
     fpr = _share(F.col("fp"), F.col("N"))
@@ -180,9 +180,9 @@ def choose_thresholds(pred: DataFrame, cells: Sequence[str] = (), group_limit: i
     return agg.select(*cells, F.explode(F.array(*rules)).alias("_r")).select(*cells, "_r.rule", "_r.threshold")
 
 
-def threshold_for_fpr(pred: DataFrame, target: float, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
+def threshold_for_fpr(pred: DataFrame, target: float, cells: Sequence[str] = (), **names) -> DataFrame:
     """(threshold, tpr, fpr): the largest threshold with the highest TPR whose FPR stays within ``target``."""
-    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells, group_limit)
+    ranked = _ranked(cut_lineage(score_counts(pred, cells, **names)), cells)
     tpr, fpr = F.coalesce(_share(F.col("tp"), F.col("P")), F.lit(0.0)), F.coalesce(_share(F.col("fp"), F.col("N")), F.lit(0.0))
     best = F.max(F.when((fpr <= target + 1e-12) & (tpr > 0), F.struct(tpr.alias("tpr"), F.col("score"), fpr.alias("fpr"))))
     agg = ranked.groupBy(*cells).agg(best.alias("_b"))
@@ -192,7 +192,7 @@ def threshold_for_fpr(pred: DataFrame, target: float, cells: Sequence[str] = (),
 def apply_thresholds(pred: DataFrame, thresholds: DataFrame, cells: Sequence[str], prob: str = "ai_probability") -> DataFrame:
     """Predictions at the threshold of each row's cell (chosen on dev, applied to test)."""
     if cells:
-        joined = pred.join(bounded(thresholds), list(cells))
+        joined = pred.join(thresholds, list(cells))
     else:
         joined = pred.withColumn("threshold", F.lit(thresholds.first()["threshold"]))
     return joined.withColumn("prediction", (F.col(prob) >= F.col("threshold")).cast("int"))
@@ -241,12 +241,11 @@ def bootstrap_weights(pred: DataFrame, replicates: int, key: str = "id", seed: i
     return drawn.filter("weight > 0").withColumn("replicate", F.col("_s.b")).drop("_x", "_s")
 
 
-def bootstrap_metrics(pred: DataFrame, cells: Sequence[str] = (), replicates: int = 200, key: str = "id", seed: int = 42,
-                      group_limit: int = GROUP_LIMIT, **names) -> DataFrame:
+def bootstrap_metrics(pred: DataFrame, cells: Sequence[str] = (), replicates: int = 200, key: str = "id", seed: int = 42, **names) -> DataFrame:
     """AUROC, AUPRC and F1 of every bootstrap replicate."""
     drawn = bootstrap_weights(pred, replicates, key, seed)
     counts = cut_lineage(score_counts(drawn, [*cells, "replicate"], weight=F.col("weight"), **names))
-    running = prefix_sums(counts, [*cells, "replicate"], "score", {"tp": "pos", "fp": "neg"}, descending=True, group_limit=group_limit)
+    running = prefix_sums(counts, [*cells, "replicate"], "score", {"tp": "pos", "fp": "neg"}, descending=True)
     sums = running.groupBy(*cells, "replicate").agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("hat_pos").alias("TP"), F.sum("hat_neg").alias("FP"),
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("wins"),
@@ -275,8 +274,8 @@ def fused(pred: DataFrame, first: str, second: str) -> DataFrame:
     return pred.withColumn("alpha", a).withColumn("ai_probability", F.col("alpha") * F.col(first) + (1 - F.col("alpha")) * F.col(second))
 
 
-def fusion_table(pred: DataFrame, first: str, second: str, cells: Sequence[str] = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
-    return detector_metrics(fused(pred, first, second), [*cells, "alpha"], group_limit=group_limit)
+def fusion_table(pred: DataFrame, first: str, second: str, cells: Sequence[str] = ()) -> DataFrame:
+    return detector_metrics(fused(pred, first, second), [*cells, "alpha"])
 
 
 def best_by(table: DataFrame, cells: Sequence[str], order: Sequence[str], tie: str, largest_tie: bool = False) -> DataFrame:

@@ -164,8 +164,13 @@ def select_features(train: DataFrame, candidates: Sequence[str], mode: str, tree
     if mode == "summary_only":
         return [c for c in cols if "_trans_" not in c]
     if mode == "l1":
-        kept = fit(train, cols, logistic(0.1, l1=True)).importance()
-        return [c for c in cols if kept[c] > 1e-9] or cols[:50]
+        # where the penalty leaves no column, weaker ones follow
+        for weight in (0.1, 1.0, 10.0):
+            kept = fit(train, cols, logistic(weight, l1=True)).importance()
+            chosen = [c for c in cols if kept[c] > 1e-9]
+            if chosen:
+                return chosen
+        return cols
     if mode.startswith("top"):
         return list(fit(train, cols, forest(trees)).importance())[: int(mode[3:])]
     raise ValueError(f"unknown selection mode {mode!r}")
@@ -218,21 +223,24 @@ def ablation(train: DataFrame, test: DataFrame, groups: dict[str, Sequence[str]]
     return table.orderBy(F.desc_nulls_last("f1"), F.desc_nulls_last("auroc"))
 
 
-def pca_2d(df: DataFrame, cols: Sequence[str], groups: Sequence[str], per_group: int = 600, key: str = "id") -> DataFrame:
-    """First two principal components of the standardised features, for a sample of every group."""
-    sample = df.join(cap_groups(df.select(key, *groups), per_group, groups, key).select(key), key, "left_semi")
-    ready = imputed(sample, list(cols), column_medians(sample, list(cols)))
+def pca_2d(df: DataFrame, cols: Sequence[str], groups: Sequence[str], per_group: int | None = None, key: str = "id") -> DataFrame:
+    """First two principal components of the standardised features, fitted to all rows. ``per_group`` rows of each group are
+    returned, or all."""
+    ready = imputed(df, list(cols), column_medians(df, list(cols)))
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         PCA(k=2, inputCol="features", outputCol="pc"),
     ]
-    out = Pipeline(stages=stages).fit(ready).transform(ready)
-    return out.select(key, *groups, *[vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(2)])
+    model = Pipeline(stages=stages).fit(ready)
+    if per_group is not None:
+        ready = ready.join(cap_groups(df.select(key, *groups), per_group, groups, key).select(key), key, "left_semi")
+    return model.transform(ready).select(key, *groups, *[vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(2)])
 
 
 def probe_accuracy(df: DataFrame, cols: Sequence[str], targets: Sequence[str], test_share: float | None = 0.35, key: str = "id") -> DataFrame:
-    """How well each target column can be told from the features by a linear model; in-sample without a test share."""
+    """How well each target column can be told from the features by a linear model; in-sample without a test share. A test row whose
+    class is not among the training rows is a miss."""
     ready = imputed(df, list(cols), column_medians(df, list(cols)))
     out = []
     for t in targets:
@@ -245,13 +253,14 @@ def probe_accuracy(df: DataFrame, cols: Sequence[str], targets: Sequence[str], t
             train = rows.join(parts.filter("split = 'train'").select(key), key, "left_semi")
             test = rows.join(parts.filter("split = 'test'").select(key), key, "left_semi")
         stages = [
-            StringIndexer(inputCol=t, outputCol="label_index", handleInvalid="skip"),
+            StringIndexer(inputCol=t, outputCol="label_index", handleInvalid="keep"),
             VectorAssembler(inputCols=list(cols), outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
             LogisticRegression(labelCol="label_index", regParam=1e-3),
         ]
         scored = Pipeline(stages=stages).fit(train).transform(test)
-        hit = F.avg((F.col("prediction") == F.col("label_index")).cast("double")).alias("accuracy")
+        known = F.col(t).isin([r[0] for r in train.select(t).distinct().collect()])
+        hit = F.avg((known & (F.col("prediction") == F.col("label_index"))).cast("double")).alias("accuracy")
         out.append(scored.agg(F.lit(t).alias("target"), F.count(F.lit(1)).alias("n"), hit))
     total = out[0]
     for o in out[1:]:

@@ -1,8 +1,8 @@
 """Ranks, running sums and quantiles that do not put a whole group into one task.
 
 A label, a source or an experiment cell may hold a third of all rows, so a plain window over it would
-end in a single task. Here a group is cut into ordered buckets; windows run inside buckets and the sums
-of the earlier buckets are added afterwards. The results are exact.
+end in a single task. Here every group, of any size, is cut into ordered buckets; windows run inside buckets and the
+sums of the earlier buckets are added afterwards. The results are exact.
 """
 
 from __future__ import annotations
@@ -12,10 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import md5_order
-from ..session import bounded, cut_lineage
-
-GROUP_LIMIT = 2_000_000
-EXACT_CELLS = 2_000_000
+from ..session import cut_lineage
 
 
 def _group(groups: Sequence[str]) -> Column:
@@ -43,43 +40,29 @@ def hash_rank(df: DataFrame, groups: Sequence[str], key: str = "id", seed: int =
     return marked.join(offsets, ["_g", "_b"]).withColumn("rank", F.col("_before") + within).drop("_g", "_b", "_h", "_before")
 
 
-def _bucketed(df: DataFrame, order: str, group_limit: int, buckets: int) -> tuple[DataFrame, bool]:
-    """Add an order-preserving bucket ``_b``; only groups above ``group_limit`` rows get more than one.
+def _bucketed(df: DataFrame, order: str, buckets: int | None) -> DataFrame:
+    """Add an order-preserving bucket ``_b`` within each group: about as many as the session has shuffle partitions.
 
-    At most rows/limit groups can be that heavy, so their cut points are a small table. They are fixed
-    on the driver before use: a task that is run again sees the same buckets.
+    Cut points come from one sketch per group and are written before use, so that every task and every re-run sees the same buckets.
     """
-    heavy = df.groupBy("_g").count().filter(F.col("count") > group_limit).select("_g")
-    found = heavy.limit(1).collect()
-    if not found:
-        return df.withColumn("_b", F.lit(0)), False
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    heavy_rows = df.join(bounded(heavy), "_g", "left_semi")
-    cuts = heavy_rows.groupBy("_g").agg(F.percentile_approx(order, probs, 10 * buckets).alias("_cuts"))
-    marked = df.join(bounded(cuts), "_g", "left")
+    n = buckets or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = cut_lineage(df.groupBy("_g").agg(F.array_distinct(F.percentile_approx(order, probs, 10 * n)).alias("_cuts")))
     at = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-    return marked.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(at)).drop("_cuts"), True
+    return df.join(cuts, "_g").withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(at)).drop("_cuts")
 
 
 def prefix_sums(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: str,
-    sums: dict[str, str],
-    descending: bool = False,
-    group_limit: int = GROUP_LIMIT,
-    buckets: int = 64,
+    df: DataFrame, groups: Sequence[str], order: str, sums: dict[str, str], descending: bool = False, buckets: int | None = None
 ) -> DataFrame:
     """Running sums (inclusive) of ``sums`` = {new column: source column} along ``order`` in each group.
 
     ``df`` has at most one row per (group, order).
     """
-    marked, split = _bucketed(df.withColumn("_g", _group(groups)), order, group_limit, buckets)
+    marked = _bucketed(df.withColumn("_g", _group(groups)), order, buckets)
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     within = Window.partitionBy("_g", "_b").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     running = {new: F.sum(src).over(within) for new, src in sums.items()}
-    if not split:
-        return marked.withColumns(running).drop("_g", "_b")
     totals = marked.groupBy("_g", "_b").agg(*[F.sum(src).alias(f"_t_{new}") for new, src in sums.items()])
     earlier = Window.partitionBy("_g").orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_g", "_b", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
@@ -93,13 +76,13 @@ def unpivot(df: DataFrame, keep: Sequence[str], cols: Sequence[str], name: str =
     return df.select(*keep, pairs.alias("_p")).select(*keep, f"_p.{name}", f"_p.{value}")
 
 
-def long_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def long_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group as array ``quantiles``, by counting ranks over sorted distinct values."""
     # several passes follow: sort keys are written once, as counts of distinct values
     counted = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
-    running = prefix_sums(counted, groups, value, {"_upto": "_c"}, group_limit=group_limit)
+    running = prefix_sums(counted, groups, value, {"_upto": "_c"}, buckets=buckets)
     totals = counted.groupBy(*groups).agg(F.sum("_c").alias("_n")) if groups else counted.agg(F.sum("_c").alias("_n"))
-    totals = bounded(totals.withColumn("_g", _group(groups)).select("_g", "_n"))
+    totals = totals.withColumn("_g", _group(groups)).select("_g", "_n")
     ranked = running.withColumn("_g", _group(groups)).join(totals, "_g").drop("_g")
 
     def at(position: Column) -> Column:
@@ -113,37 +96,24 @@ def long_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequ
     return ranked.groupBy(*groups).agg(F.array(*cols).alias("quantiles"))
 
 
-def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (), exact_cells: int = EXACT_CELLS
-) -> DataFrame:
-    """Exact interpolated quantiles as rows (groups..., feature, quantiles).
-
-    Small inputs use the built-in exact percentile, whose one-task state holds all distinct values; above
-    ``exact_cells`` values the ranks are counted in a distributed way instead.
-    """
-    if df.count() * len(cols) <= exact_cells:
-        p = F.array(*[F.lit(float(x)) for x in probs])
-        wide = df.groupBy(*groups).agg(*[F.percentile(F.col(c).cast("double"), p).alias(c) for c in cols])
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("quantiles")) for c in cols]))
-        return wide.select(*groups, pairs.alias("_p")).select(*groups, "_p.feature", "_p.quantiles")
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles as rows (groups..., feature, quantiles), by counted ranks at every size."""
     return long_quantiles(unpivot(df, groups, cols), [*groups, "feature"], "value", probs)
 
 
-def medians(df: DataFrame, cols: Sequence[str], exact_cells: int = EXACT_CELLS) -> dict[str, float]:
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Column medians on the driver: one number per column, 0 where a column has no value."""
-    found = {r["feature"]: r["quantiles"] for r in quantiles(df, cols, [0.5], exact_cells=exact_cells).collect()}
+    found = {r["feature"]: r["quantiles"] for r in quantiles(df, cols, [0.5]).collect()}
     return {c: (found[c][0] if found.get(c) and found[c][0] is not None else 0.0) for c in cols}
 
 
-def lagged(df: DataFrame, groups: Sequence[str], order: str, col: str, out: str, group_limit: int = GROUP_LIMIT, buckets: int = 64) -> DataFrame:
-    """Previous value of ``col`` along a unique numeric ``order``, also for groups too long for one task.
+def lagged(df: DataFrame, groups: Sequence[str], order: str, col: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Previous value of ``col`` along a unique ``order`` that sketches can rank (a number or a time), for groups of any length.
 
-    A long group is cut into segments; the first row of a segment takes the last value of the segment before.
+    A group is cut into segments; the first row of a segment takes the last value of the segment before.
     """
-    marked, split = _bucketed(df.withColumn("_g", _group(groups)), order, group_limit, buckets)
+    marked = _bucketed(df.withColumn("_g", _group(groups)), order, buckets)
     within = Window.partitionBy("_g", "_b").orderBy(order)
-    if not split:
-        return marked.withColumn(out, F.lag(col).over(within)).drop("_g", "_b")
     ends = marked.groupBy("_g", "_b").agg(F.max_by(F.struct(F.col(col).alias("v")), order).alias("_end"))
     before = ends.select("_g", "_b", F.lag("_end").over(Window.partitionBy("_g").orderBy("_b")).alias("_prev"))
     at = F.row_number().over(within)

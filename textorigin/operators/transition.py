@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import arrays as A
 from ..functions.fixed_values import STATE_COUNTS
-from .ranking import GROUP_LIMIT, lagged, quantiles
+from .ranking import lagged, quantiles
 
 SUMMARY = (
     "transition_entropy", "self_transition_rate", "upward_transition_rate", "downward_transition_rate", "large_jump_rate",
@@ -203,12 +203,12 @@ def own_profiles(df: DataFrame, seq: str, model: str, n: int = 5, key: str = "id
 
 
 def long_profiles(df: DataFrame, entity: str, order: str, value: str, bins: dict[int, list[float]], prefix: str,
-                  with_gap: bool = True, group_limit: int = GROUP_LIMIT) -> DataFrame:
+                  with_gap: bool = True) -> DataFrame:
     """The same profile for a long table (entity, numeric unique order, value), however long one entity is."""
     out = None
     for n, cuts in bins.items():
         coded = df.select(entity, order, bin_state(F.col(value), cuts).alias("_s"))
-        pairs = lagged(coded, [entity], order, "_s", "_p", group_limit)
+        pairs = lagged(coded, [entity], order, "_s", "_p")
         cell = lambda i, j: F.count_if((F.col("_p") == i) & (F.col("_s") == j))
         agg = pairs.groupBy(entity).agg(
             F.max(F.when(F.col("_p").isNull(), F.col("_s"))).alias("first"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "textorigin", shuffle_partitions: int = 8) -> SparkSession:
@@ -28,22 +30,36 @@ def local_session(cores: str = "8", app: str = "textorigin", shuffle_partitions:
 
 
 _OWN_FOLDERS: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, laptop runs) a temporary folder is made, once per application.
+    Only a session in one process (``local[...]``, as in tests) may do without: it gets a temporary folder that goes at its end.
+    On a cluster the setting is needed, for a folder of one machine would lose what the others write.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="textorigin-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
     return _OWN_FOLDERS[app]
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut_lineage` has written so far, once nothing reads them any more. Returns their number."""
+    done = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, for results that several jobs use.
 
@@ -51,16 +67,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/textorigin-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``limit`` rows, else ``df`` itself.
-
-    The size is counted, not guessed: no more than ``limit + 1`` rows ever reach the driver, and a table
-    beyond the limit is left to a shuffled join with adaptive skew handling.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

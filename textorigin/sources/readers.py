@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import categories as K
 from ..functions.columns import strip_space
@@ -97,29 +96,33 @@ def _field_map(df: DataFrame) -> Column:
     return F.create_map(*[x for c in df.columns if not c.startswith("_") for x in (F.lit(c), F.col(c).cast("string"))])
 
 
-def read_records(spark: SparkSession, root: str, rules: CorpusRules) -> DataFrame:
-    """(path, fields) for every record of the corpus; lines that are not JSON objects are skipped."""
+def read_records(spark: SparkSession, root: str, rules: CorpusRules, multi_line: bool = True) -> DataFrame:
+    """(path, fields) for every record of the corpus; lines that are not JSON objects are skipped.
+
+    Large corpora belong in parquet, jsonl, or csv without line ends in fields (``multi_line=False``): those files are split among
+    tasks. A json or txt file, and a csv file with line ends in fields, is read by one task.
+    """
     out = None
     for fmt in rules.formats:
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}")
-        path = F.col("_metadata.file_path").alias("path")
-        try:
-            if fmt == "jsonl":
-                lines = reader.text(root).select(path, "value")
-                one = lines.select("path", F.from_json("value", FIELDS).alias("fields"))
-            elif fmt == "json":
-                whole = reader.text(root, wholetext=True).select(path, "value")
-                one = whole.select("path", F.explode(json_list(F.col("value"))).alias("fields"))
-            elif fmt == "txt":
-                one = reader.text(root, wholetext=True).select(path, F.create_map(F.lit("text"), F.col("value")).alias("fields"))
-            elif fmt == "parquet":
-                table = reader.parquet(root)
-                one = table.select(path, _field_map(table).alias("fields"))
-            else:
-                table = reader.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(root)
-                one = table.select(path, _field_map(table).alias("fields"))
-        except AnalysisException:  # no file of this format
+        # formats with a schema cannot be read where there is no file; every other problem is the caller's to see
+        if reader.format("binaryFile").load(root).select("path").limit(1).isEmpty():
             continue
+        path = F.col("_metadata.file_path").alias("path")
+        if fmt == "jsonl":
+            lines = reader.text(root).select(path, "value")
+            one = lines.select("path", F.from_json("value", FIELDS).alias("fields"))
+        elif fmt == "json":
+            whole = reader.text(root, wholetext=True).select(path, "value")
+            one = whole.select("path", F.explode(json_list(F.col("value"))).alias("fields"))
+        elif fmt == "txt":
+            one = reader.text(root, wholetext=True).select(path, F.create_map(F.lit("text"), F.col("value")).alias("fields"))
+        elif fmt == "parquet":
+            table = reader.parquet(root)
+            one = table.select(path, _field_map(table).alias("fields"))
+        else:
+            table = reader.option("header", True).option("multiLine", multi_line).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(root)
+            one = table.select(path, _field_map(table).alias("fields"))
         one = one.filter(F.col("fields").isNotNull() & _allowed(F.col("path"), rules))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], f"path string, fields {FIELDS}")
@@ -191,11 +194,12 @@ def generic_rows(records: DataFrame, name: str, attack_hint: bool = False) -> Da
     return rows.select(*CORPUS_COLUMNS)
 
 
-def load_corpus(spark: SparkSession, root: str, rules: CorpusRules, max_per_group: int = 1000, seed: int = 42) -> DataFrame:
-    """Read a corpus, give every row a split and cap its groups."""
-    records = read_records(spark, root, rules)
+def load_corpus(spark: SparkSession, root: str, rules: CorpusRules, max_per_group: int | None = None, seed: int = 42, multi_line: bool = True) -> DataFrame:
+    """Read a corpus and give every row a split. All rows stay, unless ``max_per_group`` asks for at most so many rows per file of
+    pairs, and per group."""
+    records = read_records(spark, root, rules, multi_line)
     if rules.paired:
-        rows = paired_rows(sample_per_file(records, max_per_group, seed), rules.name)
+        rows = paired_rows(records if max_per_group is None else sample_per_file(records, max_per_group, seed), rules.name)
     else:
         rows = generic_rows(records, rules.name, rules.held_out)
     if rules.domain_for_unknown:
@@ -206,7 +210,7 @@ def load_corpus(spark: SparkSession, root: str, rules: CorpusRules, max_per_grou
     if rules.attack:
         rows = rows.withColumn("attack_type", F.lit(rules.attack))
     placed = default_split(rows, held_out=(rules.name,) if rules.held_out else ())
-    return cap_groups(placed, max_per_group, seed=seed).select(*CORPUS_COLUMNS)
+    return (placed if max_per_group is None else cap_groups(placed, max_per_group, seed=seed)).select(*CORPUS_COLUMNS)
 
 
 def external_rows(records: DataFrame, name: str = "external_all_samples") -> DataFrame:
@@ -214,7 +218,7 @@ def external_rows(records: DataFrame, name: str = "external_all_samples") -> Dat
     get = lambda synonyms: field_value(F.col("fields"), synonyms)
     plain = lambda c: F.coalesce(F.nullif(strip_space(c), F.lit("")), F.lit("unknown"))
     rows = records.select(
-        F.concat(F.lit(f"{name}_"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("id"),
+        F.concat(F.lit(f"{name}_"), F.format_string("%012d", F.col("position").cast("long"))).alias("id"),
         strip_space(F.coalesce(get(EXTERNAL_TEXT), F.lit(""))).alias("text"), K.external_label(get(EXTERNAL_LABEL)).alias("label"),
         F.lit(name).alias("source_dataset"), F.lit("en").alias("language"), plain(get(EXTERNAL_DOMAIN)).alias("domain"),
         plain(get(EXTERNAL_GENERATOR)).alias("generator"), F.lit("unknown").alias("attack_type"), F.lit("external_test").alias("split"),
@@ -224,5 +228,8 @@ def external_rows(records: DataFrame, name: str = "external_all_samples") -> Dat
 
 def read_external(spark: SparkSession, path: str, name: str = "external_all_samples") -> DataFrame:
     """An external JSON file: a list, or an object with a ``data`` list."""
-    whole = spark.read.text(path, wholetext=True)
-    return external_rows(whole.select(F.posexplode(json_list(F.col("value"))).alias("position", "fields")), name)
+    records = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(json_list(F.col("value"))).alias("at", "fields"))
+    # in a folder the positions go on from file to file: one number per file, of its records
+    sizes = records.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return external_rows(records.join(before, "path").select((F.col("before") + F.col("at")).alias("position"), "fields"), name)

@@ -113,15 +113,20 @@ def stats(spark, sf):
     return C.dataset_stats(meta(spark, sf), ["source_dataset"])
 
 
+def sources_of(df):
+    """The sources in a table: one short name each."""
+    return sorted(r[0] for r in df.select("source_dataset").distinct().collect() if r[0] is not None)
+
+
 def train_roles(spark, sf):
     d = C.resplit(labelled(spark, sf))
-    a = C.assignments(d, C.train_definitions(["en", "fr", "de", "es"]))
+    a = C.assignments(d, C.train_definitions(sources_of(d)))
     return a.groupBy("train_name", "role").count()
 
 
 def train_test_overlap(spark, sf):
     d = C.resplit(labelled(spark, sf))
-    train = C.assignments(d, C.train_definitions(["en", "fr", "de", "es"])).filter("role = 'train'")
+    train = C.assignments(d, C.train_definitions(sources_of(d))).filter("role = 'train'")
     test = labelled(spark, sf).select(F.concat(F.col("domain"), F.lit("_all")).alias("test_name"), "id")
     return C.overlap(train, test)
 
@@ -170,8 +175,8 @@ REASON_CTE = """rz as (select d.doc_id, regexp_replace(d.text, '^\\s+|\\s+$', ''
      when label is null or label not in (0, 1) then 'invalid_label' end as f from rw),
   rr as (select doc_id, case when f is not null then f when row_number() over (partition by t, f order by doc_id) > 1 then 'duplicate' end as reason from rf)"""
 FIELDS = ("source_dataset", "language", "domain", "generator", "attack_type", "label", "split")
-DEFS = C.train_definitions(["en", "fr", "de", "es"])
-DEFS_SQL = "defs(train_name, source_dataset) as (values " + ", ".join(f"('{n}', '{s}')" for n, m in DEFS.items() for s in m) + ")"
+DEFS_SQL = """so as (select distinct source_dataset from meta), defs as (select 'train_' || source_dataset as train_name, source_dataset from so
+  union all select 'train_combined', source_dataset from so union all select 'train_leave_out_' || a.source_dataset, b.source_dataset from so a, so b where a.source_dataset <> b.source_dataset)"""
 
 
 def _case(x, rules, exact=False):

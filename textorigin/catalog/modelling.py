@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions.columns import rounded_table
 from ..operators import corpus as C, dynamics as D, features as E, models as M
 from ..plans import matrix as P, scoring as S
 from ..session import cut_lineage
 from . import corpora
-from .documents import structure
+from .documents import R6, TOKENS, VARIANTS_CTE, structure
 from .dynamics import _scaled
 from .reporting import features
 from .sequences import losses, train_bins_of
@@ -79,7 +79,7 @@ def _predictions(spark, sf):
     if at not in _CACHE:
         df, *_, cols = _parts(spark, sf)
         tests = df.filter("split = 'test'").withColumn("test_name", F.col("source_dataset"))
-        _CACHE[at] = P.run(P.train_sets(df, ["en", "fr", "de", "es"]), tests, cols, [LINEAR, M.forest(10, 6)])[0]
+        _CACHE[at] = P.run(P.train_sets(df, corpora.sources_of(df)), tests, cols, [LINEAR, M.forest(10, 6)])[0]
     return _CACHE[at]
 
 
@@ -134,7 +134,7 @@ def scored_texts(spark, sf):
 
 
 def semantic_stability(spark, sf):
-    return E.semantic_stability(documents(spark, sf))
+    return rounded_table(E.semantic_stability(documents(spark, sf)))
 
 
 QUERIES = {
@@ -143,4 +143,14 @@ QUERIES = {
     "feature_combinations": feature_combinations, "pca_2d": pca, "probe_accuracy": probes, "pooled_classifier": pooled_classifier, "scored_texts": scored_texts,
     "semantic_stability": semantic_stability,
 }
-ORACLES: dict = {}
+ORACLES: dict = {
+    "semantic_stability": f"""with {VARIANTS_CTE}, nd as (select count(*)::double as nd from u),
+      e as (select id, 0 as k, t as x from u union all select id, i as k, vs[i] as x from (select id, vs, unnest(generate_series(1, len(vs))) as i from u)),
+      w as (select id, k, unnest(list_transform({TOKENS('x')}, lambda q: lower(q))) as a from e),
+      c as (select id, k, a, count(*)::double as n from w group by all), d as (select a, count(*)::double as df from c where k = 0 group by a),
+      z as (select id, k, a, n, ln((nd + 1) / (coalesce(df, 0) + 1)) as i from c left join d using (a) cross join nd),
+      nm as (select id, k, sqrt(sum(n * n * i * i)) as s from z group by all),
+      p as (select v.id, v.k, sum(o.n * v.n * v.i * v.i) as p from z v join z o on o.id = v.id and o.a = v.a and o.k = 0 where v.k > 0 group by all),
+      q as (select e.id, coalesce(p.p / nullif(a.s * b.s, 0), 0) as q from e left join p on p.id = e.id and p.k = e.k left join nm a on a.id = e.id and a.k = 0 left join nm b on b.id = e.id and b.k = e.k where e.k > 0)
+      select u.id, {R6('coalesce(avg(q), 0)')} as pert_semantic_similarity_mean, {R6('coalesce(stddev_pop(q), 0)')} as pert_semantic_similarity_std from u left join q using (id) group by u.id""",
+}

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as A, text as X
 from ..functions.columns import finite, to_number
 from ..functions.fixed_values import METADATA_COLUMNS, TextRules
+from ..session import cut_lineage
 from .ranking import medians  # noqa: F401
 
 FAMILIES = {"burst": X.burstiness, "struct": X.structure, "pert": X.stability}
@@ -208,21 +207,24 @@ def subset(features: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 # ---------------------------------------------------------------- semantic stability
 
 
-def semantic_stability(corpus: DataFrame, key: str = "id", text: str = "text", rules: TextRules = TextRules(), size: int = 256) -> DataFrame:
-    """Mean and std of the TF-IDF cosine between a text and its rewritings (0 without rewritings).
+def semantic_stability(corpus: DataFrame, key: str = "id", text: str = "text", rules: TextRules = TextRules()) -> DataFrame:
+    """Mean and std of the TF-IDF cosine between a text and its rewritings (0 without rewritings), exact by word.
 
-    Term weights are hashed to ``size`` dimensions; the inverse document frequencies are fitted on the corpus.
+    Document frequencies are those of the corpus. A row per (document, distinct word) holds the word's counts in the text and its at
+    most five rewritings; all words of a document come from one task, so they are added up before the shuffle.
     """
-    docs = X.cleaned(corpus.select(key, text), text).withColumn("_w", F.transform(X.tokens(F.col(text)), F.lower))
-    rows = docs.select(key, F.explode(F.concat(F.array(F.col(text)), X.rewritten(F.col(text), rules))).alias("v"), (F.col(text)).alias("_t"))
-    rows = rows.select(key, (F.col("v") == F.col("_t")).alias("own"), F.transform(X.tokens(F.col("v")), F.lower).alias("_w"))
-    hashing = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=size)
-    idf = IDF(inputCol="_tf", outputCol="_x").fit(hashing.transform(docs.select("_w")))
-    unit = Normalizer(inputCol="_x", outputCol="_u")
-    vectors = unit.transform(idf.transform(hashing.transform(rows))).select(key, "own", vector_to_array("_u").alias("u"))
-    # all rewritings of a text come from one row: at most six short vectors per group
-    packed = vectors.groupBy(key).agg(F.max(F.when(F.col("own"), F.col("u"))).alias("a"), F.collect_list(F.when(~F.col("own"), F.col("u"))).alias("vs"))
-    dot = lambda v: F.aggregate(F.zip_with("a", v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    stats = packed.withColumn("_s", A.mean_std(F.transform("vs", dot)))
+    docs = X.cleaned(corpus.select(key, text), text).withColumn("_vs", X.rewritten(F.col(text), rules))
+    versions = docs.select(key, F.posexplode(F.concat(F.array(F.col(text)), "_vs")).alias("_k", "_v"))
+    words = versions.select(key, "_k", F.explode(F.transform(X.tokens(F.col("_v")), F.lower)).alias("_w"))
+    texts = range(6)
+    counts = cut_lineage(words.groupBy(key, "_w").agg(*[F.count_if(F.col("_k") == k).cast("double").alias(f"_n{k}") for k in texts]))
+    total = docs.count()
+    weight = F.log(F.lit(total + 1.0) / (F.count_if(F.col("_n0") > 0) + F.lit(1.0)))
+    weighted = counts.join(counts.groupBy("_w").agg((weight * weight).alias("_i")), "_w")
+    product = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_i"))
+    sums = weighted.groupBy(key).agg(*[product("_n0", f"_n{k}").alias(f"_d{k}") for k in texts], *[product(f"_n{k}", f"_n{k}").alias(f"_s{k}") for k in texts])
+    cosine = lambda k: F.coalesce(F.try_divide(F.col(f"_d{k}"), F.sqrt("_s0") * F.sqrt(f"_s{k}")), F.lit(0.0))
+    joined = docs.select(key, F.size("_vs").alias("_m")).join(sums, key, "left")
+    stats = joined.withColumn("_s", A.mean_std(F.slice(F.array(*[cosine(k) for k in texts[1:]]), F.lit(1), F.col("_m"))))
     none = lambda c: F.coalesce(c, F.lit(0.0))
     return stats.select(key, none(F.col("_s.mean")).alias("pert_semantic_similarity_mean"), none(F.col("_s.std")).alias("pert_semantic_similarity_std"))

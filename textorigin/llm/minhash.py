@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from . import words as W
@@ -19,10 +19,8 @@ HASHES = BANDS * ROWS
 BITS = 4
 #: five standard deviations of the estimate lie between a pair at the threshold and one that is not confirmed
 MARGIN = 5.0
-#: members of an open bucket that are compared in one task at a time
-CHUNK = 256
-#: pairs per node that the first of two confirming passes takes
-FIRST_PAIRS = 4
+#: members of an open bucket that are compared with as many others at a time
+CHUNK = 512
 
 _U = np.uint64
 _rng = np.random.default_rng(11)
@@ -150,22 +148,75 @@ def _confirm(percent: int):
     return run
 
 
-def _open_pairs(least: float):
-    """All likely pairs of two chunks of a bucket whose members are in different components so far."""
+def _sides(pdf):
+    """The two chunks of a group: names, components, packed bits and band keys of their members, and whether they are the same chunk."""
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    pdf = pdf.sort_values("node", ignore_index=True)
+    parts = [pdf[pdf["chunk"] == c] for c in ((i,) if i == j else (i, j))]
+    read = [(p, p["component"].to_numpy(), np.frombuffer(b"".join(p["bits"]), np.uint8).reshape(len(p), -1), np.stack(list(p["bands"])) if len(p) else np.zeros((0, BANDS), np.int64)) for p in parts]
+    return read[0], read[-1], i == j
+
+
+def _partners(k: int, left, right, same: bool, bucket: int, least: float, component: np.ndarray, own: int) -> np.ndarray:
+    """Members of the right chunk that may be linked with the k-th of the left: apart so far, alike by their bits, and with this
+    bucket as the first that both are in, so that a pair is looked at once."""
+    rest = slice(k + 1, None) if same else slice(None)
+    found = np.flatnonzero((component[rest] != own) & (estimate(left[2][k], right[2][rest]) >= least)) + (k + 1 if same else 0)
+    if not len(found):
+        return found
+    first = (right[3][found] == left[3][k]).argmax(1)
+    return found[left[3][k][first] == bucket]
+
+
+OPEN = "bucket long, i int, j int, chunk int, node long, component long, bits binary, bands array<long>"
+
+
+def _open_members(least: float):
+    """The members of a group that are in any pair still to be counted."""
+
+    def run(pdf):
+        left, right, same = _sides(pdf)
+        bucket, open_ = int(pdf["bucket"].iloc[0]), [np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)]
+        for k in range(len(left[0])):
+            found = _partners(k, left, right, same, bucket, least, right[1], left[1][k])
+            open_[0][k] |= len(found) > 0
+            open_[1][found] = True
+        if same:
+            return left[0][open_[0] | open_[1]]
+        import pandas as pd
+
+        return pd.concat([left[0][open_[0]], right[0][open_[1]]])
+
+    return run
+
+
+def _links(least: float, percent: int):
+    """Links between members of a group that are apart, counted on full sets; of those that join the same two components one is enough."""
 
     def run(pdf):
         import pandas as pd
 
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left = pdf[pdf["chunk"] == i]
-        right = left if i == j else pdf[pdf["chunk"] == j]
-        bits = [np.frombuffer(b"".join(p["bits"]), np.uint8).reshape(len(p), -1) for p in (left, right)]
-        comp = right["component"].to_numpy()
-        out = []
-        for k, (node, own) in enumerate(zip(left["node"], left["component"])):
-            rest = slice(k + 1, None) if i == j else slice(None)
-            found = np.flatnonzero((comp[rest] != own) & (estimate(bits[0][k], bits[1][rest]) >= least)) + (k + 1 if i == j else 0)
-            out.extend((min(node, o), max(node, o)) for o in right["node"].to_numpy()[found].tolist())
+        left, right, same = _sides(pdf)
+        bucket, out = int(pdf["bucket"].iloc[0]), []
+        sets = [[np.frombuffer(x, np.uint64) for x in side[0]["shingles"]] for side in (left, right)]
+        mine, theirs = left[1].copy(), right[1] if not same else None
+        theirs = mine if same else theirs.copy()
+        for k in range(len(sets[0])):
+            found = _partners(k, left, right, same, bucket, least, theirs, mine[k])
+            if not len(found):
+                continue
+            own, others = sets[0][k], [sets[1][f] for f in found]
+            sizes = np.array([len(x) for x in others])
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for f in found[100 * both >= percent * (len(own) + sizes - both)].tolist():
+                if theirs[f] != mine[k]:
+                    a, b = int(left[0]["node"].iloc[k]), int(right[0]["node"].iloc[f])
+                    out.append((min(a, b), max(a, b)))
+                    low, high = mine[k], theirs[f]
+                    mine[mine == high] = low
+                    theirs[theirs == high] = low
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -181,8 +232,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     Equal sets become one node first, so copies are never paired. Of each bucket one member, drawn by hash, is compared with all
     others: one pair per member. Where members of a bucket of three or more are still apart after that, its members are
-    compared in chunks by their packed bits, and only pairs that look alike go on to be counted. All of them do, in two passes:
-    a few for each node, then what the first pass has left apart.
+    compared in chunks by their packed bits; those with a likely partner meet again with their full sets, and what a
+    group returns is no list of pairs, but as many links as join its components. No pair is left out, whatever its bucket's size.
     """
     least = least_estimate(percent / 100)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -212,21 +263,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
     still = cut_lineage(labelled.join(apart, "bucket", "left_semi").select("bucket", "node", "members", "component"))
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    placed = still.join(bits, "node").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
-    spread = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "k"), "j": F.greatest("chunk", "k")})
-    dealt = spread.select("bucket", "i", "j", "chunk", "node", "component", "bits")
-    open_pairs = cut_lineage(dealt.groupBy("bucket", "i", "j").applyInPandas(_open_pairs(least), "a long, b long").distinct())
-    for few in (True, False):
-        if open_pairs.limit(1).count() == 0:
-            break
-        own = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        other = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        left = open_pairs.join(own, "a", "left").join(other, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        if few:
-            left = left.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).filter(F.col("r") <= FIRST_PAIRS).drop("r")
-        new = cut_lineage(_counted(left, sets, percent))
-        links = links.unionByName(new)
-        found = components(links)
+    marked = still.join(nodes.select("node", "bits", "bands"), "node").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
+    spread = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "k"), "j": F.greatest("chunk", "k")})
+    dealt = spread.select("bucket", "i", "j", "chunk", "node", "component", "bits", "bands")
+    open_ = cut_lineage(dealt.groupBy("bucket", "i", "j").applyInPandas(_open_members(least), OPEN))
+    more = open_.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_links(least, percent), "a long, b long")
+    found = components(links.unionByName(cut_lineage(more)))
 
     # names of components: the smallest doc_id of any row with one of its sets
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

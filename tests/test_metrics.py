@@ -28,7 +28,7 @@ def data():
     return y.tolist(), np.clip(np.round(0.5 * y + rng.normal(0.25, 0.3, 240), 2), 0, 1).tolist()
 
 
-def test_metrics_against_definitions(spark, data, limit):
+def test_metrics_against_definitions(spark, data):
     y, p = data
     df = spark.createDataFrame([("a", int(a), float(b)) for a, b in zip(y, p)] + [("one", 1, 0.3), ("one", 1, 0.9)], "cell string, label int, ai_probability double")
     got = {r["cell"]: r for r in M.detector_metrics(df, ["cell"]).collect()}

@@ -138,6 +138,15 @@ def burstiness(spark, sf):
     return _rounded(document_features(documents(spark, sf), ["burst"], compression=False))
 
 
+def burstiness_whole(spark, sf):
+    """The whole family, with the compression ratios that SQL cannot follow."""
+    return _rounded(document_features(documents(spark, sf), ["burst"]))
+
+
+def stability_whole(spark, sf):
+    return _rounded(document_features(documents(spark, sf), ["pert"]))
+
+
 def structure(spark, sf):
     return _rounded(document_features(documents(spark, sf), ["struct"]))
 
@@ -170,6 +179,8 @@ QUERIES = {
     "features_burstiness": burstiness,
     "features_structure": structure,
     "features_stability": stability,
+    "features_burstiness_whole": burstiness_whole,
+    "features_stability_whole": stability_whole,
     "rewritings": rewritings,
     "features_compression": compression,
     "features_shingle_redundancy": shingle_redundancy,

@@ -74,7 +74,7 @@ def class_report(spark, sf):
 
 
 def bootstrap(spark, sf):
-    return _r(M.bootstrap_intervals(predictions(spark, sf), CELL, replicates=50), {"test_name"})
+    return _r(M.bootstrap_intervals(predictions(spark, sf), CELL, replicates=200), {"test_name"})
 
 
 def fusion(spark, sf):
@@ -137,7 +137,7 @@ def metrics_sql(source, cells, score="ai_probability", hat=None, extra_ctes="",
 
 _RANKED = f"""{PRED_SQL}, cn as (select test_name, ai_probability as s, count(*) filter (label = 1)::double as pos, count(*) filter (label = 0)::double as neg from pred group by 1, 2),
  rn as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by test_name) as P, sum(neg) over (partition by test_name) as N from cn window w as (partition by test_name order by s desc))"""
-_BOOT = ", ".join(f"({b}, {pow(M.MULTIPLIER, b + 1, M.MODULUS)})" for b in range(50))
+_BOOT = ", ".join(f"({b}, {pow(M.MULTIPLIER, b + 1, M.MODULUS)})" for b in range(200))
 _POI = " + ".join(f"(u >= {c!r}::double)::int" for c in M.POISSON)
 _ALPHA = ", ".join(f"({a!r}::double)" for a in M.ALPHAS)
 FUSED = f"{PRED_SQL}, al(alpha) as (values {_ALPHA}), fu as (select pred.* exclude (ai_probability), alpha, alpha * ai_probability + (1 - alpha) * other as ai_probability from pred, al)"

@@ -48,7 +48,7 @@ def shift(spark, sf):
 
 
 def shift_top(spark, sf):
-    return rounded_table(D.top_shifts(_shift(spark, sf), 10).select("test_name", "feature", "standardized_mean_difference"), digits=4)
+    return rounded_table(D.top_shifts(_shift(spark, sf), 30).select("test_name", "feature", "standardized_mean_difference"), digits=4)
 
 
 def shift_summary(spark, sf):
@@ -211,7 +211,7 @@ MATRIX = _matrix_sql()
 _Q3 = lambda k, n: f"quantile_cont(ai_probability, {k}) filter (label = {n})"
 ORACLES = {
     "feature_shift": f"with {SHIFT_SQL} select test_name, feature, " + ", ".join(f"{R6(c, 4)} as {c}" for c in ("train_mean", "train_variance", "test_mean", "test_variance", "standardized_mean_difference", "ks_statistic")) + " from sh",
-    "top_shifts": f"with {SHIFT_SQL}, rk as (select *, row_number() over (partition by test_name order by standardized_mean_difference desc nulls last, ks_statistic desc, feature) as r from sh) select test_name, feature, {R6('standardized_mean_difference', 4)} as standardized_mean_difference from rk where r <= 10",
+    "top_shifts": f"with {SHIFT_SQL}, rk as (select *, row_number() over (partition by test_name order by standardized_mean_difference desc nulls last, ks_statistic desc, feature) as r from sh) select test_name, feature, {R6('standardized_mean_difference', 4)} as standardized_mean_difference from rk where r <= 30",
     "shift_summary": f"with {SHIFT_SQL} select test_name, {R6('avg(standardized_mean_difference)', 4)} as mean_smd, {R6('avg(ks_statistic)', 4)} as mean_ks from sh group by 1",
     "domain_scores": f"with {DOMAIN_SQL} select domain, n, {R6('score', 4)} as score from ds",
     "drop_extreme_domains": f"with {DOMAIN_SQL} select id, domain from fl where domain in (select domain from ds where score <= (select quantile_cont(score, 0.9) from ds))",

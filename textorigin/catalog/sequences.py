@@ -99,8 +99,9 @@ def transition_delta(spark, sf):
 
 
 def event_profiles(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", "value")
-    return _rounded(X.long_profiles(e, "user_id", "event_id", "value", X.fit_bins(e, ["value"], (3, 5))["value"], "value", with_gap=False), ["user_id"])
+    """Values of each user along time, in 3, 5 and 7 states."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    return _rounded(X.long_profiles(e, "user_id", "ts", "value", X.fit_bins(e, ["value"])["value"], "value", with_gap=False, ties=["event_id"]), ["user_id"])
 
 
 QUERIES = {
@@ -264,7 +265,8 @@ ORACLES = {
     "transition_own": f"with {LOSS_SQL}, {_profiles_sql(_own('ng2'))} {_joined(_own('ng2'))}",
     "transition_delta": f"with {LOSS_SQL}, {_profiles_sql(_own('ng1') | _own('ng2'))}, al as ({_joined(_own('ng1') | _own('ng2'))}) select id, "
         + ", ".join(f"{R6(f'ng2_{c} - ng1_{c}')} as scale_transition_delta_{c}" for c in _delta_cols()) + " from al",
-    "event_profiles": f"""with bn as (select quantile_cont(value, {_Q(3)}) as q3, quantile_cont(value, {_Q(5)}) as q5 from events),
-      a as (select user_id, event_id as pos, {_bin_sql('value', 'q3', 3)} as s from events, bn), b as (select user_id, event_id as pos, {_bin_sql('value', 'q5', 5)} as s from events, bn),
-      {profile_sql('a', 'value_q3', 3, 'user_id')}, {profile_sql('b', 'value_q5', 5, 'user_id')} select * from value_q3 join value_q5 using (user_id)""",
+    "event_profiles": f"""with bn as (select quantile_cont(value, {_Q(3)}) as q3, quantile_cont(value, {_Q(5)}) as q5, quantile_cont(value, {_Q(7)}) as q7 from events),
+      ev as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as pos from events),
+      a as (select user_id, pos, {_bin_sql('value', 'q3', 3)} as s from ev, bn), b as (select user_id, pos, {_bin_sql('value', 'q5', 5)} as s from ev, bn), c as (select user_id, pos, {_bin_sql('value', 'q7', 7)} as s from ev, bn),
+      {profile_sql('a', 'value_q3', 3, 'user_id')}, {profile_sql('b', 'value_q5', 5, 'user_id')}, {profile_sql('c', 'value_q7', 7, 'user_id')} select * from value_q3 join value_q5 using (user_id) join value_q7 using (user_id)""",
 }

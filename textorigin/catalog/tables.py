@@ -10,14 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-bound work enough tasks when the input comes in fewer files than there are cores.
+    """Give CPU-bound work enough tasks where the scan has fewer than the session has cores, as with one small file.
 
     A big corpus has far more splits than cores and is left alone, so its text is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,8 @@ def class_report(pred: DataFrame, cells: Sequence[str] = (), label: str = "label
     )
 
 
-# Cumulative Poisson(1) probabilities and the multiplicative generator 48271 mod 2^31 - 1.
+# Cumulative Poisson(1) probabilities and the multiplicative generator 48271 mod 2^31 - 1. A draw above ten, which has a
+# probability of 1e-8, counts as ten: the generator's 31 bits tell hardly more apart.
 POISSON = (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
     0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,

@@ -107,14 +107,14 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     return {c: (found[c][0] if found.get(c) and found[c][0] is not None else 0.0) for c in cols}
 
 
-def lagged(df: DataFrame, groups: Sequence[str], order: str, col: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Previous value of ``col`` along a unique ``order`` that sketches can rank (a number or a time), for groups of any length.
+def lagged(df: DataFrame, groups: Sequence[str], order: str, col: str, out: str, buckets: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Previous value of ``col`` along ``order`` (a number or a time) and then ``ties``, together unique, for groups of any length.
 
     A group is cut into segments; the first row of a segment takes the last value of the segment before.
     """
     marked = _bucketed(df.withColumn("_g", _group(groups)), order, buckets)
-    within = Window.partitionBy("_g", "_b").orderBy(order)
-    ends = marked.groupBy("_g", "_b").agg(F.max_by(F.struct(F.col(col).alias("v")), order).alias("_end"))
+    within = Window.partitionBy("_g", "_b").orderBy(order, *ties)
+    ends = marked.groupBy("_g", "_b").agg(F.max_by(F.struct(F.col(col).alias("v")), F.struct(order, *ties)).alias("_end"))
     before = ends.select("_g", "_b", F.lag("_end").over(Window.partitionBy("_g").orderBy("_b")).alias("_prev"))
     at = F.row_number().over(within)
     joined = marked.withColumns({"_at": at, "_lag": F.lag(col).over(within)}).join(before, ["_g", "_b"])

@@ -203,12 +203,13 @@ def own_profiles(df: DataFrame, seq: str, model: str, n: int = 5, key: str = "id
 
 
 def long_profiles(df: DataFrame, entity: str, order: str, value: str, bins: dict[int, list[float]], prefix: str,
-                  with_gap: bool = True) -> DataFrame:
-    """The same profile for a long table (entity, numeric unique order, value), however long one entity is."""
+                  with_gap: bool = True, ties: Sequence[str] = ()) -> DataFrame:
+    """The same profile for a long table (entity, order, value), however long one entity is. ``order`` is a number or a time, unique
+    within an entity together with ``ties``."""
     out = None
     for n, cuts in bins.items():
-        coded = df.select(entity, order, bin_state(F.col(value), cuts).alias("_s"))
-        pairs = lagged(coded, [entity], order, "_s", "_p")
+        coded = df.select(entity, order, *ties, bin_state(F.col(value), cuts).alias("_s"))
+        pairs = lagged(coded, [entity], order, "_s", "_p", ties=ties)
         cell = lambda i, j: F.count_if((F.col("_p") == i) & (F.col("_s") == j))
         agg = pairs.groupBy(entity).agg(
             F.max(F.when(F.col("_p").isNull(), F.col("_s"))).alias("first"),

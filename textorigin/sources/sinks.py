@@ -29,11 +29,12 @@ def corpus_manifest(corpus: DataFrame, reasons: DataFrame, rules: dict) -> dict:
     return {"filter_rules": rules, "final_rows": sum(per_source.values()), "samples_per_source_dataset": per_source, "quality": removal_counters(reasons).first().asDict()}
 
 
-def split_manifest(splits: DataFrame) -> dict:
-    """Labels by split and a preview of ids that occur in more than one split."""
+def split_manifest(splits: DataFrame, leaks_path: str | None = None) -> dict:
+    """Labels by split and the number of ids that occur in more than one split; all those ids go to ``leaks_path`` as a table."""
     leaks = leaking_ids(splits)
+    if leaks_path is not None:
+        write_table(leaks, leaks_path)
     return {
         "labels_by_split": {r["split"]: {"0": r["label_0"], "1": r["label_1"]} for r in split_label_table(splits).collect()},
         "leaking_id_count": leaks.count(),
-        "leaking_ids": [r["id"] for r in leaks.orderBy("id").limit(100).collect()],
     }

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fixed_values import TextRules
-from ..operators.corpus import keep_first
 from ..operators.features import document_features
 from ..operators.models import Detector
 from ..plans.scoring import score_texts
@@ -24,27 +22,15 @@ def document_stream(spark: SparkSession, path: str, schema: str = "id string, te
     return reader.load(path)
 
 
-def _known_ids(spark: SparkSession, out: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(out).select("id")
-    except AnalysisException:
-        return None
-
-
 def incremental_features(documents: DataFrame, out: str, checkpoint: str, families: Sequence[str] = ("burst", "struct"),
                          rules: TextRules = TextRules(), once: bool = True) -> StreamingQuery:
-    """Append the features of documents not seen before. Each batch has its own folder, so a repeated batch replaces itself."""
-    def process(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_order", F.monotonically_increasing_id())
-        first = keep_first(rows, ["id"], "_order").drop("_order")
-        known = _known_ids(spark, out)
-        if known is not None:
-            earlier = spark.read.parquet(out).filter(F.col("batch") != number).select("id")
-            first = first.join(earlier, "id", "left_anti")
-        document_features(first, families, rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    writer = documents.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    """Append the features of documents not seen before.
+
+    The ids seen so far are the stream's state, kept by key in the checkpoint: no batch reads what earlier ones have written. The file
+    sink commits each batch once.
+    """
+    first = document_features(documents.dropDuplicates(["id"]), families, rules)
+    writer = first.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -66,9 +52,20 @@ def score_windows(predictions: DataFrame, train_mean: float, train_std: float, t
 
 
 def monitor(predictions: DataFrame, train_mean: float, train_std: float, out: str, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
-    """Keep the window table at ``out`` up to date."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    """Keep the window table at ``out`` up to date: each batch writes the windows that it has changed to a folder of its own.
 
-    writer = score_windows(predictions, train_mean, train_std, **options).writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint)
+    Windows older than the watermark leave the state. A batch that is run again replaces its folder; :func:`monitored` reads the table.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = score_windows(predictions, train_mean, train_std, **options).writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def monitored(spark: SparkSession, out: str) -> DataFrame:
+    """The latest state of every window."""
+    rows = spark.read.parquet(out)
+    names = [c for c in rows.columns if c not in ("batch", "window_start")]
+    last = rows.groupBy("window_start").agg(F.max_by(F.struct(*names), "batch").alias("w"))
+    return last.select("window_start", *[f"w.{c}" for c in names])

@@ -54,9 +54,7 @@ def contrasts(spark, sf):
 
 
 def _scale_table(spark, sf):
-    # the joins below read the statistics once per scale
-    stats = cut_lineage(_rounded(L.loss_statistics(losses(spark, sf))))
-    return S.scale_table({m: stats.select("id", *[c for c in stats.columns if c.startswith(m)]) for m in S.SCALES})
+    return S.scale_columns(cut_lineage(_rounded(L.loss_statistics(losses(spark, sf)))))
 
 
 def scale_response(spark, sf):

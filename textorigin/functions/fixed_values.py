@@ -139,14 +139,14 @@ MIN_STEPS = 20
 TINY = 1e-12
 SMALL = 1e-8
 
-# Reasons shown with a score, in the order they are tried, and the fallback.
-EVIDENCE_TEMPLATE = "模板化表达比例较高。"
-EVIDENCE_SENTENCES = "句长标准差较低，文本节奏较平滑。"
-EVIDENCE_LOSS = "token-level loss 波动较小。"
-EVIDENCE_COMPRESSION = "压缩率较高，说明文本可能具有较强规则性。"
-EVIDENCE_PAIR = "双模型 PPL ratio 可作为 AI-like pattern 的对比证据。"
-EVIDENCE_FEATURE = " 是较突出的证据特征。"
-EVIDENCE_NONE = "未发现单一强证据，结果主要来自多特征分类器。"
+# Reasons shown with a score, in the order they are tried, and the fallback.
+EVIDENCE_TEMPLATE = "many set phrases"
+EVIDENCE_SENTENCES = "sentences of nearly the same length"
+EVIDENCE_LOSS = "an even surprise from token to token"
+EVIDENCE_COMPRESSION = "a text that packs unusually well"
+EVIDENCE_PAIR = "the two language models disagree about the text"
+EVIDENCE_FEATURE = " stands out"
+EVIDENCE_NONE = "no single strong sign; the classifier weighs many small ones"
 
 
 @dataclass(frozen=True)

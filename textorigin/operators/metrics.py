@@ -269,6 +269,13 @@ def bootstrap_intervals(pred: DataFrame, cells: Sequence[str] = (), replicates:
 ALPHAS = tuple(i * 0.1 for i in range(10)) + (1.0,)
 
 
+def joined_scores(first: DataFrame, second: DataFrame, keys: Sequence[str] = ("id",), names: Sequence[str] = ("score_a", "score_b")) -> DataFrame:
+    """Two prediction tables as one: the rows both have, labels from the first, each table's score under a name of its own."""
+    a = first.withColumnRenamed("ai_probability", names[0])
+    b = second.select(*keys, F.col("ai_probability").alias(names[1]))
+    return a.join(b, list(keys))
+
+
 def fused(pred: DataFrame, first: str, second: str) -> DataFrame:
     """Every row at every mixing weight: alpha * first + (1 - alpha) * second."""
     a = F.explode(F.array(*[F.lit(x) for x in ALPHAS]))

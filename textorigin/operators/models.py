@@ -42,14 +42,15 @@ def logistic(c: float = 1.0, l1: bool = False, iterations: int = 100) -> Candida
     return Candidate("logistic_regression", {"C": c, "l1": l1}, build)
 
 
-def forest(trees: int = 300, depth: int | None = None, min_leaf: int = 1, max_features: str = "sqrt", seed: int = 42) -> Candidate:
-    """Random forest; no depth limit means Spark's largest depth, 30."""
+def forest(trees: int = 300, depth: int | None = None, min_leaf: int = 1, max_features: str = "sqrt", seed: int = 42, balanced: bool = True) -> Candidate:
+    """Random forest, with balanced class weights or none; no depth limit means Spark's largest depth, 30."""
     def build(_: int) -> list:
+        weight = {"weightCol": "weight"} if balanced else {}
         return [RandomForestClassifier(
-            featuresCol="raw_features", weightCol="weight", numTrees=trees, maxDepth=depth or 30, minInstancesPerNode=min_leaf,
+            featuresCol="raw_features", **weight, numTrees=trees, maxDepth=depth or 30, minInstancesPerNode=min_leaf,
             featureSubsetStrategy=max_features, seed=seed)]
 
-    return Candidate("random_forest", {"trees": trees, "depth": depth, "min_leaf": min_leaf, "max_features": max_features}, build)
+    return Candidate("random_forest", {"trees": trees, "depth": depth, "min_leaf": min_leaf, "max_features": max_features, "balanced": balanced}, build)
 
 
 def boosting(rounds: int = 200, depth: int = 3, rate: float = 0.05, subsample: float = 0.9, seed: int = 42) -> Candidate:
@@ -64,9 +65,10 @@ def default_candidates() -> list[Candidate]:
 
 
 def tuning_grid() -> list[Candidate]:
-    """4 logistic, 36 forest and 8 boosting settings."""
+    """4 logistic, 72 forest and 8 boosting settings."""
     out = [logistic(c) for c in (0.01, 0.1, 1.0, 10.0)]
-    out += [forest(n, d, leaf, m) for n, d, leaf, m in itertools.product((300, 500), (None, 12, 20), (1, 3, 5), ("sqrt", "log2"))]
+    axes = itertools.product((300, 500), (None, 12, 20), (1, 3, 5), ("sqrt", "log2"), (True, False))
+    out += [forest(n, d, leaf, m, balanced=b) for n, d, leaf, m, b in axes]
     out += [boosting(n, d, r, 0.8) for n, d, r in itertools.product((300, 600), (3, 5), (0.05, 0.1))]
     return out
 

@@ -37,6 +37,19 @@ def scale_table(tables: dict[str, DataFrame], prefixes: dict[str, Sequence[str]]
     return merged, list(tables), [m for m in metrics if m in seen]
 
 
+def scale_columns(table: DataFrame, scales: Sequence[str] = SCALES, prefixes: dict[str, Sequence[str]] | None = None, key: str = "id",
+                  metrics: Sequence[str] = SCALE_METRICS) -> tuple[DataFrame, list[str], list[str]]:
+    """As :func:`scale_table` where all scales already stand in one table: columns are renamed, nothing is joined."""
+    picked, seen = [F.col(key)], set()
+    for scale in scales:
+        for metric in metrics:
+            c = metric_column(table.columns, (prefixes or {}).get(scale, [scale]), metric)
+            if c is not None:
+                picked.append(to_number(F.col(c)).alias(f"{scale}__{metric}"))
+                seen.add(metric)
+    return table.select(*picked), list(scales), [m for m in metrics if m in seen]
+
+
 def line_fit(pts: Column) -> Column:
     """Struct slope, intercept, r2; null below two points, r2 null where y hardly varies."""
     def fit(p, mx, my):

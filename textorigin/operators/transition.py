@@ -76,14 +76,22 @@ def states_from_rank(percent_rank: Column, n: int) -> Column:
     return F.transform(percent_rank, lambda r: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(r * n).cast("int"))))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _neighbours(states: pd.Series, size: pd.Series) -> pd.Series:
+    """Counts of neighbouring pairs (row-major) of a whole batch of state arrays in one pass."""
+    n = int(size.iloc[0]) if len(size) else 1
+    lengths = np.array([0 if s is None else len(s) for s in states])
+    flat = np.concatenate([np.zeros(0, np.int64), *[s for s in states if s is not None]]).astype(np.int64)
+    of = np.repeat(np.arange(len(states)), lengths)
+    same = of[1:] == of[:-1]
+    codes = (of[1:] * n * n + flat[:-1] * n + flat[1:])[same]
+    counts = np.bincount(codes, minlength=len(states) * n * n).reshape(-1, n * n)
+    return pd.Series([None if s is None else c for s, c in zip(states, counts.astype(np.int32))])
+
+
 def pair_counts(states: Column, n: int) -> Column:
     """Struct of first state, length and the n*n counts of neighbouring pairs (row-major)."""
-    def count(s):
-        codes = F.transform(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda b, i: F.get(s, i) * n + b)
-        dense = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.size(c) - F.size(F.array_remove(c, k)))
-        return F.struct(F.get(s, F.lit(0)).alias("first"), F.size(s).alias("n"), A.let(codes, dense).alias("pairs"))
-
-    return A.let(states, count)
+    return F.struct(F.get(states, F.lit(0)).alias("first"), F.size(states).alias("n"), _neighbours(states, F.lit(n)).alias("pairs"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -160,7 +168,8 @@ def _body(n: int):
 
 def profiles(df: DataFrame, states: dict[str, tuple[Column, int]], key: str = "id", with_gap: bool = True) -> DataFrame:
     """Profile of several encodings ``{prefix: (state array, number of states)}`` per row; no shuffle."""
-    staged = df.select(key, *[pair_counts(s, n).alias(f"_c_{p}") for p, (s, n) in states.items()])
+    coded = df.select(key, *[s.alias(f"_a_{p}") for p, (s, _) in states.items()])
+    staged = coded.select(key, *[pair_counts(F.col(f"_a_{p}"), n).alias(f"_c_{p}") for p, (_, n) in states.items()])
     return _profile_select(staged, {p: n for p, (_, n) in states.items()}, key, with_gap)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -19,13 +21,29 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def reuse_or_build(spark: SparkSession, path: str, ids: DataFrame, build: Callable[[], DataFrame], larger: DataFrame | None = None) -> DataFrame:
-    """The table at ``path`` if it covers exactly ``ids``; else rows of a larger table that covers them; else a fresh build."""
-    known = stored(spark, path)
-    if known is not None and C.same_ids(known, ids):
+#: raised whenever a family changes what it computes
+VERSION = 2
+
+
+def fingerprint(corpus: DataFrame, rules: TextRules = TextRules()) -> str:
+    """What the feature tables of a corpus depend on: ids, texts, splits, rules and the code's version.
+
+    Row hashes are added up, so no order is needed and equal rows count.
+    """
+    hashes = F.xxhash64("id", "text", "split").cast("decimal(38,0)")
+    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.sum(hashes).alias("s")).first()
+    return hashlib.md5(f"{VERSION}|{row['n']}|{row['s']}|{rules!r}".encode()).hexdigest()
+
+
+def reuse_or_build(spark: SparkSession, path: str, ids: DataFrame, build: Callable[[], DataFrame], larger: DataFrame | None = None, mark: str = "") -> DataFrame:
+    """The table at ``path`` if it was made under the same ``mark`` and covers exactly ``ids``; else rows of a larger table that
+    covers them; else a fresh build."""
+    known, made_under = stored(spark, path), stored(spark, f"{path}.mark")
+    if known is not None and (not mark or (made_under is not None and made_under.first()[0] == mark)) and C.same_ids(known, ids):
         return known
     made = E.subset(larger, ids) if larger is not None and C.coverage(ids, larger) else build()
     made.write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{path}.mark")
     return spark.read.parquet(path)
 
 
@@ -34,23 +52,25 @@ def feature_tables(corpus: DataFrame, out: str, families: Sequence[str] = ("burs
     """One parquet table per family. Language models and state bins see training rows only."""
     spark, ids = corpus.sparkSession, corpus.select("id")
     at = lambda name: f"{out}/features/{name}"
-    tables = {f: reuse_or_build(spark, at(f), ids, lambda f=f: E.document_features(corpus, [f], rules)) for f in families if f in E.FAMILIES}
+    mark = fingerprint(corpus, rules)
+    build = functools.partial(reuse_or_build, mark=mark)
+    tables = {f: build(spark, at(f), ids, lambda f=f: E.document_features(corpus, [f], rules)) for f in families if f in E.FAMILIES}
     if not set(families) & {"probability", "contrast", "scale", "transition"}:
         return tables
     train = corpus.filter("split = 'train'").select("id", "text")
-    losses = reuse_or_build(spark, at("losses"), ids, lambda: L.GramModel.fit(train).losses(corpus.select("id", "text")))
-    stats = reuse_or_build(spark, at("probability"), ids, lambda: L.loss_statistics(losses))
+    losses = build(spark, at("losses"), ids, lambda: L.GramModel.fit(train).losses(corpus.select("id", "text")))
+    stats = build(spark, at("probability"), ids, lambda: L.loss_statistics(losses))
     if "probability" in families:
         tables["probability"] = stats
     if "contrast" in families:
-        tables["contrast"] = reuse_or_build(spark, at("contrast"), ids, lambda: L.contrasts(stats, [("ng1", "ng2"), ("ng2", "ng4")]))
+        tables["contrast"] = build(spark, at("contrast"), ids, lambda: L.contrasts(stats, [("ng1", "ng2"), ("ng2", "ng4")]))
     if "scale" in families:
-        merged, scales, metrics = S.scale_table({m: stats.select("id", *[c for c in stats.columns if c.startswith(f"{m}_")]) for m in S.SCALES})
-        tables["scale"] = reuse_or_build(spark, at("scale"), ids, lambda: S.scale_response(merged, scales, metrics))
+        merged, scales, metrics = S.scale_columns(stats)
+        tables["scale"] = build(spark, at("scale"), ids, lambda: S.scale_response(merged, scales, metrics))
     if "transition" in families:
         model = "ng2"
         rows = losses.join(corpus.filter("split = 'train'").select("id"), "id", "left_semi")
-        tables["transition"] = reuse_or_build(spark, at("transition"), ids, lambda: X.full_profiles(losses, model, X.train_bins(rows, model), model))
+        tables["transition"] = build(spark, at("transition"), ids, lambda: X.full_profiles(losses, model, X.train_bins(rows, model), model))
     return tables
 
 

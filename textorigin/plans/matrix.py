@@ -45,22 +45,19 @@ def run(definitions: dict[str, tuple[DataFrame, DataFrame]], tests: DataFrame, c
     """Fit the best model per definition and score all test rows (``test_name`` tells the set) with it.
 
     The dev scores of all definitions and candidates go into one table, so choosing the models is one grouped
-    metrics job. Returns (predictions, failures, detectors). A definition that cannot be trained is listed
-    and skipped.
+    metrics job. Returns (predictions, failures, detectors). A definition without rows of both classes is listed
+    and skipped; any other problem ends the run.
     """
     candidates = list(candidates or M.default_candidates())
     fitted, failures, sizes, dev_scores = {}, [], {}, None
     for name, (train, dev) in definitions.items():
-        try:
-            ready = cut_lineage(train.select("id", "label", *cols))
-            stats = C.dataset_stats(ready).first()
-            if not stats["both_classes"]:
-                raise ValueError("training rows have one class only")
-            med = M.column_medians(ready, list(cols))
-            fitted[name] = [M.fit(ready, cols, c, med) for c in candidates]
-        except Exception as problem:  # one bad definition must not end the others
-            failures.append((name, f"{type(problem).__name__}: {str(problem)[:500]}"))
+        ready = cut_lineage(train.select("id", "label", *cols))
+        stats = C.dataset_stats(ready).first()
+        if not stats or not stats["both_classes"]:
+            failures.append((name, "training rows have one class only" if stats and stats["rows"] else "no training rows"))
             continue
+        med = M.column_medians(ready, list(cols))
+        fitted[name] = [M.fit(ready, cols, c, med) for c in candidates]
         sizes[name] = stats["rows"]
         for i, d in enumerate(fitted[name]):
             one = d.score(dev.select("label", *cols)).select(F.lit(name).alias("train_name"), F.lit(i).alias("candidate_index"), "label", "ai_probability", "prediction")

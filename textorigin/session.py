@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,14 @@ def local_session(cores: str = "8", app: str = "textorigin", shuffle_partitions:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, for sessions whose executors do not have it installed."""
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="textorigin-")  # the driver's copy; Spark sends it from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+
+
 _OWN_FOLDERS: dict[str, str] = {}
 _SCRATCH: list[str] = []
 

@@ -77,12 +77,18 @@ def bootstrap(spark, sf):
     return _r(M.bootstrap_intervals(predictions(spark, sf), CELL, replicates=200), {"test_name"})
 
 
+def two_scores(spark, sf):
+    """Two prediction tables of the same rows, joined."""
+    p = predictions(spark, sf)
+    return M.joined_scores(p.drop("other"), p.select("id", F.col("other").alias("ai_probability")))
+
+
 def fusion(spark, sf):
-    return _r(M.fusion_table(predictions(spark, sf), "ai_probability", "other", CELL).select("test_name", "alpha", "auprc", "auroc", "f1"), {"test_name"})
+    return _r(M.fusion_table(two_scores(spark, sf), "score_a", "score_b", CELL).select("test_name", "alpha", "auprc", "auroc", "f1"), {"test_name"})
 
 
 def fusion_choice(spark, sf):
-    return _r(M.choose_alpha(M.fusion_table(predictions(spark, sf), "ai_probability", "other")).select("alpha"), set())
+    return _r(M.choose_alpha(M.fusion_table(two_scores(spark, sf), "score_a", "score_b")).select("alpha"), set())
 
 
 def score_average(spark, sf):

@@ -14,21 +14,20 @@ from .dynamics import _scaled
 from .reporting import features
 from .sequences import losses, train_bins_of
 from ..operators import surprise as L, transition as T
-from .tables import documents, table
+from .tables import documents, stage, table
 
-_CACHE: dict = {}
 # fewer trees, rounds and iterations than the library defaults; all rows and columns are used
 LINEAR = M.logistic(iterations=20)
 LIGHT = [LINEAR, M.forest(20, 8), M.boosting(10)]
 
 
 def _table(spark, sf):
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _CACHE:
+    def build():
         meta = C.resplit(corpora.labelled(spark, sf))
         probability = L.loss_statistics(losses(spark, sf))
-        _CACHE[at] = cut_lineage(E.merge_families(meta, [features(spark, sf), structure(spark, sf), probability]))
-    return _CACHE[at]
+        return E.merge_families(meta, [features(spark, sf), structure(spark, sf), probability])
+
+    return stage(spark, sf, "model_table", build)
 
 
 def _cols(df):
@@ -54,7 +53,7 @@ def hyper_parameters(spark, sf):
 
 def importance(spark, sf):
     _, train, _, _, cols = _parts(spark, sf)
-    return M.importance_table(spark, M.fit(train, cols, M.forest(20, 8)))
+    return M.importance_table(spark, M.fit(train, cols, M.forest()))
 
 
 def l1_selection(spark, sf):
@@ -66,7 +65,7 @@ def selection_modes(spark, sf):
     _, train, dev, _, cols = _parts(spark, sf)
     base = [c for c in cols if c.startswith("burst_")]
     extra = [c for c in cols if not c.startswith("burst_")]
-    return M.choose_selection(train, dev, base, extra, ("all", "top10", "l1"), [LINEAR], 20)[2].select("selection_mode", "n_features", "auprc", "auroc", "f1")
+    return M.choose_selection(train, dev, base, extra, candidates=[LINEAR])[2].select("selection_mode", "n_features", "auprc", "auroc", "f1")
 
 
 def ablation(spark, sf):
@@ -75,12 +74,12 @@ def ablation(spark, sf):
 
 
 def _predictions(spark, sf):
-    at = ("matrix", spark.sparkContext.applicationId, sf)
-    if at not in _CACHE:
+    def build():
         df, *_, cols = _parts(spark, sf)
         tests = df.filter("split = 'test'").withColumn("test_name", F.col("source_dataset"))
-        _CACHE[at] = P.run(P.train_sets(df, corpora.sources_of(df)), tests, cols, [LINEAR, M.forest(10, 6)])[0]
-    return _CACHE[at]
+        return P.run(P.train_sets(df, corpora.sources_of(df)), tests, cols, [LINEAR, M.forest(10, 6)])[0]
+
+    return stage(spark, sf, "matrix_predictions", build)
 
 
 def source_matrix(spark, sf):
@@ -88,7 +87,7 @@ def source_matrix(spark, sf):
 
 
 def source_matrix_intervals(spark, sf):
-    return P.matrix_with_intervals(_predictions(spark, sf), 50)
+    return P.matrix_with_intervals(_predictions(spark, sf), 200)
 
 
 def targeted_matrix(spark, sf):
@@ -127,7 +126,7 @@ def scored_texts(spark, sf):
     """New texts (the benchmark passages) scored by a detector trained on the labelled documents."""
     df, train, _, _, cols = _parts(spark, sf)
     basic = [c for c in cols if c.startswith(("burst_", "struct_"))]
-    detector = M.fit(train, basic, M.forest(20, 8))
+    detector = M.fit(train, basic, M.forest())
     new = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
     out = S.score_texts(detector, new)
     return out.select("id", "answer", "ai_probability", "risk_level", F.array_join("top_evidence", " ").alias("top_evidence"))

@@ -13,17 +13,12 @@ from ..session import cut_lineage
 from . import corpora
 from .documents import BURST_SQL, R6, STRUCT_SQL, burstiness, structure
 from .evaluation import PRED_SQL, predictions
-from .tables import documents, labels
-
-_CACHE: dict = {}
+from .tables import documents, labels, stage
 
 
 def features(spark, sf):
     """Burstiness features of all documents, rounded so that both engines share the exact values; computed once."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _CACHE:
-        _CACHE[at] = cut_lineage(burstiness(spark, sf))
-    return _CACHE[at]
+    return stage(spark, sf, "burstiness", lambda: burstiness(spark, sf))
 
 
 def called(spark, sf):

@@ -10,9 +10,7 @@ from ..operators import corpus as C, scale as S, surprise as L, transition as X
 from ..session import cut_lineage
 from .corpora import META_SQL, meta
 from .documents import DOCS, R6, RATIO, TOKENS
-from .tables import documents, table
-
-_CACHE: dict = {}
+from .tables import documents, stage, table
 
 
 def split_of(spark, sf):
@@ -20,13 +18,14 @@ def split_of(spark, sf):
 
 
 def losses(spark, sf):
-    """Token-loss table of all documents, trained on the training split; written once per session and reused."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _CACHE:
+    """Token-loss table of all documents, trained on the training split."""
+
+    def build():
         docs = documents(spark, sf).select("id", "text")
         train = docs.join(split_of(spark, sf).filter("split = 'train'").select("id"), "id", "left_semi")
-        _CACHE[at] = cut_lineage(L.GramModel.fit(train).losses(docs))
-    return _CACHE[at]
+        return L.GramModel.fit(train).losses(docs)
+
+    return stage(spark, sf, "losses", build)
 
 
 _rounded = rounded_table

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +22,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
 
 
+_STAGES: dict[tuple, DataFrame] = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries share, written once per session and state of its input files.
+
+    The files' names, sizes and times belong to the key, so a changed input is computed anew.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")])
+    stamp = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s")).first()
+    key = (spark.sparkContext.applicationId, name, sf_dir, stamp["n"], stamp["s"])
+    if key not in _STAGES:
+        _STAGES[key] = cut_lineage(build())
+    return _STAGES[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ``id``, ``text`` and corpus metadata."""
     df = table(spark, sf_dir, "documents").select(

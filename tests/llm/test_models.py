@@ -89,10 +89,14 @@ def test_expectation_maximisation(spark):
     assert all(bad[1] > 0.15 and fine[1] <= 0.003 for fine, bad in model["rules"].values())
 
 
-def test_toxicity(documents, labels, odd, empty):
-    out = toxicity.op6(documents, labels)
-    seen = out.withColumnRenamed("toxic", "called").join(labels, "doc_id").collect()
-    assert out.count() == documents.count() and all(bool(r.toxic) == r.called for r in seen)
+def test_toxicity(spark, documents, labels, odd, empty):
+    # held-out documents: most toxic ones are found, and hardly a clean one is called so
+    many, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.op6(many, marks.filter("doc_id % 4 <> 0"))
+    seen = out.withColumnRenamed("toxic", "called").join(marks, "doc_id").filter("doc_id % 4 = 0").collect()
+    assert out.count() == many.count()
+    assert np.mean([r.called for r in seen if r.toxic]) >= 0.85 and np.mean([r.called for r in seen if not r.toxic]) <= 0.01
+    assert toxicity.op6(documents, labels).count() == documents.count()
     chain = toxicity.fit(documents, labels.limit(0), ("toxic",))
     assert {r.p_toxic for r in toxicity.score(odd, chain).collect()} == {0.0} and toxicity.score(empty, chain).count() == 0
     clash = odd.withColumn("p_toxic", F.lit("x")).withColumn("_words", F.lit(1))

@@ -137,7 +137,6 @@ def test_full_caches_give_the_same_ids(plain, odd_rows, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(tokens, "KEPT_PIECES", 5)
-    monkeypatch.setattr(tokens, "KEPT_RUNS", 5)
     monkeypatch.setattr(tokens, "PIECE_BYTES", 300)
     monkeypatch.setattr(tokens, "SLOTS", 4)
     texts = [r[1] or "" for r in odd_rows]

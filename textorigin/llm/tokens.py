@@ -8,6 +8,7 @@ frames, a flag byte and the magic number. A reader fetches the last bytes, the t
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -30,7 +31,9 @@ LEVEL = 3
 #: text bytes that one file takes, roughly
 FILE_BYTES = 64 << 20
 #: pieces of text whose ids a worker remembers (about 150 bytes each), and bytes of text that it handles at once
-KEPT_PIECES, PIECE_BYTES = 1_000_000, 8 << 20
+KEPT_PIECES, PIECE_BYTES = 1_000_000, 4 << 20
+#: places for looking up remembered pieces without sorting
+SLOTS = 1 << 21
 #: Fixed values of the zstandard seekable format: magic numbers of the frames and of the footer
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _FOOTER, _ENTRY, _ID, _HEAD = struct.Struct("<IBI"), np.dtype("<u4, <u4, <u4"), np.dtype([("has", "u1"), ("id", "<i8")]), struct.Struct("<II")
@@ -39,9 +42,12 @@ MANIFEST = "file string, part int, documents long, ids long"
 ROWS = "doc_id long, at long, n_tokens long, ids_crc32 long, part int"
 
 
-#: letters, digits and punctuation that a byte-level splitting step always tells apart; no apostrophe, for it may start a piece
-_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
-_RUNS = re.compile(f"(?:^ )?[{_LETTERS}]+|(?:^ )?[0-9]+|(?:^ )?[{_MARKS}]+")
+#: kinds of characters that a byte-level splitting step always tells apart; no apostrophe, for it may start a piece
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+_RUN = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+")
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]], _KIND[48:58] = 1, 2
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
 
@@ -65,13 +71,24 @@ def _white(raw: np.ndarray) -> np.ndarray:
     return white
 
 
+def _alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
+
+
+_ALPHABET = _alphabet()
+
+
 class Encoder:
     """Ids of whole texts, the same as encoding each text at once.
 
     The first splitting step of a byte-level vocabulary joins at most one blank to what follows, and nothing to what
-    precedes. So a text may be cut before each blank, and on both sides of each line end, that stands between two characters that
-    are no white space. The pieces of a slice are told apart by 64-bit hashes, only distinct ones go to the tokenizer, and
-    the ids of the first KEPT_PIECES are remembered. Texts for other vocabularies are not cut.
+    precedes; and it tells letters, digits and punctuation apart. So a text may be cut before each blank, and on both sides of each
+    line end, that stands between two characters that are no white space, and between two plain characters of different kinds.
+    The pieces of a slice are told apart by 64-bit hashes, only new ones go to the tokenizer, and the ids of the first
+    KEPT_PIECES are remembered. Texts for other vocabularies are not cut.
     """
 
     def __init__(self, path: str):
@@ -82,50 +99,49 @@ class Encoder:
         own = json.loads(self.model.to_str())
         before, added = own.get("pre_tokenizer") or {}, own.get("added_tokens") or []
         self.special = [t["content"] for t in added]
-        line = self.model.encode("\n", add_special_tokens=False).ids
-        self.line = line[0]
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
-        self.cuts = self.cuts and len(line) == 1 and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.cuts = self.cuts and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.known: dict[int, int] = {}
-        self.runs: dict[str, bytes] = {}
         self.ids, self.filled = np.zeros(1 << 20, np.uint32), 0
         self.places = np.zeros((1 << 16, 2), np.int64)
+        self.slot_key, self.slot_place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
 
-    def _add(self, hashes: list[int], got: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    def _add(self, hashes: list[int], got: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
         at, n = len(self.known), int(sizes.sum())
         while at + len(got) > len(self.places):
             self.places = np.concatenate([self.places, np.zeros_like(self.places)])
         while self.filled + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.filled : self.filled + n] = np.frombuffer(b"".join(got), "<u4")
+        self.ids[self.filled : self.filled + n] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, n)
         self.places[at : at + len(got), 0], self.places[at : at + len(got), 1] = self.filled + np.cumsum(sizes) - sizes, sizes
         self.known.update(zip(hashes, range(at, at + len(got))))
         self.filled += n
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        """Plain pieces are cut once more, between letters, digits and punctuation; those runs repeat even more."""
-        runs = [_RUNS.findall(p) if self.cuts else [] for p in pieces]
-        plain = ["".join(own) == p and not any(t in p for t in self.special) for own, p in zip(runs, pieces)]
-        fresh = list({r for own, good in zip(runs, plain) if good for r in own}.difference(self.runs))
-        # many runs in one text, one per line: a line end is a token of its own
-        for i in range(0, len(fresh), 5_000):
-            part = fresh[i : i + 5_000]
-            ids = np.array(self.model.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
-            data, begin = ids.tobytes(), 0
-            for run, stop in zip(part, np.flatnonzero(ids == self.line).tolist(), strict=True):
-                self.runs[run] = data[begin : 4 * stop]
-                begin = 4 * stop + 4
-        whole = [b"".join([self.runs[r] for r in own]) for own, good in zip(runs, plain) if good]
-        self._add([h for h, good in zip(hashes, plain) if good], whole)
-        if len(self.runs) > KEPT_PIECES:
-            for r in fresh:
-                del self.runs[r]
-        others = [(h, p) for h, p, good in zip(hashes, pieces, plain) if not good]
+        """Runs of letters, digits or punctuation go straight to the vocabulary's merges, in the alphabet of its bytes; other
+        pieces through all steps of the tokenizer."""
+        special = [t for t in self.special if any(t in p for p in pieces)]
+        good = [self.cuts and bool(_RUN.fullmatch(p)) and not any(t in p for t in special) for p in pieces]
+        plain = [p for p, ok in zip(pieces, good) if ok]
+        if plain:
+            spelled = "\n".join(plain).encode().decode("latin-1").translate(_ALPHABET).split(_ALPHABET[10])
+            tokenize = self.model.model.tokenize
+            self._add([h for h, ok in zip(hashes, good) if ok], [[t.id for t in tokenize(w)] for w in spelled])
+        others = [(h, p) for h, p, ok in zip(hashes, pieces, good) if not ok]
         for i in range(0, len(others), 1_000):
             part = others[i : i + 1_000]
             got = self.model.encode_batch_fast([p for _, p in part], add_special_tokens=False)
-            self._add([h for h, _ in part], [np.array(e.ids, "<u4").tobytes() for e in got])
+            self._add([h for h, _ in part], [e.ids for e in got])
+
+    def _kinds(self, raw: np.ndarray) -> np.ndarray:
+        """Per byte: 1 letter, 2 digit, 3 punctuation, 0 anything else; a letter is one of ASCII or of U+00C0 to U+023F."""
+        kind = _KIND[raw]
+        at = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC8))
+        at = at[at + 1 < len(raw)]
+        at = at[~((raw[at] == 0xC3) & ((raw[at + 1] == 0x97) | (raw[at + 1] == 0xB7)))]
+        kind[at] = kind[at + 1] = 1
+        return kind
 
     def _cuts(self, raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Begins of the pieces, ascending; every text that is not empty begins one."""
@@ -138,6 +154,10 @@ class Encoder:
             alone[ends - 1] = alone[ends[:-1]] = False
             cut[:-1] = alone
             cut[1:][alone & (raw == 10)] = True
+            data = raw.tobytes()
+            if not any(t.encode() in data for t in self.special):
+                kind = self._kinds(raw)
+                cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         cut[borders[:-1][borders[1:] > borders[:-1]]] = True
         return np.flatnonzero(cut[:-1])
 
@@ -150,17 +170,34 @@ class Encoder:
     def _slice(self, raw: np.ndarray, borders: np.ndarray) -> Iterator[bytes]:
         begin = self._cuts(raw, borders)
         end = np.append(begin[1:], len(raw)) if len(begin) else begin
-        keys, first, which = np.unique(W.hashes(raw, begin, end, W.SAME), return_index=True, return_inverse=True)
-        listed = keys.tolist()
+        keys = W.hashes(raw, begin, end, W.SAME)
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int32)
+        place = self.slot_place[slot]
+        place[self.slot_key[slot] != keys] = -1
+        # what the slots do not hold: by distinct pieces, through the dictionary
+        open_ = np.flatnonzero(place < 0)
+        distinct, first, which = np.unique(keys[open_], return_index=True, return_inverse=True)
+        first, listed = open_[first], distinct.tolist()
         had, filled = len(self.known), self.filled
         new = [i for i, h in enumerate(listed) if h not in self.known]
         if new:
+            at = first[new]
             data = raw.tobytes()
-            self._learn([listed[i] for i in new], [data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
-        at = self.places[np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))]
-        starts, sizes = at[:, 0][which], at[:, 1][which]
+            self._learn([listed[i] for i in new], [data[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())])
+        found = np.fromiter(map(self.known.__getitem__, listed), np.int32, len(listed))
+        place[open_] = found[which]
+        if len(self.known) > KEPT_PIECES:
+            late = found >= had
+            distinct, found = distinct[~late], found[~late]
+        at = (distinct & np.uint64(SLOTS - 1)).astype(np.int32)
+        free = self.slot_key[at] == 0
+        self.slot_key[at[free]], self.slot_place[at[free]] = distinct[free], found[free]
+        # two pieces of one call may want the same slot: the last key and the last place are of the same piece
+        starts, sizes = self.places[place, 0], self.places[place, 1]
         stops = np.cumsum(sizes)
-        out = self.ids[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)].astype("<u4")
+        steps = np.repeat((starts - (stops - sizes)).astype(np.int32), sizes)
+        steps += np.arange(len(steps), dtype=np.int32)
+        out = self.ids[steps].astype("<u4", copy=False)
         per_text = np.concatenate([[0], stops])[np.searchsorted(begin, borders)]
         tail = np.array([END_ID], "<u4").tobytes()
         data = out.tobytes()

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textorigin.operators import features as E, models as M, surprise as L
+from textorigin.operators import corpus as C, features as E, models as M, surprise as L
 from textorigin.plans import job, scoring
 from textorigin.sources import losses as SL, readers as R, sinks
 from textorigin.streaming import incremental as T
@@ -141,3 +141,49 @@ def test_stream_equals_batch_and_repeats_nothing(spark, corpus, tmp_path):
     detector = M.fit(features, ["burst_word_count", "burst_type_token_ratio"], M.logistic())
     T.stream_scores(T.document_stream(spark, src), detector, str(tmp_path / "scores"), str(tmp_path / "state2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "scores")).count() == 170
+
+
+def test_external_ids_beyond_a_million(spark):
+    fields = F.create_map(F.lit("text"), F.concat(F.lit("text number "), F.col("id").cast("string")))
+    records = spark.range(1_000_000, 1_000_020).select(F.col("id").alias("position"), fields.alias("fields"))
+    rows = R.external_rows(records).collect()
+    assert len({r["id"] for r in rows}) == len(rows) == 20
+
+
+def test_external_folder_counts_on(spark, tmp_path):
+    for name, texts in (("a", ["one", "two"]), ("b", ["three"])):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"text": t} for t in texts]))
+    rows = R.read_external(spark, str(tmp_path)).collect()
+    assert sorted((r["id"][-2:], r["text"]) for r in rows) == [("00", "one"), ("01", "two"), ("02", "three")]
+
+
+def test_equal_records_end_as_one_row(spark):
+    text = "word " * 60
+    fields = [{"text": text, "label": "1"}] * 3 + [{"text": "other " * 60, "label": "0"}]
+    rows = R.generic_rows(spark.createDataFrame([("/c/x.jsonl", f) for f in fields], f"path string, fields {R.FIELDS}"), "c")
+    assert C.removal_reasons(rows, "id").filter("reason = 'duplicate'").count() == 2
+    assert C.clean_corpus(rows, "id").count() == 2
+    assert C.keep_first(rows, ["text"], "id").count() == 2
+
+
+def test_all_rows_of_a_corpus_stay(spark, tmp_path):
+    (tmp_path / "big.jsonl").write_text("".join(json.dumps({"text": f"text {i}", "label": str(i % 2)}) + "\n" for i in range(1_500)))
+    rules = R.CorpusRules("big")
+    assert R.load_corpus(spark, str(tmp_path), rules).count() == 1_500
+    assert R.load_corpus(spark, str(tmp_path), rules, max_per_group=100).count() < 1_500
+
+
+def test_row_cap_adds_up(spark):
+    rows = [(str(i), 0 if i < 3 else i % 2 + 1) for i in range(200)]
+    capped = C.row_cap(spark.createDataFrame(rows, "id string, label int"), 50)
+    assert capped.count() == 50 and {r["label"] for r in capped.select("label").distinct().collect()} == {0, 1, 2}
+
+
+def test_new_split_rebuilds_losses(spark, tmp_path):
+    rows = [(str(i), " ".join(f"w{(i * k) % 13}" for k in range(30)), i % 2, "train" if i < 15 else "test") for i in range(30)]
+    corpus = spark.createDataFrame(rows, "id string, text string, label int, split string")
+    tables = lambda df: job.feature_tables(df, str(tmp_path / "run"), ("probability",))["probability"].agg(F.sum("ng2_loss_mean")).first()[0]
+    first = tables(corpus)
+    again = tables(corpus)
+    other = tables(corpus.withColumn("split", F.when(F.col("split") == "train", "test").otherwise("train")))
+    assert first == again and other != first

@@ -151,6 +151,19 @@ def melt(spark, sf):
     return R.melted(metric_table(spark, sf), ["train_name", "test_name"], ["auroc", "f1"])
 
 
+def collected(spark, sf):
+    """Tables of two kinds as one, ranked."""
+    m = corpora.meta(spark, sf)
+    tables = {"language": m.groupBy("source_dataset").count(), "domain": m.groupBy("domain").count()}
+    return R.ranked_results(R.collected(tables), ("count",))
+
+
+def renamed_features(spark, sf):
+    """Two feature columns under names of a model."""
+    f = features(spark, sf).select("id", "burst_word_count", "burst_char_count")
+    return E.renamed(f, prefix="m_", suffix="_v2")
+
+
 def distribution(spark, sf):
     return R.distribution_json(corpora.meta(spark, sf), ["source_dataset"], "domain")
 
@@ -169,7 +182,7 @@ QUERIES = {
     "top_deviations": deviations, "column_quantiles": medians, "column_audit": audit, "clean_columns": clean_columns, "merge_and_impute": merged,
     "pooled_left_join": pooled, "join_one_to_one": one_to_one, "error_summary": error_summary, "top_errors": top_errors, "error_rate_by_length": error_rate_by_length,
     "metric_matrix": matrix, "external_drop": external_drop, "generalisation_gap": gap, "best_method": best, "against_reference": delta, "melted_metrics": melt,
-    "distribution_json": distribution, "risk_level": risk, "evidence": evidence,
+    "collected_results": collected, "renamed_features": renamed_features, "distribution_json": distribution, "risk_level": risk, "evidence": evidence,
 }
 
 FEAT = f"ft as materialized ({BURST_SQL.strip()})"
@@ -205,6 +218,8 @@ def _matrix_sql():
 MATRIX = _matrix_sql()
 _Q3 = lambda k, n: f"quantile_cont(ai_probability, {k}) filter (label = {n})"
 ORACLES = {
+    "collected_results": f"with {corpora.META_SQL} select source_dataset, null as domain, count(*) as count, 'language' as experiment from meta group by 1 union all select null, domain, count(*), 'domain' from meta group by 2",
+    "renamed_features": f"with {FEAT} select id, burst_word_count as m_burst_word_count_v2, burst_char_count as m_burst_char_count_v2 from ft",
     "feature_shift": f"with {SHIFT_SQL} select test_name, feature, " + ", ".join(f"{R6(c, 4)} as {c}" for c in ("train_mean", "train_variance", "test_mean", "test_variance", "standardized_mean_difference", "ks_statistic")) + " from sh",
     "top_shifts": f"with {SHIFT_SQL}, rk as (select *, row_number() over (partition by test_name order by standardized_mean_difference desc nulls last, ks_statistic desc, feature) as r from sh) select test_name, feature, {R6('standardized_mean_difference', 4)} as standardized_mean_difference from rk where r <= 30",
     "shift_summary": f"with {SHIFT_SQL} select test_name, {R6('avg(standardized_mean_difference)', 4)} as mean_smd, {R6('avg(ks_statistic)', 4)} as mean_ks from sh group by 1",

@@ -93,6 +93,17 @@ named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+""",
+    "op3_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text", ANY_WORD)} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT r AS a, doc_id AS c FROM d UNION SELECT u.b, reach.c FROM reach JOIN u ON u.a = reach.a),
+m AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id IS NOT DISTINCT FROM c AS kept FROM d JOIN m ON m.a = d.r LEFT JOIN n USING (r)
 """,
     "op9_substring_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),

@@ -217,3 +217,46 @@ def test_query_equals_duckdb(spark, sf, name):
 
 def test_queries():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_against_brute_force(spark, sf, documents, plain):
+    """Every stage on what its predecessor kept, in plain Python, and the rows of run()."""
+    from test_pairs_and_passages import brute_components, brute_hits
+
+    from textorigin.llm import compression
+
+    labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    rows = {r.doc_id: r for r in documents.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    m = compression.fit(documents, labels, train=~compression.held_out("doc_id"))
+    x = (compression.features([r.text.encode() for r in rows.values()], m.good, m.bad) - np.array(m.mean)) / np.array(m.scale)
+    good = [i for i, z in zip(rows, m.weights[0] + x @ np.array(m.weights[1:])) if z >= 0]
+    docs = stages["quality classifier"](spark, documents, sf).cache()
+    assert ids(docs) == sorted(good)
+
+    kept = [i for i, _, _, keep in brute_components([(i, rows[i].text) for i in good], 5, 80) if keep]
+    docs = stages["minhash near-dedup"](spark, docs, sf).cache()
+    assert ids(docs) == sorted(kept)
+
+    clean = [r[0] for r in brute_hits([(i, rows[i].text) for i in kept], [(r.item_id, r.text) for r in items.collect()]) if not r[5]]
+    docs = stages["benchmark decontamination"](spark, docs, sf).cache()
+    assert ids(docs) == sorted(clean)
+
+    docs = stages["source mixing"](spark, docs, sf).cache()
+    copies, sizes = Counter(ids(docs)), {i: len(re.findall(ANY, rows[i].text)) for i in clean}
+    names = sorted({rows[i].source for i in clean})
+    per = {s: sum(sizes[i] for i in clean if rows[i].source == s) for s in names}
+    want = mixing.targets([per[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(per.values()), 2)
+    assert set(copies) <= set(clean) and max(copies.values()) <= 2
+    for s, t in zip(names, want):
+        own = [i for i in clean if rows[i].source == s]
+        assert abs(sum(copies[i] * sizes[i] for i in own) - t) <= max(sizes[i] for i in own) / 2 + 1
+
+    expected, at = [], 0
+    for i in sorted(copies.elements()):
+        raw = want_of(plain, rows[i].text)
+        expected.append((i, at, len(raw) // 4, zlib.crc32(raw)))
+        at += len(raw) // 4
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == expected

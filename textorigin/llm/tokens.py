@@ -30,10 +30,10 @@ END_ID = 0
 LEVEL = 3
 #: text bytes that one file takes, roughly
 FILE_BYTES = 64 << 20
-#: pieces of text whose ids a worker remembers (about 150 bytes each), and bytes of text that it handles at once
+#: pieces of text whose ids a worker remembers (about 80 MB in all), and bytes of text that it handles at once
 KEPT_PIECES, PIECE_BYTES = 1_000_000, 4 << 20
 #: places for looking up remembered pieces without sorting
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 #: Fixed values of the zstandard seekable format: magic numbers of the frames and of the footer
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _FOOTER, _ENTRY, _ID, _HEAD = struct.Struct("<IBI"), np.dtype("<u4, <u4, <u4"), np.dtype([("has", "u1"), ("id", "<i8")]), struct.Struct("<II")
@@ -101,38 +101,41 @@ class Encoder:
         self.special = [t["content"] for t in added]
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
         self.cuts = self.cuts and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-        self.known: dict[int, int] = {}
+        # ids of all pieces one after the other, begin and length of each piece, and two places in a table for each hash
         self.ids, self.filled = np.zeros(1 << 20, np.uint32), 0
-        self.places = np.zeros((1 << 16, 2), np.int64)
+        self.places, self.count = np.zeros((1 << 16, 2), np.int32), 0
         self.slot_key, self.slot_place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
 
-    def _add(self, hashes: list[int], got: list[list[int]]) -> None:
+    def _add(self, got: list[list[int]]) -> np.ndarray:
+        """Append the ids of pieces; returns the pieces' numbers."""
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        at, n = len(self.known), int(sizes.sum())
+        at, n = self.count, int(sizes.sum())
         while at + len(got) > len(self.places):
             self.places = np.concatenate([self.places, np.zeros_like(self.places)])
         while self.filled + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.filled : self.filled + n] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, n)
         self.places[at : at + len(got), 0], self.places[at : at + len(got), 1] = self.filled + np.cumsum(sizes) - sizes, sizes
-        self.known.update(zip(hashes, range(at, at + len(got))))
         self.filled += n
+        self.count += len(got)
+        return np.arange(at, at + len(got), dtype=np.int32)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> np.ndarray:
         """Runs of letters, digits or punctuation go straight to the vocabulary's merges, in the alphabet of its bytes; other
-        pieces through all steps of the tokenizer."""
+        pieces through all steps of the tokenizer. Returns the pieces' numbers."""
         special = [t for t in self.special if any(t in p for p in pieces)]
-        good = [self.cuts and bool(_RUN.fullmatch(p)) and not any(t in p for t in special) for p in pieces]
-        plain = [p for p, ok in zip(pieces, good) if ok]
-        if plain:
-            spelled = "\n".join(plain).encode().decode("latin-1").translate(_ALPHABET).split(_ALPHABET[10])
+        good = np.array([self.cuts and bool(_RUN.fullmatch(p)) and not any(t in p for t in special) for p in pieces], bool)
+        out = np.empty(len(pieces), np.int32)
+        if good.any():
+            spelled = "\n".join(itertools.compress(pieces, good)).encode().decode("latin-1").translate(_ALPHABET).split(_ALPHABET[10])
             tokenize = self.model.model.tokenize
-            self._add([h for h, ok in zip(hashes, good) if ok], [[t.id for t in tokenize(w)] for w in spelled])
-        others = [(h, p) for h, p, ok in zip(hashes, pieces, good) if not ok]
+            out[good] = self._add([[t.id for t in tokenize(w)] for w in spelled])
+        others = np.flatnonzero(~good)
         for i in range(0, len(others), 1_000):
             part = others[i : i + 1_000]
-            got = self.model.encode_batch_fast([p for _, p in part], add_special_tokens=False)
-            self._add([h for h, _ in part], [e.ids for e in got])
+            got = self.model.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False)
+            out[part] = self._add([e.ids for e in got])
+        return out
 
     def _kinds(self, raw: np.ndarray) -> np.ndarray:
         """Per byte: 1 letter, 2 digit, 3 punctuation, 0 anything else; a letter is one of ASCII or of U+00C0 to U+023F."""
@@ -167,32 +170,33 @@ class Encoder:
         for low, high in W.slices(borders, PIECE_BYTES):
             yield from self._slice(raw[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
 
+    @staticmethod
+    def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys & np.uint64(SLOTS - 1)).astype(np.int32), ((keys >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int32)
+
     def _slice(self, raw: np.ndarray, borders: np.ndarray) -> Iterator[bytes]:
         begin = self._cuts(raw, borders)
         end = np.append(begin[1:], len(raw)) if len(begin) else begin
         keys = W.hashes(raw, begin, end, W.SAME)
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int32)
-        place = self.slot_place[slot]
-        place[self.slot_key[slot] != keys] = -1
-        # what the slots do not hold: by distinct pieces, through the dictionary
+        place = np.full(len(keys), -1, np.int32)
+        for slot in self._slots(keys):
+            same = self.slot_key[slot] == keys
+            place[same] = self.slot_place[slot[same]]
+        # what the table does not hold, by distinct pieces
         open_ = np.flatnonzero(place < 0)
         distinct, first, which = np.unique(keys[open_], return_index=True, return_inverse=True)
-        first, listed = open_[first], distinct.tolist()
-        had, filled = len(self.known), self.filled
-        new = [i for i, h in enumerate(listed) if h not in self.known]
-        if new:
-            at = first[new]
-            data = raw.tobytes()
-            self._learn([listed[i] for i in new], [data[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())])
-        found = np.fromiter(map(self.known.__getitem__, listed), np.int32, len(listed))
-        place[open_] = found[which]
-        if len(self.known) > KEPT_PIECES:
-            late = found >= had
-            distinct, found = distinct[~late], found[~late]
-        at = (distinct & np.uint64(SLOTS - 1)).astype(np.int32)
-        free = self.slot_key[at] == 0
-        self.slot_key[at[free]], self.slot_place[at[free]] = distinct[free], found[free]
-        # two pieces of one call may want the same slot: the last key and the last place are of the same piece
+        count, filled = self.count, self.filled
+        if len(distinct):
+            at, data = open_[first], raw.tobytes()
+            numbers = self._learn([data[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())])
+            place[open_] = numbers[which]
+            if count < KEPT_PIECES:
+                left = np.arange(len(distinct))
+                for slot in self._slots(distinct):
+                    free = left[self.slot_key[slot[left]] == 0]
+                    # of pieces that want the same place one gets it: the last, for keys and numbers alike
+                    self.slot_key[slot[free]], self.slot_place[slot[free]] = distinct[free], numbers[free]
+                    left = left[self.slot_key[slot[left]] != distinct[left]]
         starts, sizes = self.places[place, 0], self.places[place, 1]
         stops = np.cumsum(sizes)
         steps = np.repeat((starts - (stops - sizes)).astype(np.int32), sizes)
@@ -201,10 +205,8 @@ class Encoder:
         per_text = np.concatenate([[0], stops])[np.searchsorted(begin, borders)]
         tail = np.array([END_ID], "<u4").tobytes()
         data = out.tobytes()
-        if len(self.known) > KEPT_PIECES:
-            for h in list(self.known)[had:]:
-                del self.known[h]
-            self.filled = filled
+        if count >= KEPT_PIECES:  # nothing of this slice is kept
+            self.count, self.filled = count, filled
         for a, b in zip(per_text[:-1].tolist(), per_text[1:].tolist()):
             yield data[4 * a : 4 * b] + tail
 

@@ -1,5 +1,6 @@
 """Classifiers, rules and the language model: held-out results, brute force for counts, odd rows."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -168,3 +169,16 @@ def test_language_model(spark, documents, odd, empty, monkeypatch):
             held = [r for r in out if r.held_out]
             assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert language_model.op10(empty).count() == 0
+
+
+def test_language_model_learns_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FIT_DOCUMENTS", 1)
+    texts = {1: "one text of a few words", 2: "another text with more words", 3: "some " + "long text " * 5_000, 4: "the last of these"}
+    table = lambda ids: spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string").coalesce(1)
+    words = np.unique(np.concatenate([h for _, _, h, _ in language_model._sliced(table(texts).toArrow().column("text"))]))
+    vocabulary = language_model.Vocabulary(words, np.ones(len(words), np.int64), 4, [(0, 0)] * language_model.RARE, len(words) + 4, len(words) + 1)
+    weights = lambda ids: np.concatenate([getattr(language_model.fit(table(ids), vocabulary), k).ravel() for k in recurrent.WEIGHTS])
+    start = min(texts, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    whole = weights(texts)
+    for out in set(texts) - {start}:
+        assert not np.array_equal(whole, weights([i for i in texts if i != out])), out

@@ -20,10 +20,10 @@ VOCABULARY, RARE_BITS = 2047, 6
 RARE = 1 << RARE_BITS
 #: most frequent words whose counts every worker holds (16 bytes each); the others' counts come by a join
 KNOWN_WORDS = 1 << 18
-#: documents of the first fit and the longest that it takes: what the driver holds of texts
-FIT_DOCUMENTS, FIT_CHARACTERS, FIT_PASSES = 3_000, 32_768, 2
-#: one of so many further training documents refines the model, in all tasks at once; this part grows with the corpus
-REFINE_ONE_OF, REFINE_RATE = 16, 0.004
+#: documents of the starting point and the characters that these have together: what the driver holds of texts
+FIT_DOCUMENTS, FIT_CHARACTERS, FIT_PASSES = 3_000, 1 << 26, 2
+#: rate of the pass over all training texts, in all tasks at once
+REFINE_RATE = 0.004
 #: distinct words that a counting task gathers before it passes them on
 GATHERED = 1 << 20
 
@@ -143,17 +143,20 @@ def _streams(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
 
 
 def fit(train: DataFrame, vocabulary: Vocabulary) -> R.Network:
-    """A network fitted on the driver to FIT_DOCUMENTS training texts (smallest md5 of the id, none above FIT_CHARACTERS), then
-    refined in parallel: each task continues from it over its part of one of REFINE_ONE_OF training documents, and the
-    weights are averaged by their numbers of tokens."""
+    """A network that has learned from every training text, whole: each task continues from a common starting point over its part of
+    them, and the weights are averaged by their numbers of tokens. The starting point is fitted on the driver to the first
+    FIT_DOCUMENTS texts by md5 of the id, as far as these have FIT_CHARACTERS together."""
     net = R.start(vocabulary.counts)
     rank = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     first = train.select("doc_id", rank.alias("r")).orderBy("r").limit(FIT_DOCUMENTS)
     last = first.agg(F.max("r")).first()[0]
     if last is None:
         return net
-    some = train.filter((rank <= last) & (F.length("text") <= FIT_CHARACTERS)).select(rank.alias("r"), "text").orderBy("r", "text").limit(FIT_DOCUMENTS).toArrow()
-    net = R.train(net, *_streams(some.column("text"), vocabulary), passes=FIT_PASSES)
+    some = train.filter(rank <= last).select(rank.alias("r"), "text").orderBy("r", "text").limit(FIT_DOCUMENTS)
+    ends = np.cumsum([r[0] for r in some.select(F.length("text")).collect()])
+    held = int(np.searchsorted(ends, FIT_CHARACTERS, "right"))
+    if held:
+        net = R.train(net, *_streams(some.limit(held).toArrow().column("text"), vocabulary), passes=FIT_PASSES)
     shared = train.sparkSession.sparkContext.broadcast((net, vocabulary))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +171,7 @@ def fit(train: DataFrame, vocabulary: Vocabulary) -> R.Network:
             flat = np.concatenate([getattr(own, k).ravel() for k in R.WEIGHTS]).astype(np.float64) * weight
             yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(weight)))], ["i", "w", "n"])
 
-    more = train.filter(F.pmod(F.xxhash64("text"), F.lit(REFINE_ONE_OF)) == 0).select("text").mapInArrow(refine, "i int, w double, n double")
+    more = train.select("text").mapInArrow(refine, "i int, w double, n double")
     mean = more.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
     if not mean.num_rows:
         return net

@@ -16,10 +16,6 @@ from .sequences import losses, train_bins_of
 from ..operators import surprise as L, transition as T
 from .tables import documents, stage, table
 
-# fewer trees, rounds and iterations than the library defaults; all rows and columns are used
-LINEAR = M.logistic(iterations=20)
-LIGHT = [LINEAR, M.forest(20, 8), M.boosting(10)]
-
 
 def _table(spark, sf):
     def build():
@@ -42,13 +38,12 @@ def _parts(spark, sf):
 
 def model_selection(spark, sf):
     _, train, dev, _, cols = _parts(spark, sf)
-    return M.fit_select(train, dev, cols, LIGHT)[1]
+    return M.fit_select(train, dev, cols)[1]
 
 
 def hyper_parameters(spark, sf):
     _, train, dev, _, cols = _parts(spark, sf)
-    grid = [M.logistic(c, iterations=20) for c in (0.01, 0.1, 1.0, 10.0)] + [M.forest(10, d, leaf) for d in (4, 8) for leaf in (1, 3)] + [M.boosting(5, d) for d in (2, 3)]
-    return M.fit_select(train, dev, cols, grid)[1].select("candidate_index", "model", "params_json", "auprc", "auroc", "f1")
+    return M.fit_select(train, dev, cols, M.tuning_grid())[1].select("candidate_index", "model", "params_json", "auprc", "auroc", "f1")
 
 
 def importance(spark, sf):
@@ -65,19 +60,19 @@ def selection_modes(spark, sf):
     _, train, dev, _, cols = _parts(spark, sf)
     base = [c for c in cols if c.startswith("burst_")]
     extra = [c for c in cols if not c.startswith("burst_")]
-    return M.choose_selection(train, dev, base, extra, candidates=[LINEAR])[2].select("selection_mode", "n_features", "auprc", "auroc", "f1")
+    return M.choose_selection(train, dev, base, extra)[2].select("selection_mode", "n_features", "auprc", "auroc", "f1")
 
 
 def ablation(spark, sf):
     _, train, _, test, cols = _parts(spark, sf)
-    return M.ablation(train, test, M.ablation_groups(cols), [LINEAR]).select("feature_set", "model", "feature_count", "n", "auroc", "f1")
+    return M.ablation(train, test, M.ablation_groups(cols), M.default_candidates()).select("feature_set", "model", "feature_count", "n", "auroc", "f1")
 
 
 def _predictions(spark, sf):
     def build():
         df, *_, cols = _parts(spark, sf)
         tests = df.filter("split = 'test'").withColumn("test_name", F.col("source_dataset"))
-        return P.run(P.train_sets(df, corpora.sources_of(df)), tests, cols, [LINEAR, M.forest(10, 6)])[0]
+        return P.run(P.train_sets(df, corpora.sources_of(df)), tests, cols)[0]
 
     return stage(spark, sf, "matrix_predictions", build)
 
@@ -93,7 +88,7 @@ def source_matrix_intervals(spark, sf):
 def targeted_matrix(spark, sf):
     df, *_, cols = _parts(spark, sf)
     tests = df.filter("split = 'test'").withColumn("test_name", F.col("source_dataset"))
-    return P.matrix(P.run(P.targeted_sets(df, "en", "de", cols), tests, cols, [LINEAR])[0])
+    return P.matrix(P.run(P.targeted_sets(df, "en", "de", cols), tests, cols)[0])
 
 
 def feature_combinations(spark, sf):
@@ -102,7 +97,7 @@ def feature_combinations(spark, sf):
     extra = [c for c in profile.columns if c != "id" and "_trans_" not in c]
     join = lambda d: cut_lineage(d.join(profile.select("id", *extra), "id", "left"))
     sets = {"basic": [c for c in cols if c.startswith(("burst_", "struct_"))], "full": cols, "full_plus_transition": cols + extra, "transition_only": extra}
-    return P.combinations(join(train), join(dev), join(test).withColumn("test_name", F.lit("all")), sets, [LINEAR]).select("feature_set", "n_features", "n", "auroc", "auprc", "f1")
+    return P.combinations(join(train), join(dev), join(test).withColumn("test_name", F.lit("all")), sets).select("feature_set", "n_features", "n", "auroc", "auprc", "f1")
 
 
 def pca(spark, sf):
@@ -119,7 +114,7 @@ def pooled_classifier(spark, sf):
     pool = D.pooled(_scaled(spark, sf)[0], len(D.DEEP_RANKED))
     df = C.resplit(corpora.labelled(spark, sf)).join(pool, "id")
     cols = [c for c in pool.columns if c != "id"]
-    return M.fit(df.filter("split = 'train'"), cols, LINEAR).score(df.filter("split <> 'train'")).select("id", "label", "ai_probability", "prediction")
+    return M.fit(df.filter("split = 'train'"), cols, M.logistic()).score(df.filter("split <> 'train'")).select("id", "label", "ai_probability", "prediction")
 
 
 def scored_texts(spark, sf):

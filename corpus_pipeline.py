@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textorigin.llm import compression, decontamination, minhash, mixing, tokens
 from textorigin.llm.queries import splits, table, tokenizer_path
@@ -27,10 +27,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): that with the smallest id."""
-    drop = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    """One row of each group of near-duplicates (five words, similarity 0.8): that with the smallest id, null last."""
     own, names = _own(docs)
-    return _back(own.join(drop, own[names["doc_id"]].cast("long") == drop["doc_id"], "left_anti"), names)
+    # tells rows apart whatever their ids; written once, so it stays
+    keyed = cut_lineage(own.withColumn("key", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(keyed, doc_id="key", text=names["text"]).select(F.col("doc_id").alias("key"), "component_id")
+    id_ = F.col(names["doc_id"]).cast("long")
+    order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.col(names["text"]).cast("string")).alias("hash"), "key")
+    rows = cut_lineage(found.join(keyed.select("key", order.alias("of")), "key"))
+    first = rows.groupBy("component_id").agg(F.min("of").alias("of")).select(F.col("of.key").alias("key"))
+    drop = rows.select("key").join(first, "key", "left_anti")
+    return _back(keyed.join(drop, "key", "left_anti"), names)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

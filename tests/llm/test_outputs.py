@@ -260,3 +260,14 @@ def test_pipeline_against_brute_force(spark, sf, documents, plain):
         expected.append((i, at, len(raw) // 4, zlib.crc32(raw)))
         at += len(raw) // 4
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == expected
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Copies without ids, repeated rows, and one id for two texts: one row of each group stays, the others' texts are not lost."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a")), (3, text("b")), (3, text("b")), (5, text("c")), (7, text("c") + " end"), (7, text("d"))]
+    rows += [(9, text("e")), (None, text("e") + " end"), (None, None), (None, ""), (11, text("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, docs, "")
+    want = [(None, text("a")), (3, text("b")), (5, text("c")), (7, text("d")), (9, text("e")), (None, None), (None, ""), (11, text("f"))]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontamination, language_model, lines, minhash, mixing, sharding, tokens, toxicity, weak_supervision
+from . import alignment, compression, decontamination, language_model, lines, minhash, mixing, sharding, simhash, subvectors, tokens, toxicity, weak_supervision
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +66,23 @@ def op10_language_model(spark, sf_dir):
     return language_model.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.op11(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op12_simhash_near_dedup(spark, sf_dir):
+    return simhash.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    return subvectors.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_sharding, op5_quality_rules, op6_toxicity, op7_token_output,
-        op8_source_mixing, op9_substring_dedup, op10_language_model,
+        op8_source_mixing, op9_substring_dedup, op10_language_model, op11_tokenizer_alignment, op12_simhash_near_dedup, op13_centroid_clustering,
     )
 }
 
@@ -77,6 +90,29 @@ QUERIES = {
 WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{1}')"
 ITEM_WORD, ANY_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
 
+
+
+def _clusters(rounds: int = 3, clusters: int = 16) -> str:
+    """SQL of the centroid clustering: one step per round, each a cross product of vectors with the few centroids."""
+    near = """d{0} AS MATERIALIZED (SELECT r, vec_id, e, k, list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{0}),
+a{0} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(e) AS e, min(struct_pack(d := d, k := k)) AS best FROM d{0} GROUP BY r),
+"""
+    move = """s{0} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT best.k AS k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{0}) GROUP BY k, i),
+m{0} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{0} GROUP BY k),
+c{1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{0} AS o LEFT JOIN m{0} AS m USING (k)),
+"""
+    steps = "".join(near.format(j) + (move.format(j, j + 1) if j < rounds else "") for j in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS k, e AS c FROM v QUALIFY k < {clusters}),
+{steps}t AS (SELECT best.k AS k, sum(best.d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM t)::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN t ON t.k = best.k JOIN c{rounds} AS c ON c.k = best.k
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text", ITEM_WORD)} AS w FROM documents),
@@ -117,4 +153,5 @@ t AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone),
 SELECT doc_id, t.text, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed
 FROM d LEFT JOIN t USING (r)
 """,
+    "op13_centroid_clustering": _clusters(),
 }

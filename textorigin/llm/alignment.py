@@ -10,6 +10,7 @@ summed over containers; then every posting returns its pair's score to its docum
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ SLICE, ENTRIES = 2 << 20, 2_000_000
 KEPT_PIECES = 400_000
 #: containers of a pair that may meet in one task, as one of so many parts of all
 SALTS = 64
+#: what follows an id in the text of the groups: inside a group's side, after the side of A, after a group, at the end
+SIGNS = (",", "|", ";", "")
 
 MADE = (
     "kind int, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,"
@@ -51,6 +54,35 @@ def _byte_characters() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers one after the other, and how many each list has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+class Vocabulary:
+    """The bytes of each token, one after the other."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def spells(self, ids: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """For each text whether its tokens' joined bytes are the text; ``ids`` has the texts' tokens, ``sizes`` their numbers."""
+        long, n = self.sizes[ids], np.arange(len(raw))
+        wide = np.fromiter(map(len, raw), np.int64, len(raw))
+        of = np.repeat(n, sizes)
+        same = np.bincount(of, long, len(raw)).astype(np.int64) == wide
+        kept = same[of]
+        long, begin = long[kept], self.begins[ids[kept]]
+        steps = np.repeat(begin - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        text = np.frombuffer(b"".join(itertools.compress(raw, same)), np.uint8)
+        off = np.flatnonzero(self.data[steps] != text)
+        same[np.repeat(n[same], wide[same])[off]] = False
+        return same
+
+
 class Aligner:
     """Tokens of pieces of text in both vocabularies, and how they overlap.
 
@@ -71,11 +103,11 @@ class Aligner:
         own = json.loads(self.a.to_str())
         byte = _byte_characters()
         added = {t["content"] for t in own.get("added_tokens") or []}
-        self.a_bytes = {i: t.encode() if t in added else bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        spelled = {i: t.encode() if t in added else bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.in_a = Vocabulary([spelled.get(i, b"") for i in range(max(spelled) + 1)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        n = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.in_b = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         before = own.get("pre_tokenizer") or {}
         a_cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
         b_cuts = not any("▁" in p.lstrip("▁") for p in pieces) and self.b.encode("x", out_type=str)[0].startswith("▁")
@@ -92,38 +124,46 @@ class Aligner:
         got = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
         return [ids if t[0] == " " else ids[1:] for t, ids in zip(texts, got)]
 
-    def _learn(self, texts: list[str]) -> range:
-        """Numbers for new pieces."""
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """Numbers for new pieces, all aligned at once: their tokens' ends are counted through the whole batch."""
         at, n = len(self.shown), len(texts)
         while at + n > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
             self.pair_at = np.concatenate([self.pair_at, np.zeros(len(self.pair_at) - 1, np.int64)])
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = self._b_ids(texts)
-        for k, (text, a, b) in enumerate(zip(texts, ids_a, ids_b), at):
-            raw = text.encode()
-            own_a, own_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            pairs = np.zeros(0, np.uint64)
-            if b"".join(own_a) == raw == b"".join(own_b):
-                stop_a, stop_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (own_a, own_b))
-                # every piece between neighbouring ends of either kind lies in one token of A and one of B: a link
-                stops = np.union1d(stop_a, stop_b)
-                in_a, in_b = np.searchsorted(stop_a, stops), np.searchsorted(stop_b, stops)
-                both = np.intersect1d(stop_a, stop_b)
-                cut_a, cut_b = [0, *(np.searchsorted(stop_a, both) + 1).tolist()], [0, *(np.searchsorted(stop_b, both) + 1).tolist()]
-                groups = [f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[x:y]))}" for i, j, x, y in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-                pairs = np.array(a, np.uint64)[in_a] << np.uint64(32) | np.array(b, np.uint64)[in_b]
-                self.counts[k] = len(a), len(b), len(groups), len(pairs), 1
-                self.shown.append(";".join(groups))
-            else:
-                self.counts[k] = 0
-                self.shown.append("")
-            while self.filled + len(pairs) > len(self.pairs):
-                self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
-            self.pairs[self.filled : self.filled + len(pairs)] = pairs
-            self.filled += len(pairs)
-            self.pair_at[k + 1] = self.filled
-        return range(at, at + n)
+        raw = [t.encode() for t in texts]
+        a, size_a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        b, size_b = _flat(self._b_ids(texts))
+        good = self.in_a.spells(a, size_a, raw) & self.in_b.spells(b, size_b, raw)
+        a, b = a[np.repeat(good, size_a)], b[np.repeat(good, size_b)]
+        size_a, size_b = np.where(good, size_a, 0), np.where(good, size_b, 0)
+        stop_a, stop_b = np.cumsum(self.in_a.sizes[a]), np.cumsum(self.in_b.sizes[b])
+        piece_a, piece_b = np.repeat(np.arange(n), size_a), np.repeat(np.arange(n), size_b)
+        # what lies between neighbouring ends of either kind is in one token of A and one of B: a link
+        stops = np.union1d(stop_a, stop_b)
+        of_a, of_b = np.searchsorted(stop_a, stops), np.searchsorted(stop_b, stops)
+        pairs = a[of_a].astype(np.uint64) << np.uint64(32) | b[of_b].astype(np.uint64)
+        linked = np.bincount(piece_a[of_a], minlength=n)
+        both = np.intersect1d(stop_a, stop_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, stop_a), np.searchsorted(both, stop_b)
+        groups = np.bincount(piece_a[np.searchsorted(stop_a, both)], minlength=n)
+        self.counts[at : at + n] = np.column_stack([size_a, size_b, groups, linked, good])
+        # the ids of A and then of B of each group, each with the sign that follows it
+        last_a, last_b = group_a != np.append(group_a[1:], -1), group_b != np.append(group_b[1:], -1)
+        end = piece_b != np.append(piece_b[1:], -1)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        shown = np.concatenate([a, b])[order].tolist()
+        sign = np.concatenate([np.where(last_a, 1, 0), np.where(end, 3, np.where(last_b, 2, 0))])[order].tolist()
+        piece = np.concatenate([piece_a, piece_b])[order]
+        parts = [f"{i}{SIGNS[k]}" for i, k in zip(shown, sign)]
+        whole, ends = "".join(parts), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        borders = ends[np.searchsorted(piece, np.arange(n + 1))].tolist()
+        self.shown += [whole[x:y] for x, y in zip(borders, borders[1:])]
+        while self.filled + len(pairs) > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[self.filled : self.filled + len(pairs)] = pairs
+        self.pair_at[at + 1 : at + n + 1] = self.filled + np.cumsum(linked)
+        self.filled += len(pairs)
+        return np.arange(at, at + n)
 
     def _forget(self, count: int) -> None:
         self.filled = int(self.pair_at[count])

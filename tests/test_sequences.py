@@ -64,6 +64,29 @@ def test_transition_profiles(spark, seqs):
     assert rows["empty"]["m_lossq3_token_count"] is None and rows["one"]["m_lossq3_trans_0_to_0"] is None
 
 
+def test_profiles_can_be_filtered(spark, seqs):
+    """Conditions on profile columns, which the optimiser moves as far down as it can."""
+    bins = {"raw": {n: [1.0] * (n - 1) for n in (3, 5, 7)}, "zscore": {n: [0.0] * (n - 1) for n in (3, 5, 7)}}
+    tables = {
+        "m_raw_lossq3_token_count": X.full_profiles(seqs, "x", bins, "m"), "m_lossq5_token_count": X.formal_profiles(seqs, "x", bins["raw"], "m"),
+        "m_lossq_token_count": X.own_profiles(seqs, "x", "m"), "v_q5_token_count": X.profiles(seqs, {"v_q5": (X.states_from_bins(F.col("x"), [1.0]), 5)}),
+        "w_q3_token_count": X.long_profiles(seqs.select("id", F.posexplode("x").alias("pos", "v")), "id", "pos", "v", {3: [0.5, 1.0]}, "w"),
+    }
+    for c, table in tables.items():
+        gap = c.replace("token_count", "transition_spectral_gap")
+        assert table.filter((F.col(c) > 19) & (F.col(gap) >= 0)).select("id").count() == 4, c
+        assert table.filter(F.col(c).isNull()).count() == (0 if c.startswith("w") else 1)
+
+
+def test_profiles_by_definition(spark, seqs):
+    cuts = {"a": [0.5, 1.0, 1.5, 2.0, 2.5, 3.0], "b": [1.0, 1.1, 1.2, 1.3, 1.4, 1.5]}
+    bins = {d: {k: {n: c[: n - 1] for n in (3, 5, 7)} for k in ("raw", "zscore")} for d, c in cuts.items()}
+    got = X.full_profiles_by_definition(seqs, "x", bins, "m")
+    show = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for d, b in bins.items():
+        assert show(got.filter(F.col("train_name") == d).drop("train_name")) == show(X.full_profiles(seqs, "x", b, "m"))
+
+
 def test_own_quantile_states(spark, seqs):
     rows = {r["id"]: r["s"] for r in seqs.select("id", X.states_from_own_quantiles(F.col("x"), 5).alias("s")).collect()}
     for k, v in SEQS.items():

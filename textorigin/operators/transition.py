@@ -7,9 +7,12 @@ document costs one pass over its array and a long table one aggregation; runs ar
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import arrays as A
@@ -72,105 +75,171 @@ def states_from_own_quantiles(a: Column, n: int) -> Column:
     return F.when(F.size(a) > 0, A.let(a, lambda v: A.let(F.sort_array(v), lambda s: encode(v, s)))).otherwise(F.array().cast("array<int>"))
 
 
-def states_from_rank(percent_rank: Column, n: int) -> Column:
-    return F.transform(percent_rank, lambda r: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(r * n).cast("int"))))
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _neighbours(states: pd.Series, size: pd.Series) -> pd.Series:
-    """Counts of neighbouring pairs (row-major) of a whole batch of state arrays in one pass."""
-    n = int(size.iloc[0]) if len(size) else 1
-    lengths = np.array([0 if s is None else len(s) for s in states])
-    flat = np.concatenate([np.zeros(0, np.int64), *[s for s in states if s is not None]]).astype(np.int64)
-    of = np.repeat(np.arange(len(states)), lengths)
-    same = of[1:] == of[:-1]
-    codes = (of[1:] * n * n + flat[:-1] * n + flat[1:])[same]
-    counts = np.bincount(codes, minlength=len(states) * n * n).reshape(-1, n * n)
-    return pd.Series([None if s is None else c for s, c in zip(states, counts.astype(np.int32))])
-
-
-def pair_counts(states: Column, n: int) -> Column:
-    """Struct of first state, length and the n*n counts of neighbouring pairs (row-major)."""
-    return F.struct(F.get(states, F.lit(0)).alias("first"), F.size(states).alias("n"), _neighbours(states, F.lit(n)).alias("pairs"))
-
-
-@F.pandas_udf(T.DoubleType())
-def spectral_gap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """1 minus the second largest eigenvalue modulus of the row-normalised pair counts."""
-    for batch in batches:
-        out = np.full(len(batch), np.nan)
-        for size in {len(p) for p in batch if p is not None and len(p)}:
-            at = [i for i, p in enumerate(batch) if p is not None and len(p) == size]
-            m = np.stack([np.asarray(batch.iloc[i], dtype=float) for i in at]).reshape(len(at), round(size**0.5), -1)
-            rows = m.sum(axis=2, keepdims=True)
-            moduli = np.sort(np.abs(np.linalg.eigvals(np.divide(m, rows, out=np.zeros_like(m), where=rows > 0))), axis=1)
-            out[at] = 1.0 - moduli[:, -2]
-        yield pd.Series(out).where(~np.isnan(out), None)
-
-
-def _summary(counts: Column, n: int) -> Column:
-    """Struct of the pair frequencies and all summary values but the spectral gap."""
-    cells = [(i, j) for i in range(n) for j in range(n)]
-    steps = (counts["n"] - 1).cast("double")
-    some, moved = counts["n"] > 0, counts["n"] > 1
-    pairs = counts["pairs"]
-    # weights by cell turn every rate into one pass over the n*n counts
-    weigh = lambda test: F.aggregate(
-        F.zip_with(pairs, F.array(*[F.lit(1.0 if test(i, j) else 0.0) for i, j in cells]), lambda c, w: c * w), F.lit(0.0), lambda a, x: a + x)
-    per_step = lambda v: F.when(moved, v / steps)
-    is_first = lambda k: (counts["first"] == k).cast("double")
-    seen = lambda k: is_first(k) + weigh(lambda i, j: j == k)
-    run_mean = lambda k: F.when(some, F.coalesce(F.try_divide(seen(k), is_first(k) + weigh(lambda i, j: j == k and i != k)), F.lit(0.0)))
-    return F.struct(
-        F.transform(pairs, lambda c: F.when(moved, c / steps)).alias("freq"),
-        A.entropy(pairs).alias("transition_entropy"),
-        per_step(weigh(lambda i, j: i == j)).alias("self_transition_rate"),
-        per_step(weigh(lambda i, j: j > i)).alias("upward_transition_rate"),
-        per_step(weigh(lambda i, j: j < i)).alias("downward_transition_rate"),
-        per_step(weigh(lambda i, j: abs(i - j) >= 2)).alias("large_jump_rate"),
-        F.when(some, seen(n - 1) / counts["n"]).alias("high_loss_burst_density"),
-        run_mean(0).alias("low_loss_run_length_mean"),
-        run_mean(n - 1).alias("high_loss_run_length_mean"),
-        F.when(some, A.entropy(F.array(*[seen(k) for k in range(n)]))).alias("state_sequence_entropy"),
-        F.when(some, counts["n"].cast("double")).alias("token_count"),
-    )
-
-
-def _profile_select(df: DataFrame, encodings: dict[str, int], key: str, with_gap: bool) -> DataFrame:
-    """Profile columns from one ``_c_{prefix}`` struct (see :func:`pair_counts`) per encoding.
-
-    Encodings with the same number of states share one formula, mapped over an array of their counts.
-    """
-    by_size: dict[int, list[str]] = {}
-    for p, n in encodings.items():
-        by_size.setdefault(n, []).append(p)
-    staged = df.withColumns({
-        f"_s{n}": F.transform(F.array(*[F.col(f"_c_{p}") for p in ps]), _body(n))
-        for n, ps in by_size.items()
-    })
+@dataclass(frozen=True)
+class Coding:
+    """How the states of one encoding follow from an array column: by ``cuts`` of its values (``bins``) or of its z-scores (``z_bins``), by its own
+    quantiles (``quantiles``), by its percent rank (``rank``; ``falling``: the largest value first), or as they are (``given``)."""
+
+    column: str
+    states: int
+    kind: str
+    cuts: tuple[float, ...] = ()
+
+
+class _Batch:
+    """The values of a slice of documents, one after the other, and what several encodings need of them."""
+
+    def __init__(self, column: pa.Array):
+        self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.x = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+        self.n = len(self.sizes)
+        self.of = np.repeat(np.arange(self.n), self.sizes)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    @cached_property
+    def z(self) -> np.ndarray:
+        """(x - mean) / std (population; 1 where it is 0), to 6 digits so that equal values stay equal."""
+        size = np.maximum(self.sizes, 1)
+        off = self.x - (np.bincount(self.of, self.x, self.n) / size)[self.of]
+        std = np.sqrt(np.bincount(self.of, off * off, self.n) / size)
+        return np.round(off / np.where(std > 0, std, 1.0)[self.of], 6) + 0.0
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.lexsort((self.x, self.of))
+
+    def rank(self, falling: bool) -> np.ndarray:
+        """Rank over the document's length, ties averaged."""
+        x, of = self.x[self.order], self.of[self.order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(x)))
+        before = first - self.begins[of[first]]
+        if falling:
+            before = self.sizes[of[first]] - before - size
+        out = np.empty(len(x))
+        out[self.order] = np.repeat((before * 2 + size + 1) / 2.0 / self.sizes[of[first]], size)
+        return out
+
+    def own_cuts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Inner quantiles of each document, and whether all its values are equal."""
+        if not len(self.x):
+            return np.zeros((self.n, n - 1)), np.ones(self.n, bool)
+        s, last = self.x[self.order], np.maximum(self.sizes - 1, 0)
+        at = lambda k: s[np.minimum(self.begins + k, len(s) - 1)]
+        cuts = []
+        for i in range(1, n):
+            h = last * (i / n)
+            low, high = at(np.floor(h).astype(np.int64)), at(np.ceil(h).astype(np.int64))
+            cuts.append(low + (high - low) * (h - np.floor(h)))
+        return np.column_stack(cuts), at(0 * last) == at(last)
+
+    def coded(self, c: Coding) -> np.ndarray:
+        if c.kind in ("bins", "z_bins"):
+            return np.searchsorted(np.asarray(c.cuts, float), self.x if c.kind == "bins" else self.z, side="right")
+        if c.kind in ("rank", "falling"):
+            return np.clip(np.floor(self.rank(c.kind == "falling") * c.states), 0, c.states - 1).astype(np.int64)
+        if c.kind == "quantiles":
+            cuts, flat = self.own_cuts(c.states)
+            return np.where(flat[self.of], 0, (self.x[:, None] >= cuts[self.of]).sum(1))
+        return self.x.astype(np.int64)
+
+    def pairs(self, state: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of neighbouring pairs, and the first state (-1 without any)."""
+        same = self.of[1:] == self.of[:-1]
+        codes = (self.of[1:] * n * n + state[:-1] * n + state[1:])[same]
+        first = np.full(self.n, -1)
+        first[self.sizes > 0] = state[self.begins[self.sizes > 0]]
+        return np.bincount(codes, minlength=self.n * n * n).reshape(self.n, n, n), first
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Base-2 entropy along the last axis; nan where all counts are 0."""
+    total = counts.sum(1, keepdims=True)
+    p = np.divide(counts, total, out=np.zeros(counts.shape), where=total > 0)
+    return np.where(total[:, 0] > 0, -(p * np.log2(np.where(p > 0, p, 1.0))).sum(1), np.nan)
+
+
+def rates(pairs: np.ndarray, first: np.ndarray, size: np.ndarray, with_gap: bool) -> list[np.ndarray]:
+    """All profile values of documents, in the order of :func:`names`, from their pair counts, first state and length; nan is null."""
+    n = pairs.shape[1]
+    i, j = np.indices((n, n))
+    some, moved = size > 0, size > 1
+    steps = np.where(moved, size - 1, 1).astype(float)
+    per_step = lambda mask: np.where(moved, pairs[:, mask].sum(1) / steps, np.nan)
+    seen = pairs.sum(1) + (first[:, None] == np.arange(n))
+
+    def run_mean(k: int) -> np.ndarray:
+        runs = (first == k) + pairs[:, (j == k) & (i != k)].sum(1)
+        return np.where(some, np.divide(seen[:, k], runs, out=np.zeros(len(size)), where=runs > 0), np.nan)
+
+    out = [np.where(moved, pairs[:, a, b] / steps, np.nan) for a in range(n) for b in range(n)]
+    out += [_entropy(pairs.reshape(len(size), -1)), per_step(i == j), per_step(j > i), per_step(j < i), per_step(abs(i - j) >= 2),
+            np.where(some, seen[:, n - 1] / np.maximum(size, 1), np.nan), run_mean(0), run_mean(n - 1), np.where(some, _entropy(seen), np.nan)]
     if with_gap:
-        staged = staged.withColumns({f"_g_{p}": spectral_gap(F.col(f"_c_{p}")["pairs"].cast("array<double>")) for p in encodings})
-    out = []
-    for p, n in encodings.items():
-        s = f"_s{n}[{by_size[n].index(p)}]"
-        out += [f"{s}.freq[{i * n + j}] as {p}_trans_{i}_to_{j}" for i in range(n) for j in range(n)]
-        for k in SUMMARY:
-            if k != "transition_spectral_gap":
-                out.append(f"{s}.{k} as {p}_{k}")
-            elif with_gap:
-                out.append(f"case when _c_{p}.n > 0 then _g_{p} end as {p}_{k}")
-    return staged.selectExpr(key, *out)
+        rows = pairs.sum(2, keepdims=True)
+        share = np.divide(pairs, rows, out=np.zeros(pairs.shape), where=rows > 0)
+        moduli = np.sort(np.abs(np.linalg.eigvals(share)), axis=1) if len(share) else np.zeros((0, n))
+        out.append(np.where(some, 1.0 - moduli[:, -2], np.nan))
+    return [*out, np.where(some, size.astype(float), np.nan)]
+
+
+def names(prefix: str, n: int, with_gap: bool) -> list[str]:
+    return [*(f"{prefix}_trans_{i}_to_{j}" for i in range(n) for j in range(n)), *(f"{prefix}_{k}" for k in SUMMARY if with_gap or k != "transition_spectral_gap")]
+
+
+#: steps handled at a time
+SLICE = 1 << 19
+
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about SLICE steps each."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield low, high
+        low = high
 
-def _body(n: int):
-    return lambda c: _summary(c, n)
+
+def _numbers(columns: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in columns]
+
+
+def coded_profiles(df: DataFrame, codings: dict[str, Coding] | dict[str, dict[str, Coding]], key: str = "id", with_gap: bool = True, name: str | None = None) -> DataFrame:
+    """Profile of several encodings ``{prefix: coding}`` per row of ``df``: one narrow pass over the arrays, no shuffle.
+
+    With ``name``, ``codings`` has such a dictionary for each value of a new column of that name, and every row comes back once for each: a
+    sequence is read once, however many sets of cut points it is coded by.
+    """
+    sets = codings if name else {"": codings}
+    columns = sorted({c.column for own in sets.values() for c in own.values()})
+    heads = [h for p, c in next(iter(sets.values())).items() for h in names(p, c.states, with_gap)]
+    fields = [df.schema[key], *([T.StructField(name, T.StringType())] if name else []), *(T.StructField(h, T.DoubleType()) for h in heads)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in _slices(batch.column(1)):
+                part = batch.slice(low, high - low)
+                own = {c: _Batch(part.column(i + 1)) for i, c in enumerate(columns)}
+                done: dict[Coding, list[pa.Array]] = {}
+                for label, codes in sets.items():
+                    for c in codes.values():
+                        if c not in done:
+                            b = own[c.column]
+                            done[c] = _numbers(rates(*b.pairs(b.coded(c), c.states), b.sizes, with_gap))
+                    made = [a for c in codes.values() for a in done[c]]
+                    yield pa.record_batch([part.column(0), *([pa.array([label] * len(part), pa.string())] if name else []), *made], [f.name for f in fields])
+
+    return df.select(key, *columns).mapInArrow(run, T.StructType(fields))
 
 
 def profiles(df: DataFrame, states: dict[str, tuple[Column, int]], key: str = "id", with_gap: bool = True) -> DataFrame:
-    """Profile of several encodings ``{prefix: (state array, number of states)}`` per row; no shuffle."""
+    """Profile of several encodings ``{prefix: (state array, number of states)}`` per row."""
     coded = df.select(key, *[s.alias(f"_a_{p}") for p, (s, _) in states.items()])
-    staged = coded.select(key, *[pair_counts(F.col(f"_a_{p}"), n).alias(f"_c_{p}") for p, (_, n) in states.items()])
-    return _profile_select(staged, {p: n for p, (_, n) in states.items()}, key, with_gap)
+    return coded_profiles(coded, {p: Coding(f"_a_{p}", n, "given") for p, (_, n) in states.items()}, key, with_gap)
 
 
 def _values(df: DataFrame, seq: str, key: str) -> DataFrame:
@@ -185,49 +254,65 @@ def train_bins(train: DataFrame, seq: str, states: Sequence[int] = STATE_COUNTS)
     return fit_bins(flat, ["raw", "zscore"], states)
 
 
-def full_profiles(df: DataFrame, seq: str, bins: dict[str, dict[int, list[float]]], model: str, key: str = "id",
-                  with_gap: bool = True) -> DataFrame:
+def full_codings(bins: dict[str, dict[int, list[float]]], model: str) -> dict[str, Coding]:
     """Raw bins, z-score bins and own-rank states for 3, 5 and 7 states."""
-    base = _values(df, seq, key).withColumns({"_z": z_scores(F.col("_v")), "_r": A.tied_percent_rank(F.col("_v"))})
-    encodings = {}
+    out = {}
     for n in STATE_COUNTS:
-        encodings[f"{model}_raw_lossq{n}"] = (states_from_bins(F.col("_v"), bins["raw"][n]), n)
-        encodings[f"{model}_z_lossq{n}"] = (states_from_bins(F.col("_z"), bins["zscore"][n]), n)
-        encodings[f"{model}_doc_rank{n}"] = (states_from_rank(F.col("_r"), n), n)
-    return profiles(base, encodings, key, with_gap)
+        out[f"{model}_raw_lossq{n}"] = Coding("_v", n, "bins", tuple(bins["raw"][n]))
+        out[f"{model}_z_lossq{n}"] = Coding("_v", n, "z_bins", tuple(bins["zscore"][n]))
+        out[f"{model}_doc_rank{n}"] = Coding("_v", n, "rank")
+    return out
+
+
+def full_profiles(df: DataFrame, seq: str, bins: dict[str, dict[int, list[float]]], model: str, key: str = "id",
+                  with_gap: bool = True) -> DataFrame:
+    """Profiles under :func:`full_codings`."""
+    return coded_profiles(_values(df, seq, key), full_codings(bins, model), key, with_gap)
+
+
+def full_profiles_by_definition(df: DataFrame, seq: str, bins: dict[str, dict[str, dict[int, list[float]]]], model: str, key: str = "id",
+                                with_gap: bool = True, name: str = "train_name") -> DataFrame:
+    """Rows (key, ``name``): the profile of each sequence under the cut points of every train definition, from one pass."""
+    return coded_profiles(_values(df, seq, key), {d: full_codings(b, model) for d, b in bins.items()}, key, with_gap, name)
 
 
 def formal_profiles(df: DataFrame, seq: str, bins: dict[int, list[float]], model: str, key: str = "id", with_gap: bool = True) -> DataFrame:
     """Global bins plus per-document probability ranks."""
-    base = _values(df, seq, key).withColumn("_r", A.tied_percent_rank(F.transform("_v", lambda x: -x)))
-    encodings = {f"{model}_lossq{n}": (states_from_bins(F.col("_v"), b), n) for n, b in bins.items()}
-    encodings |= {f"{model}_probrank{n}": (states_from_rank(F.col("_r"), n), n) for n in STATE_COUNTS}
-    return profiles(base, encodings, key, with_gap)
+    codings = {f"{model}_lossq{n}": Coding("_v", n, "bins", tuple(b)) for n, b in bins.items()}
+    codings |= {f"{model}_probrank{n}": Coding("_v", n, "falling") for n in STATE_COUNTS}
+    return coded_profiles(_values(df, seq, key), codings, key, with_gap)
 
 
 def own_profiles(df: DataFrame, seq: str, model: str, n: int = 5, key: str = "id", with_gap: bool = True) -> DataFrame:
     """States by the document's own quantiles and probability ranks; needs no training data."""
-    base = _values(df, seq, key).withColumn("_r", A.tied_percent_rank(F.transform("_v", lambda x: -x)))
-    return profiles(base, {f"{model}_lossq": (states_from_own_quantiles(F.col("_v"), n), n), f"{model}_probrank": (states_from_rank(F.col("_r"), n), n)}, key, with_gap)
+    return coded_profiles(_values(df, seq, key), {f"{model}_lossq": Coding("_v", n, "quantiles"), f"{model}_probrank": Coding("_v", n, "falling")}, key, with_gap)
 
 
 def long_profiles(df: DataFrame, entity: str, order: str, value: str, bins: dict[int, list[float]], prefix: str,
                   with_gap: bool = True, ties: Sequence[str] = ()) -> DataFrame:
     """The same profile for a long table (entity, order, value), however long one entity is. ``order`` is a number or a time, unique
-    within an entity together with ``ties``."""
-    out = None
+    within an entity together with ``ties``; ``value`` has no nulls. The value is lagged once; all numbers of states are counted in one aggregation."""
+    rows = df.select(entity, order, *ties, F.struct(F.col(value).alias("x")).alias("_v"))
+    moved = lagged(rows, [entity], order, "_v", "_p", ties=ties)
+    counts = [F.count(F.lit(1)).alias("_n")]
     for n, cuts in bins.items():
-        coded = df.select(entity, order, *ties, bin_state(F.col(value), cuts).alias("_s"))
-        pairs = lagged(coded, [entity], order, "_s", "_p", ties=ties)
-        cell = lambda i, j: F.count_if((F.col("_p") == i) & (F.col("_s") == j))
-        agg = pairs.groupBy(entity).agg(
-            F.max(F.when(F.col("_p").isNull(), F.col("_s"))).alias("first"),
-            F.count(F.lit(1)).cast("int").alias("n"),
-            F.array(*[cell(i, j) for i in range(n) for j in range(n)]).alias("pairs"))
-        name = f"{prefix}_q{n}"
-        one = _profile_select(agg.select(entity, F.struct("first", "n", "pairs").alias(f"_c_{name}")), {name: n}, entity, with_gap)
-        out = one if out is None else out.join(one, entity)
-    return out
+        state, before = bin_state(F.col("_v.x"), cuts), bin_state(F.col("_p.x"), cuts)
+        moved = moved.withColumns({f"_s{n}": state, f"_b{n}": before})
+        cell = lambda i, j, n=n: F.count_if((F.col(f"_b{n}") == i) & (F.col(f"_s{n}") == j))
+        counts += [F.max(F.when(F.col("_p").isNull(), F.col(f"_s{n}"))).alias(f"_f{n}"), F.array(*[cell(i, j) for i in range(n) for j in range(n)]).alias(f"_c{n}")]
+    found = moved.groupBy(entity).agg(*counts)
+    heads = [h for n in bins for h in names(f"{prefix}_q{n}", n, with_gap)]
+    schema = T.StructType([df.schema[entity], *(T.StructField(h, T.DoubleType()) for h in heads)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, out = batch.column(1).to_numpy(), []
+            for k, n in enumerate(bins):
+                pairs = batch.column(3 + 2 * k).flatten().to_numpy().reshape(len(size), n, n)
+                out += _numbers(rates(pairs, batch.column(2 + 2 * k).to_numpy(), size, with_gap))
+            yield pa.record_batch([batch.column(0), *out], [entity, *heads])
+
+    return found.mapInArrow(run, schema)
 
 
 def column_delta(small: DataFrame, large: DataFrame, small_name: str, large_name: str, prefix: str = "scale_transition_delta_", key: str = "id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import md5_order
 from ..session import cut_lineage
+from .selection import exact_quantiles
 
 
 def _group(groups: Sequence[str]) -> Column:
@@ -97,14 +98,23 @@ def long_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequ
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles as rows (groups..., feature, quantiles), by counted ranks at every size."""
+    """Exact interpolated quantiles as rows (groups..., feature, quantiles): by radix selection without groups, by counted ranks within any number of them."""
+    if not groups:
+        found = exact_quantiles(df, cols, probs)
+        return df.sparkSession.createDataFrame([(c, found["", c]) for c in cols if found["", c] is not None], "feature string, quantiles array<double>")
     return long_quantiles(unpivot(df, groups, cols), [*groups, "feature"], "value", probs)
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Column medians on the driver: one number per column, 0 where a column has no value."""
-    found = {r["feature"]: r["quantiles"] for r in quantiles(df, cols, [0.5]).collect()}
-    return {c: (found[c][0] if found.get(c) and found[c][0] is not None else 0.0) for c in cols}
+    found = exact_quantiles(df, cols, [0.5])
+    return {c: (found["", c] or [0.0])[0] for c in cols}
+
+
+def medians_by(df: DataFrame, cols: Sequence[str], group: str, groups: Sequence[str]) -> dict[str, dict[str, float]]:
+    """Column medians of a few named groups, in the same passes."""
+    found = exact_quantiles(df, cols, [0.5], group, groups)
+    return {g: {c: (found[g, c] or [0.0])[0] for c in cols} for g in groups}
 
 
 def lagged(df: DataFrame, groups: Sequence[str], order: str, col: str, out: str, buckets: int | None = None, ties: Sequence[str] = ()) -> DataFrame:

@@ -187,41 +187,3 @@ def test_new_split_rebuilds_losses(spark, tmp_path):
     again = tables(corpus)
     other = tables(corpus.withColumn("split", F.when(F.col("split") == "train", "test").otherwise("train")))
     assert first == again and other != first
-
-
-def test_model_queries_have_whole_candidates(spark, monkeypatch):
-    from unittest.mock import MagicMock
-
-    from textorigin.catalog import modelling as Q
-    from textorigin.operators import models as M
-
-    def settings(candidates):
-        return [(c.name, c.params, c.build(10)[-1].extractParamMap().get(c.build(10)[-1].getParam("maxIter")) if c.name != "random_forest" else None) for c in candidates]
-
-    given = []
-
-    def note(place, result):
-        def run(*args, candidates=None, **_):
-            given.append(settings(candidates or (args[place] if len(args) > place else None) or M.default_candidates()))
-            return result
-        return run
-
-    any_ = MagicMock()
-    monkeypatch.setattr(Q, "_parts", lambda *_: (any_, any_, any_, any_, ["burst_a", "struct_b"]))
-    for name in ("stage", "cut_lineage", "losses", "_scaled", "corpora", "T", "C", "D"):
-        monkeypatch.setattr(Q, name, MagicMock())
-    monkeypatch.setattr(Q, "stage", lambda spark, sf, name, build: build())
-    for module, name, place, result in ((Q.M, "fit_select", 3, (any_, any_)), (Q.M, "choose_selection", 5, (any_, any_, any_)), (Q.M, "ablation", 3, any_), (Q.P, "run", 3, (any_, any_, any_)), (Q.P, "combinations", 4, any_)):
-        monkeypatch.setattr(module, name, note(place, result))
-    for name in ("train_sets", "targeted_sets", "matrix", "matrix_with_intervals"):
-        monkeypatch.setattr(Q.P, name, MagicMock())
-    monkeypatch.setattr(Q.M, "fit", lambda train, cols, candidate: (given.append(settings([candidate])), any_)[1])
-    whole = settings(M.default_candidates())
-    for query in (Q.model_selection, Q.selection_modes, Q.ablation, Q.source_matrix, Q.source_matrix_intervals, Q.targeted_matrix, Q.feature_combinations):
-        given.clear()
-        query(spark, "")
-        assert given == [whole], query
-    given.clear()
-    Q.hyper_parameters(spark, "")
-    Q.pooled_classifier(spark, "")
-    assert given == [settings(M.tuning_grid()), settings([M.logistic()])] and len(given[0]) == 84

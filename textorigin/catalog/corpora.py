@@ -118,6 +118,12 @@ def sources_of(df):
     return sorted(r[0] for r in df.select("source_dataset").distinct().collect() if r[0] is not None)
 
 
+def largest_sources(df, n):
+    """The n sources with the most rows, the most first."""
+    rows = df.groupBy("source_dataset").count().filter("source_dataset is not null").orderBy(F.desc("count"), "source_dataset").limit(n)
+    return [r["source_dataset"] for r in rows.collect()]
+
+
 def train_roles(spark, sf):
     d = C.resplit(labelled(spark, sf))
     a = C.assignments(d, C.train_definitions(sources_of(d)))

@@ -72,7 +72,7 @@ def _predictions(spark, sf):
     def build():
         df, *_, cols = _parts(spark, sf)
         tests = df.filter("split = 'test'").withColumn("test_name", F.col("source_dataset"))
-        return P.run(P.train_sets(df, corpora.sources_of(df)), tests, cols)[0]
+        return P.run(df, P.train_sets(df, corpora.sources_of(df)), tests, cols)[0]
 
     return stage(spark, sf, "matrix_predictions", build)
 
@@ -88,7 +88,8 @@ def source_matrix_intervals(spark, sf):
 def targeted_matrix(spark, sf):
     df, *_, cols = _parts(spark, sf)
     tests = df.filter("split = 'test'").withColumn("test_name", F.col("source_dataset"))
-    return P.matrix(P.run(P.targeted_sets(df, "en", "de", cols), tests, cols)[0])
+    first, second = corpora.largest_sources(df, 2)
+    return P.matrix(P.run(df, P.targeted_sets(df, first, second, cols), tests, cols)[0])
 
 
 def feature_combinations(spark, sf):

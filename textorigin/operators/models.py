@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,7 +19,7 @@ from ..session import cut_lineage
 from .corpus import cap_groups, class_balance, train_test_split
 from .features import feature_group, imputed
 from .metrics import detector_metrics
-from .ranking import medians as column_medians
+from .ranking import medians as column_medians, medians_by
 
 RANKING = ("auprc", "auroc", "f1")
 RANKING_WITH_TPR = ("auprc", "auroc", "tpr_at_fpr_5pct", "f1")
@@ -30,6 +32,9 @@ class Candidate:
     name: str
     params: dict
     build: Callable[[int], list]
+    #: candidates of one family differ only in ``size``, and a smaller one is the beginning of a larger one
+    family: tuple | None = None
+    size: int = 0
 
 
 def logistic(c: float = 1.0, l1: bool = False, iterations: int = 100) -> Candidate:
@@ -57,7 +62,7 @@ def boosting(rounds: int = 200, depth: int = 3, rate: float = 0.05, subsample: f
     def build(_: int) -> list:
         return [GBTClassifier(featuresCol="raw_features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)]
 
-    return Candidate("gradient_boosting", {"rounds": rounds, "depth": depth, "rate": rate}, build)
+    return Candidate("gradient_boosting", {"rounds": rounds, "depth": depth, "rate": rate}, build, (depth, rate, subsample, seed), rounds)
 
 
 def default_candidates() -> list[Candidate]:
@@ -117,18 +122,115 @@ class Detector:
 
 def fit(train: DataFrame, cols: Sequence[str], candidate: Candidate, medians: dict[str, float] | None = None) -> Detector:
     """Fit one candidate; medians and class weights come from the training rows only."""
+    return fit_many(prepared(train, cols, medians), [(cols, candidate)])[0]
+
+
+@dataclass
+class Training:
+    """Training rows ready for many fits: imputed and weighted once, in few partitions, with the medians they were imputed by."""
+
+    rows: DataFrame
+    n: int
+    medians: dict[str, float]
+
+
+#: bytes of a partition of training rows, about: a small table has one, so that a fit's many short jobs have one task each
+PARTITION = 32 << 20
+
+
+def prepared(train: DataFrame, cols: Sequence[str], medians: dict[str, float] | None = None) -> Training:
     rows = train.filter(F.col("label").isin(0, 1))
     med = medians if medians is not None else column_medians(rows, list(cols))
     ready, n = weighted(imputed(rows.select("label", *cols), list(cols), med))
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="raw_features"), *candidate.build(n)]
-    model = Pipeline(stages=stages).fit(ready.withColumn("label", F.col("label").cast("double")))
-    return Detector(candidate.name, model, list(cols), med, {"params": candidate.params, "n_train": n})
+    ready = ready.withColumn("label", F.col("label").cast("double"))
+    wanted = max(1, n * len(cols) * 8 // PARTITION)
+    return Training(cut_lineage(ready.coalesce(wanted) if wanted < ready.rdd.getNumPartitions() else ready), n, med)
+
+
+def concurrently(spark: SparkSession, work: Sequence[Callable], threads: int | None = None) -> list:
+    """Results of independent pieces of driver work, several at a time, so that the cluster has more than one small job to do.
+
+    Each thread has a scheduler pool of its own, which counts where the session schedules fairly.
+    """
+    if len(work) < 2:
+        return [w() for w in work]
+    threads = min(len(work), threads or max(4, min(16, spark.sparkContext.defaultParallelism)))
+
+    def one(i: int, w: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"work-{i % threads}")
+        return w()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(one), i, w) for i, w in enumerate(work)]]
+
+
+def beginning(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model after its first ``rounds`` rounds: what a fit with so many rounds gives, as a round sees only earlier ones."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees, weights = java.trees(), java.treeWeights()
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    kept_weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], kept_weights[i] = trees[i], weights[i]
+    small = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{java.uid()}_{rounds}", kept, kept_weights)
+    small.setFeaturesCol(java.getFeaturesCol())
+    out = GBTClassificationModel(small)
+    out._resetUid(small.uid())
+    out._transfer_params_from_java()
+    return out
+
+
+def fit_many(training: Training | Sequence[Training], jobs: Sequence[tuple[Sequence[str], Candidate]]) -> list[Detector]:
+    """A detector for each (columns, candidate), on one training table or on one of each job. Fits run next to each other; candidates
+    of a family are fitted once, in the largest size, and the others are its beginnings."""
+    own = list(training) if not isinstance(training, Training) else [training] * len(jobs)
+    largest: dict[tuple, int] = {}
+    for i, (cols, c) in enumerate(jobs):
+        key = (id(own[i]), tuple(cols), c.name, c.family or i)
+        if key not in largest or c.size > jobs[largest[key]][1].size:
+            largest[key] = i
+
+    def one(i: int) -> Callable:
+        cols, c = jobs[i]
+        return lambda: Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="raw_features"), *c.build(own[i].n)]).fit(own[i].rows)
+
+    # the longest first
+    order = sorted(largest.values(), key=lambda i: -jobs[i][1].size)
+    spark = own[0].rows.sparkSession
+    fitted = dict(zip(order, concurrently(spark, [one(i) for i in order])))
+    out = []
+    for i, (cols, c) in enumerate(jobs):
+        k = largest[id(own[i]), tuple(cols), c.name, c.family or i]
+        model = fitted[k]
+        if k != i and c.size < jobs[k][1].size:
+            model = PipelineModel([*model.stages[:-1], beginning(model.stages[-1], c.size)])
+        out.append(Detector(c.name, model, list(cols), own[i].medians, {"params": c.params, "n_train": own[i].n}))
+    return out
+
+
+def score_many(detectors: Sequence[tuple[dict, Detector]], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Scores of many detectors that share their medians, in one table: the columns ``keep``, ai_probability, prediction and each detector's own marks."""
+    cols = sorted({c for _, d in detectors for c in d.columns})
+    med = {c: v for _, d in detectors for c, v in d.medians.items()}
+    filled = cut_lineage(imputed(rows.select(*keep, *cols), cols, med))
+    out = None
+    for marks, d in detectors:
+        one = d.model.transform(filled).withColumn("ai_probability", vector_to_array("probability")[1])
+        one = one.select(*[F.lit(v).alias(k) for k, v in marks.items()], *keep, "ai_probability", (F.col("ai_probability") >= 0.5).cast("int").alias("prediction"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _rank(row, order) -> tuple:
     return tuple(float("-inf") if row[k] is None else float(row[k]) for k in order)
 
 
+def chosen_index(rows: dict, n: int, order: Sequence[str]) -> int:
+    """The candidate whose metrics are largest in this order, the first of equal ones; 0 where none has metrics."""
+    known = [i for i in range(n) if i in rows]
+    return max(known, key=lambda i: (_rank(rows[i], order), -i)) if known else 0
+
+
 def fit_select(train: DataFrame, dev: DataFrame, cols: Sequence[str], candidates: Sequence[Candidate] | None = None,
                order: Sequence[str] = RANKING) -> tuple[Detector, DataFrame]:
     """Fit all candidates on train, compare them on dev, return the best one and the comparison table.
@@ -136,18 +238,11 @@ def fit_select(train: DataFrame, dev: DataFrame, cols: Sequence[str], candidates
     All candidates are scored into one table, so the metrics of the whole search are one grouped job.
     """
     candidates = list(candidates or default_candidates())
-    med = column_medians(train.filter(F.col("label").isin(0, 1)), list(cols))
-    fitted = [fit(train, cols, c, med) for c in candidates]
-    scored = None
-    for i, d in enumerate(fitted):
-        one = d.score(dev.select("label", *cols)).select(F.lit(i).alias("candidate_index"), F.lit(d.name).alias("model"), "label", "ai_probability", "prediction")
-        scored = one if scored is None else scored.unionByName(one)
+    fitted = fit_many(prepared(train, cols), [(cols, c) for c in candidates])
+    scored = score_many([({"candidate_index": i, "model": d.name}, d) for i, d in enumerate(fitted)], dev, ["label"])
     table = cut_lineage(detector_metrics(scored, ["candidate_index", "model"], prediction="prediction"))
     rows = {r["candidate_index"]: r for r in table.collect()}
-    best, best_rank = 0, None
-    for i in range(len(fitted)):
-        if i in rows and (best_rank is None or _rank(rows[i], order) > best_rank):
-            best, best_rank = i, _rank(rows[i], order)
+    best = chosen_index(rows, len(fitted), order)
     chosen = fitted[best]
     chosen.metadata |= {"selection_metric": ">".join(order), "n_features": len(cols), "best_params": candidates[best].params}
     params = train.sparkSession.createDataFrame([(i, json.dumps(c.params, sort_keys=True)) for i, c in enumerate(candidates)], "candidate_index int, params_json string")
@@ -158,8 +253,8 @@ def importance_table(spark: SparkSession, detector: Detector) -> DataFrame:
     return spark.createDataFrame(list(detector.importance().items()), "feature string, importance double")
 
 
-def select_features(train: DataFrame, candidates: Sequence[str], mode: str, trees: int = 300) -> list[str]:
-    """``all``, ``summary_only`` (no single transition cells), ``l1`` or ``top<N>`` by forest importance."""
+def select_features(train: DataFrame, candidates: Sequence[str], mode: str, trees: int = 300, ranked: Sequence[str] | None = None) -> list[str]:
+    """``all``, ``summary_only`` (no single transition cells), ``l1`` or ``top<N>`` by forest importance (``ranked``, if it is known)."""
     cols = list(candidates)
     if mode == "all" or not cols:
         return cols
@@ -167,31 +262,44 @@ def select_features(train: DataFrame, candidates: Sequence[str], mode: str, tree
         return [c for c in cols if "_trans_" not in c]
     if mode == "l1":
         # where the penalty leaves no column, weaker ones follow
+        training = prepared(train, cols)
         for weight in (0.1, 1.0, 10.0):
-            kept = fit(train, cols, logistic(weight, l1=True)).importance()
+            kept = fit_many(training, [(cols, logistic(weight, l1=True))])[0].importance()
             chosen = [c for c in cols if kept[c] > 1e-9]
             if chosen:
                 return chosen
         return cols
     if mode.startswith("top"):
-        return list(fit(train, cols, forest(trees)).importance())[: int(mode[3:])]
+        return list(ranked if ranked is not None else fit(train, cols, forest(trees)).importance())[: int(mode[3:])]
     raise ValueError(f"unknown selection mode {mode!r}")
 
 
 def choose_selection(train: DataFrame, dev: DataFrame, base: Sequence[str], extra: Sequence[str], modes: Sequence[str] = ("all", "top20", "top50", "top100", "l1"),
                      candidates: Sequence[Candidate] | None = None, trees: int = 300) -> tuple[str, list[str], DataFrame]:
-    """Try the selection modes on dev and keep the best column list."""
-    best, tables = None, None
-    for mode in modes:
-        cols = list(base) + select_features(train, extra, mode, trees)
-        _, table = fit_select(train, dev, cols, candidates, RANKING_WITH_TPR)
-        row = table.first()
-        one = table.limit(1).withColumns({"selection_mode": F.lit(mode), "n_features": F.lit(len(cols))})
-        tables = one if tables is None else tables.unionByName(one)
-        rank = _rank(row, RANKING_WITH_TPR)
-        if best is None or rank > best[0]:
-            best = (rank, mode, cols)
-    return best[1], best[2], tables
+    """Try the selection modes on dev and keep the best column list. One importance fit orders the columns for all ``top`` modes."""
+    candidates = list(candidates or default_candidates())
+    ranked = list(fit(train, list(extra), forest(trees)).importance()) if extra and any(m.startswith("top") for m in modes) else None
+    sets = {m: list(base) + select_features(train, extra, m, trees, ranked) for m in modes}
+    best = best_of_sets(train, dev, sets, candidates, RANKING_WITH_TPR)
+    rows = [(m, len(sets[m]), d.name, *(row[k] for k in RANKING_WITH_TPR)) for m, (d, row) in best.items()]
+    table = train.sparkSession.createDataFrame(rows, "selection_mode string, n_features int, model string, " + ", ".join(f"{k} double" for k in RANKING_WITH_TPR))
+    mode = max(best, key=lambda m: (_rank(best[m][1], RANKING_WITH_TPR), -list(best).index(m)))
+    return mode, sets[mode], table
+
+
+def best_of_sets(train: DataFrame, dev: DataFrame, sets: dict[str, Sequence[str]], candidates: Sequence[Candidate], order: Sequence[str]) -> dict[str, tuple[Detector, dict]]:
+    """For each column set the best candidate on dev, with its metrics: all fits on one training table, all metrics in one job."""
+    training = prepared(train, sorted({c for cols in sets.values() for c in cols}))
+    jobs = [(name, i, cols, c) for name, cols in sets.items() for i, c in enumerate(candidates)]
+    fitted = fit_many(training, [(cols, c) for _, _, cols, c in jobs])
+    scored = score_many([({"feature_set": name, "candidate_index": i}, d) for (name, i, _, _), d in zip(jobs, fitted)], dev, ["label"])
+    found = {(r["feature_set"], r["candidate_index"]): r.asDict() for r in detector_metrics(scored, ["feature_set", "candidate_index"], prediction="prediction").collect()}
+    out = {}
+    for name in sets:
+        rows = {i: r for (s, i), r in found.items() if s == name}
+        best = chosen_index(rows, len(candidates), order)
+        out[name] = fitted[next(k for k, j in enumerate(jobs) if j[:2] == (name, best))], rows.get(best, dict.fromkeys(order))
+    return out
 
 
 def ablation_groups(cols: Sequence[str]) -> dict[str, list[str]]:
@@ -213,15 +321,10 @@ def ablation_groups(cols: Sequence[str]) -> dict[str, list[str]]:
 
 def ablation(train: DataFrame, test: DataFrame, groups: dict[str, Sequence[str]], candidates: Sequence[Candidate]) -> DataFrame:
     """Every column set with every candidate, fitted on train and measured on test, best F1 first."""
-    scored = None
-    med = column_medians(train, sorted({c for cs in groups.values() for c in cs}))
-    for group, cols in groups.items():
-        for c in candidates:
-            d = fit(train, cols, c, med)
-            one = d.score(test.select("label", *cols)).select(
-                F.lit(group).alias("feature_set"), F.lit(c.name).alias("model"), F.lit(len(cols)).alias("feature_count"), "label", "ai_probability", "prediction")
-            scored = one if scored is None else scored.unionByName(one)
-    table = detector_metrics(cut_lineage(scored), ["feature_set", "model", "feature_count"], prediction="prediction")
+    jobs = [(group, cols, c) for group, cols in groups.items() for c in candidates]
+    fitted = fit_many(prepared(train, sorted({c for cs in groups.values() for c in cs})), [(cols, c) for _, cols, c in jobs])
+    scored = score_many([({"feature_set": group, "model": c.name, "feature_count": len(cols)}, d) for (group, cols, c), d in zip(jobs, fitted)], test, ["label"])
+    table = detector_metrics(scored, ["feature_set", "model", "feature_count"], prediction="prediction")
     return table.orderBy(F.desc_nulls_last("f1"), F.desc_nulls_last("auroc"))
 
 

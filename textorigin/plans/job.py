@@ -87,7 +87,8 @@ def run(corpus: DataFrame, out: str, families: Sequence[str] = ("burst", "struct
     kept, info = E.clean_columns(E.column_audit(train, cols), cols)
     sources = sorted(r[0] for r in merged.select("source_dataset").distinct().collect())
     tests = merged.filter("split = 'test' and label is not null").withColumn("test_name", F.concat(F.col("source_dataset"), F.lit("_test")))
-    predictions, failures, detectors = matrix.run(matrix.train_sets(merged.filter("label is not null"), sources), tests, kept, candidates)
+    labelled = merged.filter("label is not null")
+    predictions, failures, detectors = matrix.run(labelled, matrix.train_sets(labelled, sources), tests, kept, candidates)
     results = {"matrix": matrix.matrix_with_intervals(predictions, replicates), "predictions": predictions, "failures": failures, "catalogue": E.catalogue(merged)}
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{out}/results/{name}")

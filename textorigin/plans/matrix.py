@@ -40,41 +40,48 @@ def targeted_sets(features: DataFrame, first: str, second: str, cols: Sequence[s
     }
 
 
-def run(definitions: dict[str, tuple[DataFrame, DataFrame]], tests: DataFrame, cols: Sequence[str], candidates: Sequence[M.Candidate] | None = None,
+def run(features: DataFrame, definitions: dict[str, tuple[DataFrame, DataFrame]], tests: DataFrame, cols: Sequence[str], candidates: Sequence[M.Candidate] | None = None,
         order: Sequence[str] = M.RANKING) -> tuple[DataFrame, DataFrame, dict[str, M.Detector]]:
     """Fit the best model per definition and score all test rows (``test_name`` tells the set) with it.
 
-    The dev scores of all definitions and candidates go into one table, so choosing the models is one grouped
-    metrics job. Returns (predictions, failures, detectors). A definition without rows of both classes is listed
-    and skipped; any other problem ends the run.
+    ``features`` is written once, each row with the definitions whose training rows (by ``id``) it is in; sizes, classes and medians of all
+    definitions come from grouped jobs over it, and all definitions' candidates are fitted next to each other. The dev scores go into one table, so
+    choosing the models is one grouped metrics job. Returns (predictions, failures, detectors). A definition without
+    rows of both classes is listed and skipped; any other problem ends the run.
     """
-    candidates = list(candidates or M.default_candidates())
-    fitted, failures, sizes, dev_scores = {}, [], {}, None
-    for name, (train, dev) in definitions.items():
-        ready = cut_lineage(train.select("id", "label", *cols))
-        stats = C.dataset_stats(ready).first()
-        if not stats or not stats["both_classes"]:
-            failures.append((name, "training rows have one class only" if stats and stats["rows"] else "no training rows"))
-            continue
-        med = M.column_medians(ready, list(cols))
-        fitted[name] = [M.fit(ready, cols, c, med) for c in candidates]
-        sizes[name] = stats["rows"]
-        for i, d in enumerate(fitted[name]):
-            one = d.score(dev.select("label", *cols)).select(F.lit(name).alias("train_name"), F.lit(i).alias("candidate_index"), "label", "ai_probability", "prediction")
-            dev_scores = one if dev_scores is None else dev_scores.unionByName(one)
-    if not fitted:
+    spark, candidates, cols = features.sparkSession, list(candidates or M.default_candidates()), list(cols)
+    members = None
+    for name, (train, _) in definitions.items():
+        one = train.select("id", F.lit(name).alias("train_name"))
+        members = one if members is None else members.unionByName(one)
+    # at most one entry per definition
+    of = members.groupBy("id").agg(F.collect_set("train_name").alias("definitions"))
+    table = cut_lineage(features.select("id", "label", *cols).join(of, "id"))
+    long = table.withColumn("train_name", F.explode("definitions"))
+    classes = long.groupBy("train_name").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.when(F.col("label").isin(0, 1), F.col("label"))).alias("classes"))
+    stats = {r["train_name"]: r for r in classes.collect()}
+    known = [n for n in definitions if n in stats and stats[n]["classes"] == 2]
+    failures = [(n, "training rows have one class only" if n in stats else "no training rows") for n in definitions if n not in known]
+    if not known:
         raise ValueError(f"no train definition could be fitted: {failures}")
-    rows = {(r["train_name"], r["candidate_index"]): r for r in detector_metrics(dev_scores, ["train_name", "candidate_index"], prediction="prediction").collect()}
+    medians = M.medians_by(long.filter(F.col("label").isin(0, 1)), cols, "train_name", known)
+    ready = dict(zip(known, M.concurrently(spark, [lambda n=n: M.prepared(table.filter(F.array_contains("definitions", n)), cols, medians[n]) for n in known])))
+    jobs = [(n, i) for n in known for i in range(len(candidates))]
+    fitted = dict(zip(jobs, M.fit_many([ready[n] for n, _ in jobs], [(cols, candidates[i]) for _, i in jobs])))
+    dev_scores = None
+    for n in known:
+        one = M.score_many([({"train_name": n, "candidate_index": i}, fitted[n, i]) for i in range(len(candidates))], definitions[n][1], ["label"])
+        dev_scores = one if dev_scores is None else dev_scores.unionByName(one)
+    found = {(r["train_name"], r["candidate_index"]): r for r in detector_metrics(dev_scores, ["train_name", "candidate_index"], prediction="prediction").collect()}
     predictions, detectors = None, {}
-    for name, options in fitted.items():
-        known = [i for i in range(len(options)) if (name, i) in rows] or [0]
-        best = max(known, key=lambda i: M._rank(rows[name, i], order) if (name, i) in rows else ())
-        detector = detectors[name] = options[best]
+    for name in known:
+        best = M.chosen_index({i: found[name, i] for i in range(len(candidates)) if (name, i) in found}, len(candidates), order)
+        detector = detectors[name] = fitted[name, best]
         one = detector.score(tests).select(
-            F.lit(name).alias("train_name"), F.lit(detector.name).alias("best_model"), F.lit(sizes[name]).alias("n_train"), F.lit(len(cols)).alias("n_features"),
+            F.lit(name).alias("train_name"), F.lit(detector.name).alias("best_model"), F.lit(stats[name]["rows"]).alias("n_train"), F.lit(len(cols)).alias("n_features"),
             "test_name", "id", "label", "ai_probability", "prediction")
         predictions = one if predictions is None else predictions.unionByName(one)
-    failed = tests.sparkSession.createDataFrame(failures, "train_name string, problem string")
+    failed = spark.createDataFrame(failures, "train_name string, problem string")
     return cut_lineage(predictions), failed, detectors
 
 
@@ -93,10 +100,8 @@ def matrix_with_intervals(predictions: DataFrame, replicates: int = 200) -> Data
 
 
 def combinations(train: DataFrame, dev: DataFrame, tests: DataFrame, column_sets: dict[str, Sequence[str]], candidates: Sequence[M.Candidate] | None = None) -> DataFrame:
-    """The same train set with several column sets (basic, + transition, + dynamics, ...)."""
-    predictions = None
-    for name, cols in column_sets.items():
-        detector, _ = M.fit_select(train, dev, cols, candidates, M.RANKING_WITH_TPR)
-        one = detector.score(tests).select(F.lit(name).alias("feature_set"), F.lit(detector.name).alias("best_model"), F.lit(len(cols)).alias("n_features"), "test_name", "id", "label", "ai_probability", "prediction")
-        predictions = one if predictions is None else predictions.unionByName(one)
-    return detector_metrics(cut_lineage(predictions), ["feature_set", "best_model", "n_features", "test_name"], prediction="prediction")
+    """The same train set with several column sets (basic, + transition, + dynamics, ...): one row per set and test."""
+    best = M.best_of_sets(train, dev, column_sets, list(candidates or M.default_candidates()), M.RANKING_WITH_TPR)
+    marks = lambda name, d: {"feature_set": name, "best_model": d.name, "n_features": len(column_sets[name])}
+    scored = M.score_many([(marks(name, d), d) for name, (d, _) in best.items()], tests, ["test_name", "label"])
+    return detector_metrics(cut_lineage(scored), ["feature_set", "best_model", "n_features", "test_name"], prediction="prediction")

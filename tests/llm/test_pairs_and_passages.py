@@ -158,36 +158,73 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_lines(rows, separator, least):
+def cut_units(text, unit):
+    """(start of the white space before, begin, end) of every unit, character by character."""
+    white, out, at, start = " \t\n\x0b\x0c\r", [], 0, 0
+    while at < len(text):
+        if text[at] in white:
+            at += 1
+            continue
+        begin = at
+        while at < len(text):
+            c, rest = text[at], text[at + 1 :]
+            if unit == "paragraph" and c == "\n" and (not rest or rest[0] == "\n"):
+                break
+            if unit != "paragraph" and c == "\n":
+                break
+            at += 1
+            if unit == "sentence" and c in ".!?" and (not rest or rest[0] in white):
+                break
+        out.append((start, begin, at))
+        start = at
+    return out
+
+
+def brute_units(rows, unit, least):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    first, out = {}, []
+    first, out, known = set(), [], {}
     for k in order:
-        if rows[k] in {rows[j] for j, *_ in out}:
-            out.append((k, *next(o[1:] for o in out if rows[o[0]] == rows[k])))
-            continue
-        at, kept, gone = 0, [], []
-        for unit in (rows[k][1] or "").split(separator):
-            w = unit.translate(LOWER).split()
-            name = " ".join(w)
-            if len(w) >= least and name in first:
-                gone.append((at, at + len(unit)))
-            else:
-                first.setdefault(name, 1) if len(w) >= least else None
-                kept.append(unit)
-            at += len(unit) + len(separator)
-        out.append((k, None if rows[k][1] is None else separator.join(kept), gone))
-    return sorted(((rows[k][0], t, g) for k, t, g in out), key=repr)
-
-
-@pytest.mark.parametrize("separator", ["\n", "\n\n"])
-def test_line_dedup(spark, separator, empty):
+        i, text = rows[k]
+        if (i, text) not in known:
+            units = cut_units(text or "", unit)
+            names = [" ".join((text[b:e]).translate(LOWER).split()) for _, b, e in units]
+            again = [n in first or n in names[:j] for j, n in enumerate(names)]
+            first |= set(names)
+            gone = []
+            for j in range(len(units)):
+                low, high = j, j
+                while low > 0 and again[low - 1]:
+                    low -= 1
+                while high < len(units) and again[high]:
+                    high += 1
+                if again[j] and sum(len(n.split()) for n in names[low:high]) >= least:
+                    gone.append(j)
+            kept = "".join(c for p, c in enumerate(text or "") if not any(units[j][0] <= p < units[j][2] for j in gone))
+            known[i, text] = None if text is None else kept, [units[j][1:] for j in gone]
+        out.append((i, *known[i, text]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("unit, least", [("sentence", 8), ("sentence", 1), ("line", 6), ("paragraph", 5)])
+def test_unit_dedup(spark, unit, least, empty):
     rng = random.Random(4)
-    bank = [f"this is line number {i}" for i in range(12)] + ["Short", "", " This  is LINE number 3", "été ñ ü 一 二 三"]
-    rows = [(i, separator.join(rng.choice(bank) for _ in range(rng.randint(0, 9)))) for i in range(40)]
-    rows += [(7, rows[7][1]), (None, rows[3][1]), (90, None), (91, ""), (92, separator), (93, bank[0]), (94, bank[0] + separator)]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, _id int")
-    out = lines.remove_repeats(docs, separator)
-    assert out.columns == ["doc_id", "text", "digest", "_id", "removed"]
+    bank = [f"this is sentence number {i}." for i in range(12)] + ["Short", "", " This  is SENTENCE number 3.", "été ñ ü 一 二 三!", "3.14 is pi?! yes", "...", "end  "]
+    rows = [(i, "".join(rng.choice(bank) + rng.choice([" ", "\n", "  ", "\n\n", ""]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    rows += [(7, rows[7][1]), (None, rows[3][1]), (90, None), (91, ""), (92, " \n "), (93, bank[0]), (94, bank[0] + "\n")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, _id int").withColumns({"number": F.lit("a"), "place": F.lit(None)})
+    out = lines.remove_repeats(docs, unit, least)
+    assert out.columns == ["doc_id", "text", "digest", "_id", "number", "place", "removed"] and out.filter("digest != 'x' or number != 'a'").count() == 0
     got = sorted(((r.doc_id, r.text, [tuple(s) for s in r.removed]) for r in out.collect()), key=repr)
-    assert got == brute_lines(rows, separator, 5)
+    assert got == brute_units(rows, unit, least)
     assert lines.op9(empty).count() == 0
+
+
+def test_passage_inside_lines(spark):
+    """A passage of 60 words that begins and ends inside lines goes from the later document; short common lines stay."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = ". ".join(words(10) for _ in range(6)) + "."
+    rows = [(1, f"{words(9)}. {passage} {words(5)}.\nall rights reserved here now"), (2, f"{words(12)} so. {passage} {words(9)}\nall rights reserved here now"), (3, f"{words(40)}.\nall rights reserved here now")]
+    got = {r.doc_id: r for r in lines.op9(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[2].n_removed == 6
+    assert passage not in got[2].text and got[2].text.endswith("all rights reserved here now")

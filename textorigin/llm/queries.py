@@ -143,14 +143,19 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id IS NOT DI
 """,
     "op9_substring_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-u AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE text IS NOT NULL),
-n AS (SELECT *, {WORDS.format("line", ANY_WORD)} AS w, CAST(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k) AS BIGINT) - length(line) - 1 AS b FROM u),
-m AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY len(w) >= 5, array_to_string(w, ' ') ORDER BY doc_id NULLS LAST, r, k) > 1 AS gone FROM n),
-t AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed,
-             CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
-             coalesce(string_agg(b || '-' || (b + length(line)), ',' ORDER BY k) FILTER (gone), '') AS removed
-      FROM m GROUP BY r)
-SELECT doc_id, t.text, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed
+c AS (SELECT r, doc_id, regexp_extract_all(text, '[{lines.WHITE}]*{lines.UNITS["sentence"]}') AS p FROM d WHERE text IS NOT NULL),
+u AS (SELECT r, doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM c),
+n AS (SELECT *, {WORDS.format("piece", ANY_WORD)} AS w, length(piece) - length(regexp_replace(piece, '^[{lines.WHITE}]+', '')) AS lead,
+             CAST(sum(length(piece)) OVER (PARTITION BY r ORDER BY k) AS BIGINT) AS stop FROM u),
+m AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id NULLS LAST, r, k) > 1 AS again FROM n),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY r, again ORDER BY k) AS island FROM m),
+g AS (SELECT *, again AND sum(len(w)) OVER (PARTITION BY r, again, island) >= {lines.RUN_WORDS} AS gone FROM i),
+t AS (SELECT r, coalesce(string_agg(piece, '' ORDER BY k) FILTER (NOT gone), '') AS kept, max(stop) AS tail, count(*) FILTER (gone) AS n_removed,
+             CAST(coalesce(sum(length(piece) - lead) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+             coalesce(string_agg((stop - length(piece) + lead) || '-' || stop, ',' ORDER BY k) FILTER (gone), '') AS removed
+      FROM g GROUP BY r)
+SELECT doc_id, CASE WHEN tail IS NULL THEN text ELSE kept || substr(text, tail + 1) END AS text, coalesce(n_removed, 0) AS n_removed,
+       coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed
 FROM d LEFT JOIN t USING (r)
 """,
     "op13_centroid_clustering": _clusters(),

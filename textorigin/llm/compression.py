@@ -118,26 +118,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` between 0 and 1, and ``predicted``: 1 if the score is 0.5 or more.
 
-    Whole texts are compressed, in one narrow pass. Null and empty texts get the score of an empty text; repeated rows get equal
+    Whole texts are compressed, in one narrow pass; other columns do not go through Python. Null and empty texts get the score of an empty text; repeated rows get equal
     scores; an empty table stays empty. Columns named as the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
-    given = docs.select(*names, F.col(text).cast("string").alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         mean, scale, weights = np.array(m.mean), np.array(m.scale), np.array(m.weights)
-        for batch in batches:
-            raw = [x or b"" for x in batch.column(len(names)).cast(pa.large_binary()).to_pylist()]
-            x = (features(raw, m.good, m.bad) - mean) / scale if raw else np.zeros((0, 5))
-            p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-            yield pa.record_batch([*batch.columns[: len(names)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*given.drop("_text").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return given.mapInArrow(run, schema)
+        for column in columns:
+            out = np.empty(len(column))
+            # a few texts at a time, so that a batch is not held twice
+            for low in range(0, len(column), 256):
+                raw = [x or b"" for x in column.slice(low, 256).cast(pa.large_binary()).to_pylist()]
+                x = (features(raw, m.good, m.bad) - mean) / scale
+                out[low : low + len(raw)] = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+            yield pa.array(out)
+        _presses.cache_clear()
+
+    # only the text goes to Python, and only once: a condition on the score does not work it out again
+    scored = docs.select(*names, good.asNondeterministic()(F.col(text).cast("string")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:

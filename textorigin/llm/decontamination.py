@@ -29,9 +29,10 @@ _FOLD = bytes(W.LOWER[b] if _IN_WORD[b] else 32 for b in range(256))
 _built: OrderedDict = OrderedDict()
 
 
-def _normal(text: bytes) -> tuple[list[bytes], str]:
+def _normal(text: bytes) -> tuple[int, str]:
+    """The number of words, and the words between blanks."""
     found = text.translate(_FOLD).split()
-    return found, (b" " + b" ".join(found) + b" ").decode("latin-1") if found else ""
+    return len(found), (b" " + b" ".join(found) + b" ").decode("latin-1") if found else ""
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,7 @@ def _scan(shared, text_at: int, schema: pa.Schema):
             columns = {
                 "_hits": [[{"begin": a, "end": b} for a, b in x] for x in merged],
                 "_items": [sorted(items.get(i, ())) for i in range(len(raw))],
-                "n_words": [len(f) for f, _ in normal],
+                "n_words": [n for n, _ in normal],
                 "n_hit": [sum(b - a for a, b in x) for x in merged],
                 "spans": [],
             }

@@ -31,7 +31,7 @@ LEVEL = 3
 #: text bytes that one file takes, roughly
 FILE_BYTES = 64 << 20
 #: pieces of text whose ids a worker remembers (about 80 MB in all), and bytes of text that it handles at once
-KEPT_PIECES, PIECE_BYTES = 1_000_000, 4 << 20
+KEPT_PIECES, PIECE_BYTES = 1_000_000, 1 << 20
 #: places for looking up remembered pieces without sorting
 SLOTS = 1 << 22
 #: Fixed values of the zstandard seekable format: magic numbers of the frames and of the footer
@@ -328,12 +328,16 @@ def read_tokens(manifest: DataFrame, files: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, at = [], start
-                for _, doc, raw in read_frames(path):
-                    rows.append((doc, at, len(raw) // 4, zlib.crc32(raw)))
-                    at += len(raw) // 4
-                kinds = [pa.int64()] * 4
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                at, frames = start, read_frames(path)
+                # a few thousand frames at a time, however long the file is
+                while True:
+                    rows = []
+                    for _, doc, raw in itertools.islice(frames, 4_096):
+                        rows.append((doc, at, len(raw) // 4, zlib.crc32(raw)))
+                        at += len(raw) // 4
+                    if not rows:
+                        break
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("file", "start").repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -179,5 +179,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """What the mix takes of each document, summed over the places that the tree and the block draw gave its copies, and where they are."""
     plan = mix(docs.select("doc_id", "text", "source"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    taken = F.aggregate(F.transform("places", lambda p: F.when(p["shard"] >= 0, F.col("size")).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    spots = F.transform(F.array_sort("places"), lambda p: F.concat_ws(":", p["shard"], p["block"], p["order"]))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.array_sort(F.array_distinct(F.transform("places", lambda p: p["shard"]))), ",").alias("shards"),
+        F.sha2(F.array_join(spots, ","), 256).alias("places_sha256"),
+    )

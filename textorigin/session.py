@@ -61,12 +61,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables that :func:`cut_lineage` has written so far, once nothing reads them any more. Returns their number."""
+def scratch_mark() -> int:
+    """Where the list of written tables stands now, for :func:`scratch_since`."""
+    return len(_SCRATCH)
+
+
+def scratch_since(mark: int) -> list[str]:
+    """The tables that :func:`cut_lineage` has written since."""
+    return _SCRATCH[mark:]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete the tables that :func:`cut_lineage` has written, all or those of ``paths``, once nothing reads them any more. Returns their number."""
     done = 0
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    for name in list(_SCRATCH) if paths is None else list(paths):
+        if name in _SCRATCH:
+            _SCRATCH.remove(name)
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return done
 
 

@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textorigin.llm import compression, decontamination, minhash, mixing, tokens
 from textorigin.llm.queries import splits, table, tokenizer_path
 from textorigin.session import cut_lineage, drop_scratch, scratch_mark, scratch_since
 
-_left: list[str] = []
-
-
-def _stage(function: Callable) -> Callable:
-    """A stage begins when the one before is written, so that one's intermediate tables go first."""
-
-    @functools.wraps(function)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(spark, _left)
-        mark = scratch_mark()
-        out = function(spark, docs, sf_dir)
-        _left[:] = scratch_since(mark)
-        return out
-
-    return run
-
 
 def _own(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` under column names of its own, so that no column can clash with what an operator adds; and the names."""
@@ -38,7 +19,6 @@ def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select(*names.values()).toDF(*names)
 
 
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     model = compression.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), train=~compression.held_out("doc_id"))
@@ -46,7 +26,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(compression.score(own, model, text=names["text"]).filter("predicted = 1"), names)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, similarity 0.8): that with the smallest id, null last."""
     own, names = _own(docs)
@@ -61,7 +40,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _back(keyed.join(drop, "key", "left_anti"), names)
 
 
-@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     own, names = _own(docs)
@@ -69,14 +47,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _back(found.filter("n_hit = 0"), names)
 
 
-@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     own, names = _own(docs)
     return _back(mixing.mixed_documents(own, names["doc_id"], names["text"], names["source"]), names)
 
 
-@_stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and what reading them back gives per document."""
     return tokens.tokens(docs.select("doc_id", "text"), tokenizer_path(), splits(spark))
@@ -96,5 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        mark = scratch_mark()
         docs = cut_lineage(stage(spark, docs, sf_dir))
+        # the stage is written, so nothing reads its intermediate tables or the stage before any more
+        *done, _ = scratch_since(mark)
+        drop_scratch(spark, done)
     return docs

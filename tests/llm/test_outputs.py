@@ -206,7 +206,7 @@ SQL = sorted(queries.ORACLES)
 @pytest.mark.parametrize("name", SQL)
 def test_query_equals_duckdb(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     cur = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cur.description]
@@ -216,7 +216,7 @@ def test_query_equals_duckdb(spark, sf, name):
 
 
 def test_queries():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_against_brute_force(spark, sf, documents, plain):

@@ -161,7 +161,7 @@ def concurrently(spark: SparkSession, work: Sequence[Callable], threads: int | N
         return w()
 
     with ThreadPoolExecutor(threads) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(one), i, w) for i, w in enumerate(work)]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), i, w) for i, w in enumerate(work)]]
 
 
 def beginning(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:

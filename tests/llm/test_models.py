@@ -90,6 +90,28 @@ def test_expectation_maximisation(spark):
     assert all(bad[1] > 0.15 and fine[1] <= 0.003 for fine, bad in model["rules"].values())
 
 
+def test_weak_supervision_keeps_columns(spark, odd):
+    clash = ["symbols", "sentences", "capitals", "_t", "_w", "_l", "_h", "_v_symbols", "a.b", "given_text", "own_0"]
+    docs = odd.select("*", *[F.lit(f"mine {c}").alias(c) for c in clash], F.lit(-1).alias("n_words"), F.lit("x").alias("kept"))
+    out = weak_supervision.supervise(docs)
+    assert out.columns == [*odd.columns, *clash, *weak_supervision.COUNTS, "posterior", "base_failed", "kept"]
+    rows = [r.asDict() for r in out.collect()]
+    assert all(r[c] == f"mine {c}" for r in rows for c in clash) and min(r["n_words"] for r in rows) == 0
+    plain = weak_supervision.op5(odd).groupBy("doc_id", "n_words", "kept").count()
+    assert not plain.exceptAll(out.groupBy("doc_id", "n_words", "kept").count()).count()
+    assert sorted(r["text"] or "" for r in rows) == sorted(r.text or "" for r in odd.collect())
+    only = weak_supervision.supervise(docs, keep=["a.b"])
+    assert only.columns == ["a.b", *weak_supervision.COUNTS, "posterior", "base_failed", "kept"] and only.count() == odd.count()
+
+
+def test_toxicity_takes_the_smallest_text(spark, documents, labels):
+    """Of several texts of an id the same one is learned from, in whatever order the rows come."""
+    twice = documents.unionByName(documents.withColumn("text", F.concat(F.lit("~ "), "text")))
+    chains = [toxicity.fit(d, labels.select("doc_id", "toxic"), ("toxic",)) for d in (documents, twice.orderBy(F.desc("text")))]
+    scores = [{r.doc_id: round(r.p_toxic, 9) for r in toxicity.score(documents, c).collect()} for c in chains]
+    assert scores[0] == scores[1]
+
+
 def test_toxicity(spark, documents, labels, odd, empty):
     # held-out documents: most toxic ones are found, and hardly a clean one is called so
     many, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
 
     Later models learn from out-of-fold probabilities of the earlier categories: the documents are cut into FOLDS by a hash of their id,
     and each fold gets its probabilities from a model fitted to the others. Rows with a null id, or a label that is null or not 0 or
-    1 in one of the categories, are left out; of repeated labels of an id the largest counts, of repeated documents one.
+    1 in one of the categories, are left out; of repeated labels of an id the largest counts, of repeated documents the smallest text.
     """
     own = labels.select(F.col(doc_id).cast("long").alias("_id"), *[F.col(c).cast("double").alias(c) for c in categories])
     for c in categories:
@@ -98,14 +98,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
     there = docs.select(F.col(doc_id).cast("long").alias("_id")).distinct()
     chosen = own.join(there, "_id", "left_semi").orderBy(F.md5(F.col("_id").cast("string"))).limit(FIT_DOCUMENTS)
     # bounded: FIT_DOCUMENTS rows of labels
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")
+    texts = texts.groupBy("_id", *categories).agg(F.min("_t").alias("_t"))
     given = texts.select("_id", *categories, _words(F.col("_t")).alias("_words"), F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).alias("_fold"))
     given = given.persist(StorageLevel.MEMORY_AND_DISK)
     n = given.count()
     vocabulary = _vocabulary(given, categories)
     # a bounded table of few columns: few tasks, as each step of a fit is a job
     data = _found(given, vocabulary).coalesce(4).persist(StorageLevel.MEMORY_AND_DISK)
-    models, shares, scored = [], [], data
+    models, shares, scored, held = [], [], data, [given, data]
     for k, c in enumerate(categories):
         rows = _inputs(scored, categories[:k])
         share = float(rows.select(F.sum(c)).first()[0] or 0.0) / n if n else 0.0
@@ -120,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
             for p in parts[1:]:
                 scored = scored.unionByName(p)
             scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    given.unpersist()
-    data.unpersist()
+            held.append(scored)
+    for table in held:
+        table.unpersist()
     return Chain(tuple(categories), tuple(models), tuple(shares), vocabulary)
 
 

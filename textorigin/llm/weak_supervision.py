@@ -13,6 +13,9 @@ ROUNDS, SMOOTHING, TOLERANCE = 30, 1.0, 1e-6
 #: the good, as an error of that rule.
 MOST_WRONG = 0.002
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_capitals", "n_exclamations", "n_separators", "n_stops", "n_lines", "n_dup_lines", "n_repeat_words",
+)
 
 #: rule: (value, votes bad at or beyond, votes good within, direction). Between the two limits a rule abstains.
 RULES = {
@@ -49,14 +52,22 @@ def _repeats(hashes: Column) -> Column:
     return F.transform(places, covered)[0]
 
 
+def _own(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` under names that nothing here uses, beside the text as ``given_text``; and their names before."""
+    plain = docs.toDF(*[f"own_{i}" for i in range(len(docs.columns))])
+    names = {f"own_{i}": c for i, c in enumerate(docs.columns) if c in keep}
+    return plain.select(*names, F.col(f"own_{docs.columns.index(text)}").alias("given_text")), names
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the other counts that the rules use.
 
     All are expressions over the row: no shuffle, and no array is searched once per element, so long texts cost in proportion.
-    A null text has no words, no lines with words, and zero for each count.
+    A null text has no words, no lines with words, and zero for each count. Columns named like a count are replaced, all others stay.
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    given = docs.withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), F.lit(1)))
+    own, names = _own(docs, [c for c in docs.columns if c not in COUNTS], text)
+    t = F.coalesce(F.col("given_text").cast("string"), F.lit(""))
+    given = own.withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), F.lit(1)))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.regexp_like(x, F.lit(WORD)))
     n = F.size("_w")
     windows = F.when(
@@ -67,12 +78,13 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "_l": lines, "_h": windows, "n_words": n.cast("long"), "word_chars": F.char_length(F.regexp_replace("_t", SPACE, "")).cast("long"),
         "n_symbols": marks(r"[#*$%&|<>]"), "n_capitals": marks(r"\p{Lu}"), "n_exclamations": marks("!"), "n_separators": marks(r"\|"), "n_stops": marks(r"[.!?]"),
     })
-    return found.withColumns({
+    counted = found.withColumns({
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         # most texts repeat no window; the others are sorted
         "n_repeat_words": F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(_repeats(F.col("_h"))),
-    }).drop("_t", "_w", "_l", "_h")
+    })
+    return counted.select(*[F.col(o).alias(n) for o, n in names.items()], *COUNTS)
 
 
 def votes() -> dict[str, Column]:
@@ -138,25 +150,26 @@ def fit(voted: DataFrame) -> dict:
     return model
 
 
-def supervise(docs: DataFrame, text: str = "text") -> DataFrame:
+def supervise(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the counts of :func:`measures`, ``posterior`` (probability of good quality), ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated windows; ``kept`` is false then, and
     otherwise true if the posterior is 0.5 or more. Rules whose value has no denominator abstain. A null or empty text fails;
-    ties and repeated rows get equal results; an empty table stays empty; columns named like the counts are replaced.
+    ties and repeated rows get equal results; an empty table stays empty. ``keep`` names the columns to return (all, the text
+    included, unless given): the table between counting and judging is written with them. Columns named like the new ones are
+    replaced, all others stay, those named like a rule too.
     """
-    names = [c for c in docs.columns if c not in {"posterior", "base_failed", "kept", *RULES}]
-    counted = cut_lineage(measures(docs.select(*names).drop(text) if text not in names else docs.select(*names), text).drop(text))
-    voted = counted.withColumns({f"_v_{n}": v for n, v in votes().items()})
-    only = voted.select(*[F.col(f"_v_{n}").alias(n) for n in RULES])
-    model = fit(only)
-    for n in RULES:
-        voted = voted.withColumnRenamed(f"_v_{n}", n)
+    new = {*COUNTS, "posterior", "base_failed", "kept"}
+    own, names = _own(docs, [c for c in (docs.columns if keep is None else keep) if c not in new], text)
+    counted = cut_lineage(measures(own, "given_text").drop("given_text"))
+    voted = counted.withColumns(votes())
+    model = fit(voted.select(*RULES))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = voted.withColumn("posterior", _posterior(model)).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*RULES)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    return out.select(*[F.col(o).alias(n) for o, n in names.items()], *COUNTS, "posterior", "base_failed", "kept")
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    out = supervise(docs.select("doc_id", "text"))
+    out = supervise(docs, keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import categories as K, text as X
 from ..functions.columns import ratio, rounded_table
-from ..operators import metrics as M
+from ..operators import metrics as M, resampling as S
 from ..operators.features import document_features
 from .documents import DOCS, R6, RATIO, TOKENS
 from .tables import documents, labels
@@ -77,6 +77,20 @@ def bootstrap(spark, sf):
     return _r(M.bootstrap_intervals(predictions(spark, sf), CELL, replicates=200), {"test_name"})
 
 
+def multinomial(spark, sf):
+    return _r(S.multinomial_intervals(predictions(spark, sf), CELL, replicates=200), {"test_name"})
+
+
+def bootstrap_sizes(spark, sf):
+    """Every replicate draws as many rows as its cell has, and from its own scores only."""
+    p = predictions(spark, sf)
+    drawn = S.multinomial_draws(p, CELL, replicates=200).withColumn("score", F.round("score", 6))
+    own = M.score_counts(p, CELL).select(*CELL, F.round("score", 6).alias("score"), (F.col("pos") > 0).alias("has_pos"), (F.col("neg") > 0).alias("has_neg"))
+    known = drawn.join(own, [*CELL, "score"], "left")
+    wrong = ((F.col("pos") > 0) & ~F.coalesce("has_pos", F.lit(False))) | ((F.col("neg") > 0) & ~F.coalesce("has_neg", F.lit(False)))
+    return known.groupBy(*CELL, "replicate").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum(wrong.cast("long")).alias("n_foreign"))
+
+
 def two_scores(spark, sf):
     """Two prediction tables of the same rows, joined."""
     p = predictions(spark, sf)
@@ -98,7 +112,7 @@ def score_average(spark, sf):
 QUERIES = {
     "detector_metrics": detector_metrics, "detector_metrics_all": detector_metrics_all, "roc_curve": roc, "pr_curve": pr, "calibration_bins": calibration,
     "choose_thresholds": thresholds, "threshold_for_fpr": thresholds_applied, "confusion_matrix": confusion, "class_report": class_report,
-    "bootstrap_intervals": bootstrap, "fusion_table": fusion, "fusion_choice": fusion_choice, "score_average": score_average,
+    "bootstrap_intervals": bootstrap, "multinomial_intervals": multinomial, "bootstrap_sizes": bootstrap_sizes, "fusion_table": fusion, "fusion_choice": fusion_choice, "score_average": score_average,
 }
 
 
@@ -185,6 +199,7 @@ ORACLES = {
       su as (select test_name, b, sum(pos) as P, sum(neg) as N, coalesce(sum(pos) filter (s >= 0.5), 0) as TP, coalesce(sum(neg) filter (s >= 0.5), 0) as FP, sum(neg * (tp - pos / 2)) as wins, sum(pos * tp / (tp + fp)) as ap from rn group by 1, 2),
       ms as (select test_name, wins / nullif(P * N, 0) as auroc, case when P > 0 and N > 0 then ap / P end as auprc, coalesce(2 * TP / nullif(TP + FP + P, 0), 0) as f1 from su)
       select test_name, """ + ", ".join(f"{R6(f'quantile_cont({m}, {q})')} as {m}_ci_{n}" for m in ("auroc", "auprc", "f1") for q, n in ((0.025, "low"), (0.975, "high"))) + " from ms group by 1",
+    "bootstrap_sizes": f"with {PRED_SQL} select test_name, cast(b as int) as replicate, count(*) as n, cast(0 as bigint) as n_foreign from pred cross join range(200) r(b) group by 1, 2",
     "fusion_table": "select * exclude (n, alpha), " + R6("alpha") + " as alpha from (" + metrics_sql("fu", ["test_name", "alpha"], extra_ctes=FUSED, select=["auprc", "auroc", "f1"]) + ")",
     "fusion_choice": f"select {R6('alpha')} as alpha from ({_FUSE_ALL}) order by auprc desc, auroc desc, f1 desc, alpha limit 1",
     "score_average": metrics_sql("(select id, label, 0.5 * ai_probability + 0.5 * other as ai_probability from pred)", [], extra_ctes=PRED_SQL, select=["auroc", "auprc", "brier_score"]),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import corpus as C, drift, models as M
-from ..operators.metrics import bootstrap_intervals, detector_metrics
+from ..operators.metrics import detector_metrics
+from ..operators.resampling import multinomial_intervals
 from ..session import cut_lineage
 
 SUMMARY = ("auroc", "auprc", "f1", "tpr_at_fpr_1pct", "tpr_at_fpr_5pct", "fpr_at_tpr_95pct", "expected_calibration_error", "brier_score")
@@ -96,7 +97,7 @@ def matrix(predictions: DataFrame) -> DataFrame:
 
 def matrix_with_intervals(predictions: DataFrame, replicates: int = 200) -> DataFrame:
     cells = ["train_name", "test_name"]
-    return matrix(predictions).join(bootstrap_intervals(predictions, cells, replicates, prediction="prediction"), cells)
+    return matrix(predictions).join(multinomial_intervals(predictions, cells, replicates, prediction="prediction"), cells)
 
 
 def combinations(train: DataFrame, dev: DataFrame, tests: DataFrame, column_sets: dict[str, Sequence[str]], candidates: Sequence[M.Candidate] | None = None) -> DataFrame:

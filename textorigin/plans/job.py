@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed_values import TextRules
 from ..operators import corpus as C, features as E, models as M, scale as S, surprise as L, transition as X
 from . import matrix
-
-
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+from .growing import grown
 
 
 #: raised whenever a family changes what it computes
@@ -26,7 +18,7 @@ VERSION = 2
 
 
 def fingerprint(corpus: DataFrame, rules: TextRules = TextRules()) -> str:
-    """What the feature tables of a corpus depend on: ids, texts, splits, rules and the code's version.
+    """What a model learned from a corpus depends on: ids, texts, splits, rules and the code's version.
 
     Row hashes are added up, so no order is needed and equal rows count.
     """
@@ -35,42 +27,35 @@ def fingerprint(corpus: DataFrame, rules: TextRules = TextRules()) -> str:
     return hashlib.md5(f"{VERSION}|{row['n']}|{row['s']}|{rules!r}".encode()).hexdigest()
 
 
-def reuse_or_build(spark: SparkSession, path: str, ids: DataFrame, build: Callable[[], DataFrame], larger: DataFrame | None = None, mark: str = "") -> DataFrame:
-    """The table at ``path`` if it was made under the same ``mark`` and covers exactly ``ids``; else rows of a larger table that
-    covers them; else a fresh build."""
-    known, made_under = stored(spark, path), stored(spark, f"{path}.mark")
-    if known is not None and (not mark or (made_under is not None and made_under.first()[0] == mark)) and C.same_ids(known, ids):
-        return known
-    made = E.subset(larger, ids) if larger is not None and C.coverage(ids, larger) else build()
-    made.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{path}.mark")
-    return spark.read.parquet(path)
-
-
 def feature_tables(corpus: DataFrame, out: str, families: Sequence[str] = ("burst", "struct", "pert", "probability", "contrast", "scale", "transition"),
                    rules: TextRules = TextRules()) -> dict[str, DataFrame]:
-    """One parquet table per family. Language models and state bins see training rows only."""
-    spark, ids = corpus.sparkSession, corpus.select("id")
+    """One parquet table per family, grown by the documents that are new or changed since the last run.
+
+    Language models and state bins see training rows only, so the families that need them are built anew when a training row changes,
+    and otherwise for new documents alone.
+    """
     at = lambda name: f"{out}/features/{name}"
-    mark = fingerprint(corpus, rules)
-    build = functools.partial(reuse_or_build, mark=mark)
-    tables = {f: build(spark, at(f), ids, lambda f=f: E.document_features(corpus, [f], rules)) for f in families if f in E.FAMILIES}
+    texts = corpus.select("id", "text")
+    of_rules = f"{VERSION}|{rules!r}"
+    tables = {f: grown(texts, at(f), lambda new, f=f: E.document_features(new, [f], rules), of_rules) for f in families if f in E.FAMILIES}
     if not set(families) & {"probability", "contrast", "scale", "transition"}:
         return tables
-    train = corpus.filter("split = 'train'").select("id", "text")
-    losses = build(spark, at("losses"), ids, lambda: L.GramModel.fit(train).losses(corpus.select("id", "text")))
-    stats = build(spark, at("probability"), ids, lambda: L.loss_statistics(losses))
+    train = corpus.filter("split = 'train'")
+    of_model = fingerprint(train, rules)
+    only = lambda table, new: table.join(new.select("id"), "id", "left_semi")
+    family = lambda name, build: grown(texts, at(name), build, of_model)
+    losses = family("losses", lambda new: L.GramModel.fit(train.select("id", "text")).losses(new))
+    stats = family("probability", lambda new: L.loss_statistics(only(losses, new)))
     if "probability" in families:
         tables["probability"] = stats
     if "contrast" in families:
-        tables["contrast"] = build(spark, at("contrast"), ids, lambda: L.contrasts(stats, [("ng1", "ng2"), ("ng2", "ng4")]))
+        tables["contrast"] = family("contrast", lambda new: L.contrasts(only(stats, new), [("ng1", "ng2"), ("ng2", "ng4")]))
     if "scale" in families:
-        merged, scales, metrics = S.scale_columns(stats)
-        tables["scale"] = build(spark, at("scale"), ids, lambda: S.scale_response(merged, scales, metrics))
+        tables["scale"] = family("scale", lambda new: S.scale_response(*S.scale_columns(only(stats, new))))
     if "transition" in families:
         model = "ng2"
-        rows = losses.join(corpus.filter("split = 'train'").select("id"), "id", "left_semi")
-        tables["transition"] = build(spark, at("transition"), ids, lambda: X.full_profiles(losses, model, X.train_bins(rows, model), model))
+        bins = lambda: X.train_bins(only(losses, train), model)
+        tables["transition"] = family("transition", lambda new: X.full_profiles(only(losses, new), model, bins(), model))
     return tables
 
 

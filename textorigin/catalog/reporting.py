@@ -84,6 +84,19 @@ def clean_columns(spark, sf):
     return spark.createDataFrame([(c, E.feature_group(c)) for c in kept], "feature string, group string")
 
 
+def _audited_columns():
+    """All burstiness columns but the first two, and one that no table has."""
+    return [*BCOLS[2:], "burst_absent"]
+
+
+def audit_report(spark, sf):
+    """What a check of a trained feature list finds, one row per finding."""
+    found = E.audit_report(features(spark, sf), _audited_columns())
+    rows = [(kind, name) for kind in ("unused", "missing", "constant", "drop_recommended") for name in found[kind]]
+    rows += [(kind, str(found[kind])) for kind in ("nan_columns", "inf_columns")] + [(f"group {g}", str(n)) for g, n in found["group_counts"].items()]
+    return spark.createDataFrame(rows, "finding string, feature string")
+
+
 def merged(spark, sf):
     base = corpora.labelled(spark, sf).select("id", "label")
     wide = E.merge_families(base, [features(spark, sf).withColumn("burst_zipf_deviation_score", F.when(F.col("burst_word_count") > 100, F.col("burst_zipf_deviation_score")))])
@@ -179,7 +192,7 @@ def evidence(spark, sf):
 
 QUERIES = {
     "feature_shift": shift, "top_shifts": shift_top, "shift_summary": shift_summary, "domain_scores": domain_scores, "drop_extreme_domains": kept_domains,
-    "top_deviations": deviations, "column_quantiles": medians, "column_audit": audit, "clean_columns": clean_columns, "merge_and_impute": merged,
+    "top_deviations": deviations, "column_quantiles": medians, "column_audit": audit, "clean_columns": clean_columns, "audit_report": audit_report, "merge_and_impute": merged,
     "pooled_left_join": pooled, "join_one_to_one": one_to_one, "error_summary": error_summary, "top_errors": top_errors, "error_rate_by_length": error_rate_by_length,
     "metric_matrix": matrix, "external_drop": external_drop, "generalisation_gap": gap, "best_method": best, "against_reference": delta, "melted_metrics": melt,
     "collected_results": collected, "renamed_features": renamed_features, "distribution_json": distribution, "risk_level": risk, "evidence": evidence,
@@ -228,6 +241,18 @@ ORACLES = {
     "top_deviations": f"with {FEAT}, lo as ({_LONG('ft', 'id')}), st as (select feature, median(value) as md, stddev_pop(value) as sd from lo group by 1), sc as (select id, feature, abs(value - md) / sd * case when feature = 'burst_word_count' then 2 else 1 end as score from lo join st using (feature) where sd > 0), rk as (select *, row_number() over (partition by id order by score desc, feature desc) as r from sc) select id, (r - 1)::int as rank, feature, {R6('score', 4)} as score from rk where r <= 3",
     "column_quantiles": f"with {FEAT}, lo as ({_LONG('ft', 'id')}) select feature, {R6('median(value)', 5)} as median, {R6('quantile_cont(value, 0.1)', 5)} as q10, {R6('quantile_cont(value, 0.9)', 5)} as q90 from lo group by 1",
     "column_audit": f"with {FEAT}, lo as ({_LONG('ft', 'id')}) select feature, count(*) as rows, count(value) as finite_count, count(*) filter (value is null) as nan_count, 0::bigint as inf_count, {R6('min(value)', 4)} as lowest, {R6('max(value)', 4)} as highest, {R6('stddev_samp(value)', 4)} as std from lo group by 1",
+    "clean_columns": f"""with {FEAT}, st as materialized ({STRUCT_SQL.strip()}), sn as (select columns('^struct_.*')::double from st),
+      sl as (select feature, value from sn unpivot include nulls (value for feature in (columns(*)))),
+      bl as ({_LONG('ft', 'id')}), lo as (select feature, value from bl union all select feature, value from sl)
+      select feature, case when feature like 'burst%' then 'burstiness' else 'structure' end as "group" from lo group by feature
+      having count(value) > 0 and count(*) filter (isinf(value)) = 0 and min(value) < max(value)""",
+    "audit_report": f"""with {FEAT}, lo as ({_LONG('ft', 'id')}), co as (select feature, count(*) filter (value is null) as nulls, count(*) filter (isinf(value)) as infs, min(value) as a, max(value) as b from lo group by 1),
+      us as (select * from co where feature in ({', '.join(repr(c) for c in BCOLS[2:])})),
+      cs as (select feature from us where a = b)
+      select 'unused' as finding, feature from co where feature not in (select feature from us) union all select 'missing', 'burst_absent'
+      union all select 'constant', feature from cs union all select 'drop_recommended', feature from cs union all select 'drop_recommended', 'burst_absent'
+      union all select 'nan_columns', cast(count(*) filter (nulls > 0) as varchar) from us union all select 'inf_columns', cast(count(*) filter (infs > 0) as varchar) from us
+      union all select 'group burstiness', cast(count(*) as varchar) from us""",
     "merge_and_impute": f"with {FEAT}, ba as (select cast(doc_id as varchar) as id, quality as label from labels), jo as (select ba.id, label, ft.* exclude (id) replace (case when burst_word_count > 100 then burst_zipf_deviation_score end as burst_zipf_deviation_score) from ba left join ft on ba.id = ft.id), md as (select {', '.join(f'coalesce(median({c}), 0) as m_{c}' for c in BCOLS)} from jo) select id, label, {', '.join(R6(f'coalesce({c}, m_{c})', 5) + f' as {c}' for c in BCOLS)} from jo, md",
     "pooled_left_join": f"with {FEAT}, {PRED_SQL} select d.id, {R6('coalesce(p.ai_probability, f.burst_word_count)')} as burst_word_count, {R6('case when p.id is null then f.burst_sentence_count end')} as burst_sentence_count from (select cast(doc_id as varchar) as id from documents) d left join pred p on d.id = p.id left join ft f on d.id = f.id",
     "join_one_to_one": f"with {FEAT} select id, burst_word_count from ft where id not in (select cast(doc_id as varchar) from labels)",

@@ -124,7 +124,7 @@ def audit_report(df: DataFrame, used: Sequence[str], placeholder: str | None = N
     present = numeric_features(df)
     existing = [c for c in used if c in df.columns]
     kept, info = clean_columns(column_audit(df, existing), existing, "ignore", placeholder)
-    rows = column_audit(df, existing).agg(F.count_if("nan_count > 0").alias("n"), F.count_if("inf_count > 0").alias("i")).first()
+    rows = column_audit(df, existing).agg(F.count_if(F.col("nan_count") > 0).alias("n"), F.count_if(F.col("inf_count") > 0).alias("i")).first()
     groups: dict[str, int] = {}
     for c in existing:
         groups[feature_group(c)] = groups.get(feature_group(c), 0) + 1

@@ -6,7 +6,8 @@ from textorigin.catalog import registry
 
 SF = "/root/testdata/sf0.001"
 FAST = ["clean_documents", "features_burstiness", "features_structure", "rewritings", "removal_reasons", "split_70_10_20", "value_counts", "category_rules",
-        "detector_metrics", "calibration_bins", "choose_thresholds", "transition_own", "event_profiles", "column_audit", "external_rows", "stream_monitor"]
+        "detector_metrics", "calibration_bins", "choose_thresholds", "transition_own", "event_profiles", "column_audit", "external_rows", "stream_monitor",
+        "audit_report", "bootstrap_sizes", "corpus_from_folder", "file_discovery", "sample_per_file"]
 
 
 def test_registry():

@@ -209,3 +209,19 @@ def test_gram_model_against_counts(spark):
     assert s["3"]["ng1_ppl"] is None and s["1"]["ng1_token_count_used"] == 4
     v = np.array(got["1"]["ng3"])
     assert math.isclose(s["1"]["ng3_loss_skewness"], (((v - v.mean()) / v.std()) ** 3).mean(), abs_tol=1e-9)
+
+
+def test_document_operators_solve_their_equations(seqs):
+    rows = {r["id"]: r for r in D.document_operators(seqs, "x").collect()}
+    grams = {r["id"]: r for r in D.gram_sums(seqs, "x").collect()}
+    for k, v in SEQS.items():
+        r = rows[k]
+        assert r["steps"] == len(v)
+        if len(v) < 20:
+            assert r["operator"] is None and r["residual"] is None
+            continue
+        m, xx, yx = (np.reshape(a, (7, 7)) for a in (r["operator"], grams[k]["xx"], grams[k]["yx"]))
+        want = np.linalg.solve(xx + 1e-3 * np.eye(7), yx.T).T
+        assert np.allclose(m, want, atol=1e-5) and r["residual"] < 1e-6
+    wrong = D.residual_share(np.zeros((7, 7)), np.eye(7), np.eye(7))
+    assert wrong == 1.0

@@ -90,6 +90,13 @@ def transition_gap(spark, sf):
     return _rounded(p.select("id", *[c for c in p.columns if c.endswith("spectral_gap")]))
 
 
+def transition_gap_three(spark, sf):
+    """The gap of the three-state chains, whose cubic has a closed form."""
+    codings = {p: c for p, c in X.full_codings(train_bins_of(spark, sf), "ng2").items() if c.states == 3}
+    p = X.coded_profiles(X.values_of(losses(spark, sf), "ng2"), codings)
+    return rounded_table(p.select("id", *[c for c in p.columns if c.endswith("_spectral_gap")]), digits=4)
+
+
 def transition_delta(spark, sf):
     one = {m: _rounded(X.own_profiles(losses(spark, sf), m, m, with_gap=False)) for m in ("ng1", "ng2")}
     return _rounded(X.column_delta(one["ng1"], one["ng2"], "ng1", "ng2"))
@@ -104,7 +111,7 @@ def event_profiles(spark, sf):
 QUERIES = {
     "token_losses": token_losses, "loss_records": loss_records, "features_probability": probability, "features_contrast": contrasts,
     "features_scale_response": scale_response, "loss_bins": loss_bins, "transition_full": transition_full, "transition_formal": transition_formal,
-    "transition_own": transition_own, "transition_spectral_gap": transition_gap, "transition_delta": transition_delta, "event_profiles": event_profiles,
+    "transition_own": transition_own, "transition_spectral_gap": transition_gap, "spectral_gap_three": transition_gap_three, "transition_delta": transition_delta, "event_profiles": event_profiles,
 }
 
 NG = ("ng1", "ng2", "ng3", "ng4")
@@ -196,6 +203,20 @@ def _profiles_sql(sources):
     return ", ".join(ctes)
 
 
+def _gap_sql(enc):
+    """CTE ``enc`` (id, gap): the second largest modulus of a three-state chain. One root of its cubic is 1 where every state is left again, else 0;
+    the two others solve a quadratic with sum t and product d."""
+    share = ", ".join(f"coalesce(c{i}{j} / nullif(c{i}0 + c{i}1 + c{i}2, 0), 0) as p{i}{j}" for i in range(3) for j in range(3))
+    cells = ", ".join(f"count(*) filter (p = {i} and s = {j})::double as c{i}{j}" for i in range(3) for j in range(3))
+    left = " + ".join(f"(c{i}0 + c{i}1 + c{i}2 > 0)::int" for i in range(3))
+    det = "p00 * (p11 * p22 - p12 * p21) - p01 * (p10 * p22 - p12 * p20) + p02 * (p10 * p21 - p11 * p20)"
+    minors = "p00 * p11 - p01 * p10 + p00 * p22 - p02 * p20 + p11 * p22 - p12 * p21"
+    return f"""{enc}_q as (select id, s, lag(s) over (partition by id order by pos) as p from {enc}_src), {enc}_n as (select id, {cells} from {enc}_q group by 1),
+      {enc}_p as (select id, {left} as alive, {share} from {enc}_n), {enc}_t as (select id, alive, p00 + p11 + p22 - (alive = 3)::int as t, case when alive = 3 then {det} else {minors} end as d from {enc}_p),
+      {enc}_e as (select *, sqrt(greatest(t * t - 4 * d, 0)) as w, t * t < 4 * d as round from {enc}_t),
+      {enc} as (select id, 1 - case when alive < 2 then 0 when round then sqrt(d) when alive = 3 then greatest(abs(t + w), abs(t - w)) / 2 else least(abs(t + w), abs(t - w)) / 2 end as gap from {enc}_e)"""
+
+
 _FULL = {}
 for _n in (3, 5, 7):
     _FULL[f"ng2_raw_lossq{_n}"] = (f"select id, pos, {_bin_sql('ng2', f'raw{_n}', _n)} as s from zs, bn", _n)
@@ -258,6 +279,8 @@ ORACLES = {
     "features_scale_response": _scale_sql(),
     "loss_bins": f"""with {LOSS_SQL}, {BINS} """ + " union all ".join(f"select '{a}' as encoding, {n} as n_states, {i} as cut, {R6(f"{a}{n}[{i + 1}]", 5)} as value from bn" for a in ("raw", "zscore") for n in (3, 5, 7) for i in range(n - 1)),
     "transition_full": f"with {LOSS_SQL}, {BINS}, {_profiles_sql(_FULL)} {_joined(_FULL)}",
+    "spectral_gap_three": f"with {LOSS_SQL}, {BINS}, " + ", ".join(f"{e}_src as ({sql}), {_gap_sql(e)}" for e, (sql, n) in _FULL.items() if n == 3) + " select docs.id, "
+        + ", ".join(f"{R6(f'{e}.gap', 4)} as {e}_transition_spectral_gap" for e, (_, n) in _FULL.items() if n == 3) + " from docs " + " ".join(f"left join {e} using (id)" for e, (_, n) in _FULL.items() if n == 3),
     "transition_formal": f"with {LOSS_SQL}, {BINS}, {_profiles_sql(_FORMAL)} {_joined(_FORMAL)}",
     "transition_own": f"with {LOSS_SQL}, {_profiles_sql(_own('ng2'))} {_joined(_own('ng2'))}",
     "transition_delta": f"with {LOSS_SQL}, {_profiles_sql(_own('ng1') | _own('ng2'))}, al as ({_joined(_own('ng1') | _own('ng2'))}) select id, "

@@ -242,7 +242,8 @@ def profiles(df: DataFrame, states: dict[str, tuple[Column, int]], key: str = "i
     return coded_profiles(coded, {p: Coding(f"_a_{p}", n, "given") for p, (_, n) in states.items()}, key, with_gap)
 
 
-def _values(df: DataFrame, seq: str, key: str) -> DataFrame:
+def values_of(df: DataFrame, seq: str, key: str = "id") -> DataFrame:
+    """(key, _v): the finite values of a sequence, as the codings below read them."""
     v = finite_values(F.col(seq))
     return df.select(key, v.alias("_v"))
 
@@ -267,25 +268,25 @@ def full_codings(bins: dict[str, dict[int, list[float]]], model: str) -> dict[st
 def full_profiles(df: DataFrame, seq: str, bins: dict[str, dict[int, list[float]]], model: str, key: str = "id",
                   with_gap: bool = True) -> DataFrame:
     """Profiles under :func:`full_codings`."""
-    return coded_profiles(_values(df, seq, key), full_codings(bins, model), key, with_gap)
+    return coded_profiles(values_of(df, seq, key), full_codings(bins, model), key, with_gap)
 
 
 def full_profiles_by_definition(df: DataFrame, seq: str, bins: dict[str, dict[str, dict[int, list[float]]]], model: str, key: str = "id",
                                 with_gap: bool = True, name: str = "train_name") -> DataFrame:
     """Rows (key, ``name``): the profile of each sequence under the cut points of every train definition, from one pass."""
-    return coded_profiles(_values(df, seq, key), {d: full_codings(b, model) for d, b in bins.items()}, key, with_gap, name)
+    return coded_profiles(values_of(df, seq, key), {d: full_codings(b, model) for d, b in bins.items()}, key, with_gap, name)
 
 
 def formal_profiles(df: DataFrame, seq: str, bins: dict[int, list[float]], model: str, key: str = "id", with_gap: bool = True) -> DataFrame:
     """Global bins plus per-document probability ranks."""
     codings = {f"{model}_lossq{n}": Coding("_v", n, "bins", tuple(b)) for n, b in bins.items()}
     codings |= {f"{model}_probrank{n}": Coding("_v", n, "falling") for n in STATE_COUNTS}
-    return coded_profiles(_values(df, seq, key), codings, key, with_gap)
+    return coded_profiles(values_of(df, seq, key), codings, key, with_gap)
 
 
 def own_profiles(df: DataFrame, seq: str, model: str, n: int = 5, key: str = "id", with_gap: bool = True) -> DataFrame:
     """States by the document's own quantiles and probability ranks; needs no training data."""
-    return coded_profiles(_values(df, seq, key), {f"{model}_lossq": Coding("_v", n, "quantiles"), f"{model}_probrank": Coding("_v", n, "falling")}, key, with_gap)
+    return coded_profiles(values_of(df, seq, key), {f"{model}_lossq": Coding("_v", n, "quantiles"), f"{model}_probrank": Coding("_v", n, "falling")}, key, with_gap)
 
 
 def long_profiles(df: DataFrame, entity: str, order: str, value: str, bins: dict[int, list[float]], prefix: str,

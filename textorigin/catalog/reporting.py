@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded, rounded_table
 from ..functions import fixed_values as V
 from ..functions.categories import risk_level
-from ..operators import drift as D, features as E, metrics as M, reports as R
+from ..operators import drift as D, features as E, metrics as M, models as Mo, reports as R
 from ..operators.ranking import quantiles
+from ..plans import matrix as P
 from ..session import cut_lineage
 from . import corpora
 from .documents import BURST_SQL, R6, STRUCT_SQL, burstiness, structure
 from .evaluation import PRED_SQL, predictions
+from .sequences import SPLIT_SQL, split_of
 from .tables import documents, labels, stage
 
 
@@ -131,12 +133,33 @@ def error_rate_by_length(spark, sf):
     return rounded_table(R.error_rate_by_length(called(spark, sf)), ["length_bin", "n", "shortest", "longest"])
 
 
+#: the source that no train definition uses
+EXTERNAL = "en"
+
+
+def report_predictions(spark, sf):
+    """Scores of the held-out rows of every source by a detector trained on the training rows of each source but the external one."""
+
+    def build():
+        f = features(spark, sf).join(corpora.meta(spark, sf).select("id", "source_dataset"), "id").join(labels(spark, sf).select("id", "label"), "id").join(split_of(spark, sf), "id")
+        rows = cut_lineage(f)
+        train = lambda s: rows.filter((F.col("source_dataset") == s) & (F.col("split") == "train"))
+        # one candidate: nothing is chosen on dev rows
+        definitions = {f"train_{s}": (train(s), train(s)) for s in corpora.sources_of(rows) if s != EXTERNAL}
+        tests = rows.filter("split <> 'train'").withColumn("test_name", F.col("source_dataset"))
+        return P.run(rows, definitions, tests, _cols(f), [Mo.normal_bayes()])[0].withColumn("ai_probability", rounded(F.col("ai_probability"), 4))
+
+    return stage(spark, sf, "report_predictions", build)
+
+
+def report_scores(spark, sf):
+    return report_predictions(spark, sf).select("train_name", "test_name", "id", "label", "n_train", "n_features", "ai_probability")
+
+
 def metric_table(spark, sf):
-    """Metrics of two scores on every language, as a train x test table."""
-    p = predictions(spark, sf)
-    scores = F.explode(F.array(F.struct(F.lit("train_de").alias("train_name"), F.col("ai_probability").alias("s")), F.struct(F.lit("train_fr").alias("train_name"), F.col("other").alias("s"))))
-    long = p.select("id", "test_name", "label", scores.alias("x")).select("id", "test_name", "label", "x.train_name", F.col("x.s").alias("ai_probability"))
-    return cut_lineage(rounded_table(M.detector_metrics(long, ["train_name", "test_name"]).select("train_name", "test_name", "n", "auroc", "auprc", "f1", "tpr_at_fpr_5pct"), ["n"]).withColumn("method", F.lit("score")))
+    """Train x test metrics of these predictions."""
+    table = M.detector_metrics(report_predictions(spark, sf), ["train_name", "test_name"]).select("train_name", "test_name", "n", "auroc", "auprc", "f1", "tpr_at_fpr_5pct")
+    return cut_lineage(rounded_table(table, ["n"]).withColumn("method", F.lit("normal_bayes")))
 
 
 def matrix(spark, sf):
@@ -144,11 +167,12 @@ def matrix(spark, sf):
 
 
 def external_drop(spark, sf):
-    return rounded_table(R.external_drop(metric_table(spark, sf), "en"), digits=5)
+    return rounded_table(R.external_drop(metric_table(spark, sf), EXTERNAL), digits=5)
 
 
 def gap(spark, sf):
-    return rounded_table(R.generalisation_gap(metric_table(spark, sf), {"train_de": "de", "train_fr": "fr"}, "en"), digits=5)
+    sources = [s for s in corpora.sources_of(corpora.meta(spark, sf)) if s != EXTERNAL]
+    return rounded_table(R.generalisation_gap(metric_table(spark, sf), {f"train_{s}": s for s in sources}, EXTERNAL), digits=5)
 
 
 def best(spark, sf):
@@ -194,7 +218,7 @@ QUERIES = {
     "feature_shift": shift, "top_shifts": shift_top, "shift_summary": shift_summary, "domain_scores": domain_scores, "drop_extreme_domains": kept_domains,
     "top_deviations": deviations, "column_quantiles": medians, "column_audit": audit, "clean_columns": clean_columns, "audit_report": audit_report, "merge_and_impute": merged,
     "pooled_left_join": pooled, "join_one_to_one": one_to_one, "error_summary": error_summary, "top_errors": top_errors, "error_rate_by_length": error_rate_by_length,
-    "metric_matrix": matrix, "external_drop": external_drop, "generalisation_gap": gap, "best_method": best, "against_reference": delta, "melted_metrics": melt,
+    "report_scores": report_scores, "metric_matrix": matrix, "external_drop": external_drop, "generalisation_gap": gap, "best_method": best, "against_reference": delta, "melted_metrics": melt,
     "collected_results": collected, "renamed_features": renamed_features, "distribution_json": distribution, "risk_level": risk, "evidence": evidence,
 }
 
@@ -224,10 +248,19 @@ CALLED = f"{PRED_SQL}, cl as (select *, (ai_probability >= 0.5)::int as predicti
 def _matrix_sql():
     from .evaluation import metrics_sql
 
-    src = "(select test_name, label, 'train_de' as train_name, ai_probability from pred union all select test_name, label, 'train_fr', other from pred)"
-    return f"mt as materialized ({metrics_sql(src, ['train_name', 'test_name'], extra_ctes=PRED_SQL, select=['auroc', 'auprc', 'f1', 'tpr_at_fpr_5pct'])})"
+    return f"mt as materialized ({metrics_sql('pr', ['train_name', 'test_name'], extra_ctes=BAYES_SQL, select=['auroc', 'auprc', 'f1', 'tpr_at_fpr_5pct'])})"
 
 
+# normal densities per source, class and feature, scaled by the source's deviation; Spark adds a small share of the largest variance
+BAYES_SQL = f"""{corpora.META_SQL}, {SPLIT_SQL}, {FEAT}, fe as (select ft.*, m.source_dataset as test_name, l.quality as label, train from ft join meta m using (id) join labels l on ft.id = cast(l.doc_id as varchar) join sp using (id)),
+ lo as materialized ({_LONG('fe', 'id, test_name, label, train')}),
+ st as (select test_name as src, feature, avg(value) filter (label = 1) as m1, avg(value) filter (label = 0) as m0, var_pop(value) filter (label = 1) as v1, var_pop(value) filter (label = 0) as v0, stddev_samp(value) as sd, count(*) as n_train
+   from lo where train and test_name <> '{EXTERNAL}' group by all having count(distinct label) = 2),
+ ep as (select src, 1e-9 * max(((v1 + v0) / 2 + (m1 - m0) ** 2 / 4) / (sd * sd)) as eps from st where sd > 0 group by 1),
+ dn as (select *, v1 / (sd * sd) + eps as s1, v0 / (sd * sd) + eps as s0 from st join ep using (src) where sd > 0),
+ od as (select 'train_' || src as train_name, test_name, id, label, any_value(n_train) as n_train, sum(((value - m0) / sd) ** 2 / (2 * s0) - ((value - m1) / sd) ** 2 / (2 * s1) + (ln(s0) - ln(s1)) / 2) as odds
+   from lo join dn using (feature) where not train group by all),
+ pr as (select *, {R6('1 / (1 + exp(-greatest(-700, least(700, odds))))', 4)} as ai_probability from od)"""
 MATRIX = _matrix_sql()
 _Q3 = lambda k, n: f"quantile_cont(ai_probability, {k}) filter (label = {n})"
 ORACLES = {
@@ -262,9 +295,10 @@ ORACLES = {
       from er join ft using (id) group by 1""",
     "top_errors": f"with {CALLED}, rk as (select *, row_number() over (partition by test_name order by wrong_confidence desc, id) as rank from er where wrong) select test_name, rank::int as rank, id, error_type, {R6('wrong_confidence', 5)} as wrong_confidence from rk where rank <= 30",
     "error_rate_by_length": f"with {CALLED}, cu as (select quantile_cont(text_length, [0.2, 0.4, 0.6, 0.8]) as q from er), bn as (select *, (text_length > q[1])::int + (text_length > q[2])::int + (text_length > q[3])::int + (text_length > q[4])::int as length_bin from er, cu) select length_bin, count(*) as n, min(text_length)::int as shortest, max(text_length)::int as longest, {R6('avg(wrong::int)')} as error_rate from bn group by 1",
+    "report_scores": f"with {BAYES_SQL} select train_name, test_name, id, label, n_train, {len(BCOLS)} as n_features, ai_probability from pr",
     "metric_matrix": f"with {MATRIX} select train_name, " + ", ".join(f"max(auroc) filter (test_name = '{k}') as {k}" for k in ("de", "en", "es", "fr")) + " from mt group by 1",
     "external_drop": f"with {MATRIX} select train_name, " + ", ".join(f"{R6(f'avg({m}) filter (test_name <> {chr(39)}en{chr(39)})', 5)} as {m}_public_mean, {R6(f'max({m}) filter (test_name = {chr(39)}en{chr(39)})', 5)} as {m}_external, {R6(f'avg({m}) filter (test_name <> {chr(39)}en{chr(39)}) - max({m}) filter (test_name = {chr(39)}en{chr(39)})', 5)} as {m}_drop" for m in ("auroc", "auprc", "f1")) + " from mt group by 1",
-    "generalisation_gap": f"""with {MATRIX}, gp as (select train_name, 'score' as method, max(auroc) filter (test_name = right(train_name, 2)) as s, avg(auroc) filter (test_name <> right(train_name, 2) and test_name <> 'en') as c, max(auroc) filter (test_name = 'en') as e from mt group by 1)
+    "generalisation_gap": f"""with {MATRIX}, gp as (select train_name, 'normal_bayes' as method, max(auroc) filter (test_name = right(train_name, 2)) as s, avg(auroc) filter (test_name <> right(train_name, 2) and test_name <> 'en') as c, max(auroc) filter (test_name = 'en') as e from mt group by 1)
       select train_name, method, {R6('s', 5)} as same_source, {R6('c', 5)} as mean_cross_source, {R6('e', 5)} as external, {R6('s - e', 5)} as same_to_external_gap, {R6('c - e', 5)} as cross_to_external_gap from gp""",
     "best_method": f"with {MATRIX} select test_name, train_name, auroc from (select *, row_number() over (partition by test_name order by auroc desc nulls last, auprc desc nulls last, tpr_at_fpr_5pct desc nulls last, f1 desc, train_name desc) as r from mt) where r = 1",
     "against_reference": f"with {MATRIX} select a.test_name, " + ", ".join(f"{R6(f'a.{m} - b.{m}', 5)} as delta_{m}" for m in ("auroc", "auprc", "f1")) + " from mt a join mt b on a.test_name = b.test_name and a.train_name = 'train_de' and b.train_name = 'train_fr'",

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -65,6 +65,15 @@ def boosting(rounds: int = 200, depth: int = 3, rate: float = 0.05, subsample: f
     return Candidate("gradient_boosting", {"rounds": rounds, "depth": depth, "rate": rate}, build, (depth, rate, subsample, seed), rounds)
 
 
+def normal_bayes() -> Candidate:
+    """Naive Bayes with a normal density per class and column: one pass over the training rows, and a closed form that SQL can repeat."""
+    def build(_: int) -> list:
+        scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+        return [scaler, NaiveBayes(modelType="gaussian", weightCol="weight")]
+
+    return Candidate("normal_bayes", {}, build)
+
+
 def default_candidates() -> list[Candidate]:
     return [logistic(), forest(), boosting()]
 
@@ -106,7 +115,14 @@ class Detector:
 
     def importance(self) -> dict[str, float]:
         last = self.model.stages[-1]
-        values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+        if hasattr(last, "featureImportances"):
+            values = last.featureImportances.toArray()
+        elif hasattr(last, "coefficients"):
+            values = abs(last.coefficients.toArray())
+        else:
+            # how far the class means lie apart, in deviations
+            theta, sigma = last.theta.toArray(), last.sigma.toArray()
+            values = abs(theta[1] - theta[0]) / sigma.mean(axis=0) ** 0.5
         return dict(sorted(zip(self.columns, map(float, values)), key=lambda kv: -kv[1]))
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -1,19 +1,23 @@
 """Per-token surprise from n-gram models trained and applied by Spark, and the features drawn from it.
 
 Models of order 1..4 play the part of language models of growing size. Training is a count of n-grams with
-map-side combine; scoring joins every position with the probabilities of its n-grams.
+map-side combine; scoring joins the distinct n-grams of every document with their probabilities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import arrays as A
 from ..functions.columns import ratio
 from ..functions.fixed_values import LOSS_STATISTICS
 from ..functions.text import cleaned, tokens
+from ..functions.batches import slices
 from ..session import cut_lineage
 
 ORDERS = (1, 2, 3, 4)
@@ -28,65 +32,148 @@ def _words(corpus: DataFrame, key: str, text: str) -> DataFrame:
     return cleaned(corpus.select(key, text), text).select(key, F.transform(tokens(F.col(text)), F.lower).alias("_w"))
 
 
-def _grams(words: DataFrame, key: str, orders: Sequence[int]) -> DataFrame:
-    """(key, pos, order, prefix, word) for all positions and all orders that fit.
-
-    Shifted copies of the word array are zipped before the explode, so no row carries the whole document.
-    """
-    depth = max(orders)
-    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("_w")).alias(f"w{k}") for k in range(depth)]
-    steps = words.select(key, *shifted).select(key, F.posexplode(F.arrays_zip(*[f"w{k}" for k in range(depth)])).alias("pos", "s"))
-    steps = steps.filter(F.col("s.w0").isNotNull()).select(key, "pos", "s.*")
-    gram = lambda n: F.struct(
-        F.lit(n).alias("order"), (F.concat_ws(" ", *[F.col(f"w{k}") for k in range(n - 1, 0, -1)]) if n > 1 else F.lit("")).alias("prefix"))
-    fits = F.array(*[F.when(F.col(f"w{n - 1}").isNotNull(), gram(n)) for n in orders])
-    rows = steps.select(key, "pos", F.col("w0").alias("word"), F.explode(fits).alias("g")).filter(F.col("g").isNotNull())
-    return rows.select(key, "pos", "g.order", "g.prefix", "word")
+#: fixed values: multipliers of the 64-bit mix
+_SPREAD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a word sequence from the hash of its beginning and its last word."""
+    x = before * _SPREAD + word
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+#: words handled at a time
+SLICE = 1 << 18
+
+
+def _distinct_grams(part: pa.RecordBatch, orders: Sequence[int], scored: bool) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each document of a slice, one batch for each order."""
+    sizes = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = [part.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (1, 2)]
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    pos = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+    left = sizes[of] - pos
+    start, own = np.arange(len(of)), [np.zeros(len(of), np.uint64), np.ones(len(of), np.uint64)]
+    for n in range(1, max(orders) + 1):
+        fits = left[start] >= n
+        start, before = start[fits], [h[fits] for h in own]
+        own = [_chained(h, w[start + n - 1]) for h, w in zip(before, words)]
+        if n not in orders:
+            continue
+        end = pos[start] + n - 1
+        keep = np.flatnonzero(end >= 1) if scored else np.arange(len(start))
+        doc, at, a, b = of[start][keep], end[keep], own[0][keep], own[1][keep]
+        order = np.lexsort((at, b, a, doc))
+        doc, at, a, b = doc[order], at[order], a[order], b[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.flatnonzero(new)
+        ids = [part.column(0).take(pa.array(doc[first])), pa.array(np.full(len(first), n, np.int32)), *(pa.array(h[first].view(np.int64)) for h in (a, b))]
+        if scored:
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            yield pa.record_batch([*ids, places], ["key", "order", "g1", "g2", "at"])
+        else:
+            prefix = [pa.array(h[keep][order][first].view(np.int64)) for h in before]
+            yield pa.record_batch([*ids[1:], *prefix, pa.array(np.diff(np.append(first, len(doc))))], ["order", "g1", "g2", "c1", "c2", "n"])
+
+
+def _grams(words: DataFrame, key: str, orders: Sequence[int], scored: bool) -> DataFrame:
+    """One row per document and distinct n-gram, the n-gram and its prefix as 128-bit hashes: with the places where it ends
+    (``scored``; without the first word) as (key, order, g1, g2, at), or with their number as (order, g1, g2, c1, c2, n)."""
+    hashes = words.select(F.col(key).alias("key"), F.transform("_w", lambda w: F.xxhash64(w)).alias("h1"), F.transform("_w", lambda w: F.xxhash64(F.lit(1), w)).alias("h2"))
+    ids = [T.StructField("order", T.IntegerType()), T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType())]
+    if scored:
+        schema = T.StructType([hashes.schema["key"], *ids, T.StructField("at", T.ArrayType(T.IntegerType()))])
+    else:
+        schema = T.StructType([*ids, *(T.StructField(n, T.LongType()) for n in ("c1", "c2", "n"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in slices(batch.column(1), SLICE):
+                yield from _distinct_grams(batch.slice(low, high - low), orders, scored)
+
+    return hashes.mapInArrow(run, schema)
+
+
+#: an n-gram as frequent as one word in so many is looked up from a broadcast table, which holds at most so many of each order
+FREQUENT = 1 << 16
 
 
 class GramModel:
-    """Interpolated n-gram probabilities: ``table`` has (prefix, word, p); ``vocabulary`` counts the words."""
+    """Interpolated n-gram probabilities: ``table`` has (g1, g2, n, p), an n-gram's hashes, count and conditional frequency;
+    ``vocabulary`` counts the distinct words, ``total`` all of them."""
 
-    def __init__(self, table: DataFrame, vocabulary: int, orders: Sequence[int] = ORDERS):
-        self.table, self.vocabulary, self.orders = table, vocabulary, tuple(orders)
+    def __init__(self, table: DataFrame, vocabulary: int, total: int, orders: Sequence[int] = ORDERS):
+        self.table, self.vocabulary, self.total, self.orders = table, vocabulary, total, tuple(orders)
 
     @classmethod
     def fit(cls, corpus: DataFrame, key: str = "id", text: str = "text", orders: Sequence[int] = ORDERS) -> "GramModel":
         """Conditional frequencies of all n-grams of the (training) corpus."""
-        grams = _grams(_words(corpus, key, text), key, orders)
-        counts = cut_lineage(grams.groupBy("prefix", "word").agg(F.count(F.lit(1)).alias("c")))
-        singles = counts.filter("prefix = ''").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        grams = _grams(_words(corpus, key, text), key, orders, scored=False)
+        counts = cut_lineage(grams.groupBy("order", "g1", "g2", "c1", "c2").agg(F.sum("n").alias("n")))
+        singles = counts.filter("order = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         # every single word has the empty prefix: one total for all of them instead of a join on one key
-        ones = counts.filter("prefix = ''").select("prefix", "word", (F.col("c") / F.lit(float(max(singles["n"], 1)))).alias("p"))
-        longer = counts.filter("prefix <> ''")
-        contexts = longer.groupBy("prefix").agg(F.sum("c").alias("n"))
-        rest = longer.join(contexts, "prefix").select("prefix", "word", (F.col("c") / F.col("n")).alias("p"))
-        return cls(cut_lineage(ones.unionByName(rest)), int(singles["v"]), orders)
+        ones = counts.filter("order = 1").select("g1", "g2", "n", (F.col("n") / F.lit(float(max(singles["n"], 1)))).alias("p"))
+        longer = counts.filter("order > 1")
+        contexts = longer.groupBy("c1", "c2").agg(F.sum("n").alias("of"))
+        rest = longer.join(contexts, ["c1", "c2"]).select("g1", "g2", "n", (F.col("n") / F.col("of")).alias("p"))
+        return cls(cut_lineage(ones.unionByName(rest)), int(singles["v"]), int(singles["n"]), orders)
+
+    def _found(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the probability of their n-gram. Frequent ones come from a table of bounded size; their rows pass the join
+        with the others under the hash of their document, so that no key of it is hot."""
+        often = F.col("n") * F.lit(FREQUENT) >= F.lit(self.total)
+        frequent = self.table.filter(often).select("g1", "g2", F.col("p").alias("_often"))
+        rare = self.table.filter(~often).select(F.col("g1").alias("_r1"), F.col("g2").alias("_r2"), F.col("p").alias("_rare"))
+        known = F.col("_often").isNotNull()
+        looked = rows.join(F.broadcast(frequent), ["g1", "g2"], "left")
+        looked = looked.withColumns({"_j1": F.when(known, F.xxhash64("key")).otherwise(F.col("g1")), "_j2": F.when(known, F.col("g1")).otherwise(F.col("g2")), "_seek": ~known})
+        found = looked.join(rare, F.col("_seek") & (F.col("_j1") == F.col("_r1")) & (F.col("_j2") == F.col("_r2")), "left")
+        return found.select("key", "order", "at", F.coalesce("_often", "_rare", F.lit(0.0)).alias("p"))
 
     def losses(self, corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        """``key`` plus one array of losses per order; whole texts, first token excluded, empty below two tokens."""
+        """``key`` plus one array of losses per order; whole texts, first token excluded, empty below two tokens.
+
+        Each document sends one row per distinct n-gram, and each of these returns once.
+        """
         words = _words(corpus, key, text)
-        rows = _grams(words, key, self.orders).filter("pos >= 1")
-        # a frequent word is a hot key of this join, with a single row on the model side: adaptive execution splits it
-        found = rows.join(self.table, ["prefix", "word"], "left").select(key, "pos", "order", F.coalesce("p", F.lit(0.0)).alias("p"))
-        # partitioned by document once; both groupings below then need no further shuffle
-        steps = found.repartition(key).groupBy(key, "pos").agg(
-            *[F.coalesce(F.max(F.when(F.col("order") == n, F.col("p"))), F.lit(0.0)).alias(f"p{n}") for n in self.orders])
-        floor = F.lit(FLOOR / (self.vocabulary + 1.0))
-
-        def loss(n: int) -> Column:
-            mixed = floor
-            for k in self.orders:
-                if k <= n:
-                    mixed = mixed + F.lit((1 - FLOOR) * 2.0 ** (k - 1) / (2.0**n - 1)) * F.col(f"p{k}")
-            return F.round(-F.log(mixed), 6)
-
-        scored = steps.select(key, "pos", *[loss(n).alias(model_name(n)) for n in self.orders])
+        packed = self._found(_grams(words, key, self.orders, scored=True)).groupBy("key").agg(F.collect_list(F.struct("order", "p", "at")).alias("_g"))
         names = [model_name(n) for n in self.orders]
-        packed = scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("_s"))
-        out = packed.select(key, *[F.col(f"_s.{m}").alias(m) for m in names])
+        floor, orders = FLOOR / (self.vocabulary + 1.0), self.orders
+        schema = T.StructType([T.StructField(key, packed.schema["key"].dataType), *(T.StructField(m, T.ArrayType(T.DoubleType())) for m in names)])
+
+        def placed(part: pa.RecordBatch) -> pa.RecordBatch:
+            grams = part.column(1).flatten()
+            order, p, at = (grams.field(i) for i in range(3))
+            times = pc.list_value_length(at).to_numpy().astype(np.int64)
+            per_doc = pc.list_value_length(part.column(1)).to_numpy().astype(np.int64)
+            doc = np.repeat(np.repeat(np.arange(len(part)), per_doc), times)
+            place, kind, chance = at.flatten().to_numpy().astype(np.int64) - 1, np.repeat(order.to_numpy(), times), np.repeat(p.to_numpy(), times)
+            size = np.zeros(len(part), np.int64)
+            np.maximum.at(size, doc, place + 1)
+            begins = np.cumsum(size) - size
+            own = {n: np.zeros(size.sum()) for n in orders}
+            for n in orders:
+                mine = kind == n
+                own[n][begins[doc[mine]] + place[mine]] = chance[mine]
+            out = []
+            for n in orders:
+                mixed = np.full(size.sum(), floor)
+                for k in orders:
+                    if k <= n:
+                        mixed += (1 - FLOOR) * 2.0 ** (k - 1) / (2.0**n - 1) * own[k]
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(begins, size.sum()).astype(np.int32)), pa.array(np.round(-np.log(mixed), 6) + 0.0)))
+            return pa.record_batch([part.column(0), *out], [key, *names])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high in slices(batch.column(1), SLICE):
+                    yield placed(batch.slice(low, high - low))
+
         none = F.array().cast("array<double>")
-        return out.unionByName(words.filter(F.size("_w") < 2).select(key, *[none.alias(m) for m in names]))
+        return packed.mapInArrow(run, schema).unionByName(words.filter(F.size("_w") < 2).select(key, *[none.alias(m) for m in names]))
 
 
 def token_probability(losses: Column) -> Column:

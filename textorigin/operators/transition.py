@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import arrays as A
+from ..functions.batches import slices
 from ..functions.fixed_values import STATE_COUNTS
 from .ranking import lagged, quantiles
 
@@ -193,17 +194,6 @@ def names(prefix: str, n: int, with_gap: bool) -> list[str]:
 SLICE = 1 << 19
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about SLICE steps each."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    low = 0
-    while low < len(ends):
-        before = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + SLICE, "right")))
-        yield low, high
-        low = high
-
-
 def _numbers(columns: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in columns]
 
@@ -221,7 +211,7 @@ def coded_profiles(df: DataFrame, codings: dict[str, Coding] | dict[str, dict[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in _slices(batch.column(1)):
+            for low, high in slices(batch.column(1), SLICE):
                 part = batch.slice(low, high - low)
                 own = {c: _Batch(part.column(i + 1)) for i, c in enumerate(columns)}
                 done: dict[Coding, list[pa.Array]] = {}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textorigin.operators import features as E
-from textorigin.plans import growing as G, job
+from textorigin.plans import growing as G, job, matrix
 
 
 @pytest.fixture
@@ -83,3 +83,27 @@ def test_families_grow_by_ten_documents(spark, tmp_path, monkeypatch):
         a, b = ({r["id"]: [round(v, 9) if isinstance(v, float) else v for v in r] for r in t[name].collect()} for t in (grown, fresh))
         assert a == b and len(a) == 40
         assert G.generations(spark, f"{out}/features/{name}") == [0, 1]
+
+
+def test_sequence_families_of_two_models(spark, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    rows = [(str(i), " ".join(words[(i * j + j // 3) % 6] for j in range(1, 45 if i % 5 else 3)), "train" if i % 3 else "test") for i in range(30)]
+    corpus = spark.createDataFrame(rows, "id string, text string, split string")
+    families = ("transition", "transition_delta", "dynamics", "multiscale", "global_dynamics")
+    tables = job.feature_tables(corpus, str(tmp_path / "run"), families, models=("ng1", "ng2"))
+    assert set(tables) == {"transition_ng1", "transition_ng2", "dynamics_ng1", "dynamics_ng2", "global_dynamics_ng1", "global_dynamics_ng2", "transition_delta_ng1_ng2", "multiscale_ng1_ng2"}
+    assert {t.count() for t in tables.values()} == {30}
+    columns = [c for t in tables.values() for c in t.columns if c != "id"]
+    assert len(columns) == len(set(columns))
+    one = {k: {r["id"]: r for r in t.collect()} for k, t in tables.items()}
+    name = "raw_lossq3_self_transition_rate"
+    a, b = (one[f"transition_{m}"]["1"][f"{m}_{name}"] for m in ("ng1", "ng2"))
+    assert abs(one["transition_delta_ng1_ng2"]["1"][f"scale_transition_delta_ng1_ng2_{name}"] - (b - a)) < 1e-12
+    mse = "deep_dmd_ng2_one_step_latent_prediction_mse"
+    assert one["global_dynamics_ng2"]["0"][mse] is None and one["global_dynamics_ng2"]["1"][mse] >= 0
+
+
+def test_named_sets():
+    sets = matrix.named_sets(["f1", "f2"], "s", "l", {"s": ["ts"], "l": ["tl"]}, ["d"], {"s": ["ks"], "l": ["kl"]}, ["m"], ["p"])
+    assert len(sets) == 15 and all(len(c) == len(set(c)) for c in sets.values())
+    assert sets["full_plus_transition_plus_dynamics"] == ["f1", "f2", "ts", "tl", "ks", "kl", "m"] and sets["dynamics_both_multiscale"] == ["ks", "kl", "m"]

@@ -225,3 +225,32 @@ def test_document_operators_solve_their_equations(seqs):
         assert np.allclose(m, want, atol=1e-5) and r["residual"] < 1e-6
     wrong = D.residual_share(np.zeros((7, 7)), np.eye(7), np.eye(7))
     assert wrong == 1.0
+
+
+@pytest.mark.parametrize("frequent", [1, 1 << 16])
+def test_scores_do_not_depend_on_the_broadcast_table(spark, monkeypatch, frequent):
+    """All n-grams looked up from the broadcast table, or only words that are all words; one hot word, repeats, a long and two short texts."""
+    texts = ["the " * 50, "the cat the dog the cat", "", "one", "a b", " ".join(f"{chr(97 + i % 26)}x the" for i in range(900))]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    got = {r["id"]: r for r in L.GramModel.fit(df).losses(df).collect()}
+    words = [t.split() for t in texts]
+    counts = {n: Counter(tuple(w[i - n + 1 : i + 1]) for w in words for i in range(n - 1, len(w))) for n in range(1, 5)}
+    total, prefixes = sum(counts[1].values()), {n: Counter() for n in range(2, 5)}
+    for n in prefixes:
+        for g, c in counts[n].items():
+            prefixes[n][g[:-1]] += c
+    p = lambda g: counts[len(g)][g] / (total if len(g) == 1 else prefixes[len(g)][g[:-1]])
+    for i, w in enumerate(words):
+        if not w:
+            assert str(i) not in got
+            continue
+        for n in range(1, 5):
+            want = []
+            for at in range(1, len(w)):
+                mixed = L.FLOOR / (len(counts[1]) + 1)
+                for k in range(1, n + 1):
+                    if at >= k - 1:
+                        mixed += (1 - L.FLOOR) * 2 ** (k - 1) / (2**n - 1) * p(tuple(w[at - k + 1 : at + 1]))
+                want.append(-math.log(mixed))
+            assert np.allclose(got[str(i)][f"ng{n}"], want, atol=1e-6) and len(got[str(i)][f"ng{n}"]) == len(want)

@@ -12,7 +12,7 @@ from . import corpora
 from .documents import R6, TOKENS, VARIANTS_CTE, structure
 from .dynamics import _scaled
 from .reporting import features
-from .sequences import losses, train_bins_of
+from .sequences import losses
 from ..operators import surprise as L, transition as T
 from .tables import documents, stage, table
 
@@ -92,13 +92,35 @@ def targeted_matrix(spark, sf):
     return P.matrix(P.run(df, P.targeted_sets(df, first, second, cols), tests, cols)[0])
 
 
+def _sequence_families(spark, sf, train):
+    """Transition, delta, dynamics, multiscale and deep columns of two models, all cut points and scales from ``train``."""
+    models, l = ("ng1", "ng2"), losses(spark, sf)
+    own = l.join(train.select("id"), "id", "left_semi")
+    bins = {m: T.train_bins(own, m) for m in models}
+    transition = {m: cut_lineage(T.full_profiles(l, m, bins[m], m)) for m in models}
+    dynamics = {m: cut_lineage(D.koopman_features(l, m, m, bins[m]["raw"])) for m in models}
+    ranked = l.select("id", "ng2", L.probability_rank(F.col("ng2")).alias("rank"), L.token_probability(F.col("ng2")).alias("prob"))
+    paths = cut_lineage(D.deep_observable(ranked, "ng2", bins["ng2"]["raw"][5], rank="rank", prob="prob"))
+    scaler = D.fit_scaler(paths.join(train.select("id"), "id", "left_semi"), D.DEEP_RANKED)
+    deep = D.pooled(D.scaled_steps(paths, scaler), len(D.DEEP_RANKED)).drop("steps")
+    return models, transition, T.column_delta(*transition.values(), *models), dynamics, D.multiscale(*dynamics.values(), *models), deep
+
+
+def _combination_table(spark, sf):
+    """The model table with all sequence columns, and the named column sets."""
+    df, train, *_, cols = _parts(spark, sf)
+    models, transition, delta, dynamics, multiscale, deep = _sequence_families(spark, sf, train)
+    names = lambda t: [c for c in t.columns if c != "id"]
+    wide = E.merge_families(df, [*transition.values(), delta, *dynamics.values(), multiscale, deep])
+    sets = P.named_sets(cols, *models, {m: names(t) for m, t in transition.items()}, names(delta), {m: names(t) for m, t in dynamics.items()}, names(multiscale), names(deep))
+    return cut_lineage(wide), sets
+
+
 def feature_combinations(spark, sf):
-    df, train, dev, test, cols = _parts(spark, sf)
-    profile = T.own_profiles(losses(spark, sf), "ng2", "ng2", with_gap=False)
-    extra = [c for c in profile.columns if c != "id" and "_trans_" not in c]
-    join = lambda d: cut_lineage(d.join(profile.select("id", *extra), "id", "left"))
-    sets = {"basic": [c for c in cols if c.startswith(("burst_", "struct_"))], "full": cols, "full_plus_transition": cols + extra, "transition_only": extra}
-    return P.combinations(join(train), join(dev), join(test).withColumn("test_name", F.lit("all")), sets).select("feature_set", "n_features", "n", "auroc", "auprc", "f1")
+    wide, sets = _combination_table(spark, sf)
+    part = lambda s: wide.filter(F.col("split") == s)
+    found = P.combinations(part("train"), part("dev"), part("test").withColumn("test_name", F.lit("all")), sets)
+    return found.select("feature_set", "n_features", "n", "auroc", "auprc", "f1", "tpr_at_fpr_1pct", "tpr_at_fpr_5pct")
 
 
 def pca(spark, sf):
@@ -108,7 +130,7 @@ def pca(spark, sf):
 
 def probes(spark, sf):
     df, *_, cols = _parts(spark, sf)
-    return M.probe_accuracy(df, cols, ["label", "source_dataset"])
+    return M.probe_accuracy(df, cols, ["label", "source_dataset", "domain"])
 
 
 def pooled_classifier(spark, sf):

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed_values import TextRules
-from ..operators import corpus as C, features as E, models as M, scale as S, surprise as L, transition as X
+from ..operators import corpus as C, dynamics as D, features as E, models as M, scale as S, surprise as L, transition as X
+from ..session import cut_lineage
 from . import matrix
 from .growing import grown
 
 
 #: raised whenever a family changes what it computes
-VERSION = 2
+VERSION = 3
 
 
 def fingerprint(corpus: DataFrame, rules: TextRules = TextRules()) -> str:
@@ -27,18 +29,28 @@ def fingerprint(corpus: DataFrame, rules: TextRules = TextRules()) -> str:
     return hashlib.md5(f"{VERSION}|{row['n']}|{row['s']}|{rules!r}".encode()).hexdigest()
 
 
+#: families that need the language models
+OF_LOSSES = ("probability", "contrast", "scale", "transition", "transition_delta", "dynamics", "multiscale", "global_dynamics")
+
+
+def _deep(losses: DataFrame, model: str, cuts: Sequence[float]) -> DataFrame:
+    ranked = losses.select("id", model, L.probability_rank(F.col(model)).alias("rank"), L.token_probability(F.col(model)).alias("prob"))
+    return D.deep_observable(ranked, model, cuts, rank="rank", prob="prob")
+
+
 def feature_tables(corpus: DataFrame, out: str, families: Sequence[str] = ("burst", "struct", "pert", "probability", "contrast", "scale", "transition"),
-                   rules: TextRules = TextRules()) -> dict[str, DataFrame]:
+                   rules: TextRules = TextRules(), models: Sequence[str] = ("ng2",)) -> dict[str, DataFrame]:
     """One parquet table per family, grown by the documents that are new or changed since the last run.
 
-    Language models and state bins see training rows only, so the families that need them are built anew when a training row changes,
-    and otherwise for new documents alone.
+    Language models, state bins, scalers and the global operator see training rows only, so the families that need them are built anew when a
+    training row changes, and otherwise for new documents alone. ``transition``, ``dynamics`` and ``global_dynamics`` have a table for each of
+    ``models``, ``transition_delta`` and ``multiscale`` one for each two that follow each other.
     """
     at = lambda name: f"{out}/features/{name}"
     texts = corpus.select("id", "text")
     of_rules = f"{VERSION}|{rules!r}"
     tables = {f: grown(texts, at(f), lambda new, f=f: E.document_features(new, [f], rules), of_rules) for f in families if f in E.FAMILIES}
-    if not set(families) & {"probability", "contrast", "scale", "transition"}:
+    if not set(families) & set(OF_LOSSES):
         return tables
     train = corpus.filter("split = 'train'")
     of_model = fingerprint(train, rules)
@@ -52,18 +64,42 @@ def feature_tables(corpus: DataFrame, out: str, families: Sequence[str] = ("burs
         tables["contrast"] = family("contrast", lambda new: L.contrasts(only(stats, new), [("ng1", "ng2"), ("ng2", "ng4")]))
     if "scale" in families:
         tables["scale"] = family("scale", lambda new: S.scale_response(*S.scale_columns(only(stats, new))))
-    if "transition" in families:
-        model = "ng2"
-        bins = lambda: X.train_bins(only(losses, train), model)
-        tables["transition"] = family("transition", lambda new: X.full_profiles(only(losses, new), model, bins(), model))
+    bins = functools.cache(lambda m: X.train_bins(only(losses, train), m))
+
+    @functools.cache
+    def global_model(m: str):
+        paths = cut_lineage(_deep(only(losses, train), m, bins(m)["raw"][5]))
+        scaler = D.fit_scaler(paths, D.DEEP_RANKED)
+        return scaler, D.global_operator(D.scaled_steps(paths, scaler))
+
+    def residuals(new: DataFrame, m: str) -> DataFrame:
+        scaler, operator = global_model(m)
+        scaled = D.scaled_steps(_deep(only(losses, new), m, bins(m)["raw"][5]), scaler)
+        return D.residual_features(scaled, operator, prefix=f"deep_dmd_{m}").withColumnRenamed("steps", f"deep_dmd_{m}_steps")
+
+    of_model_builds = {
+        "transition": lambda new, m: X.full_profiles(only(losses, new), m, bins(m), m),
+        "dynamics": lambda new, m: D.koopman_features(only(losses, new), m, m, bins(m)["raw"]),
+        "global_dynamics": residuals,
+    }
+    wanted = set(families) | {need for f, need in (("transition_delta", "transition"), ("multiscale", "dynamics")) if f in families}
+    built = {(f, m): family(f"{f}_{m}", lambda new, build=build, m=m: build(new, m)) for f, build in of_model_builds.items() if f in wanted for m in models}
+    tables |= {f"{f}_{m}": t for (f, m), t in built.items() if f in families}
+    of_pair_builds = {
+        "transition_delta": lambda new, a, b: X.column_delta(only(built["transition", a], new), only(built["transition", b], new), a, b, f"scale_transition_delta_{a}_{b}_"),
+        "multiscale": lambda new, a, b: D.multiscale(only(built["dynamics", a], new), only(built["dynamics", b], new), a, b),
+    }
+    for f, build in of_pair_builds.items():
+        for a, b in zip(models, models[1:]) if f in families else ():
+            tables[f"{f}_{a}_{b}"] = family(f"{f}_{a}_{b}", lambda new, build=build, a=a, b=b: build(new, a, b))
     return tables
 
 
 def run(corpus: DataFrame, out: str, families: Sequence[str] = ("burst", "struct"), candidates: Sequence[M.Candidate] | None = None,
-        rules: TextRules = TextRules(), replicates: int = 200) -> dict[str, DataFrame]:
+        rules: TextRules = TextRules(), replicates: int = 200, models: Sequence[str] = ("ng2",)) -> dict[str, DataFrame]:
     """Features, merge, column cleaning, the train x test matrix and its reports, written below ``out``."""
     C.assert_no_leak(corpus)
-    tables = feature_tables(corpus, out, families, rules)
+    tables = feature_tables(corpus, out, families, rules, models)
     meta = corpus.select("id", "label", "source_dataset", "domain", "split")
     E.merge_families(meta, list(tables.values())).write.mode("overwrite").parquet(f"{out}/all_features")
     merged = corpus.sparkSession.read.parquet(f"{out}/all_features")

@@ -100,6 +100,19 @@ def matrix_with_intervals(predictions: DataFrame, replicates: int = 200) -> Data
     return matrix(predictions).join(multinomial_intervals(predictions, cells, replicates, prediction="prediction"), cells)
 
 
+def named_sets(full: Sequence[str], small: str, large: str, transition: dict[str, Sequence[str]], delta: Sequence[str], dynamics: dict[str, Sequence[str]],
+               multiscale: Sequence[str], deep: Sequence[str]) -> dict[str, list[str]]:
+    """The column sets that are compared: all plain columns with and without the transition, dynamics and deep columns of two models, their changes, and these alone."""
+    both = lambda of: [*of[small], *of[large]]
+    sets = {
+        "full": [], **{f"full_plus_transition_{m}": transition[m] for m in (small, large)}, "full_plus_transition_both": both(transition),
+        "full_plus_transition_delta": delta, **{f"full_plus_dynamics_{m}": dynamics[m] for m in (small, large)},
+        "full_plus_dynamics_both": [*both(dynamics), *multiscale], "full_plus_transition_plus_dynamics": [*both(transition), *both(dynamics), *multiscale], "full_plus_deep": deep,
+    }
+    alone = {"transition_delta": delta, **{f"dynamics_{m}": dynamics[m] for m in (small, large)}, "dynamics_both_multiscale": [*both(dynamics), *multiscale], "deep": deep}
+    return {name: [*full, *more] for name, more in sets.items()} | {name: list(cols) for name, cols in alone.items()}
+
+
 def combinations(train: DataFrame, dev: DataFrame, tests: DataFrame, column_sets: dict[str, Sequence[str]], candidates: Sequence[M.Candidate] | None = None) -> DataFrame:
     """The same train set with several column sets (basic, + transition, + dynamics, ...): one row per set and test."""
     best = M.best_of_sets(train, dev, column_sets, list(candidates or M.default_candidates()), M.RANKING_WITH_TPR)

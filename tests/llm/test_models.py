@@ -204,3 +204,53 @@ def test_language_model_learns_from_every_text(spark, monkeypatch):
     whole = weights(texts)
     for out in set(texts) - {start}:
         assert not np.array_equal(whole, weights([i for i in texts if i != out])), out
+
+
+def test_logarithms_of_large_logits_and_classes_of_one_item():
+    from dataclasses import replace
+
+    rng = np.random.default_rng(2)
+    for scale in (1, 300):
+        net = recurrent.start(np.array([1e6] + [1.0] * 229))
+        net = replace(net, word_out=net.word_out * np.float32(scale), class_out=net.class_out * np.float32(scale))
+        hidden, y = np.tanh(rng.normal(size=(50, recurrent.UNITS))).astype(np.float32), rng.integers(0, 230, 50)
+        outputs = recurrent._Outputs(net, hidden, y)
+        want, classes = [], np.diff(net.first)
+        for h, item in zip(hidden.astype(np.float64), y):
+            k = net.class_of[item]
+            by_class = h @ net.class_out + net.class_bias
+            by_word = (net.word_out @ h + net.word_bias)[net.first[k] : net.first[k + 1]]
+            total = lambda x: x.max() + math.log(np.exp(x - x.max()).sum())
+            want.append(by_class[k] - total(by_class) + by_word[item - net.first[k]] - total(by_word))
+        assert classes.min() == 1
+        assert np.allclose(outputs.logarithms(), np.array(want)[outputs.order], rtol=1e-4, atol=1e-4)
+
+
+def test_learning_works_in_place(monkeypatch):
+    """The same as Adam written down in 64 bits, and no copy of the weights is made for a step."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(4)
+    net = recurrent.start(np.arange(60, 0, -1).astype(float))
+    sizes = rng.integers(1, 40, 30)
+    tokens = np.concatenate([np.append(rng.integers(1, 60, n), recurrent.END) for n in sizes]).astype(np.int32)
+    borders = np.concatenate([[0], np.cumsum(sizes + 1)])
+    own = {k: getattr(net, k).astype(np.float64) for k in recurrent.WEIGHTS}
+    first, second = ({k: np.zeros_like(v) for k, v in own.items()} for _ in range(2))
+    s = recurrent.Streams(tokens, borders, recurrent.TRAIN_LANES)
+    windows = list(s.windows(recurrent.TRAIN_STEPS))
+    h = np.zeros((len(s.lengths), recurrent.UNITS))
+    for t, window in enumerate(windows, 1):
+        grad, h = recurrent._gradients(replace(net, **own), s, window, h)
+        clip = min(1, 1 / (math.sqrt(sum((g**2).sum() for g in grad.values())) + 1e-9))
+        pace = 0.01 * (1 - 0.9 * t / len(windows)) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        for k, g in grad.items():
+            first[k] = 0.9 * first[k] + 0.1 * g * clip
+            second[k] = 0.99 * second[k] + 0.01 * (g * clip) ** 2
+            own[k] = own[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8)
+    calls, adam = [], recurrent._adam
+    monkeypatch.setattr(recurrent, "_adam", lambda w, *rest: (calls.append(np.shares_memory(w, w.base) if w.base is not None else False), adam(w, *rest)))
+    got = recurrent.train(net, tokens, borders)
+    assert all(calls) and len(calls) == len(windows) * len(recurrent.WEIGHTS)
+    for k in recurrent.WEIGHTS:
+        assert np.allclose(getattr(got, k), own[k], atol=2e-3), k

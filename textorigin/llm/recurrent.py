@@ -12,6 +12,8 @@ UNITS, CLASSES = 32, 40
 TRAIN_LANES, TRAIN_STEPS, LANES, STEPS = 96, 24, 512, 48
 RATE = 0.01
 END = 0
+#: logits between -FAR and FAR need no care for overflow
+FAR = 60.0
 WEIGHTS = ("inputs", "recurrent", "class_out", "class_bias", "word_out", "word_bias")
 
 
@@ -51,13 +53,21 @@ def start(counts: np.ndarray, seed: int = 5) -> Network:
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+class _Rows:
+    """Rows of different widths, one after the other in a flat array."""
 
+    def __init__(self, widths: np.ndarray):
+        self.widths = widths
+        ends = np.cumsum(widths)
+        self.starts, self.size = ends - widths, int(ends[-1])
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    def exp(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In place the exponential of ``x``, less each row's largest value where it could overflow or vanish; the logarithms of
+        what stands at the places ``at``, and each row's sum."""
+        if not (x.min() > -FAR and x.max() < FAR):
+            x -= np.repeat(np.maximum.reduceat(x, self.starts), self.widths)
+        own = x[at]
+        return own, np.add.reduceat(np.exp(x, out=x), self.starts)
 
 
 class Streams:
@@ -94,21 +104,99 @@ class Streams:
             yield out
 
 
-def _steps(net: Network, s: Streams, window: list[np.ndarray], h: np.ndarray, keep: list | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    outs, u = [], UNITS
-    for at in window:
-        x = s.input[at]
-        h = h[: len(at)] * (x != END)[:, None]
-        a, g = h @ net.recurrent, net.inputs[x]
-        gates = _sigmoid(g[:, : 2 * u] + a[:, : 2 * u])
-        z, r = gates[:, :u], gates[:, u:]
-        n = np.tanh(g[:, 2 * u :] + r * a[:, 2 * u :])
-        new = n + z * (h - n)
-        if keep is not None:
-            keep.append((x, h, z, r, n, a[:, 2 * u :]))
+@dataclass(frozen=True)
+class _Pass:
+    """What a window's steps gave, one after the other in the rows of each array; step t has the rows ``cuts[t]`` to ``cuts[t + 1]``."""
+
+    at: np.ndarray
+    cuts: list[int]
+    x: np.ndarray
+    runs: np.ndarray  # 0 where a text begins, and with it an empty state
+    before: np.ndarray
+    gates: np.ndarray  # update and reset
+    recalled: np.ndarray  # what the candidate gets from the state, before the reset
+    candidate: np.ndarray
+    hidden: np.ndarray
+
+
+def _steps(net: Network, s: Streams, window: list[np.ndarray], h: np.ndarray) -> _Pass:
+    """All arrays are made once for the window and filled step by step."""
+    u, kind = UNITS, net.recurrent.dtype
+    at, cuts = np.concatenate(window), [0, *np.cumsum([len(w) for w in window]).tolist()]
+    x = s.input[at]
+    runs = (x != END).astype(kind)[:, None]
+    half = kind.type(0.5)
+    given = net.inputs.take(x, 0)
+    # the logistic function of x is tanh(x / 2) / 2 + 1 / 2
+    to_gates, to_candidate = given[:, : 2 * u] * half, given[:, 2 * u :].copy()
+    by_gates, by_candidate = net.recurrent[:, : 2 * u] * half, net.recurrent[:, 2 * u :].copy()
+    before, recalled, candidate, hidden = (np.empty((len(at), u), kind) for _ in range(4))
+    gates = np.empty((len(at), 2 * u), kind)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        p, g, r, n, new = before[a:b], gates[a:b], recalled[a:b], candidate[a:b], hidden[a:b]
+        np.multiply(h[: b - a], runs[a:b], out=p)
+        np.matmul(p, by_gates, out=g)
+        g += to_gates[a:b]
+        np.tanh(g, out=g)
+        g *= half
+        g += half
+        np.matmul(p, by_candidate, out=r)
+        np.multiply(g[:, u:], r, out=n)
+        n += to_candidate[a:b]
+        np.tanh(n, out=n)
+        np.subtract(p, n, out=new)
+        new *= g[:, :u]
+        new += n
         h = new
-        outs.append(h)
-    return outs, h
+    return _Pass(at, cuts, x, runs, before, gates, recalled, candidate, hidden)
+
+
+class _Outputs:
+    """The two softmaxes of all tokens of a window, which stand in the order of the classes of the items that follow them. ``hidden``
+    has a column of ones, the weights one with the biases."""
+
+    def __init__(self, net: Network, hidden: np.ndarray, y: np.ndarray):
+        c = net.class_of[y].astype(np.uint8 if len(net.first) <= 256 else np.int32)
+        self.order = np.argsort(c, kind="stable")
+        c, m, self.classes = c[self.order], len(y), len(net.first) - 1
+        self.hidden = np.ones((m, hidden.shape[1] + 1), hidden.dtype)
+        self.hidden[:, :-1] = hidden.take(self.order, 0)
+        self.class_out, self.word_out = np.vstack([net.class_out, net.class_bias]), np.column_stack([net.word_out, net.word_bias])
+        self.class_rows = _Rows(np.full(m, self.classes))
+        self.class_at = self.class_rows.starts + c
+        self.class_x = (self.hidden @ self.class_out).ravel()
+        cuts, first = np.searchsorted(c, np.arange(self.classes + 1)).tolist(), net.first.tolist()
+        self.word_rows = _Rows(np.diff(net.first)[c])
+        self.word_at = self.word_rows.starts + y[self.order] - net.first[c]
+        self.word_x = np.empty(self.word_rows.size, hidden.dtype)
+        self.parts, at = [], 0
+        for a, b, low, high in zip(cuts[:-1], cuts[1:], first[:-1], first[1:]):
+            if a < b:
+                x = self.word_x[at : at + (b - a) * (high - low)].reshape(b - a, -1)
+                np.matmul(self.hidden[a:b], self.word_out[low:high].T, out=x)
+                self.parts.append((self.hidden[a:b], x, slice(a, b), slice(low, high)))
+                at += x.size
+
+    def logarithms(self) -> np.ndarray:
+        own, total = self.class_rows.exp(self.class_x, self.class_at)
+        of_class = own - np.log(total)
+        own, total = self.word_rows.exp(self.word_x, self.word_at)
+        return of_class.astype(np.float64) + (own - np.log(total))
+
+    def gradients(self) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean loss: of the weights, and of ``hidden``."""
+        share = self.hidden.dtype.type(1 / len(self.order))
+        for x, rows, at in ((self.class_x, self.class_rows, self.class_at), (self.word_x, self.word_rows, self.word_at)):
+            _, total = rows.exp(x, at)
+            x *= np.repeat(share / total, rows.widths)
+            x[at] -= share
+        d = self.class_x.reshape(-1, self.classes)
+        of_class, of_word = self.hidden.T @ d, np.zeros_like(self.word_out)
+        back = d @ self.class_out[:-1].T
+        for hidden, e, rows, items in self.parts:
+            np.matmul(e.T, hidden, out=of_word[items])
+            back[rows] += e @ self.word_out[items, :-1]
+        return {"class_out": of_class[:-1], "class_bias": of_class[-1], "word_out": of_word[:, :-1], "word_bias": of_word[:, -1]}, back
 
 
 def log_probabilities(net: Network, tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -119,64 +207,46 @@ def log_probabilities(net: Network, tokens: np.ndarray, borders: np.ndarray) ->
     s = Streams(tokens, borders, LANES)
     h = np.zeros((len(s.lengths), UNITS), np.float32)
     for window in s.windows(STEPS):
-        outs, h = _steps(net, s, window, h)
-        at, hidden = np.concatenate(window), np.concatenate(outs)
-        y = s.target[at]
-        c = net.class_of[y]
-        got = _log_softmax(hidden @ net.class_out + net.class_bias)[np.arange(len(y)), c].astype(np.float64)
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(len(net.first)))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            low, high = net.first[k], net.first[k + 1]
-            if high - low > 1:
-                rows = order[cuts[k] : cuts[k + 1]]
-                own = _log_softmax(hidden[rows] @ net.word_out[low:high].T + net.word_bias[low:high])
-                got[rows] += own[np.arange(len(rows)), y[rows] - low]
-        out += np.bincount(s.owner[at], got, len(out))
+        done = _steps(net, s, window, h)
+        h = done.hidden[done.cuts[-2] :]
+        outputs = _Outputs(net, done.hidden, s.target[done.at])
+        out += np.bincount(s.owner[done.at[outputs.order]], outputs.logarithms(), len(out))
     return out
 
 
 def _gradients(net: Network, s: Streams, window: list[np.ndarray], h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of the mean loss of a window; the state enters as a constant, so backpropagation ends at the window's border."""
-    kept: list = []
-    outs, last = _steps(net, s, window, h, kept)
-    at, hidden = np.concatenate(window), np.concatenate(outs)
-    y, m = s.target[at], len(at)
-    c, rows = net.class_of[y], np.arange(m)
-    d = np.exp(_log_softmax(hidden @ net.class_out + net.class_bias))
-    d[rows, c] -= 1
-    d /= m
-    grad = {"class_out": hidden.T @ d, "class_bias": d.sum(0), "word_out": np.zeros_like(net.word_out), "word_bias": np.zeros_like(net.word_bias)}
-    back = d @ net.class_out.T
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(len(net.first)))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        low, high, own = net.first[k], net.first[k + 1], order[cuts[k] : cuts[k + 1]]
-        if high - low > 1:
-            e = np.exp(_log_softmax(hidden[own] @ net.word_out[low:high].T + net.word_bias[low:high]))
-            e[np.arange(len(own)), y[own] - low] -= 1
-            e /= m
-            grad["word_out"][low:high] = e.T @ hidden[own]
-            grad["word_bias"][low:high] = e.sum(0)
-            back[own] += e @ net.word_out[low:high]
-    u, ends = UNITS, np.cumsum([len(x) for x in window])
-    grad["recurrent"], into, following = np.zeros_like(net.recurrent), [], np.zeros((0, u), np.float32)
-    for t in range(len(window) - 1, -1, -1):
-        x, before, z, r, n, a = kept[t]
-        dh = back[ends[t] - len(x) : ends[t]].copy()
+    done, u = _steps(net, s, window, h), UNITS
+    m, kind = len(done.at), net.recurrent.dtype
+    outputs = _Outputs(net, done.hidden, s.target[done.at])
+    grad, sorted_back = outputs.gradients()
+    place = np.empty(m, np.int64)
+    place[outputs.order] = np.arange(m)
+    back = sorted_back.take(place, 0)
+    # by how much each unit's gradient enters update, reset and what is recalled; only the gradient itself goes from step to step
+    z, r, n = done.gates[:, :u].copy(), done.gates[:, u:].copy(), done.candidate
+    of_candidate = (1 - z) * (1 - n * n)
+    factors, into = np.empty((m, 3, u), kind), np.empty((m, 3, u), kind)
+    np.multiply(done.before - n, z * (1 - z), out=factors[:, 0])
+    np.multiply(of_candidate, r, out=factors[:, 2])
+    np.multiply(factors[:, 2], done.recalled * (1 - r), out=factors[:, 1])
+    flat, returned = into.reshape(m, 3 * u), net.recurrent.T.copy()
+    following = np.zeros((0, u), kind)
+    for a, b in zip(done.cuts[-2::-1], done.cuts[:0:-1]):
+        dh = back[a:b]
         dh[: len(following)] += following
-        pre = dh * (1 - z) * (1 - n * n)
-        dz, dr = dh * (before - n) * z * (1 - z), pre * a * r * (1 - r)
-        da = np.concatenate([dz, dr, pre * r], 1)
-        grad["recurrent"] += before.T @ da
-        following = (dh * z + da @ net.recurrent.T) * (x != END)[:, None]
-        into.append((x, np.concatenate([dz, dr, pre], 1)))
-    x, dx = np.concatenate([i for i, _ in into]), np.concatenate([j for _, j in into])
-    by = np.argsort(x, kind="stable")
-    items, places = np.unique(x[by], return_index=True)
+        np.multiply(dh[:, None], factors[a:b], out=into[a:b])
+        following = flat[a:b] @ returned
+        following += dh * z[a:b]
+        following *= done.runs[a:b]
+    grad["recurrent"] = done.before.T @ flat
+    np.multiply(back, of_candidate, out=into[:, 2])
+    by = np.argsort(done.x, kind="stable")
+    items, places = np.unique(done.x[by], return_index=True)
     grad["inputs"] = np.zeros_like(net.inputs)
-    grad["inputs"][items] = np.add.reduceat(dx[by], places, axis=0)
-    return grad, last
+    # two numbers at a time, as the parts of a complex one
+    grad["inputs"][items] = np.add.reduceat(flat.take(by, 0).view(np.result_type(kind, np.complex64)), places, axis=0).view(kind)
+    return grad, done.hidden[done.cuts[-2] :]
 
 
 def train(net: Network, tokens: np.ndarray, borders: np.ndarray, passes: int = 1, rate: float = RATE) -> Network:
@@ -193,12 +263,26 @@ def train(net: Network, tokens: np.ndarray, borders: np.ndarray, passes: int = 1
         for window in s.windows(TRAIN_STEPS):
             grad, h = _gradients(net, s, window, h)
             t += 1
-            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grad.values())))
+            norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())))
             clip = min(1.0, 1.0 / (norm + 1e-9))
             pace = rate * (1 - 0.9 * t / total) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
             for k, g in grad.items():
-                g = g * np.float32(clip)
-                first[k] += np.float32(0.1) * (g - first[k])
-                second[k] += np.float32(0.01) * (g * g - second[k])
-                own[k] -= (np.float32(pace) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))).astype(np.float32)
+                _adam(own[k].ravel(), g.ravel(), first[k].ravel(), second[k].ravel(), np.float32(clip), np.float32(pace))
     return net
+
+
+def _adam(own: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, clip: np.float32, pace: np.float32) -> None:
+    """One step, in place."""
+    g = grad * clip
+    step = g - first
+    step *= np.float32(0.1)
+    first += step
+    np.multiply(g, g, out=step)
+    step -= second
+    step *= np.float32(0.01)
+    second += step
+    np.sqrt(second, out=step)
+    step += np.float32(1e-8)
+    np.divide(first, step, out=step)
+    step *= pace
+    own -= step

@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minhash.near_duplicates(keyed, doc_id="key", text=names["text"]).select(F.col("doc_id").alias("key"), "component_id")
     id_ = F.col(names["doc_id"]).cast("long")
     order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.col(names["text"]).cast("string")).alias("hash"), "key")
-    rows = cut_lineage(found.join(keyed.select("key", order.alias("of")), "key"))
+    rows = cut_lineage(found.join(keyed.select("key", order.alias("of")), "key"), keyed.count())
     first = rows.groupBy("component_id").agg(F.min("of").alias("of")).select(F.col("of.key").alias("key"))
     drop = rows.select("key").join(first, "key", "left_anti")
     return _back(keyed.join(drop, "key", "left_anti"), names)

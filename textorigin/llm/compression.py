@@ -11,6 +11,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import held
+
 #: documents of each label that the fit uses, two thirds for the dictionaries and a third for the calibration
 FIT_DOCUMENTS = 2_400
 #: longer texts are scored like all others, but not used for the fit; with FIT_DOCUMENTS this bounds what the driver gets
@@ -126,6 +128,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     @F.arrow_udf("double")
     def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held.only("compression")
         m = shared.value
         mean, scale, weights = np.array(m.mean), np.array(m.scale), np.array(m.weights)
         for column in columns:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
-from . import words as W
+from . import held, words as W
 
 WINDOW = 10
 #: windows in one automaton: about 100 MB of nodes
@@ -26,7 +26,6 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:256] = True
 #: lower case for A-Z, a blank for every other ASCII character outside words; one byte for one byte, so offsets stay
 _FOLD = bytes(W.LOWER[b] if _IN_WORD[b] else 32 for b in range(256))
-_built: OrderedDict = OrderedDict()
 
 
 def _normal(text: bytes) -> tuple[int, str]:
@@ -49,16 +48,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _automaton(block: str, patterns: list) -> ahocorasick.Automaton:
-    if block not in _built:
-        while len(_built) >= KEPT_AUTOMATA:
-            _built.popitem(last=False)
+    built = held.only("decontamination").setdefault("automata", OrderedDict())
+    if block not in built:
+        while len(built) >= KEPT_AUTOMATA:
+            built.popitem(last=False)
         made = ahocorasick.Automaton()
         for window, size, items in patterns:
             made.add_word(window.decode("latin-1"), (size, items))
         made.make_automaton()
-        _built[block] = made
-    _built.move_to_end(block)
-    return _built[block]
+        built[block] = made
+    built.move_to_end(block)
+    return built[block]
 
 
 def _character(raw: bytes, places: list[int]) -> list[int]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from . import words as W
+from . import held, words as W
 from .graph import components
 
 #: 24 bands of 5 minima: a pair with a similarity of 0.85 misses all bands with a probability below 1e-6
@@ -19,6 +19,8 @@ HASHES = BANDS * ROWS
 BITS = 4
 #: five standard deviations of the estimate lie between a pair at the threshold and one that is not confirmed
 MARGIN = 5.0
+#: rows with a text's set, or what is left of it, that one file takes
+SETS_PER_FILE = 5_000
 #: members of an open bucket that are compared with as many others at a time
 CHUNK = 512
 
@@ -87,6 +89,7 @@ def least_estimate(threshold: float) -> float:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.only("minhash")
         for batch in batches:
             raw, borders = W.texts(batch.column(1))
             n, node, keys, bits = [], [], [], []
@@ -116,6 +119,7 @@ def _node(own: np.ndarray) -> int:
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.only("minhash")
         for batch in batches:
             raw, borders = W.texts(batch.column(1))
             wanted, names, out = batch.column(0).to_pylist(), [], []
@@ -134,6 +138,7 @@ def _sets(size: int):
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.only("minhash")
         for batch in batches:
             good, last = [], (None, None)
             x, y = batch.column(2), batch.column(3)
@@ -150,6 +155,7 @@ def _confirm(percent: int):
 
 def _sides(pdf):
     """The two chunks of a group: names, components, packed bits and band keys of their members, and whether they are the same chunk."""
+    held.only("minhash")
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     pdf = pdf.sort_values("node", ignore_index=True)
     parts = [pdf[pdf["chunk"] == c] for c in ((i,) if i == j else (i, j))]
@@ -239,14 +245,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     given = given.withColumn("text_hash", F.xxhash64("text"))
     base = cut_lineage(given.mapInArrow(_signatures(words), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>, bits binary"))
+    rows = base.count()
     one_text = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = cut_lineage(
-        base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), one_text.alias("of"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), one_text.alias("of"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
+        rows, SETS_PER_FILE,
     )
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     centre = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("c"))
     centre = centre.filter("members > 1").select("bucket", "members", F.col("c.node").alias("centre"))
-    member = cut_lineage(member.join(centre, "bucket"))
+    member = cut_lineage(member.join(centre, "bucket"), rows * BANDS)
 
     bits = nodes.select("node", "bits")
     stars = member.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -254,14 +262,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     # sets of everything that shares a bucket, as these may be asked for again
     wanted = member.select("node").distinct().join(nodes.select("node", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_text")), "node")
     theirs = given.join(wanted, given["doc_id"].eqNullSafe(wanted["of_id"]) & (given["text_hash"] == wanted["of_text"])).select("node", "text")
-    sets = cut_lineage(theirs.mapInArrow(_sets(words), "node long, shingles binary").dropDuplicates(["node"]))
-    links = cut_lineage(_counted(likely, sets, percent))
+    sets = cut_lineage(theirs.mapInArrow(_sets(words), "node long, shingles binary").dropDuplicates(["node"]), rows, SETS_PER_FILE)
+    links = cut_lineage(_counted(likely, sets, percent), rows * BANDS)
     found = components(links)
 
     # buckets whose members are not all together yet
     labelled = member.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    still = cut_lineage(labelled.join(apart, "bucket", "left_semi").select("bucket", "node", "members", "component"))
+    still = cut_lineage(labelled.join(apart, "bucket", "left_semi").select("bucket", "node", "members", "component"), rows * BANDS)
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     marked = still.join(nodes.select("node", "bits", "bands"), "node").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     spread = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "k"), "j": F.greatest("chunk", "k")})
@@ -286,6 +294,7 @@ def _likely(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.only("minhash")
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))

@@ -93,7 +93,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in per_source]
     goals = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], budget * sum(sizes), most)
-    bits = bits_for(sum(r["rows"] for r in per_source))
+    count = sum(r["rows"] for r in per_source)
+    bits = bits_for(count)
     whole = [min(math.floor(g / s + 1e-12), math.floor(most)) if s else 0 for g, s in zip(goals, sizes)]
     rest = [max(0.0, g - w * s) if w < most else 0.0 for g, s, w in zip(goals, sizes, whole)]
     schema = "sid int, source string, source_size long, target double, whole int, rest double"
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     rows = base.join(F.broadcast(made.withColumnRenamed("source", "of")), base["source"].eqNullSafe(F.col("of"))).drop("of")
     ties = ["size", "doc_id", "row"]
     ranked = running(rows, ["sid"], "h", "size", "before", bits, ties)
-    ranked = cut_lineage(ranked.withColumn("extra", (F.col("size") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))))
+    ranked = cut_lineage(ranked.withColumn("extra", (F.col("size") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), count)
 
     def still_open() -> DataFrame:
         got = {r["sid"]: r["x"] for r in ranked.filter("extra").groupBy("sid").agg(F.sum("size").alias("x")).collect()}
@@ -117,15 +118,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
         again = ranked.join(F.broadcast(left), "sid").withColumn("fit", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
         again = running(again, ["sid"], "h", "fit", "ahead", bits, ties)
         more = (F.col("fit") > 0) & (F.col("ahead") + F.col("fit") <= F.col("open"))
-        ranked = cut_lineage(again.withColumn("extra", F.col("extra") | more).drop("fit", "ahead", "open"))
+        ranked = cut_lineage(again.withColumn("extra", F.col("extra") | more).drop("fit", "ahead", "open"), count)
     for _ in range(SINGLES):
         # the one document that brings the source nearest to its target, if it brings it nearer
         off = F.abs(F.col("open") - F.col("size"))
         near = ranked.filter(F.expr("not extra and size > 0") & (F.col("whole") < int(most))).join(F.broadcast(still_open()), "sid").filter(off < F.col("open"))
         best = near.groupBy("sid").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "row")).alias("b")).select(F.col("b.row").alias("best"))
-        ranked = cut_lineage(ranked.join(F.broadcast(best), F.col("row") == F.col("best"), "left").withColumn("extra", F.col("extra") | F.col("best").isNotNull()).drop("best"))
+        ranked = cut_lineage(ranked.join(F.broadcast(best), F.col("row") == F.col("best"), "left").withColumn("extra", F.col("extra") | F.col("best").isNotNull()).drop("best"), count)
     ranked = ranked.withColumn("own", F.when(F.col("extra"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    ranked = cut_lineage(running(ranked, ["sid"], "h", "own", "extra_before", bits, ties))
+    ranked = cut_lineage(running(ranked, ["sid"], "h", "own", "extra_before", bits, ties), count)
     taken = {r["sid"]: r["x"] for r in ranked.groupBy("sid").agg(F.sum("own").alias("x")).collect()}
     totals = [w * s + taken.get(i, 0) for i, (w, s) in enumerate(zip(whole, sizes))]
     block = max(1, math.ceil(sum(totals) / (shards * BLOCKS)))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage, shared_dir
-from . import words as W
+from . import held, words as W
 
 END_ID = 0
 LEVEL = 3
@@ -211,9 +211,6 @@ class Encoder:
             yield data[4 * a : 4 * b] + tail
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _open(path: str):
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
 
@@ -295,8 +292,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, files: int, doc_i
         first = next(batches, None)
         if first is None:
             return
-        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoders = held.only("tokens")
+        if tokenizer not in encoders:
+            encoders[tokenizer] = Encoder(tokenizer)
+        encoder = encoders[tokenizer]
 
         def documents():
             batch = first

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,49 @@ def test_learning_works_in_place(monkeypatch):
     assert all(calls) and len(calls) == len(windows) * len(recurrent.WEIGHTS)
     for k in recurrent.WEIGHTS:
         assert np.allclose(getattr(got, k), own[k], atol=2e-3), k
+
+
+def test_sums_of_items_that_occur_once_and_often():
+    rng = np.random.default_rng(6)
+    for n in (50, 1 << 17):  # sorted as 16 and as 32 bits
+        x = np.concatenate([np.full(40, 7), np.full(recurrent.SINGLY, 3), np.full(recurrent.SINGLY + 1, 9), np.full(2, n - 1), [0, 5, 11]]).astype(np.int32)
+        rng.shuffle(x)
+        for some in (x, x[:1], np.full(5, 4, np.int32)):
+            for kind in (np.float32, np.float64):
+                rows = rng.normal(size=(3, len(some), 4)).astype(kind)
+                want = np.zeros((n, 12))
+                np.add.at(want, some, rows.astype(np.float64).transpose(1, 0, 2).reshape(-1, 12))
+                got = recurrent._sums(some, rows, n)
+                assert got.dtype == kind and np.allclose(got, want, atol=1e-4 if kind is np.float32 else 1e-12)
+
+
+def test_places_of_words():
+    """Words with equal leading bits, the lowest and the highest hash, and none at all."""
+    top = (1 << 64) - 1
+    words = np.unique(np.array([0, 1, 2, 3, 1 << 40, (1 << 40) + 5, 1 << 63, (1 << 63) + 1, top - 1, top], np.uint64))
+    asked = np.concatenate([words, words - np.uint64(1), words + np.uint64(1), np.array([7, 1 << 62], np.uint64)])
+    for some in (words, words[:-1], words[:1], words[:0]):
+        at, found = language_model._Places(some)(asked)
+        where = {int(w): i for i, w in enumerate(some)}
+        assert found.tolist() == [int(h) in where for h in asked]
+        assert [int(i) for i, f in zip(at, found) if f] == [where[int(h)] for h in asked if int(h) in where]
+
+
+def test_weights_of_all_tasks_are_averaged_by_their_tokens(spark, monkeypatch):
+    """One row for many weights, and the mean over tasks as numpy gives it."""
+    monkeypatch.setattr(language_model, "FIT_CHARACTERS", 0)
+    texts = [(1, "a b c a b"), (2, "b c"), (3, "c " * 400), (4, "a")]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3, "doc_id").cache()
+    words = np.unique(np.concatenate([h for _, _, h, _ in language_model._sliced(table.toArrow().column("text"))]))
+    vocabulary = language_model.Vocabulary(words, np.ones(len(words), np.int64), 4, [(0, 0)] * language_model.RARE, len(words) + 4, len(words) + 1)
+    start, parts, sizes = recurrent.start(vocabulary.counts), [], []
+    for part in table.select("text").rdd.glom().collect():
+        if part:
+            tokens, borders = language_model._streams(pa.array([r.text for r in part]), vocabulary)
+            parts.append(recurrent.train(start, tokens, borders, rate=language_model.REFINE_RATE))
+            sizes.append(len(tokens))
+    assert len(parts) > 1
+    got = language_model.fit(table, vocabulary)
+    for k in recurrent.WEIGHTS:
+        assert np.allclose(getattr(got, k), np.average([getattr(p, k) for p in parts], axis=0, weights=sizes), atol=1e-6), k
+    table.unpersist()

@@ -24,6 +24,8 @@ KNOWN_WORDS = 1 << 18
 FIT_DOCUMENTS, FIT_CHARACTERS, FIT_PASSES = 3_000, 1 << 26, 2
 #: rate of the pass over all training texts, in all tasks at once
 REFINE_RATE = 0.004
+#: weights in one row of the sums over tasks
+WEIGHTS_PER_ROW = 1 << 10
 #: distinct words that a counting task gathers before it passes them on
 GATHERED = 1 << 20
 
@@ -92,6 +94,29 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+class _Places:
+    """Where words stand among sorted distinct ones: by their leading bits, then a few steps upwards."""
+
+    def __init__(self, words: np.ndarray):
+        bits = min(max(len(words), 1).bit_length() + 1, 24)
+        self.shift = _U(64 - bits)
+        self.words = np.append(words, _U((1 << 64) - 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((words >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``h`` a place (also beyond the last word), and whether it stands there."""
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        own = self.words[at]
+        behind = np.flatnonzero(own < h)
+        while len(behind):
+            at[behind] += 1
+            own[behind] = self.words[at[behind]]
+            behind = behind[own[behind] < h[behind]]
+        found = own == h
+        found &= at < len(self.words) - 1
+        return at, found
+
+
 class Vocabulary:
     """What the workers need besides the network: items, counts of frequent words, and totals."""
 
@@ -106,25 +131,19 @@ class Vocabulary:
         self.counts = np.concatenate([[max(ends, 1)], item_counts[order]])
         self.rare_item = item[len(own) :]
         by = np.argsort(own)
-        self.own, self.own_item = own[by], item[: len(own)][by]
+        self.own, self.own_item = _Places(own[by]), np.append(item[: len(own)][by], np.int32(0))
         by = np.argsort(words)
-        self.words, self.word_counts = words[by], counts[by]
+        self.words, self.word_counts = _Places(words[by]), np.append(counts[by], 0)
 
     def items(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Item of each word, and whether it is one of its own."""
-        rare = self.rare_item[(h & _U(RARE - 1)).astype(np.int64)]
-        if not len(self.own):
-            return rare, np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        alone = self.own[at] == h
-        return np.where(alone, self.own_item[at], rare).astype(np.int32), alone
+        at, alone = self.own(h)
+        return np.where(alone, self.own_item[at], self.rare_item[(h & _U(RARE - 1)).astype(np.int64)]), alone
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.word_counts[at], 0)
+        at, found = self.words(h)
+        return np.where(found, self.word_counts[at], 0)
 
 
 def _with_ends(items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,14 +188,22 @@ def fit(train: DataFrame, vocabulary: Vocabulary) -> R.Network:
                 weight += len(tokens)
         if weight:
             flat = np.concatenate([getattr(own, k).ravel() for k in R.WEIGHTS]).astype(np.float64) * weight
-            yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(weight)))], ["i", "w", "n"])
+            rows = [flat[i : i + WEIGHTS_PER_ROW].tobytes() for i in range(0, len(flat), WEIGHTS_PER_ROW)]
+            yield pa.record_batch([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(rows, pa.binary()), pa.array(np.full(len(rows), float(weight)))], ["i", "w", "n"])
 
-    more = train.select("text").mapInArrow(refine, "i int, w double, n double")
-    mean = more.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-    if not mean.num_rows:
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights = {}, {}
+        for batch in batches:
+            for i, w, n in zip(*batch.columns):
+                i, w = i.as_py(), np.frombuffer(w.as_buffer())
+                sums[i], weights[i] = (sums[i] + w, weights[i] + n.as_py()) if i in sums else (w, n.as_py())
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([(sums[i] / weights[i]).tobytes() for i in sums], pa.binary())], ["i", "w"])
+
+    rows = train.select("text").mapInArrow(refine, "i int, w binary, n double").repartition("i").mapInArrow(mean, "i int, w binary")
+    parts = {r["i"]: r["w"] for r in rows.collect()}
+    if not parts:
         return net
-    flat = np.zeros(mean.num_rows)
-    flat[mean.column("i").to_numpy()] = mean.column("w").to_numpy()
+    flat = np.concatenate([np.frombuffer(parts[i]) for i in sorted(parts)])
     made, at = {}, 0
     for k in R.WEIGHTS:
         shape = getattr(net, k).shape

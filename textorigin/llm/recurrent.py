@@ -14,6 +14,8 @@ RATE = 0.01
 END = 0
 #: logits between -FAR and FAR need no care for overflow
 FAR = 60.0
+#: places of an item in a window whose gradients are added for all items at once
+SINGLY = 8
 WEIGHTS = ("inputs", "recurrent", "class_out", "class_bias", "word_out", "word_bias")
 
 
@@ -54,10 +56,10 @@ def start(counts: np.ndarray, seed: int = 5) -> Network:
 
 
 class _Rows:
-    """Rows of different widths, one after the other in a flat array."""
+    """Rows of different widths, or all of the one ``width``, one after the other in a flat array."""
 
-    def __init__(self, widths: np.ndarray):
-        self.widths = widths
+    def __init__(self, widths: np.ndarray, width: int = 0):
+        self.widths, self.width = widths, width
         ends = np.cumsum(widths)
         self.starts, self.size = ends - widths, int(ends[-1])
 
@@ -67,7 +69,10 @@ class _Rows:
         if not (x.min() > -FAR and x.max() < FAR):
             x -= np.repeat(np.maximum.reduceat(x, self.starts), self.widths)
         own = x[at]
-        return own, np.add.reduceat(np.exp(x, out=x), self.starts)
+        np.exp(x, out=x)
+        if self.width:
+            return own, x.reshape(-1, self.width) @ np.ones(self.width, x.dtype)
+        return own, np.add.reduceat(x, self.starts)
 
 
 class Streams:
@@ -97,58 +102,95 @@ class Streams:
 
     def windows(self, steps: int):
         """For each window, its places: one array per step, over the lanes that still run (a falling number)."""
-        for t0 in range(0, int(self.lengths.max(initial=0)), steps):
-            out = []
-            for t in range(t0, min(t0 + steps, int(self.lengths[0]))):
-                out.append(self.begins[: int(np.searchsorted(-self.lengths, -t, "left"))] + t)
-            yield out
+        falling, longest = -self.lengths, int(self.lengths.max(initial=0))
+        for t0 in range(0, longest, steps):
+            times = range(t0, min(t0 + steps, longest))
+            running = np.searchsorted(falling, -np.array(times), "left").tolist()
+            yield [self.begins[:n] + t for n, t in zip(running, times)]
 
 
 @dataclass(frozen=True)
 class _Pass:
-    """What a window's steps gave, one after the other in the rows of each array; step t has the rows ``cuts[t]`` to ``cuts[t + 1]``."""
+    """What a window's steps gave, one after the other in the rows of each array; step t has the rows ``cuts[t]`` to ``cuts[t + 1]``.
+    Gates stand in arrays of their own, so that numpy runs through a step's numbers without a break at each row."""
 
     at: np.ndarray
     cuts: list[int]
     x: np.ndarray
-    runs: np.ndarray  # 0 where a text begins, and with it an empty state
+    fresh: list[np.ndarray | None]  # per step the rows where a text begins, and with it an empty state
     before: np.ndarray
-    gates: np.ndarray  # update and reset
-    recalled: np.ndarray  # what the candidate gets from the state, before the reset
+    gates: np.ndarray  # 3 x rows x units: update, reset, and what the candidate gets from the state before the reset
     candidate: np.ndarray
     hidden: np.ndarray
 
 
+def _by_gate(net: Network) -> np.ndarray:
+    """The recurrent weights as gate x units x units."""
+    return np.ascontiguousarray(net.recurrent.reshape(UNITS, 3, UNITS).transpose(1, 0, 2))
+
+
+class _Cell:
+    """The network's step. Its weights for update and reset have the other sign: the logistic function of x is 1 / (1 + exp(-x))."""
+
+    def __init__(self, net: Network, lanes: int):
+        self.weights = _by_gate(net)
+        np.negative(self.weights[:2], out=self.weights[:2])
+        self.inputs, self.one = net.inputs.reshape(-1, UNITS), net.inputs.dtype.type(1)
+        self.given = np.empty((3 * lanes, UNITS), net.inputs.dtype)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        """Rows of ``inputs`` with the gates of the items ``x``, gate by gate."""
+        return x.astype(np.intp) * 3 + np.arange(3)[:, None]
+
+    def step(self, rows: np.ndarray, before: np.ndarray, gates: np.ndarray, candidate: np.ndarray, hidden: np.ndarray) -> None:
+        """Fills ``gates`` (update, reset, what is recalled from the state), ``candidate`` and ``hidden``."""
+        k = len(before)
+        given = self.given[: 3 * k]
+        self.inputs.take(rows.ravel(), 0, given, "clip")
+        given = given.reshape(3, k, UNITS)
+        np.matmul(before, self.weights, out=gates)
+        both = gates[:2]
+        both -= given[:2]
+        np.exp(both, out=both)
+        both += self.one
+        np.divide(self.one, both, out=both)
+        np.multiply(gates[1], gates[2], out=candidate)
+        candidate += given[2]
+        np.tanh(candidate, out=candidate)
+        np.subtract(before, candidate, out=hidden)
+        hidden *= gates[0]
+        hidden += candidate
+
+
+def _begun(x: np.ndarray, cuts: list[int]) -> list[np.ndarray | None]:
+    """Per step the rows where a text begins, counted from the step's first row."""
+    places = np.flatnonzero(x == END)
+    at = np.searchsorted(places, cuts).tolist()
+    return [places[i:j] - a if i < j else None for i, j, a in zip(at[:-1], at[1:], cuts)]
+
+
+def _places(window: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    return np.concatenate(window), [0, *np.cumsum([len(w) for w in window]).tolist()]
+
+
 def _steps(net: Network, s: Streams, window: list[np.ndarray], h: np.ndarray) -> _Pass:
     """All arrays are made once for the window and filled step by step."""
     u, kind = UNITS, net.recurrent.dtype
-    at, cuts = np.concatenate(window), [0, *np.cumsum([len(w) for w in window]).tolist()]
-    x = s.input[at]
-    runs = (x != END).astype(kind)[:, None]
-    half = kind.type(0.5)
-    given = net.inputs.take(x, 0)
-    # the logistic function of x is tanh(x / 2) / 2 + 1 / 2
-    to_gates, to_candidate = given[:, : 2 * u] * half, given[:, 2 * u :].copy()
-    by_gates, by_candidate = net.recurrent[:, : 2 * u] * half, net.recurrent[:, 2 * u :].copy()
-    before, recalled, candidate, hidden = (np.empty((len(at), u), kind) for _ in range(4))
-    gates = np.empty((len(at), 2 * u), kind)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        p, g, r, n, new = before[a:b], gates[a:b], recalled[a:b], candidate[a:b], hidden[a:b]
-        np.multiply(h[: b - a], runs[a:b], out=p)
-        np.matmul(p, by_gates, out=g)
-        g += to_gates[a:b]
-        np.tanh(g, out=g)
-        g *= half
-        g += half
-        np.matmul(p, by_candidate, out=r)
-        np.multiply(g[:, u:], r, out=n)
-        n += to_candidate[a:b]
-        np.tanh(n, out=n)
-        np.subtract(p, n, out=new)
-        new *= g[:, :u]
-        new += n
-        h = new
-    return _Pass(at, cuts, x, runs, before, gates, recalled, candidate, hidden)
+    at, cuts = _places(window)
+    x, m = s.input[at], len(at)
+    fresh, cell = _begun(x, cuts), _Cell(net, len(window[0]))
+    rows = cell.rows(x)
+    before, candidate, hidden = (np.empty((m, u), kind) for _ in range(3))
+    gates = np.empty((3, m, u), kind)
+    with np.errstate(over="ignore"):  # 1 / (1 + infinity) is the right 0
+        for a, b, begins in zip(cuts[:-1], cuts[1:], fresh):
+            p = before[a:b]
+            p[:] = h[: b - a]
+            if begins is not None:
+                p[begins] = 0
+            h = hidden[a:b]
+            cell.step(rows[:, a:b], p, gates[:, a:b], candidate[a:b], h)
+    return _Pass(at, cuts, x, fresh, before, gates, candidate, hidden)
 
 
 class _Outputs:
@@ -162,7 +204,7 @@ class _Outputs:
         self.hidden = np.ones((m, hidden.shape[1] + 1), hidden.dtype)
         self.hidden[:, :-1] = hidden.take(self.order, 0)
         self.class_out, self.word_out = np.vstack([net.class_out, net.class_bias]), np.column_stack([net.word_out, net.word_bias])
-        self.class_rows = _Rows(np.full(m, self.classes))
+        self.class_rows = _Rows(np.full(m, self.classes), self.classes)
         self.class_at = self.class_rows.starts + c
         self.class_x = (self.hidden @ self.class_out).ravel()
         cuts, first = np.searchsorted(c, np.arange(self.classes + 1)).tolist(), net.first.tolist()
@@ -173,7 +215,7 @@ class _Outputs:
         for a, b, low, high in zip(cuts[:-1], cuts[1:], first[:-1], first[1:]):
             if a < b:
                 x = self.word_x[at : at + (b - a) * (high - low)].reshape(b - a, -1)
-                np.matmul(self.hidden[a:b], self.word_out[low:high].T, out=x)
+                np.dot(self.hidden[a:b], self.word_out[low:high].T, out=x)
                 self.parts.append((self.hidden[a:b], x, slice(a, b), slice(low, high)))
                 at += x.size
 
@@ -192,11 +234,12 @@ class _Outputs:
             x[at] -= share
         d = self.class_x.reshape(-1, self.classes)
         of_class, of_word = self.hidden.T @ d, np.zeros_like(self.word_out)
-        back = d @ self.class_out[:-1].T
+        back, by_word = d @ self.class_out[:-1].T, np.empty((len(d), self.word_out.shape[1] - 1), d.dtype)
         for hidden, e, rows, items in self.parts:
-            np.matmul(e.T, hidden, out=of_word[items])
-            back[rows] += e @ self.word_out[items, :-1]
-        return {"class_out": of_class[:-1], "class_bias": of_class[-1], "word_out": of_word[:, :-1], "word_bias": of_word[:, -1]}, back
+            np.dot(e.T, hidden, out=of_word[items])
+            np.dot(e, self.word_out[items, :-1], out=by_word[rows])
+        back += by_word
+        return {"class_out": of_class[:-1], "class_bias": of_class[-1], "word_out": np.ascontiguousarray(of_word[:, :-1]), "word_bias": of_word[:, -1]}, back
 
 
 def log_probabilities(net: Network, tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -205,12 +248,26 @@ def log_probabilities(net: Network, tokens: np.ndarray, borders: np.ndarray) ->
     if not len(tokens):
         return out
     s = Streams(tokens, borders, LANES)
-    h = np.zeros((len(s.lengths), UNITS), np.float32)
-    for window in s.windows(STEPS):
-        done = _steps(net, s, window, h)
-        h = done.hidden[done.cuts[-2] :]
-        outputs = _Outputs(net, done.hidden, s.target[done.at])
-        out += np.bincount(s.owner[done.at[outputs.order]], outputs.logarithms(), len(out))
+    lanes = len(s.lengths)
+    cell, kind = _Cell(net, lanes), net.recurrent.dtype
+    h = np.zeros((lanes, UNITS), kind)
+    # learning keeps what each step gave; here only the states leave a step
+    before, candidate, gates = np.empty_like(h), np.empty_like(h), np.empty((3, lanes, UNITS), kind)
+    with np.errstate(over="ignore"):
+        for window in s.windows(STEPS):
+            at, cuts = _places(window)
+            x = s.input[at]
+            rows, hidden = cell.rows(x), np.empty((len(at), UNITS), kind)
+            for a, b, begins in zip(cuts[:-1], cuts[1:], _begun(x, cuts)):
+                k = b - a
+                p = before[:k]
+                p[:] = h[:k]
+                if begins is not None:
+                    p[begins] = 0
+                h = hidden[a:b]
+                cell.step(rows[:, a:b], p, gates[:, :k], candidate[:k], h)
+            outputs = _Outputs(net, hidden, s.target[at])
+            out += np.bincount(s.owner[at[outputs.order]], outputs.logarithms(), len(out))
     return out
 
 
@@ -224,31 +281,65 @@ def _gradients(net: Network, s: Streams, window: list[np.ndarray], h: np.ndarray
     place[outputs.order] = np.arange(m)
     back = sorted_back.take(place, 0)
     # by how much each unit's gradient enters update, reset and what is recalled; only the gradient itself goes from step to step
-    z, r, n = done.gates[:, :u].copy(), done.gates[:, u:].copy(), done.candidate
-    of_candidate = (1 - z) * (1 - n * n)
-    factors, into = np.empty((m, 3, u), kind), np.empty((m, 3, u), kind)
-    np.multiply(done.before - n, z * (1 - z), out=factors[:, 0])
-    np.multiply(of_candidate, r, out=factors[:, 2])
-    np.multiply(factors[:, 2], done.recalled * (1 - r), out=factors[:, 1])
-    flat, returned = into.reshape(m, 3 * u), net.recurrent.T.copy()
+    (z, r, recalled), n, p = done.gates, done.candidate, done.before
+    kept, one = 1 - z, kind.type(1)
+    of_candidate = n * n
+    np.subtract(one, of_candidate, out=of_candidate)
+    of_candidate *= kept
+    factors, into = np.empty((3, m, u), kind), np.empty((3, m, u), kind)
+    of_update, of_reset, of_recalled = factors
+    np.subtract(done.hidden, n, out=of_update)  # the old state less the candidate, times the update
+    of_update *= kept
+    np.multiply(of_candidate, r, out=of_recalled)
+    np.subtract(one, r, out=of_reset)
+    of_reset *= of_recalled
+    of_reset *= recalled
+    returned = np.ascontiguousarray(_by_gate(net).transpose(0, 2, 1))
     following = np.zeros((0, u), kind)
-    for a, b in zip(done.cuts[-2::-1], done.cuts[:0:-1]):
-        dh = back[a:b]
+    for a, b, begins in zip(done.cuts[-2::-1], done.cuts[:0:-1], done.fresh[::-1]):
+        dh, d = back[a:b], into[:, a:b]
         dh[: len(following)] += following
-        np.multiply(dh[:, None], factors[a:b], out=into[a:b])
-        following = flat[a:b] @ returned
-        following += dh * z[a:b]
-        following *= done.runs[a:b]
-    grad["recurrent"] = done.before.T @ flat
-    np.multiply(back, of_candidate, out=into[:, 2])
-    by = np.argsort(done.x, kind="stable")
-    items, places = np.unique(done.x[by], return_index=True)
-    grad["inputs"] = np.zeros_like(net.inputs)
-    # two numbers at a time, as the parts of a complex one
-    grad["inputs"][items] = np.add.reduceat(flat.take(by, 0).view(np.result_type(kind, np.complex64)), places, axis=0).view(kind)
+        np.multiply(dh, factors[:, a:b], out=d)
+        by_update, by_reset, by_recalled = np.matmul(d, returned)
+        following = dh * z[a:b]
+        following += by_update
+        following += by_reset
+        following += by_recalled
+        if begins is not None:
+            following[begins] = 0
+    grad["recurrent"] = np.matmul(p.T, into).transpose(1, 0, 2).reshape(u, 3 * u)
+    np.multiply(back, of_candidate, out=into[2])
+    grad["inputs"] = _sums(done.x, into, len(net.inputs))
     return grad, done.hidden[done.cuts[-2] :]
 
 
+def _sums(x: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """For each of n items the sum of its places in ``rows`` (gate x place x units), the gates side by side."""
+    by = np.argsort(x.astype(np.uint16) if n <= 1 << 16 else x, kind="stable")
+    own = x[by]
+    places = np.flatnonzero(own[1:] != own[:-1]) + 1
+    places = np.concatenate([[0], places])
+    times = np.diff(places, append=len(x))
+    order = np.argsort(-times, kind="stable")
+    places, times = places[order], times[order]
+    # all items' first places, then the second places of items that have them, and so on; what frequent items have beyond is added item by item
+    sums = rows.take(by[places], 1)
+    falling = -times
+    for k in range(1, min(SINGLY, int(times[0]))):
+        some = int(np.searchsorted(falling, -k))
+        sums[:, :some] += rows.take(by[places[:some] + k], 1)
+    many = int(np.searchsorted(falling, -SINGLY))
+    if many:
+        widths = times[:many] - SINGLY
+        ends = np.cumsum(widths)
+        rest = rows.take(by[np.repeat(places[:many] + SINGLY - (ends - widths), widths) + np.arange(ends[-1])], 1)
+        # two numbers at a time, as the parts of a complex one
+        sums[:, :many] += np.add.reduceat(rest.view(np.result_type(rows.dtype, np.complex64)), ends - widths, axis=1).view(rows.dtype)
+    out = np.zeros((n, 3 * rows.shape[2]), rows.dtype)
+    out[own[places]] = sums.transpose(1, 0, 2).reshape(len(places), -1)
+    return out
+
+
 def train(net: Network, tokens: np.ndarray, borders: np.ndarray, passes: int = 1, rate: float = RATE) -> Network:
     """Adam over windows of TRAIN_STEPS steps; the rate falls to a tenth towards the end."""
     if not len(tokens):
@@ -273,13 +364,12 @@ def train(net: Network, tokens: np.ndarray, borders: np.ndarray, passes: int = 1
 
 def _adam(own: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, clip: np.float32, pace: np.float32) -> None:
     """One step, in place."""
-    g = grad * clip
-    step = g - first
-    step *= np.float32(0.1)
+    step = grad * (np.float32(0.1) * clip)
+    first *= np.float32(0.9)
     first += step
-    np.multiply(g, g, out=step)
-    step -= second
-    step *= np.float32(0.01)
+    # the square of a tenth of the gradient is a hundredth of its square
+    step *= step
+    second *= np.float32(0.99)
     second += step
     np.sqrt(second, out=step)
     step += np.float32(1e-8)
